@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.llm.common import table
 from riskloom.llm.ngram_jaccard import jaccard_join
-from riskloom.llm import piece_codec, source_mixing, warc
+from riskloom.llm import phrase_prints, piece_codec, source_mixing, token_shards, warc
 from riskloom.llm.quality_rules import quality
 
 
@@ -26,6 +26,14 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.digests(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_prints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), k=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
@@ -41,6 +49,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op3_source_mixing": op3_source_mixing,
+    "op4_token_shards": op4_token_shards,
+    "op5_fingerprints": op5_fingerprints,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_sentencepiece": op7_sentencepiece,
     "op10_quality": op10_quality,

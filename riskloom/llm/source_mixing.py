@@ -2,7 +2,7 @@
 
 Every document of a source starts with the same fractional number of copies,
 target / source size. Whole copies are taken; the fractions are rounded in
-pairs: mass moves from one document to the other, so that their expected words
+pairs, of two documents or of one and the block of all smaller ones: mass moves from one document to the other, so that their expected words
 stay as they are, until one of the two is integral. A document that is still
 fractional goes on to the next pair. Leaves of a reduction tree round bounded
 groups of a source; what is left of each leaf meets in the next level, and one
@@ -58,6 +58,25 @@ def round_pairs(items: list[tuple], seed: int) -> tuple[list[int | None], int |
     return out, at, p
 
 
+def round_leaf(items: list[tuple], seed: int) -> tuple[list[int | None], int | None, float]:
+    """``round_pairs`` for items with one p, by falling size: each document meets all smaller ones as one block.
+
+    The block's documents move alike, so they keep one p. A large document becomes integral against the mass of many
+    small ones, and what remains in the end is small. Where a block is too light to give or take that mass, its
+    documents meet in pairs.
+    """
+    out: list[int | None] = []
+    rest, p = sum(x[1] for x in items), items[0][2]
+    for i, (key, size, _) in enumerate(items):
+        rest -= size
+        if rest <= 0 or p - (1 - p) * size / rest < 0 or p + p * size / rest > 1:
+            tail, at, left = round_pairs([(k, b, p) for k, b, _ in items[i:]], seed)
+            return out + tail, None if at is None else at + i, left
+        out.append(int(_coin(seed, "block", key, size, p) < p))
+        p += (p - out[i]) * size / rest
+    raise AssertionError("the last document has no block")
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """(source, source_size) to (source, source_size, sid, target).
 
@@ -99,10 +118,10 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     d = d.withColumn("leaf", F.pmod(F.xxhash64("doc_id", "size"), "leaves").cast("int")).select("sid", "leaf", "leaves", "doc_id", "size", "whole", "p")
     deep = d.agg(F.max("leaves")).first()[0] or 1
 
-    def level(last: bool):
+    def level(first: bool, last: bool):
         def run(key, rows: pa.Table):
             ids, size, p = (rows[c].to_pylist() for c in ("doc_id", "size", "p"))
-            copy, at, left = round_pairs(list(zip(ids, size, p, strict=True)), seed)
+            copy, at, left = (round_leaf if first else round_pairs)(list(zip(ids, size, p, strict=True)), seed)
             if last and at is not None:
                 copy[at], at = int(_coin(seed, "last", key[0], ids[at], left) < left), None
             rest = [left if i == at else None for i in range(len(ids))]
@@ -113,12 +132,13 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
 
     schema = "sid int, leaf int, doc_id long, size long, whole int, p double"
     done = d.where("p is null").select("sid", "doc_id", "size", "whole")
+    first = True
     open_, leaves = d.where("p is not null").drop("leaves"), deep
     while True:
-        out = materialize(by_group(open_, ["sid", "leaf"], n, level(leaves == 1), schema, [F.desc("size"), F.asc("doc_id"), F.asc("p")]), "rounded")
+        out = materialize(by_group(open_, ["sid", "leaf"], n, level(first, leaves == 1), schema, [F.desc("size"), F.asc("doc_id"), F.asc("p")]), "rounded")
         done = done.union(out.where("p is null").select("sid", "doc_id", "size", "whole"))
         if leaves == 1:
             break
-        open_, leaves = out.where("p is not null"), -(-leaves // FAN)
+        open_, leaves, first = out.where("p is not null"), -(-leaves // FAN), False
     out = done.join(sources.select("sid", "source_size", "target"), "sid")
     return out.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size")).cast("long").alias("taken"), F.col("whole").alias("copies"))
