@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.llm.common import table
 from riskloom.llm.ngram_jaccard import jaccard_join
-from riskloom.llm import phrase_prints, piece_codec, source_mixing, token_shards, warc
+from riskloom.llm import language_id, phrase_prints, piece_codec, source_mixing, token_shards, toxic_segments, warc
 from riskloom.llm.quality_rules import quality
 
 
@@ -18,6 +18,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digests(table(spark, sf_dir, "pages"))
 
@@ -42,17 +46,23 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_segments.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).drop("lang", "source")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_warc": op2_warc,
     "op3_source_mixing": op3_source_mixing,
     "op4_token_shards": op4_token_shards,
     "op5_fingerprints": op5_fingerprints,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_toxicity": op8_toxicity,
     "op10_quality": op10_quality,
 }
 
