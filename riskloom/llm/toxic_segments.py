@@ -1,10 +1,11 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-A word's tokens are itself and its beginnings of 3 to 8 bytes, so that unseen
+A word's tokens are its beginnings of 3 to 8 bytes and itself, so that unseen
 words of a known stem count. A token's log-odds of standing in a toxic rather
 than a clean labelled text are taken under a Dirichlet prior centred on the
-overall share; only those that exceed their standard error FIRM times are kept.
-A word scores its best token's log-odds, and DRIFT less. One linear scan
+token that it specialises. Tokens that share a beginning with one whose log-odds
+exceed their standard error FIRM times are known. A word scores the log-odds of
+its most special known token, and DRIFT less. One linear scan
 (Ruzzo and Tompa) finds all maximal segments. Under an extreme-value law, a
 segment of score s has an expectation of K * n * exp(-lambda * s) in a clean text
 of n words; lambda and K come from clean labelled texts. What the significant
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskloom.llm import vectext as vt
-from riskloom.llm.common import bucket_of
+from riskloom.llm.common import bucket_of, materialize
 
 U64 = np.uint64
 #: bounds of the training sample: labelled texts of each class
@@ -56,16 +57,22 @@ def _words(raw: np.ndarray, bounds: np.ndarray):
 
 
 def _tokens(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-    """(which words, hash) of the whole words and of each length of beginnings."""
+    """(which words, hash, hash of the token that it specialises, hash of its shortest beginning), from beginnings to whole words."""
     up, back = vt._powers(len(raw))
     sums = np.zeros(len(raw) + 1, U64)
     np.cumsum(vt._BYTE[raw] * up[: len(raw)], out=sums[1:])
-    begin, scale = sums[starts], back[starts]
-    yield None, vt.mix((sums[ends] - begin) * scale + U64(1))
-    size = ends - starts
+    begin, scale, size = sums[starts], back[starts], ends - starts
+    above = np.zeros(len(starts), U64)
+    root = np.zeros(len(starts), U64)
     for k in PREFIXES:
         at = np.flatnonzero(size >= k)
-        yield at, vt.mix((sums[starts[at] + k] - begin[at]) * scale[at] + U64(k << 8))
+        h = vt.mix((sums[starts[at] + k] - begin[at]) * scale[at] + U64(k << 8))
+        if k == PREFIXES[0]:
+            root[at] = h
+        yield at, h, above[at], root[at]
+        above[at] = h
+    at = np.flatnonzero(size >= PREFIXES[0])
+    yield at, vt.mix((sums[ends[at]] - begin[at]) * scale[at] + U64(1)), above[at], root[at]
 
 
 def _texts(column):
@@ -99,7 +106,7 @@ def maximal_segments(scores: list[tuple[int, float]], drift: float) -> list[tupl
 
 
 class Odds:
-    """Kept tokens: sorted hashes and scores, and a table of the bits that they begin with."""
+    """Known tokens: sorted hashes and scores, and a table of the bits that they begin with."""
 
     def __init__(self, hashes: np.ndarray, odds: np.ndarray):
         order = np.argsort(hashes)
@@ -107,20 +114,15 @@ class Odds:
         self.seen = np.zeros(1 << BITS, bool)
         self.seen[(self.hashes >> U64(64 - BITS)).astype(np.int64)] = True
 
-    def positives(self, raw, starts, ends):
-        """(word number, score) of words whose best token is odd enough, ascending."""
-        best: dict[int, float] = {}
-        if not len(self.hashes):
-            return best
-        for at, h in _tokens(raw, starts, ends):
-            hit = np.flatnonzero(self.seen[(h >> U64(64 - BITS)).astype(np.int64)])
-            if not len(hit):
-                continue
-            p = np.minimum(np.searchsorted(self.hashes, h[hit]), len(self.hashes) - 1)
-            ok = self.hashes[p] == h[hit]
-            for w, s in zip((hit if at is None else at[hit])[ok].tolist(), self.odds[p[ok]].tolist(), strict=True):
-                if s > best.get(w, 0.0):
-                    best[w] = s
+    def of_words(self, raw, starts, ends) -> np.ndarray:
+        """The score of each word: that of its most special known token, or 0."""
+        best = np.zeros(len(starts))
+        if len(self.hashes):
+            for at, h, _, _ in _tokens(raw, starts, ends):
+                hit = np.flatnonzero(self.seen[(h >> U64(64 - BITS)).astype(np.int64)])
+                p = np.minimum(np.searchsorted(self.hashes, h[hit]), len(self.hashes) - 1)
+                ok = self.hashes[p] == h[hit]
+                best[at[hit[ok]]] = self.odds[p[ok]]
         return best
 
 
@@ -140,22 +142,42 @@ def _segments(odds: Odds, column):
     """(row, words, [(first word, end word, score)]) of every row; rows come in order."""
     for i, j, raw, bounds in _texts(column):
         starts, ends, rows = _words(raw, bounds) if len(raw) else (np.zeros(0, int), np.zeros(0, int), np.zeros(j - i + 1, int))
-        best = odds.positives(raw, starts, ends) if len(starts) else {}
+        best = odds.of_words(raw, starts, ends) - DRIFT
         hits: dict[int, list] = {}
-        places = np.array(sorted(best), np.int64)
+        places = np.flatnonzero(best > 0)
         for w, r in zip(places.tolist(), (np.searchsorted(rows, places, "right") - 1).tolist(), strict=True):
-            hits.setdefault(r, []).append((w - int(rows[r]), best[w] - DRIFT))
+            hits.setdefault(r, []).append((w - int(rows[r]), float(best[w])))
         for r in range(j - i):
-            yield i + r, int(rows[r + 1] - rows[r]), maximal_segments([x for x in hits.get(r, ()) if x[1] > 0], DRIFT), hits.get(r, ())
+            yield i + r, int(rows[r + 1] - rows[r]), maximal_segments(hits.get(r, ()), DRIFT), hits.get(r, ())
 
 
-def _log_odds(tox: np.ndarray, tot: np.ndarray, n_tox: float, n: float) -> tuple[np.ndarray, np.ndarray]:
-    share = n_tox / n
+def _log_odds(tox: np.ndarray, tot: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds over those of ``share``, and in units of their standard error."""
     a, b = tox + PRIOR * share, tot - tox + PRIOR * (1 - share)
     lo = np.log(a / b) - math.log(share / (1 - share))
     return lo, lo / np.sqrt(1 / a + 1 / b)
 
 
+def _nested(h, above, tox, tot, share: float) -> np.ndarray:
+    """Log-odds of tokens under a Dirichlet prior centred on the token that each specialises, if known, else on ``share``."""
+    place = {x: i for i, x in enumerate(h.tolist())}
+    up = [place.get(x) for x in above.tolist()]
+    p: list[float | None] = [None] * len(h)
+
+    def of(i):
+        chain = []
+        while i is not None and p[i] is None:
+            chain.append(i)
+            i = up[i]
+        for j in reversed(chain):
+            p[j] = (tox[j] + PRIOR * (share if up[j] is None else p[up[j]])) / (tot[j] + PRIOR)
+
+    for i in range(len(h)):
+        of(i)
+    x = np.clip(np.array(p, float), 1e-6, 1 - 1e-6)
+    return np.log(x / (1 - x)) - math.log(share / (1 - share))
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from labelled rows of the folds FOLDS, at most TRAIN_PER_CLASS of each class, chosen by a hash of doc_id.
 
@@ -173,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     def count(batches):
         for b in batches:
             tox, fold = b.column(1).to_numpy(), b.column(2).to_numpy()
-            hashes, cell = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+            hashes, ups, roots, cell = [np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros(0, U64)], [np.zeros(0, np.int64)]
             for i, j, raw, bounds in _texts(b.column(0)):
                 if not len(raw):
                     continue
@@ -181,29 +203,37 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 if not len(starts):
                     continue
                 row = np.repeat(np.arange(j - i), np.diff(rows))
-                h, r = zip(*((h, row if at is None else row[at]) for at, h in _tokens(raw, starts, ends)), strict=True)
-                h, r = np.concatenate(h), np.concatenate(r)
+                at, h, up, root = map(np.concatenate, zip(*_tokens(raw, starts, ends), strict=True))
+                r = row[at]
                 o = np.lexsort((r, h))
-                h, r = h[o], r[o]
+                h, r, up, root = h[o], r[o], up[o], root[o]
                 new = np.r_[True, (h[1:] != h[:-1]) | (r[1:] != r[:-1])]
                 hashes.append(h[new])
+                ups.append(up[new])
+                roots.append(root[new])
                 cell.append(2 * fold[i + r[new]] + tox[i + r[new]])
             h, c = np.concatenate(hashes), np.concatenate(cell)
-            u, inv = np.unique(h, return_inverse=True)
+            u, first, inv = np.unique(h, return_index=True, return_inverse=True)
+            up, root = np.concatenate(ups)[first], np.concatenate(roots)[first]
             n = np.bincount(inv * 8 + c, minlength=8 * len(u)).reshape(-1, 8) if len(u) else np.zeros((0, 8), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64))] + [pa.array(n[:, k]) for k in range(8)], names=["h", *[f"n{k}" for k in range(8)]])
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (u, up, root)] + [pa.array(n[:, k]) for k in range(8)], names=["h", "up", "root", *[f"n{k}" for k in range(8)]])
 
     sizes = {(r.fold, r.toxic): r.n for r in known.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
     n_tox, n_all = sum(n for (_, t), n in sizes.items() if t), sum(sizes.values())
     if not n_tox or n_tox == n_all:
         return Model(Odds(np.zeros(0, U64), np.zeros(0)), 1.0, 1.0, 0.0, -30.0 if not n_tox else 30.0)
     cols = [f"n{k}" for k in range(8)]
-    tokens = sample.mapInArrow(count, "h long, " + ", ".join(f"{c} long" for c in cols)).groupBy("h").agg(*[F.sum(c).alias(c) for c in cols])
+    tokens = sample.mapInArrow(count, "h long, up long, root long, " + ", ".join(f"{c} long" for c in cols)).groupBy("h").agg(F.first("up").alias("up"), F.first("root").alias("root"), *[F.sum(c).alias(c) for c in cols])
     tox, tot = sum((F.col(f"n{2 * f + 1}") for f in FOLDS), F.lit(0)), sum((F.col(c) for c in cols), F.lit(0))
-    # a test that all that the exact one below lets through also pass
-    tokens = tokens.where((tot >= LEAST_TEXTS) & (tox * n_all > 1.5 * tot * n_tox)).toArrow()
-    h = tokens["h"].to_numpy().view(U64)
-    n = np.stack([tokens[c].to_numpy() for c in cols], 1).astype(float)
+    tokens = materialize(tokens.where(tot >= LEAST_TEXTS), "tokens")
+    # a test that all that the exact one lets through also pass; then all tokens with the same beginnings, toxic or not
+    odd = tokens.where(tox * n_all > 1.5 * tot * n_tox).toArrow()
+    counts = lambda t: np.stack([t[c].to_numpy() for c in cols], 1).astype(float)
+    n = counts(odd)
+    firm = _log_odds(sum(n[:, 2 * f + 1] for f in FOLDS), n.sum(1), n_tox / n_all)[1] >= FIRM
+    near = sorted(set(odd["root"].to_numpy()[firm].tolist()))
+    kin = tokens.join(F.broadcast(spark.createDataFrame([(x,) for x in near], "root long")), "root").toArrow()
+    h, above, n = kin["h"].to_numpy().view(U64), kin["up"].to_numpy().view(U64), counts(kin)
 
     def odds(out: int | None) -> Odds:
         folds = [f for f in FOLDS if f != out]
@@ -211,9 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         nt, na = sum(sizes.get((f, 1), 0) for f in folds), sum(sizes.get((f, x), 0) for f in folds for x in (0, 1))
         if not nt or nt == na or not len(h):
             return Odds(np.zeros(0, U64), np.zeros(0))
-        lo, z = _log_odds(t, c, nt, na)
-        ok = (c >= LEAST_TEXTS) & (z >= FIRM) & (lo > DRIFT)
-        return Odds(h[ok], lo[ok])
+        return Odds(h, _nested(h, above, t, c, nt / na))
 
     crossed = spark.sparkContext.broadcast({f: odds(f) for f in FOLDS})
 
