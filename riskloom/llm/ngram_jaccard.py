@@ -34,6 +34,8 @@ SKETCH_BITS = 22
 BLOCKS = 64
 #: tokens (8 bytes each) that one side of a block pair holds
 BLOCK_TOKENS = 2_000_000
+#: bits of the filter of candidates, and sets that a task remembers to drop further copies of
+BLOOM_BITS, COPIES_KNOWN = 24, 200_000
 #: longest list of one token that is compared with others' lists
 LIST_MOST = 1_000_000
 
@@ -42,6 +44,34 @@ def _cells(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> U64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def _cid(tokens: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).astype(np.int64))
+
+
+def _short(tokens: np.ndarray) -> bytes:
+    """32 bits of each token: enough for a filter, which may let through too much but never too little."""
+    return (tokens >> U64(16)).astype(np.uint32).tobytes()
+
+
+def _bloom_bits(ids: np.ndarray) -> np.ndarray:
+    return (vt.mix(ids.astype(np.int64).view(U64)) >> U64(64 - BLOOM_BITS)).astype(np.int64)
+
+
+def _bloom(ids: DataFrame) -> np.ndarray:
+    """A filter of fixed size for the documents whose sets are needed; a null id is as 0."""
+
+    def mark(batches):
+        bits = np.zeros(1 << BLOOM_BITS, bool)
+        for b in batches:
+            bits[_bloom_bits(b.column(0).fill_null(0).to_numpy())] = True
+        yield pa.RecordBatch.from_pydict({"bits": [zlib.compress(np.packbits(bits).tobytes(), 1)]})
+
+    out = np.zeros(1 << BLOOM_BITS, bool)
+    for r in ids.coalesce(8).mapInArrow(mark, "bits binary").collect():  # eight pieces of a fixed size
+        out |= np.unpackbits(np.frombuffer(zlib.decompress(r.bits), np.uint8)).astype(bool)
+    return out
+
+
 def _sets(text, k: int):
     """(row, sorted distinct tokens) of each row of a string column."""
     raw, bounds = vt.utf8(text)
@@ -97,29 +127,38 @@ def _sketch(texts: DataFrame, k: int) -> np.ndarray:
     return np.where(total < least, 0, np.minimum(62, 1 + np.log2(np.maximum(total, 1) / least))).astype(np.uint8)
 
 
-def _buckets(rows: DataFrame, n: int) -> DataFrame:
-    """(token, cid) prefix rows to (g, cid): one g for each different list of two documents or more."""
+def _buckets(rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """(token, n, cid) prefix rows to (g, cid): a bucket g for each different list of two documents or more.
+
+    Sets whose sizes differ too much can't link: by size, a token's list falls apart where a size exceeds the one
+    before by more than the threshold allows.
+    """
 
     def run(batches):
-        tok, cid = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        def out(t, c):
-            cut = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-            size = np.diff(np.r_[cut, len(t)])
+        tok, size, cid = (np.zeros(0, np.int64) for _ in range(3))
+
+        def out(t, n, c):
+            twice = np.r_[False, (t[1:] == t[:-1]) & (c[1:] == c[:-1])]
+            t, n, c = t[~twice], n[~twice], c[~twice]
+            new = np.r_[True, (t[1:] != t[:-1]) | (100 * n[:-1] < percent * n[1:])]
+            cut = np.flatnonzero(new)
+            many = np.diff(np.r_[cut, len(t)])
             own = vt.mix(c.view(U64))
             # the hash of a list is a sum, so the order of its members doesn't matter
-            g = np.where(size > LIST_MOST, vt.mix(t[cut].view(U64)), vt.mix(np.add.reduceat(own, cut) + size.astype(U64))).view(np.int64)
-            many = np.repeat(size > 1, size)
-            return pa.RecordBatch.from_pydict({"g": np.repeat(g, size)[many], "cid": c[many]})
+            g = np.where(many > LIST_MOST, vt.mix(t[cut].view(U64) + n[cut].astype(U64)), vt.mix(np.add.reduceat(own, cut) + many.astype(U64))).view(np.int64)
+            keep = np.repeat(many > 1, many)
+            return pa.RecordBatch.from_pydict({"g": np.repeat(g, many)[keep], "cid": c[keep]})
+
         for b in batches:
-            tok, cid = np.r_[tok, b.column(0).to_numpy()], np.r_[cid, b.column(1).to_numpy()]
+            tok, size, cid = (np.r_[x, b.column(i).to_numpy()] for i, x in enumerate((tok, size, cid)))
             last = int(np.searchsorted(tok, tok[-1])) if len(tok) else 0
             if last:
-                yield out(tok[:last], cid[:last])
-                tok, cid = tok[last:], cid[last:]
+                yield out(tok[:last], size[:last], cid[:last])
+                tok, size, cid = tok[last:], size[last:], cid[last:]
         if len(tok):
-            yield out(tok, cid)
+            yield out(tok, size, cid)
 
-    return rows.repartition(n, "token").sortWithinPartitions("token").mapInArrow(run, "g long, cid long").distinct()
+    return rows.repartition(n, "token").sortWithinPartitions("token", "n", "cid").mapInArrow(run, "g long, cid long").distinct()
 
 
 def _compare(percent: int, every: bool):
@@ -140,7 +179,7 @@ def _compare(percent: int, every: bool):
         flat = np.concatenate(sets)
         a, b = [], []
         for i in order.tolist():
-            own = np.frombuffer(second[i], U64).tolist()
+            own = np.frombuffer(second[i], np.uint32).tolist()
             cand = {j for t in own for j in post.get(t, ())}
             for t in own:
                 post.setdefault(t, []).append(i)
@@ -170,6 +209,37 @@ def _compare(percent: int, every: bool):
     return run
 
 
+def _spread(rows: DataFrame, weight, carry: list[str], weights: DataFrame | None = None) -> DataFrame:
+    """(g, cid, ...) rows to (g, bi, bj, side, cid, ...): a bucket over BLOCK_TOKENS is cut into blocks, and each row goes
+    to all pairs of its block with others. Only sums by bucket are made of the weights."""
+    weights = rows.select("g", weight.alias("weight")) if weights is None else weights
+    large = weights.groupBy("g").agg(F.sum("weight").alias("w")).where(F.col("w") > BLOCK_TOKENS).select("g", F.ceil(F.col("w") / BLOCK_TOKENS).cast("int").alias("blocks"))
+    rows = rows.join(large, "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("side", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("side")).alias("bi"), F.greatest(x, F.col("side")).alias("bj")))
+    return rows.select("*", F.explode(pairs).alias("pair")).select("g", "pair.bi", "pair.bj", "side", "cid", *carry)
+
+
+def _second_filter(percent: int):
+    """Keeps what shares a token of the second order's prefix with a set of a size that it can link with."""
+
+    def run(key, rows: pa.Table):
+        g = key[0]
+        size = rows["n"].to_numpy()
+        tokens = [np.frombuffer(x, np.uint32) for x in rows["second"].to_pylist()]
+        doc = np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])
+        flat = np.concatenate(tokens)
+        order = np.lexsort((size[doc], flat))
+        flat, doc = flat[order], doc[order]
+        near = (flat[1:] == flat[:-1]) & (100 * size[doc[:-1]] >= percent * size[doc[1:]])
+        # by size, a neighbour of fitting size exists if any partner does; between blocks both sides are kept
+        keep = np.zeros(len(tokens), bool)
+        keep[doc[:-1][near]] = keep[doc[1:][near]] = True
+        return pa.RecordBatch.from_pydict({"token": np.full(keep.sum(), g), "n": size[keep], "cid": rows["cid"].to_numpy()[keep]})
+
+    return run
+
+
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, count_links: bool = False) -> DataFrame:
     """Components of the documents whose shingle sets have a Jaccard likeness of ``percent`` / 100 or more.
 
@@ -188,43 +258,48 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, count_links: bo
     n_out = partitions(spark)
     classes_of = spark.sparkContext.broadcast(_sketch(plain(docs, "text"), k))
 
-    def first_order(batches):
+    def both_orders(batches):
+        seen: set[int] = set()
         for b in batches:
-            n, cid, prefix = [], [], []
+            n, cid, prefix, second = [], [], [], []
             for _, tokens in _sets(b.column(1), k):
                 n.append(len(tokens))
-                cid.append(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).astype(np.int64) if len(tokens) else None)
-                prefix.append(_prefix(tokens, classes_of.value, percent, 0).view(np.int64) if len(tokens) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n": pa.array(n, pa.int64()), "cid": pa.array(cid, pa.int64()), "prefix": pa.array(prefix, pa.list_(pa.int64()))})
+                cid.append(_cid(tokens) if len(tokens) else None)
+                if len(tokens) and cid[-1] not in seen:  # the first copy stands for all of its task
+                    if len(seen) < COPIES_KNOWN:
+                        seen.add(cid[-1])
+                    prefix.append(_prefix(tokens, classes_of.value, percent, 0).view(np.int64))
+                    second.append(_short(_prefix(tokens, classes_of.value, percent, 1)))
+                else:
+                    prefix.append(None)
+                    second.append(None)
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n": pa.array(n, pa.int64()), "cid": pa.array(cid, pa.int64()), "prefix": pa.array(prefix, pa.list_(pa.int64())), "second": pa.array(second, pa.binary())})
 
-    base = materialize(docs.mapInArrow(first_order, "doc_id long, n long, cid long, prefix array<long>"), "sets")
+    base = materialize(docs.mapInArrow(both_orders, "doc_id long, n long, cid long, prefix array<long>, second binary"), "sets")
     classes = base.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"), F.first("n").alias("n"))
-    tokens = base.where("cid is not null").dropDuplicates(["cid"]).select(F.explode("prefix").alias("token"), "cid")
-    cand = _buckets(tokens, n_out).groupBy("cid").agg(F.sort_array(F.collect_list("g")).alias("buckets"))
+    tokens = base.where("prefix is not null").select(F.explode("prefix").alias("token"), "n", "cid")
+    rows = materialize(_buckets(tokens, n_out, percent), "buckets").join(base.where("second is not null").select("cid", "n", "second"), "cid")
+    rows = by_group(_spread(rows, F.octet_length("second") / 4, ["n", "second"]), ["g", "bi", "bj"], n_out, _distinct(_second_filter(percent)), "token long, n long, cid long")
+    cand = _buckets(rows.distinct(), n_out, percent).groupBy("cid").agg(F.sort_array(F.collect_list("g")).alias("buckets"))
     cand = materialize(cand.join(classes, "cid"), "candidates")
 
-    large = cand.select(F.explode("buckets").alias("g"), "n").groupBy("g").agg(F.sum("n").alias("tokens")).where(F.col("tokens") > BLOCK_TOKENS)
-    large = large.select("g", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("blocks"))
+    filter_ = spark.sparkContext.broadcast(_bloom(cand.select("rep")))
 
-    def other_orders(batches):
+    def whole_sets(batches):
         for b in batches:
-            keep, sets, second = [], [], []
-            cids = b.column(b.schema.get_field_index("cid")).to_pylist()
-            for i, tokens in _sets(b.column(0), k):
-                if len(tokens) and np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).astype(np.int64) == cids[i]:
-                    keep.append(i)
+            ids = b.column(0).fill_null(0).to_numpy() if b.column(0).null_count else b.column(0).to_numpy()
+            b = b.take(pa.array(np.flatnonzero(filter_.value[_bloom_bits(ids)])))
+            cid, sets, second = [], [], []
+            for _, tokens in _sets(b.column(1), k):
+                if len(tokens):
+                    cid.append(_cid(tokens))
                     sets.append(tokens.tobytes())
-                    second.append(_prefix(tokens, classes_of.value, percent, 1).tobytes())
-            own = b.take(pa.array(keep, pa.int64())).drop_columns(["text"])
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(sets, pa.binary()), pa.array(second, pa.binary())], names=[*own.schema.names, "tokens", "second"])
-
-    texts = docs.join(cand.withColumnRenamed("n", "n_set"), docs["doc_id"].eqNullSafe(cand["rep"])).select("text", "cid", "buckets")
-    sets = texts.mapInArrow(other_orders, "cid long, buckets array<long>, tokens binary, second binary")
-    spread = sets.select("*", F.explode("buckets").alias("g")).join(large, "g", "left")
-    block = F.pmod(F.xxhash64("cid"), F.coalesce("blocks", F.lit(1))).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda x: F.struct(F.least(x, F.col("own")).cast("int").alias("bi"), F.greatest(x, F.col("own")).cast("int").alias("bj")))
-    spread = spread.withColumn("own", block).select("*", F.explode(pairs).alias("pair")).select("g", "pair.bi", "pair.bj", F.col("own").alias("side"), "cid", *(["buckets"] if count_links else []), "tokens", "second")
-    # a doc_id that stands for several rows brings the same set more than once
+                    second.append(_short(_prefix(tokens, classes_of.value, percent, 1)))
+            yield pa.RecordBatch.from_pydict({"cid": pa.array(cid, pa.int64()), "tokens": pa.array(sets, pa.binary()), "second": pa.array(second, pa.binary())})
+
+    sets = docs.mapInArrow(whole_sets, "cid long, tokens binary, second binary").join(cand.select("cid", "buckets"), "cid")
+    spread = _spread(sets.select("*", F.explode("buckets").alias("g")), None, [*(["buckets"] if count_links else []), "tokens", "second"], cand.select(F.explode("buckets").alias("g"), F.col("n").alias("weight")))
+    # copies of a set that pass the filter bring it more than once
     links = materialize(by_group(spread, ["g", "bi", "bj"], n_out, _distinct(_compare(percent, count_links)), "a long, b long"), "links")
 
     roots = connected(links)

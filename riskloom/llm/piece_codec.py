@@ -172,7 +172,7 @@ class PieceCodec:
 
     def encode(self, text: str | None) -> list[int]:
         """The ids, with the end id. A null text is an empty one."""
-        return [*(int(i) for ids in self._whole(text)[1] for i in ids.split()), self.end]
+        return [*map(int, " ".join(self._whole(text)[1]).split()), self.end]
 
     def decode(self, ids: list[int]) -> str:
         return self._plain(self._text(ids))
@@ -225,7 +225,7 @@ def _model(docs: DataFrame, path: str):
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (with the end id) of every row; null and empty texts have the end id only.
 
-    Other columns are ignored; rows that repeat are encoded each; texts are never cut.
+    Other columns are ignored; rows that repeat are encoded each; texts are never cut; an empty table gives an empty result.
     """
     model = _model(docs, path)
 
@@ -261,3 +261,18 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(text, pa.string())})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def encode_checked(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids, round_trip of every row: whether decoding its ids gives its text (a null one: an empty) back."""
+    model = _model(docs, path)
+
+    def run(batches):
+        c = codec(model.value)
+        for b in batches:
+            texts = [t.as_py() or "" for t in b.column(1)]
+            ids = [c.encode(t) for t in texts]
+            same = [c.decode(i) == t for i, t in zip(ids, texts, strict=True)]
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_tokens": pa.array([len(i) for i in ids], pa.int64()), "ids": pa.array(ids, pa.list_(pa.int32())), "round_trip": pa.array(same, pa.bool_())})
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.llm.common import table
 from riskloom.llm.ngram_jaccard import jaccard_join
-from riskloom.llm import language_id, phrase_prints, piece_codec, source_mixing, token_shards, toxic_segments, warc
+from riskloom.llm import language_id, ngram_lm, phrase_prints, piece_codec, source_mixing, token_shards, toxic_segments, warc
 from riskloom.llm.quality_rules import quality
 
 
@@ -50,6 +50,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_segments.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).drop("lang", "source")
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_toxicity": op8_toxicity,
+    "op9_kneser_ney": op9_kneser_ney,
     "op10_quality": op10_quality,
 }
 
