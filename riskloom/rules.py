@@ -82,7 +82,7 @@ COMMENTS = {
 }
 
 # Kinds of tokens, tried in this order.
-TOKEN = "|".join([r"[a-zA-Z_][a-zA-Z0-9_]*", r"0[xX][0-9a-fA-F]+", r"0[bB][01]+", r"\d+\.?\d*[eE]?[+-]?\d*", r'"(?:[^"\\]|\\.)*"', r"'(?:[^'\\]|\\.)*'", r"[+\-*/%=<>!&|^~?:]+", r"[\[\]{}();,.]"])
+TOKEN = "|".join([r"[a-zA-Z_][a-zA-Z0-9_]*", r"0[xX][0-9a-fA-F]+", r"0[bB][01]+", r"\d+\.?\d*[eE]?[+-]?\d*", r'"[^"\\]*(?:\\.[^"\\]*)*"', r"'[^'\\]*(?:\\.[^'\\]*)*'", r"[+\-*/%=<>!&|^~?:]+", r"[\[\]{}();,.]"])
 
 # Function definitions, group 1 the name.
 FUNCTIONS = {
