@@ -129,10 +129,10 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(n == 0, 1.0, 2 * same / np.maximum(n + same, 1))
 
 
-def _prints(texts: list[str]) -> tuple[list[str], np.ndarray]:
+def _prints(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
     s = sketches(pa.array(texts, pa.large_string()))
     big = s.astype(">u2")
-    return [f"{xxhash.xxh3_64_hexdigest(t)}{big[i].tobytes().hex()}" for i, t in enumerate(texts)], s
+    return [xxhash.xxh3_64_digest(t) + big[i].tobytes() for i, t in enumerate(texts)], s
 
 
 def _edited(text: str, after: str) -> str:
@@ -140,8 +140,8 @@ def _edited(text: str, after: str) -> str:
     return text[: len(text) - q] + after[:q]
 
 
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+RESULT = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _rows(ids: list, texts: list[str], after: list[str]) -> pa.RecordBatch:
@@ -152,7 +152,7 @@ def _rows(ids: list, texts: list[str], after: list[str]) -> pa.RecordBatch:
     # the next row's text is mostly the next one here
     chained = all(a is t for a, t in zip(after[:-1], texts[1:], strict=True))
     nexts = np.concatenate((s[1:], _prints(after[-1:])[1])) if chained and texts else _prints(after)[1]
-    sha = [hashlib.sha256(c.encode("utf-8", "surrogatepass")).hexdigest() for c in changed]
+    sha = [hashlib.sha256(c.encode("utf-8", "surrogatepass")).digest() for c in changed]
     near, near_next = likeness(s, e), likeness(s, nexts)
     near[[a == b for a, b in zip(texts, changed, strict=True)]] = 1.0
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((ids, [len(t) for t in texts], sha, own, theirs, near, near_next), _SCHEMA, strict=True)], schema=_SCHEMA)
@@ -207,4 +207,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             if b.num_rows:
                 yield _rows(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())
 
-    return out.where("kind is null").drop("task", "kind", "text").union(ends.select("doc_id", "text", "after").mapInArrow(finish, RESULT))
+    done = out.where("kind is null").drop("task", "kind", "text").union(ends.select("doc_id", "text", "after").mapInArrow(finish, RESULT))
+    # written as bytes, shown in hexadecimal
+    return done.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
