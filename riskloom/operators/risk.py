@@ -53,13 +53,17 @@ def prioritize(findings: DataFrame, weights: dict[str, float] | None = None) ->
 
 
 def aggregate(df: DataFrame) -> DataFrame:
-    """(grain, key, value): overall risk, and the greatest by severity and by class, in one pass over grouping sets."""
-    g = df.groupingSets([[], [F.col("severity")], [F.col("vuln_class")]], "severity", "vuln_class").agg(F.max("risk").alias("top"), F.avg("risk").alias("mean"), F.grouping_id().alias("gid"))
-    grain = F.when(F.col("gid") == 3, "overall").when(F.col("gid") == 1, "severity").otherwise("class")
-    value = F.when(F.col("gid") == 3, F.lit(0.7) * F.col("top") + F.lit(0.3) * F.col("mean")).otherwise(F.col("top"))
-    value = F.floor(value * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)
-    level = F.when(F.col("gid") == 3, F.when(F.coalesce(value, F.lit(0.0)) >= 0.9, "CRITICAL").when(value >= 0.7, "HIGH").when(value >= 0.5, "MEDIUM").when(value.isNull() | (value >= 0.2), "LOW").otherwise("MINIMAL"))
-    return g.select(grain.alias("grain"), F.coalesce("severity", "vuln_class", F.lit("*")).alias("key"), F.coalesce(value, F.lit(0.0)).alias("value"), level.alias("level"))
+    """(grain, key, value, level): overall risk, and the greatest by severity and by class; (0, LOW) for no findings.
+
+    One pass over grouping sets; the overall row sums up those of severities.
+    """
+    g = df.groupingSets([[F.col("severity")], [F.col("vuln_class")]], "severity", "vuln_class").agg(F.max("risk").alias("top"), F.sum("risk").alias("total"), F.count("risk").alias("n"), F.grouping_id().alias("gid"))
+    tidy = lambda v: F.floor(v * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)
+    keys = g.select(F.when(F.col("gid") == 1, "severity").otherwise("class").alias("grain"), F.coalesce("severity", "vuln_class").alias("key"), tidy(F.col("top")).alias("value"), F.lit(None).cast("string").alias("level"))
+    o = g.where("gid = 1").agg(F.max("top").alias("top"), F.sum("total").alias("total"), F.sum("n").alias("n"))
+    value = F.coalesce(tidy(F.lit(0.7) * F.col("top") + F.lit(0.3) * (F.col("total") / F.col("n"))), F.lit(0.0))
+    level = F.when(F.col("n").isNull(), "LOW").when(value >= 0.9, "CRITICAL").when(value >= 0.7, "HIGH").when(value >= 0.5, "MEDIUM").when(value >= 0.2, "LOW").otherwise("MINIMAL")
+    return keys.union(o.select(F.lit("overall"), F.lit("*"), value, level))
 
 
 def recommend(df: DataFrame) -> DataFrame:
