@@ -182,7 +182,7 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
         return 0.5, 0.75, 0.9
     y = n1 / (n1 + 2 * n2)
     d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 0.9]
-    return tuple(min(max(x, 0.0), i + 1.0) for i, x in enumerate(d))
+    return tuple(min(max(x, 0.1), i + 1.0) for i, x in enumerate(d))  # something is always left for the unseen
 
 
 class Model:

@@ -67,7 +67,8 @@ def _cuts(lab: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     begin = bounds[:-1][np.diff(bounds) > 0]
     up[begin] = True
     after = begin + 1
-    up[after[after < len(lab)]] = False  # no phrase of one symbol at a row's begin
+    up[after[after < len(lab)]] = False  # no phrase of one symbol at a row's begin,
+    up[bounds[1:][np.diff(bounds) > 0] - 1] = False  # nor at its end, where the label after is another row's
     up[begin] = True
     return np.flatnonzero(up)
 
