@@ -14,6 +14,7 @@ eight bytes. The number of zeros of each plane follows the header.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -25,28 +26,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from riskloom.llm import vectext as vt
 from riskloom.llm.common import local_path, materialize, partitions, scratch
 
 MAGIC = b"RLWMTX01"
 _HEADER = struct.Struct("<QQQQ")  # documents, tokens, planes, end id
 BLOCK = 512
 #: tokens after which a task begins another shard
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 2_000_000
 MANIFEST = "task int, seq int, path string, docs long, tokens long"
-#: chunks in each of the two generations of a worker's store
-KEPT = 400_000
+#: words in each of the two generations of a worker's store, and bytes of text encoded at once
+KEPT, SLICE = 600_000, 4 << 20
+#: parts of words in each of the two generations of their store, and parts in one call of the library
+PARTS_KEPT, PARTS_AT_ONCE = 250_000, 500
+_END = vt.U64(0xD6E8FEB86659FD93)
 
-# In these texts a run of letters, a run of digits, and a run of other signs are encoded apart: no combining marks,
+# In these words a run of letters, a digit, and a run of other signs are encoded apart: no combining marks,
 # no contractions (apostrophes), no special tokens.
 _SIMPLE = re.compile(r"[\t-\r !-&(-;=-~À-ÖØ-öø-ÿ]*")
-_PART = re.compile(r"[a-zß-öø-ÿ]+|[0-9]+|[^\sa-z0-9ß-öø-ÿ]+")
+_PART = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 
 
 class WordEncoder:
     """The ids of a tokenizers file, without special tokens, for pretokenizers that drop white space.
 
-    White space separates words there, so a text's ids are those of its words one after another; the library encodes
-    each distinct word, and a bounded store keeps the result.
+    White space separates words there, so a text's ids are those of its words one after another. The library encodes
+    each distinct word; a bounded store keeps the result by a 64-bit hash of the word (among the million words that it
+    holds, two that collide are expected once in thirty million stores).
     """
 
     def __init__(self, model: str):
@@ -55,36 +61,105 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.t = Tokenizer.from_str(model)
         self.dtype = np.dtype("<u2") if self.t.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.now: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.now: dict[int, bytes] = {}
+        self.old: dict[int, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
+        suffix = json.loads(model)["model"].get("end_of_word_suffix")
+        self.is_end = None
+        if suffix:  # where every part ends with a marked token, many parts go through the library as one text
+            self.is_end = np.zeros(self.t.get_vocab_size(), bool)
+            self.is_end[[i for w, i in self.t.get_vocab().items() if w.endswith(suffix)]] = True
         # cutting is safe only for these: no pretoken may hold white space, and letters don't depend on neighbours
         self.cut = self.t.encode("a b", add_special_tokens=False).ids == [i for w in "ab" for i in self.t.encode(w, add_special_tokens=False).ids]
         self.lower = self.t.encode("AÀ", add_special_tokens=False).ids == self.t.encode("aà", add_special_tokens=False).ids
 
-    def _learn(self, words: list[str]) -> None:
+    def _each(self, chunks: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.t.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _learn_parts(self, parts: list[str]) -> None:
         new = []
-        for w in dict.fromkeys(words):
-            if w in self.old:
-                self.now[w] = self.old[w]
+        for p in parts:
+            if p not in self.parts:
+                if (v := self.old_parts.get(p)) is None:
+                    new.append(p)
+                else:
+                    self.parts[p] = v
+        for i in range(0, len(new), PARTS_AT_ONCE):
+            block = new[i : i + PARTS_AT_ONCE]
+            ids = np.array(self.t.encode(" ".join(block), add_special_tokens=False).ids if self.is_end is not None else [], self.dtype)
+            ends = np.flatnonzero(self.is_end[ids]) + 1 if len(ids) else ids
+            if len(ends) == len(block) and ends[-1] == len(ids):
+                raw, cut = ids.tobytes(), [0, *(ends * self.dtype.itemsize).tolist()]
+                self.parts.update(zip(block, [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)], strict=True))
             else:
-                new.append(w)
-        for w, e in zip(new, self.t.encode_batch(new, add_special_tokens=False), strict=True):
-            self.now[w] = np.array(e.ids, self.dtype).tobytes()
-
-    def __call__(self, text: str | None) -> bytes:
-        """The ids as packed unsigned integers."""
-        if not text:
-            return b""
-        if not self.cut:
-            return np.array(self.t.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        words = _PART.findall(text.lower()) if self.lower and _SIMPLE.fullmatch(text) else re.split(r"[ \t-\r]+", text)
-        found = list(map(self.now.get, words))
+                self.parts.update(zip(block, self._each(block), strict=True))
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """The ids of words. Simple ones are cut further, so that the library sees fewer different strings."""
+        cut = [_PART.findall(w.lower()) if self.lower and _SIMPLE.fullmatch(w) else None for w in words]
+        whole = [w for w, c in zip(words, cut, strict=True) if c is None]
+        others = dict(zip(whole, self._each(whole), strict=True)) if whole else {}
+        self._learn_parts(list(dict.fromkeys(p for c in cut if c for p in c)))
+        known = self.parts
+        out = [others[w] if c is None else known[c[0]] if len(c) == 1 else b"".join([known[p] for p in c]) for w, c in zip(words, cut, strict=True)]
+        if len(self.parts) >= PARTS_KEPT:
+            self.parts, self.old_parts = {}, self.parts
+        return out
+
+    def _lookup(self, keys: np.ndarray, word_of) -> list[bytes]:
+        """Ids by word hash; ``word_of`` gives the words of places in ``keys`` that the store lacks."""
+        keys = keys.tolist()
+        found = list(map(self.now.get, keys))
         if None in found:
-            self._learn([w for w, x in zip(words, found, strict=True) if x is None])
-            found = list(map(self.now.__getitem__, words))
+            lack = [i for i, x in enumerate(found) if x is None]
+            new = [i for i in lack if keys[i] not in self.old]
+            fresh = dict(zip(new, self._encode(word_of(new)), strict=True))
+            for i in lack:
+                self.now[keys[i]] = found[i] = fresh[i] if i in fresh else self.old[keys[i]]
             if len(self.now) >= KEPT:
                 self.now, self.old = {}, self.now
-        return b"".join(found)
+        return found
+
+    def rows(self, column, end: int):
+        """(first row, end row, ids, ids of each row) of slices of a string column; every row ends with ``end``."""
+        raw, bounds = vt.utf8(column)
+        for i, j in vt.slices(bounds, SLICE):
+            part, at = raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
+            if not self.cut:
+                ids = [np.array([*self.t.encode(bytes(part[at[r] : at[r + 1]]).decode(), add_special_tokens=False).ids, end], self.dtype) for r in range(j - i)]
+                yield i, j, np.concatenate(ids), np.array([len(x) for x in ids])
+                continue
+            starts, ends, rows = vt.words(part, at)
+            n = np.diff(rows) + 1
+            key = np.full(int(n.sum()), _END, vt.U64)
+            place = np.full(len(key), -1, np.int64)
+            last = np.zeros(len(key), bool)
+            last[np.cumsum(n) - 1] = True
+            place[~last] = np.arange(len(starts))
+            for a, b in vt.slices(at):
+                w = slice(rows[a], rows[b])
+                own = vt.span_hashes(part[at[a] : at[b]], starts[w] - at[a], ends[w] - at[a], self.lower)
+                key[np.flatnonzero(~last)[w] if b - a < j - i else ~last] = own
+            u, first, inv = np.unique(key, return_index=True, return_inverse=True)
+            self.now[int(_END)] = np.array([end], self.dtype).tobytes()
+
+            def word_of(which):
+                p = place[first[which]] if len(which) else []
+                return [bytes(part[starts[x] : ends[x]]).decode() for x in p]
+
+            found = self._lookup(u, word_of)
+            size = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+            flat, begin = np.frombuffer(b"".join(found), self.dtype), np.cumsum(size) - size
+            each = size[inv]
+            stop = np.cumsum(each)
+            ids = flat[np.repeat(begin[inv] - (stop - each), each) + np.arange(stop[-1])]
+            yield i, j, ids, np.add.reduceat(each, np.cumsum(n) - n)
+
+    def __call__(self, text: str | None) -> bytes:
+        """The ids of one text as packed unsigned integers."""
+        *_, ids, _n = next(self.rows(pa.array([text], pa.string()), 0))
+        return ids[:-1].tobytes()
 
 
 def _pad(raw: bytes) -> bytes:
@@ -231,23 +306,21 @@ def write(docs: DataFrame, path: str, folder: str, end: int = 1) -> DataFrame:
         if (key := hash(model.value)) not in _ENCODERS:
             _ENCODERS[key] = WordEncoder(model.value)
         enc = _ENCODERS[key]
-        last = np.array([end], enc.dtype).tobytes()
         doc_ids, lengths, parts, n, seq, done = [], [], [], 0, 0, []
 
         def flush():
-            raw = shard_bytes(doc_ids, lengths, np.frombuffer(b"".join(parts), enc.dtype), end)
             at = f"{base}/shard-{task.partitionId():05d}-{seq:04d}-{task.taskAttemptId()}.wm"
             with fs.open_output_stream(at) as out:
-                out.write(raw)
+                out.write(shard_bytes(doc_ids, lengths, np.concatenate(parts), end))
             done.append((task.partitionId(), seq, at, len(doc_ids), n))
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = enc(text.as_py()) + last
-                doc_ids.append(doc_id)
-                lengths.append(len(ids) // enc.dtype.itemsize)
+            ids_of = b.column(0).to_pylist()
+            for i, j, ids, each in enc.rows(b.column(1), end):
+                doc_ids += ids_of[i:j]
+                lengths += each.tolist()
                 parts.append(ids)
-                n += lengths[-1]
+                n += len(ids)
                 if n >= SHARD_TOKENS:
                     flush()
                     doc_ids, lengths, parts, n, seq = [], [], [], 0, seq + 1
@@ -280,7 +353,7 @@ def read(manifest: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(ids[i:j]) for i, j in zip(cut, cut[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), pa.array(shard.bounds[:-1] + start), pa.array(np.diff(shard.bounds)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.select("path", "start").repartition(F.col("path")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.select("path", "start").repartition(partitions(manifest.sparkSession), "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def digests(docs: DataFrame, path: str, folder: str | None = None) -> DataFrame:
