@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import local_path, materialize, scratch
+from riskloom.llm.common import local_path, materialize, partitions, scratch
 
 CHUNK = 1 << 20
 #: bytes of payload after which a task begins another archive
@@ -203,7 +203,7 @@ def read(manifest: DataFrame, data: bool = True) -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return manifest.select("path").repartition(F.col("path")).mapInArrow(run, CHUNKS)
+    return manifest.select("path").repartition(partitions(manifest.sparkSession), "path").mapInArrow(run, CHUNKS)
 
 
 def digests(pages: DataFrame, folder: str | None = None) -> DataFrame:
