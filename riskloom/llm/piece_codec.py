@@ -19,6 +19,7 @@ import hashlib
 import re
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 #: chunks in each of the two generations of the store; what was used since the last turn survives the next
 KEPT = 500_000
+#: rows whose ids are held at once
+ROWS = 256
 
 
 class PieceCodec:
@@ -227,14 +230,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     Other columns are ignored; rows that repeat are encoded each; texts are never cut; an empty table gives an empty result.
     """
-    model = _model(docs, path)
-
-    def run(batches):
-        c = codec(model.value)
-        for b in batches:
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "ids": pa.array([c.encode(t.as_py()) for t in b.column(1)], pa.list_(pa.int32()))})
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return encode_checked(docs, path).select("doc_id", "ids")
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
@@ -270,9 +266,14 @@ def encode_checked(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         c = codec(model.value)
         for b in batches:
-            texts = [t.as_py() or "" for t in b.column(1)]
-            ids = [c.encode(t) for t in texts]
-            same = [c.decode(i) == t for i, t in zip(ids, texts, strict=True)]
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_tokens": pa.array([len(i) for i in ids], pa.int64()), "ids": pa.array(ids, pa.list_(pa.int32())), "round_trip": pa.array(same, pa.bool_())})
+            for i in range(0, b.num_rows, ROWS):
+                part, ids, same = b.slice(i, ROWS), [], []
+                for t in part.column(1):
+                    own = c.encode(text := t.as_py() or "")
+                    same.append(c.decode(own) == text)
+                    ids.append(np.array(own, np.int32))
+                bounds = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "n_tokens": pa.array(np.diff(bounds).astype(np.int64)), "ids": lists, "round_trip": pa.array(same, pa.bool_())})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
