@@ -1,15 +1,18 @@
 """N-gram Jaccard join by prefix filtering under several global token orders.
 
-A document's tokens are its distinct k-word shingles. Two sets with a Jaccard
-likeness of t or more share a token among the first ``n - ceil(t * n) + 1`` of
-each, under *any* total order of all tokens. So a pair must pass the filter of
-each order; the filters are intersected before the sets are compared exactly.
+A document's tokens are its distinct k-word shingles. Of two sets with a Jaccard
+likeness of t or more, each has at most m = n - ceil(t * n) tokens that the other
+lacks. So among the first m + k of each, under *any* total order of all tokens, k
+are common. A pair must pass the filter of each order; the filters are intersected
+before the sets are compared exactly.
 
 Every order puts tokens of frequent classes last (a sketch counts all tokens of
 the corpus) and differs in how it orders tokens of one class. The first order
-deals documents into buckets, one per shared prefix token; the other orders are
-tested inside a bucket. Buckets that hold the same documents are one bucket; a
-large bucket is cut into blocks, and each pair of blocks is a task of its own.
+deals documents into buckets, one per shared prefix token; the second is tested
+inside a bucket. Buckets that hold the same documents are one bucket. What passes
+both orders forms components of candidates, in which whole sets are compared. A
+large bucket or component is cut into blocks, and each pair of blocks is a task of
+its own.
 
 Tokens and sets are 64-bit hashes; at 10**9 different ones, a pair that collides is expected in about one run of forty.
 """
@@ -49,8 +52,32 @@ def _cid(tokens: np.ndarray) -> int:
 
 
 def _short(tokens: np.ndarray) -> bytes:
-    """32 bits of each token: enough for a filter, which may let through too much but never too little."""
-    return (tokens >> U64(16)).astype(np.uint32).tobytes()
+    """16 bits of each token: tokens that coincide make a filter let through too much, never too little."""
+    return (tokens >> U64(8)).astype(np.uint16).tobytes()
+
+
+def _partners(second: list[np.ndarray], size: np.ndarray, percent: int):
+    """(i, later ones) by rising size: sets of fitting size that share as many second-order tokens as linked ones must."""
+    m = len(second)
+    order = np.argsort(size, kind="stable")
+    place = np.empty(m, np.int64)
+    place[order] = np.arange(m)
+    least = _misses(size, percent) + 1
+    doc = np.repeat(np.arange(m), [len(x) for x in second])
+    flat = np.concatenate(second)
+    by = np.argsort(flat, kind="stable")
+    doc = doc[by]
+    flat = flat[by]
+    cut = np.searchsorted(flat, np.arange(65537)) if len(flat) > 65536 else None
+    for i in order.tolist():
+        t = second[i].astype(np.int64)
+        a, end = (cut[t], cut[t + 1]) if cut is not None else (np.searchsorted(flat, second[i]), np.searchsorted(flat, second[i], "right"))
+        n = end - a
+        near = doc[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        j, shared = np.unique(near, return_counts=True)
+        ok = (place[j] > place[i]) & (100 * size[i] >= percent * size[j]) & (shared >= np.minimum(least[i], least[j]))
+        if ok.any():
+            yield i, j[ok]
 
 
 def _bloom_bits(ids: np.ndarray) -> np.ndarray:
@@ -90,9 +117,19 @@ def _sets(text, k: int):
             yield i + r, tokens[cut[r] : cut[r + 1]]
 
 
+def _misses(n, percent: int):
+    """How many tokens of a set of n may be missing from one that it links with: n - ceil(percent * n / 100)."""
+    return n + (-percent * n) // 100
+
+
 def _prefix(tokens: np.ndarray, classes: np.ndarray, percent: int, order: int) -> np.ndarray:
+    """The first tokens under a global order: one more than may be missing, and as many again under the second.
+
+    Among the first misses + k tokens of each of two linked sets, at least k are common: of a set's tokens before its
+    k-th common one, only misses are not. So 1 is common under the first order, and misses + 1 under the second.
+    """
     n = len(tokens)
-    p = n + (-percent * n) // 100 + 1  # n - ceil(percent * n / 100) + 1
+    p = _misses(n, percent) * (1 + order) + 1
     if p >= n:
         return tokens
     key = (vt.mix(tokens ^ U64(0xA24BAED4963EE407 * (order + 1) % 2**64)) >> U64(6)) | (classes[_cells(tokens)].astype(U64) << U64(58))
@@ -165,42 +202,31 @@ def _compare(percent: int, every: bool):
     """Links inside a block or between two; without ``every``, none between documents that links found here connect."""
 
     def run(key, rows: pa.Table):
-        g, bi, bj = key
+        _, bi, bj = key
         cid, m = rows["cid"].to_numpy(), rows.num_rows
         side = rows["side"].to_numpy()
         sets = [np.frombuffer(x, U64) for x in rows["tokens"].to_pylist()]
         second = rows["second"].to_pylist()
-        held = rows["buckets"].to_pylist() if every else None
         size = np.array([len(s) for s in sets])
-        order = np.argsort(size, kind="stable")
-        post: dict[int, list[int]] = {}
         label = np.arange(m)
         at = np.r_[0, np.cumsum(size)]
         flat = np.concatenate(sets)
         a, b = [], []
-        for i in order.tolist():
-            own = np.frombuffer(second[i], np.uint32).tolist()
-            cand = {j for t in own for j in post.get(t, ())}
-            for t in own:
-                post.setdefault(t, []).append(i)
-            if not cand:
-                continue
-            c = np.fromiter(cand, np.int64, len(cand))
-            c = c[(100 * size[c] >= percent * size[i]) & ((side[c] != side[i]) if bi != bj else True) & ((label[c] != label[i]) if not every else True)]
+        for i, c in _partners([np.frombuffer(x, np.uint16) for x in second], size, percent):
+            if bi != bj:
+                c = c[side[c] != side[i]]
+            if not every:
+                c = c[label[c] != label[i]]
             if not len(c):
                 continue
-            c.sort()
             where = np.repeat(at[c] - np.r_[0, np.cumsum(size[c])[:-1]], size[c]) + np.arange(size[c].sum())
             have = flat[where]
             p = np.minimum(np.searchsorted(sets[i], have), size[i] - 1)
             both = np.add.reduceat((sets[i][p] == have).astype(np.int64), np.r_[0, np.cumsum(size[c])[:-1]])
             for j in c[100 * both >= percent * (size[c] + size[i] - both)].tolist():
-                if every:
-                    if min(set(held[i]) & set(held[j])) != g:
-                        continue  # another bucket has this pair
-                elif label[i] == label[j]:
-                    continue
-                else:
+                if not every:
+                    if label[i] == label[j]:
+                        continue
                     label[label == label[j]] = label[i]
                 a.append(cid[i])
                 b.append(cid[j])
@@ -221,21 +247,19 @@ def _spread(rows: DataFrame, weight, carry: list[str], weights: DataFrame | None
 
 
 def _second_filter(percent: int):
-    """Keeps what shares a token of the second order's prefix with a set of a size that it can link with."""
+    """Links candidates: pairs that pass the second order's filter too, only as many as connect what they connect."""
 
     def run(key, rows: pa.Table):
-        g = key[0]
-        size = rows["n"].to_numpy()
-        tokens = [np.frombuffer(x, np.uint32) for x in rows["second"].to_pylist()]
-        doc = np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])
-        flat = np.concatenate(tokens)
-        order = np.lexsort((size[doc], flat))
-        flat, doc = flat[order], doc[order]
-        near = (flat[1:] == flat[:-1]) & (100 * size[doc[:-1]] >= percent * size[doc[1:]])
-        # by size, a neighbour of fitting size exists if any partner does; between blocks both sides are kept
-        keep = np.zeros(len(tokens), bool)
-        keep[doc[:-1][near]] = keep[doc[1:][near]] = True
-        return pa.RecordBatch.from_pydict({"token": np.full(keep.sum(), g), "n": size[keep], "cid": rows["cid"].to_numpy()[keep]})
+        cid, side = rows["cid"].to_numpy(), rows["side"].to_numpy()
+        label = np.arange(len(cid))
+        a, b = [], []
+        for i, c in _partners([np.frombuffer(x, np.uint16) for x in rows["second"].to_pylist()], rows["n"].to_numpy(), percent):
+            for j in (c[side[c] != side[i]] if key[1] != key[2] else c).tolist():
+                if label[i] != label[j]:
+                    label[label == label[j]] = label[i]
+                    a.append(cid[i])
+                    b.append(cid[j])
+        return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -279,9 +303,10 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, count_links: bo
     classes = base.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"), F.first("n").alias("n"))
     tokens = base.where("prefix is not null").select(F.explode("prefix").alias("token"), "n", "cid")
     rows = materialize(_buckets(tokens, n_out, percent), "buckets").join(base.where("second is not null").select("cid", "n", "second"), "cid")
-    rows = by_group(_spread(rows, F.octet_length("second") / 4, ["n", "second"]), ["g", "bi", "bj"], n_out, _distinct(_second_filter(percent)), "token long, n long, cid long")
-    cand = _buckets(rows.distinct(), n_out, percent).groupBy("cid").agg(F.sort_array(F.collect_list("g")).alias("buckets"))
-    cand = materialize(cand.join(classes, "cid"), "candidates")
+    rows = by_group(_spread(rows, F.octet_length("second") * 2, ["n", "second"]), ["g", "bi", "bj"], n_out, _distinct(_second_filter(percent)), "a long, b long")
+    # linked sets are candidates of each other, so they are in one component of candidates: each set travels once
+    groups = connected(rows).select(F.col("node").alias("cid"), F.col("root").alias("g"))
+    cand = materialize(groups.join(classes, "cid"), "candidates")
 
     filter_ = spark.sparkContext.broadcast(_bloom(cand.select("rep")))
 
@@ -297,8 +322,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, count_links: bo
                     second.append(_short(_prefix(tokens, classes_of.value, percent, 1)))
             yield pa.RecordBatch.from_pydict({"cid": pa.array(cid, pa.int64()), "tokens": pa.array(sets, pa.binary()), "second": pa.array(second, pa.binary())})
 
-    sets = docs.mapInArrow(whole_sets, "cid long, tokens binary, second binary").join(cand.select("cid", "buckets"), "cid")
-    spread = _spread(sets.select("*", F.explode("buckets").alias("g")), None, [*(["buckets"] if count_links else []), "tokens", "second"], cand.select(F.explode("buckets").alias("g"), F.col("n").alias("weight")))
+    sets = docs.mapInArrow(whole_sets, "cid long, tokens binary, second binary").join(cand.select("cid", "g"), "cid")
+    spread = _spread(sets, None, ["tokens", "second"], cand.select("g", F.col("n").alias("weight")))
     # copies of a set that pass the filter bring it more than once
     links = materialize(by_group(spread, ["g", "bi", "bj"], n_out, _distinct(_compare(percent, count_links)), "a long, b long"), "links")
 
