@@ -6,6 +6,10 @@ deviations, then takes concentration steps: the mean and covariance of the three
 quarters of the rows that lie nearest give the next distances. A reweighted last
 step uses the rows within the 0.975 quantile. Quantiles come from counts per
 narrow bin, which add up in any order, so reruns agree and no group is sorted.
+
+The statistics of short texts vary more: the variance of the root of a share (and of the log of a mean) over n units
+is a share of the group's, 1 + N0 / n. Deviations are divided by its root before anything is made of them, so short
+texts weigh less in the estimate and need to deviate further to be rejected, but no text is watered down.
 """
 
 from __future__ import annotations
@@ -22,14 +26,16 @@ LEAST_ROWS = 50
 KEPT_SHARE, STEPS = 0.75, 4
 #: chi-square figures for 5 dimensions: the 0.975 quantile; what makes the covariance of the nearest 0.75, and of those within 0.975, consistent
 WITHIN, CONSISTENT, REWEIGHTED = 12.833, 1.412, 1.055
-#: squared distance beyond which a document is rejected (chi-square tail of 5 dimensions: 1e-12)
-CUTOFF = 66.0
+#: squared distance beyond which a document is rejected (chi-square of 5 dimensions, tail 0.001)
+CUTOFF = 20.515
 #: least standard deviation of each statistic, as most documents have no symbols, repeats or capitals beyond the usual
 FLOORS = (0.02, 0.04, 0.04, 0.04, 0.04)
-#: words of a neutral text that are added to each document, so that ratios of short texts don't jump
-PRIOR_WORDS = 100
+#: units (words, letters) of a text at which chance adds as much variance as texts have among themselves; repeated words come in passages of 16 at least
+N0 = {"vw": ("n_words", 100), "vc": ("word_chars", 150), "vr": ("n_words", 1600)}
 P = len(FLOORS)
 X = [f"x{i}" for i in range(P)]
+#: the scale of each statistic's deviations
+V = ["vw", "vc", "vr", "vc", "vw"]
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -71,13 +77,14 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 def _vector(d: DataFrame) -> DataFrame:
     """The transformed statistics; square roots of shares and the log of a mean are near normal for clean texts."""
-    words, chars = F.col("n_words") + PRIOR_WORDS, F.col("word_chars") + 6 * PRIOR_WORDS
+    words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
     return d.withColumns({
         "x0": F.log(chars / words),
         "x1": F.sqrt(F.col("n_symbols") / chars),
         "x2": F.sqrt(F.col("n_repeat_words") / words),
         "x3": F.sqrt(F.col("n_upper") / chars),
         "x4": F.sqrt(F.col("n_adjacent") / words),
+        **{v: F.sqrt(F.greatest(n, F.lit(1)) / (F.greatest(n, F.lit(1)) + n0)) for v, (n, n0) in N0.items()},
     })
 
 
@@ -105,8 +112,13 @@ def _quantile(d: DataFrame, by: list[str], value: str, share: float, step: float
 def _estimate(d: DataFrame, factor: float) -> DataFrame:
     """Mean and Cholesky factor of the covariance of the rows of each group; sums only, so partial ones go through the shuffle."""
     pairs = [(i, j) for i in range(P) for j in range(i + 1)]
-    s = d.groupBy("gid").agg(F.count("*").alias("n"), *[F.avg(X[i]).alias(f"m{i}") for i in range(P)], *[F.covar_pop(X[i], X[j]).alias(f"c{i}{j}") for i, j in pairs])
-    s = s.withColumns({f"c{i}{j}": F.col(f"c{i}{j}") * factor + (FLOORS[i] ** 2 if i == j else 0.0) for i, j in pairs})
+    v, u = [F.col(c) for c in V], [F.col(c) * F.col(x) for c, x in zip(V, X, strict=True)]
+    sums = {f"uu{i}{j}": u[i] * u[j] for i, j in pairs} | {f"vv{i}{j}": v[i] * v[j] for i, j in pairs} | {f"vu{i}{j}": v[i] * u[j] for i in range(P) for j in range(P)}
+    s = d.groupBy("gid").agg(F.count("*").alias("n"), *[F.avg(c).alias(k) for k, c in sums.items()])
+    s = s.withColumns({f"m{i}": F.col(f"vu{i}{i}") / F.col(f"vv{i}{i}") for i in range(P)})
+    m = [F.col(f"m{i}") for i in range(P)]
+    # the mean of (u_i - m_i v_i) (u_j - m_j v_j)
+    s = s.withColumns({f"c{i}{j}": (F.col(f"uu{i}{j}") - m[i] * F.col(f"vu{i}{j}") - m[j] * F.col(f"vu{j}{i}") + m[i] * m[j] * F.col(f"vv{i}{j}")) * factor + (FLOORS[i] ** 2 if i == j else 0.0) for i, j in pairs})
     for j in range(P):
         s = s.withColumn(f"l{j}{j}", F.sqrt(F.col(f"c{j}{j}") - sum((F.col(f"l{j}{k}") ** 2 for k in range(j)), F.lit(0.0))))
         for i in range(j + 1, P):
@@ -118,15 +130,15 @@ def _distances(d: DataFrame, est: DataFrame) -> DataFrame:
     """Adds d2, the squared Mahalanobis distance."""
     out = d.join(est, "gid", "left")
     for i in range(P):
-        out = out.withColumn(f"y{i}", (F.col(X[i]) - F.col(f"m{i}") - sum((F.col(f"l{i}{k}") * F.col(f"y{k}") for k in range(i)), F.lit(0.0))) / F.col(f"l{i}{i}"))
+        out = out.withColumn(f"y{i}", ((F.col(X[i]) - F.col(f"m{i}")) * F.col(V[i]) - sum((F.col(f"l{i}{k}") * F.col(f"y{k}") for k in range(i)), F.lit(0.0))) / F.col(f"l{i}{i}"))
     return out.select(*d.columns, "fit_rows", sum((F.col(f"y{i}") ** 2 for i in range(P)), F.lit(0.0)).alias("d2"))
 
 
 def _start(fit: DataFrame) -> DataFrame:
     """Medians and squared, scaled median absolute deviations as a diagonal first estimate."""
-    long = fit.select("gid", F.posexplode(F.array(*X)).alias("dim", "x"))
+    long = fit.select("gid", F.posexplode(F.array(*[F.struct(F.col(x).alias("x"), F.col(v).alias("v")) for x, v in zip(X, V, strict=True)])).alias("dim", "s")).select("gid", "dim", "s.x", "s.v")
     med = _quantile(long, ["gid", "dim"], "x", 0.5, 0.002).withColumnRenamed("q", "med")
-    off = long.join(med, ["gid", "dim"]).withColumn("off", F.abs(F.col("x") - F.col("med")))
+    off = long.join(med, ["gid", "dim"]).withColumn("off", F.abs(F.col("x") - F.col("med")) * F.col("v"))
     both = med.join(_quantile(off, ["gid", "dim"], "off", 0.5, 0.002), ["gid", "dim"])
     pick = lambda c, i: F.max(F.when(F.col("dim") == i, F.col(c)))
     s = both.groupBy("gid").agg(F.lit(0).cast("long").alias("fit_rows"), *[pick("med", i).alias(f"m{i}") for i in range(P)], *[F.sqrt((1.4826 * pick("q", i)) ** 2 + FLOORS[i] ** 2).alias(f"l{i}{i}") for i in range(P)])
@@ -145,7 +157,7 @@ def quality(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """
     d = statistics(docs).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     d = materialize(_grouped(materialize(_vector(d), "counts")), "statistics")
-    fit = d.where("not base_failed").select("gid", *X)
+    fit = d.where("not base_failed").select("gid", *X, *N0)
     est = materialize(_start(fit), "estimate")
     for step in range(STEPS + 1):
         far = _distances(fit, est).withColumn("ld", F.log(F.col("d2") + 1e-6))

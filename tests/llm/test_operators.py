@@ -111,6 +111,18 @@ def test_quality_outliers(spark):
     assert d[len(d) // 2] < 8
 
 
+def test_quality_short_junk(spark):
+    rng = random.Random(8)
+    clean = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(rng.choice((25, 60, 150, 400))))
+    junk = {i: " ".join(rng.choice("#*$%&|<>") for _ in range(20 + i % 11)) for i in range(0, 300, 15)}
+    junk |= {i: " ".join(w + "%" * (j % 2) for j, w in enumerate(clean().split()[:40])) for i in range(5, 300, 30)}
+    rows = [(i, junk.get(i) or clean(), "en", "s") for i in range(300)]
+    got = {r.doc_id: r for r in quality_rules.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[i].base_failed for i in junk)
+    assert not any(got[i].kept for i in junk)
+    assert sum(got[i].kept for i in range(300) if i not in junk) >= 0.99 * (300 - len(junk))
+
+
 def test_mixing(docs, rows):
     got = source_mixing.mix(docs).collect()
     size = {s: 0 for s in ("s1", "s2", None, "")}
