@@ -123,6 +123,24 @@ def test_quality_short_junk(spark):
     assert sum(got[i].kept for i in range(300) if i not in junk) >= 0.99 * (300 - len(junk))
 
 
+def test_quality_copies(spark):
+    rng = random.Random(9)
+    clean = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(60, 200)))
+    junk = " ".join(w + "%%%" for w in clean().split())
+    near = " ".join(w + "&&" for w in clean().split())
+    rows = [(i, junk if i % 3 == 0 else clean(), "en", "copies") for i in range(600)]
+    # texts that differ, with one vector of statistics
+    rows += [(i, near + f" {i}&&" if i % 3 == 0 else clean(), "en", "ties") for i in range(600, 1200)]
+    got = {r.doc_id: r for r in quality_rules.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[i].base_failed for i in range(1200))
+    assert not any(got[i].kept for i in range(0, 1200, 3))
+    assert sum(got[i].kept for i in range(1200) if i % 3) >= 0.99 * 800
+
+    # a clean text may have as many copies
+    rows = [(i, rows[1][1] if i % 3 == 0 else t, lang, s) for i, t, lang, s in rows[:600]]
+    assert all(r.kept for r in quality_rules.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect() if r.doc_id % 3 == 0)
+
+
 def test_mixing(docs, rows):
     got = source_mixing.mix(docs).collect()
     size = {s: 0 for s in ("s1", "s2", None, "")}
