@@ -6,7 +6,7 @@ again. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -35,20 +35,30 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return known.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_LANG_SCORE)).select(docs.columns)
 
 
+def _row_key() -> Column:
+    """A key of a doc_id and a text, as ids may be null or name several texts."""
+    return F.xxhash64(F.col("doc_id"), F.col("text"), F.col("doc_id").isNull(), F.col("text").isNull())
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that with the least doc_id (five-word shingles, a likeness of 0.8). A doc_id names one document."""
-    found = jaccard_join(docs, k=5, percent=80)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("keep_id")).distinct()
-    docs_ = docs.join(keep, docs["doc_id"].eqNullSafe(keep["keep_id"])).drop("keep_id")
-    again = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return docs_.withColumn("_row", F.row_number().over(again)).where("_row = 1").select(docs.columns)
+    """One document of each group stays, that with the least doc_id, nulls last (five-word shingles, a likeness of 0.8).
+
+    Of rows with one doc_id and text, one stays. Different texts of one doc_id or of none are documents of their own.
+    """
+    keyed = docs.withColumn("_key", _row_key())
+    found = jaccard_join(keyed.select(F.col("_key").alias("doc_id"), "text"), k=5, percent=80).select(F.col("doc_id").alias("key"), F.col("component_id").alias("group"))
+    ids = keyed.select(F.col("_key").alias("key"), "doc_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
+    keep = found.distinct().join(ids, "key").groupBy("group").agg(first.alias("first")).select(F.col("first.key").alias("_key"))
+    again = Window.partitionBy("_key").orderBy(F.xxhash64(*docs.columns))
+    return keyed.join(keep, "_key").withColumn("_row", F.row_number().over(again)).where("_row = 1").select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stands as often as the mix takes it, at most three times."""
-    mixed = source_mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("mix_id"), "copies")
-    out = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["mix_id"]))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    """Every document stands as often as the mix takes it, at most three times. The stage before leaves one row of a doc_id and text."""
+    keyed = docs.withColumn("_key", _row_key())
+    mixed = source_mixing.mix(keyed.select(F.col("_key").alias("doc_id"), "text", "source")).where("copies > 0").select(F.col("doc_id").alias("_key"), "copies")
+    return keyed.join(mixed, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

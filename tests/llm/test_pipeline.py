@@ -24,3 +24,16 @@ def test_stages(spark):
     copies = collections.Counter(ids[4])
     assert max(copies.values()) <= 3 and sorted(ids[4]) == sorted(ids[5])
     assert seen[5].where("not round_trip").count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(40))
+    rows = [(None, text(i)) for i in range(6)] + [(7, text(i)) for i in range(6, 9)] + [(8, text(6)), (3, text(0)), (9, text(9)), (9, text(9)), (4, text(9) + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    left = materialize(corpus_pipeline.near_duplicate_stage(spark, docs, DATA), "stage")
+    got = sorted(((r.doc_id, r.text) for r in left.collect()), key=str)
+    want = [(None, text(i)) for i in range(1, 6)] + [(3, text(0)), (7, text(6)), (7, text(7)), (7, text(8)), (4, text(9) + " more")]
+    assert got == sorted(want, key=str)
+
+    mixed = collections.Counter(r.text for r in corpus_pipeline.mixing_stage(spark, left, DATA).collect())
+    assert set(mixed) <= {t for _, t in want} and max(mixed.values()) <= 3
