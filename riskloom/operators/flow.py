@@ -136,19 +136,22 @@ def dependencies(lines: DataFrame) -> DataFrame:
     return definitions(lines).select("path", "var", F.explode(F.regexp_extract_all("expr", F.lit(IDENT), F.lit(0))).alias("needs")).distinct()
 
 
-def closure(deps: DataFrame, rounds: int = 20) -> DataFrame:
-    """(path, var, needs) with all that is needed on the way; rounds of joins until nothing is new."""
-    deps = deps.persist()
-    out, n = deps, deps.count()
-    for _ in range(rounds):
-        step = out.join(deps.select("path", F.col("var").alias("needs"), F.col("needs").alias("next")), ["path", "needs"]).select("path", "var", F.col("next").alias("needs"))
-        more = out.union(step).distinct().persist()
-        size = more.count()
-        out = more
+def _cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a round: in spark.checkpoint.dir, or where unset on the executors."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def closure(deps: DataFrame) -> DataFrame:
+    """(path, var, needs) with all that is needed on the way. Each round joins the result with itself, which doubles the reach, until nothing is new."""
+    out = deps.distinct().transform(_cut)
+    n = out.count()
+    while True:
+        step = out.join(out.select("path", F.col("var").alias("needs"), F.col("needs").alias("next")), ["path", "needs"]).select("path", "var", F.col("next").alias("needs"))
+        out = out.union(step).distinct().transform(_cut)
+        size = out.count()
         if size == n:
-            break
+            return out
         n = size
-    return out
 
 
 # --- taint -----------------------------------------------------------------------------------------------------------
@@ -223,16 +226,15 @@ def control_lines(lines: DataFrame) -> DataFrame:
     return stripped(lines).select("path", "line_no", kind.alias("kind"), cond.alias("condition")).where("kind is not null")
 
 
-def reachable(edges: DataFrame, start: int = 0, rounds: int = 1000) -> DataFrame:
-    """(path, node): what can be reached from each path's node ``start``; breadth first, each node joined once."""
+def reachable(edges: DataFrame, start: int = 0) -> DataFrame:
+    """(path, node): what can be reached from each path's node ``start``; breadth first, each node joined once, until nothing is new."""
     seen = edges.select("path").distinct().withColumn("node", F.lit(start)).persist()
     front = seen
-    for _ in range(rounds):
-        front = front.withColumnRenamed("node", "src").join(edges, ["path", "src"]).select("path", F.col("dst").alias("node")).distinct().join(seen, ["path", "node"], "left_anti").persist()
+    while True:
+        front = front.withColumnRenamed("node", "src").join(edges, ["path", "src"]).select("path", F.col("dst").alias("node")).distinct().join(seen, ["path", "node"], "left_anti").transform(_cut)
         if front.isEmpty():
-            break
-        seen = seen.unionByName(front).persist()
-    return seen
+            return seen
+        seen = seen.unionByName(front).transform(_cut)
 
 
 def unreachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -93,6 +93,18 @@ def test_entry_without_llm(monkeypatch):
     monkeypatch.delitem(sys.modules, "__spark_entry__", raising=False)
 
 
+def test_long_dependency_chain(spark):
+    d = spark.createDataFrame([("a", f"x{i + 1}", f"x{i}") for i in range(70)] + [("b", "x1", "x2"), ("b", "x2", "x1")], "path string, var string, needs string")
+    got = {tuple(r) for r in flow.closure(d).collect()}
+    want = {("a", f"x{i}", f"x{j}") for i in range(71) for j in range(i)}
+    assert got == want | {("b", f"x{i}", f"x{j}") for i in (1, 2) for j in (1, 2)}
+
+
+def test_reachable_chain(spark):
+    edges = spark.createDataFrame([("a", i, i + 1) for i in range(12)] + [("a", 12, 3), ("a", 20, 21)], "path string, src int, dst int")
+    assert {r.node for r in flow.reachable(edges).collect()} == set(range(13))
+
+
 def test_each_tree_draws_from_all_rows(spark):
     from riskloom.operators import ml
 
