@@ -16,10 +16,6 @@ from riskloom.llm.ngram_jaccard import jaccard_join
 from riskloom.llm.quality_rules import quality
 from riskloom.llm.queries import tokenizer
 
-#: a language whose margin is under this is a guess (0.5: even with the next)
-LEAST_LANG_SCORE = 0.51
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go. Rows that repeat a doc_id are judged by their own text."""
     text = F.xxhash64(F.coalesce("text", F.lit("")))
@@ -29,10 +25,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: no letters, or none that stands out among those learned from the documents themselves."""
+    """Documents without a letter go, however sure the language of the others is, and also where the documents name no language to learn."""
     model = language_id.fit(docs.select("doc_id", "text", "lang"))
+    if not model.langs:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     known = language_id.predict(docs, model, docs.columns)
-    return known.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_LANG_SCORE)).select(docs.columns)
+    return known.where(F.col("lang_pred") != language_id.UNDETERMINED).select(docs.columns)
 
 
 def _row_key() -> Column:

@@ -1,6 +1,7 @@
 """The stages one after another, each against what it must keep."""
 
 import collections
+import random
 
 import corpus_pipeline
 from riskloom.llm.common import materialize
@@ -37,3 +38,14 @@ def test_null_and_repeated_ids(spark):
 
     mixed = collections.Counter(r.text for r in corpus_pipeline.mixing_stage(spark, left, DATA).collect())
     assert set(mixed) <= {t for _, t in want} and max(mixed.values()) <= 3
+
+
+def test_unsure_and_unlabelled_languages(spark):
+    rng = random.Random(3)
+    one = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(30))
+    rows = [(i, one("abcde" if i % 2 else "klmno"), "ab"[i % 2]) for i in range(60)]
+    rows += [(60, "abcde klmno " * 15, None), (61, one("vwxyz"), None), (62, "12 34", None), (63, None, None)]
+    for lang in (True, False):
+        docs = spark.createDataFrame([(i, t, x if lang else None, "s") for i, t, x in rows], "doc_id long, text string, lang string, source string")
+        got = sorted(r.doc_id for r in corpus_pipeline.language_stage(spark, docs, DATA).collect())
+        assert got == list(range(62))
