@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where unset (tests) one of our own."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='riskloom-')}"
         spark.sparkContext.setCheckpointDir(where)
         spark.conf.set("spark.riskloom.scratch", where)
@@ -56,6 +59,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hash_bound(wanted: int, n: int) -> int:
+    """A bound that more than ``wanted`` of n signed 64-bit hashes lie under, so that few rows are ranked for the least ones."""
+    share = 1.0 if n <= 2 * wanted + 1000 else (2 * wanted + 1000) / n
+    return int(share * 2**64) - 2**63 - 1
+
+
 def bucket_of(col: Column, n: int) -> Column:
     """crc32 of the value as text, modulo n; null for null."""
     return F.crc32(col.cast("string").cast("binary")) % n
@@ -88,6 +97,22 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple
         yield at, pa.Table.from_batches(held)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: int, rows: int = 1 << 16) -> Iterator[list]:
+    """The columns of a stream sorted by an integer key, as NumPy arrays of some ``rows`` rows, no key's rows parted."""
+    held, n = [], 0
+    for b in batches:
+        held.append([c.to_numpy() for c in b.columns])
+        n += b.num_rows
+        if n < rows or held[-1][key][-1] == held[0][key][0]:
+            continue
+        cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+        last = int(np.argmax(cols[key] == cols[key][-1]))
+        yield [c[:last] for c in cols]
+        held, n = [[c[last:] for c in cols]], n - last
+    if n:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
 def by_group(df: DataFrame, keys: list[str], n: int, fn: Callable, schema: str, order: list | None = None) -> DataFrame:
     """Shuffle by the keys, sort, and give each group as an Arrow table to ``fn(key, table) -> RecordBatch | None``."""
 

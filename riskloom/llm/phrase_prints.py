@@ -85,11 +85,7 @@ def parse(raw: np.ndarray, bounds: np.ndarray, levels: int) -> list[tuple[np.nda
                 lab = _rounds(lab, table, size, first)
             starts = _cuts(lab, bounds)
             ends = np.r_[starts[1:], len(lab)]
-            values = vt._BYTE[raw] if names is None else names
-            up, back = vt._powers(len(values))
-            sums = np.zeros(len(values) + 1, U64)
-            np.cumsum(values * up[: len(values)], out=sums[1:])
-            names = vt.mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(U64))
+            names = vt.span_hashes(raw, starts, ends) if names is None else vt.name_hashes(names, starts, ends)
             bounds = np.searchsorted(starts, bounds)
         else:
             names = np.zeros(0, U64)

@@ -6,22 +6,25 @@ ASCII, working on the UTF-8 bytes cuts at the same places as working on code poi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
-_RNG = np.random.Generator(np.random.PCG64(20240501))
-_BYTE = _RNG.integers(1, 2**64, size=256, dtype=U64) | U64(1)
-_STEP = U64(0x9E3779B97F4A7C15)  # odd, so that powers have inverses modulo 2**64
-_STEP_INV = U64(pow(int(_STEP), -1, 2**64))
+_STEP = U64(0x9E3779B97F4A7C15)  # odd, so that products with it lose nothing modulo 2**64
 _MIX = (U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53))
+#: bytes of a word that are hashed eight at a time for all words at once; longer words are hashed one by one
+SHORT = 64
+#: keeps the low 0 to 8 bytes of eight
+KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: bytes hashed at once; longer batches are cut between rows, a longer row has a slice of its own
 SLICE_BYTES = 1 << 18
-_POWERS: list[np.ndarray] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,20 +36,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(33))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) <= n:
-        m = max(n + 1, SLICE_BYTES + 1)
-        ones = np.full(m, _STEP, U64)
-        ones[0] = 1
-        back = np.full(m, _STEP_INV, U64)
-        back[0] = 1
-        made = [np.cumprod(ones), np.cumprod(back)]
-        if m > SLICE_BYTES + 1:
-            return made[0], made[1]  # for one very long row only: not kept
-        _POWERS[:] = made
-    return _POWERS[0], _POWERS[1]
-
-
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the n + 1 row bounds in them; nulls are empty."""
     a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -88,12 +77,49 @@ def words(raw: np.ndarray, bounds: np.ndarray, lower: bool = False):
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, bounds)
 
 
+def heads(raw: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes with padding, and as numbers the eight bytes from each place on."""
+    text = np.zeros(len(raw) + 8, np.uint8)
+    text[: len(raw)] = _LOWER[raw] if lower else raw
+    return text, np.ndarray(len(raw) + 1, "<u8", text, 0, (1,))
+
+
+def beginnings(eight: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of the first ``size`` (up to eight) bytes of each of some ``heads``; different bytes, different hashes."""
+    return mix((eight & KEEP[size]) ^ mix(np.array([size], U64)))
+
+
+def _folded(live: np.ndarray, size: np.ndarray, step: int, part: Callable) -> np.ndarray:
+    """Hashes of spans of which ``live`` are short: their parts go through the finaliser one after another."""
+    h = mix(size.astype(U64) * _STEP)
+    at = 0
+    while len(live):
+        h[live] = mix((h[live] ^ part(live, at)) * _STEP)
+        at += step
+        live = live[size[live] > at]
+    return h
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span; equal bytes have equal hashes wherever they stand."""
-    up, back = _powers(len(raw))
-    sums = np.zeros(len(raw) + 1, U64)
-    np.cumsum(_BYTE[_LOWER[raw] if lower else raw] * up[: len(raw)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(U64))
+    """A 64-bit hash of the bytes of each span; equal bytes have equal hashes wherever they stand.
+
+    Eight bytes at a time go through the finaliser, so no sum or product of bytes alone decides a hash.
+    """
+    text, eight = heads(raw, lower)
+    size = ends - starts
+    h = _folded(np.flatnonzero(size <= SHORT), size, 8, lambda live, at: eight[starts[live] + at] & KEEP[np.minimum(size[live] - at, 8)])
+    for i in np.flatnonzero(size > SHORT).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(text[starts[i] : ends[i]])
+    return h
+
+
+def name_hashes(names: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The same for spans of 64-bit numbers."""
+    size = ends - starts
+    h = _folded(np.flatnonzero(size <= SHORT), size, 1, lambda live, at: names[starts[live] + at])
+    for i in np.flatnonzero(size > SHORT).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(names[starts[i] : ends[i]].tobytes())
+    return h
 
 
 def shingles(hashes: np.ndarray, bounds: np.ndarray, k: int):
