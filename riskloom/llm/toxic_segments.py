@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskloom.llm import vectext as vt
-from riskloom.llm.common import bucket_of, materialize
+from riskloom.llm.common import bucket_of, hash_bound, materialize
 
 U64 = np.uint64
 #: bounds of the training sample: labelled texts of each class
@@ -39,11 +39,11 @@ THRESHOLD = 0.3
 #: width and number of the bins of positive scores that go to the driver
 BIN, BINS = 0.25, 64
 _LETTER = np.zeros(256, bool)
-_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 def _words(raw: np.ndarray, bounds: np.ndarray):
-    """Letter runs: starts, ends, row bounds."""
+    """Runs of letters and digits: starts, ends, row bounds."""
     n = len(raw)
     inside = _LETTER[raw]
     first, last = inside.copy(), inside.copy()
@@ -58,21 +58,19 @@ def _words(raw: np.ndarray, bounds: np.ndarray):
 
 def _tokens(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     """(which words, hash, hash of the token that it specialises, hash of its shortest beginning), from beginnings to whole words."""
-    up, back = vt._powers(len(raw))
-    sums = np.zeros(len(raw) + 1, U64)
-    np.cumsum(vt._BYTE[raw] * up[: len(raw)], out=sums[1:])
-    begin, scale, size = sums[starts], back[starts], ends - starts
+    _, eight = vt.heads(raw)
+    eight, size = eight[starts], ends - starts
     above = np.zeros(len(starts), U64)
-    root = np.zeros(len(starts), U64)
+    root = vt.mix(vt.span_hashes(raw, starts, ends) + U64(1))  # a word without a beginning is its own
+    whole = root.copy()
     for k in PREFIXES:
         at = np.flatnonzero(size >= k)
-        h = vt.mix((sums[starts[at] + k] - begin[at]) * scale[at] + U64(k << 8))
+        h = vt.beginnings(eight[at], k)
         if k == PREFIXES[0]:
             root[at] = h
         yield at, h, above[at], root[at]
         above[at] = h
-    at = np.flatnonzero(size >= PREFIXES[0])
-    yield at, vt.mix((sums[ends[at]] - begin[at]) * scale[at] + U64(1)), above[at], root[at]
+    yield np.arange(len(starts)), whole, above, root
 
 
 def _texts(column):
@@ -186,11 +184,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """
     spark = docs.sparkSession
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.withColumn("fold", bucket_of(F.col("doc_id"), 4).cast("int")).where(F.col("fold") != HELD)
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id")
-    known = known.withColumn("place", F.row_number().over(order)).where(F.col("place") <= TRAIN_PER_CLASS).drop("place")
-    # at most 2 * TRAIN_PER_CLASS rows
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").select("text", "toxic", "fold")
+    known = known.withColumn("fold", bucket_of(F.col("doc_id"), 4).cast("int")).where(F.col("fold") != HELD).withColumn("h", F.xxhash64("doc_id", F.lit(2)))
+    many = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
+    total = many.get(1, 0) / max(1, sum(many.values()))
+    few = F.lit(False)
+    for label, n in many.items():
+        few = few | ((F.col("toxic") == label) & (F.col("h") <= hash_bound(TRAIN_PER_CLASS, n)))
+    order = Window.partitionBy("toxic").orderBy("h", "doc_id")
+    known = known.where(few).withColumn("place", F.row_number().over(order)).where(F.col("place") <= TRAIN_PER_CLASS).drop("place", "h")
+    # at most 2 * TRAIN_PER_CLASS rows; of texts that share a doc_id, the one with the least hash
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
+    sample = materialize(sample.groupBy("doc_id", "toxic", "fold").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "toxic", "fold"), "sample")
 
     def count(batches):
         for b in batches:
@@ -270,10 +274,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     beyond = [s for r in clean for s in r.scores if s >= 1.0]
     k = (len(beyond) + 1) * math.exp(rate * 1.0) / words
     m = Model(odds(None), rate, min(1.0, max(k, 1e-9)), 1.0, 0.0)
-    total = labels.where("toxic in (0, 1)").agg(F.avg("toxic")).first()[0]
     x = np.array([math.log1p(m.excess(r.scores, max(1, r.words))) for r in seen])
     y = np.array([float(r.toxic) for r in seen])
-    # classes have weights that restore their share among the labels
+    # classes have weights that restore their share among all labels of these folds
     w = np.where(y == 1, total / max(y.mean(), 1e-9), (1 - total) / max(1 - y.mean(), 1e-9))
     m.a, m.b = _logistic(x, y, w)
     return m
