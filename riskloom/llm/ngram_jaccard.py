@@ -6,13 +6,21 @@ lacks. So among the first m + k of each, under *any* total order of all tokens,
 are common. A pair must pass the filter of each order; the filters are intersected
 before the sets are compared exactly.
 
-Every order puts tokens of frequent classes last (a sketch counts all tokens of
-the corpus) and differs in how it orders tokens of one class. The first order
-deals documents into buckets, one per shared prefix token; the second is tested
-inside a bucket. Buckets that hold the same documents are one bucket. What passes
-both orders forms components of candidates, in which whole sets are compared. A
-large bucket or component is cut into blocks, and each pair of blocks is a task of
-its own.
+The first order is by hash. A document's first 2 m + 1 tokens under it are dealt by
+token, which tells how many documents have each one there; those of one document only
+go no further, and a document that keeps too few is linked with nothing. The second
+order is by these frequencies, rarest first, and works on what the first left: from
+its rarest tokens, documents are dealt into buckets, one per shared token. Inside a
+bucket a pair must have as many common tokens under the first order as linked ones do.
+What passes both orders forms components of candidates, in which whole sets are compared.
+
+Buckets are met in two rounds. The first takes each document by its two rarest tokens;
+what it links needs no second comparison, so the second round drops every bucket whose
+documents are of one component already, and pairs inside one. Buckets that hold the same
+documents are one bucket. A large bucket or component is cut into blocks, and each pair
+of blocks is a task of its own. Tokens that a large share of all documents has would meet
+in one task to be counted; a sketch of all tokens finds them first, and they stand last in
+the second order by the sketch's classes instead.
 
 Tokens and sets are 64-bit hashes; at 10**9 different ones, a pair that collides is expected in about one run of forty.
 """
@@ -28,19 +36,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm import vectext as vt
-from riskloom.llm.common import by_group, materialize, partitions, plain
+from riskloom.llm.common import by_group, materialize, partitions, plain, whole_groups
 from riskloom.llm.components import connected
 
 U64 = np.uint64
 #: cells of the sketch, a fixed 4 MiB as class numbers
 SKETCH_BITS = 22
-BLOCKS = 64
+#: tokens of a document, rarest first, whose buckets the first round takes
+FIRST_ROUND = 2
 #: tokens (8 bytes each) that one side of a block pair holds
 BLOCK_TOKENS = 2_000_000
 #: bits of the filter of candidates, and sets that a task remembers to drop further copies of
 BLOOM_BITS, COPIES_KNOWN = 24, 200_000
 #: longest list of one token that is compared with others' lists
 LIST_MOST = 1_000_000
+#: in the info column of token rows, n * 64 + kind: kinds are the sketch's class, or
+DOC, DOC_NULL = 62, 63
 
 
 def _cells(tokens: np.ndarray) -> np.ndarray:
@@ -57,12 +68,12 @@ def _short(tokens: np.ndarray) -> bytes:
 
 
 def _partners(second: list[np.ndarray], size: np.ndarray, percent: int):
-    """(i, later ones) by rising size: sets of fitting size that share as many second-order tokens as linked ones must."""
+    """(i, later ones) by rising size: sets of fitting size that share as many first-order tokens as linked ones must."""
     m = len(second)
     order = np.argsort(size, kind="stable")
     place = np.empty(m, np.int64)
     place[order] = np.arange(m)
-    least = _misses(size, percent) + 1
+    least = _least(size, percent)
     doc = np.repeat(np.arange(m), [len(x) for x in second])
     flat = np.concatenate(second)
     by = np.argsort(flat, kind="stable")
@@ -84,19 +95,44 @@ def _bloom_bits(ids: np.ndarray) -> np.ndarray:
     return (vt.mix(ids.astype(np.int64).view(U64)) >> U64(64 - BLOOM_BITS)).astype(np.int64)
 
 
+def _added(df: DataFrame, size: int, dtype, blocks: int) -> np.ndarray:
+    """The sum of arrays of a fixed size that tasks give as (block int, bin binary) pieces; blocks are added apart."""
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for block, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(zlib.decompress(z), dtype).astype(np.int64)
+                total[block] = total[block] + x if block in total else x
+        for block, x in total.items():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "bin": [zlib.compress(x.tobytes(), 1)]})
+
+    out, width = np.zeros(size, np.int64), size // blocks
+    for r in df.repartition(blocks, "block").mapInArrow(add, "block int, bin binary").collect():  # a row for each block
+        out[r.block * width : (r.block + 1) * width] = np.frombuffer(zlib.decompress(r.bin), np.int64)
+    return out
+
+
+def _pieces(x: np.ndarray, blocks: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"block": pa.array(range(blocks), pa.int32()), "bin": [zlib.compress(p.tobytes(), 1) for p in np.split(x, blocks)]})
+
+
+def _blocks(spark) -> int:
+    return 1 << min(10, max(3, partitions(spark).bit_length()))
+
+
 def _bloom(ids: DataFrame) -> np.ndarray:
     """A filter of fixed size for the documents whose sets are needed; a null id is as 0."""
+    blocks = _blocks(ids.sparkSession)
 
     def mark(batches):
-        bits = np.zeros(1 << BLOOM_BITS, bool)
+        bits = np.zeros(1 << BLOOM_BITS, np.uint8)
         for b in batches:
-            bits[_bloom_bits(b.column(0).fill_null(0).to_numpy())] = True
-        yield pa.RecordBatch.from_pydict({"bits": [zlib.compress(np.packbits(bits).tobytes(), 1)]})
+            bits[_bloom_bits(b.column(0).fill_null(0).to_numpy())] = 1
+        if bits.any():
+            yield _pieces(bits, blocks)
 
-    out = np.zeros(1 << BLOOM_BITS, bool)
-    for r in ids.coalesce(8).mapInArrow(mark, "bits binary").collect():  # eight pieces of a fixed size
-        out |= np.unpackbits(np.frombuffer(zlib.decompress(r.bits), np.uint8)).astype(bool)
-    return out
+    return _added(ids.mapInArrow(mark, "block int, bin binary"), 1 << BLOOM_BITS, np.uint8, blocks) > 0
 
 
 def _sets(text, k: int):
@@ -122,101 +158,143 @@ def _misses(n, percent: int):
     return n + (-percent * n) // 100
 
 
-def _prefix(tokens: np.ndarray, classes: np.ndarray, percent: int, order: int) -> np.ndarray:
-    """The first tokens under a global order: one more than may be missing, and as many again under the second.
+def _least(n, percent: int):
+    """How many tokens the first-order prefixes of a set of n and of a larger one that it links with have in common, at least."""
+    m = _misses(n, percent)
+    return np.minimum(m + 1, n - m)
+
 
-    Among the first misses + k tokens of each of two linked sets, at least k are common: of a set's tokens before its
-    k-th common one, only misses are not. So 1 is common under the first order, and misses + 1 under the second.
+def _first_order(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """The first 2 m + 1 tokens by hash, or all.
+
+    Of a set's tokens before its k-th common one, only m are not common. So k of both sets' tokens are common among
+    the first m + k of each; here k is m + 1, of the smaller set if they differ.
     """
     n = len(tokens)
-    p = _misses(n, percent) * (1 + order) + 1
+    p = 2 * _misses(n, percent) + 1
     if p >= n:
         return tokens
-    key = (vt.mix(tokens ^ U64(0xA24BAED4963EE407 * (order + 1) % 2**64)) >> U64(6)) | (classes[_cells(tokens)].astype(U64) << U64(58))
-    return tokens[np.argpartition(key, p - 1)[:p]]
+    return tokens[np.argpartition(vt.mix(tokens ^ U64(0xA24BAED4963EE407)), p - 1)[:p]]
 
 
 def _sketch(texts: DataFrame, k: int) -> np.ndarray:
     """log2 classes of how many documents have a token of each cell; class 0 is up to four times the mean."""
-    width = (1 << SKETCH_BITS) // BLOCKS
+    blocks = _blocks(texts.sparkSession)
 
     def count(batches):
         total = np.zeros(1 << SKETCH_BITS, np.int32)
         for b in batches:
             for _, tokens in _sets(b.column(0), k):
                 total[_cells(tokens)] += 1  # the few tokens of a document that share a cell count once
-        yield pa.RecordBatch.from_pydict({"block": pa.array(range(BLOCKS), pa.int32()), "bin": [zlib.compress(total[i * width : (i + 1) * width].tobytes(), 1) for i in range(BLOCKS)]})
-
-    def add(batches):
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for block, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(zlib.decompress(z), np.int32).astype(np.int64)
-                total[block] = total[block] + x if block in total else x
-        for block, x in total.items():
-            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "bin": [zlib.compress(x.tobytes(), 1)]})
+        yield _pieces(total, blocks)
 
-    total = np.zeros(1 << SKETCH_BITS, np.int64)
-    # the result is 64 compressed blocks of a fixed width, whatever the corpus
-    for r in texts.mapInArrow(count, "block int, bin binary").repartition(BLOCKS, "block").mapInArrow(add, "block int, bin binary").collect():
-        total[r.block * width : (r.block + 1) * width] = np.frombuffer(zlib.decompress(r.bin), np.int64)
+    total = _added(texts.mapInArrow(count, "block int, bin binary"), 1 << SKETCH_BITS, np.int32, blocks)
     least = 4 * max(1.0, total.mean())
-    return np.where(total < least, 0, np.minimum(62, 1 + np.log2(np.maximum(total, 1) / least))).astype(np.uint8)
+    return np.where(total < least, 0, np.minimum(DOC - 1, 1 + np.log2(np.maximum(total, 1) / least))).astype(np.uint8)
+
+
+def _frequencies(batches):
+    """Of token rows that come by token: those in more than one set, with their place in the second order.
+
+    Rows of documents, and tokens that the sketch has a class for, pass as they are.
+    """
+    for at, cid, info, extra in whole_groups(batches, 0):
+        kind = info & 63
+        plain_ = kind == 0
+        twice = np.r_[False, (at[1:] == at[:-1]) & (cid[1:] == cid[:-1]) & plain_[1:] & plain_[:-1]]
+        at, cid, info, extra, kind, plain_ = (x[~twice] for x in (at, cid, info, extra, kind, plain_))
+        run = np.cumsum(np.r_[False, at[1:] != at[:-1]])
+        df = np.bincount(run, plain_).astype(np.int64)[run]
+        keep = ~plain_ | (df > 1)
+        out = pa.RecordBatch.from_pydict({"cid": cid, "n": info >> 6, "kind": kind, "value": np.where(plain_, at, extra), "place": np.where(plain_, df, (1 << 50) + kind)})
+        yield out.filter(pa.array(keep))
+
+
+def _second_order(percent: int):
+    """(cid, n, value, place) rows by cid, place and value to (cid, n, tokens, second) of sets that may link.
+
+    tokens are the first under the second order, of those that the first left: as many as the set may lack of
+    another's, and one more. second has 16 bits of each that the first left.
+    """
+
+    def run(batches):
+        for cid, n, token, place in whole_groups(batches, 0):
+            new = np.r_[True, (cid[1:] != cid[:-1]) | (token[1:] != token[:-1])]  # copies of a set that the sketch has classes for
+            cid, n, token = cid[new], n[new], token[new]
+            cut = np.flatnonzero(np.r_[True, cid[1:] != cid[:-1]])
+            have = np.diff(np.r_[cut, len(cid)])
+            size = n[cut]
+            take = have - _least(-(-percent * size // 100), percent) + 1
+            short = _short(token.view(U64))
+            rows = np.flatnonzero(take > 0).tolist()
+            at = [(int(cut[r]), int(have[r]), int(take[r])) for r in rows]
+            yield pa.RecordBatch.from_pydict({
+                "cid": cid[cut][rows], "n": size[rows],
+                "tokens": pa.array([token[a : a + t] for a, _, t in at], pa.list_(pa.int64())),
+                "second": pa.array([short[2 * a : 2 * (a + h)] for a, h, _ in at], pa.binary()),
+            })
+
+    return run
 
 
 def _buckets(rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """(token, n, cid) prefix rows to (g, cid): a bucket g for each different list of two documents or more.
+    """(token, n, cid, root) prefix rows to (g, cid, root): a bucket g for each different list of sets of two roots or more.
 
     Sets whose sizes differ too much can't link: by size, a token's list falls apart where a size exceeds the one
     before by more than the threshold allows.
     """
 
     def run(batches):
-        tok, size, cid = (np.zeros(0, np.int64) for _ in range(3))
-
-        def out(t, n, c):
-            twice = np.r_[False, (t[1:] == t[:-1]) & (c[1:] == c[:-1])]
-            t, n, c = t[~twice], n[~twice], c[~twice]
-            new = np.r_[True, (t[1:] != t[:-1]) | (100 * n[:-1] < percent * n[1:])]
-            cut = np.flatnonzero(new)
-            many = np.diff(np.r_[cut, len(t)])
-            own = vt.mix(c.view(U64))
+        for tok, size, cid, root in whole_groups(batches, 0):
+            twice = np.r_[False, (tok[1:] == tok[:-1]) & (cid[1:] == cid[:-1])]
+            tok, size, cid, root = (x[~twice] for x in (tok, size, cid, root))
+            cut = np.flatnonzero(np.r_[True, (tok[1:] != tok[:-1]) | (100 * size[:-1] < percent * size[1:])])
+            many = np.diff(np.r_[cut, len(tok)])
             # the hash of a list is a sum, so the order of its members doesn't matter
-            g = np.where(many > LIST_MOST, vt.mix(t[cut].view(U64) + n[cut].astype(U64)), vt.mix(np.add.reduceat(own, cut) + many.astype(U64))).view(np.int64)
-            keep = np.repeat(many > 1, many)
-            return pa.RecordBatch.from_pydict({"g": np.repeat(g, many)[keep], "cid": c[keep]})
+            g = np.where(many > LIST_MOST, vt.mix(tok[cut].view(U64) + size[cut].astype(U64)), vt.mix(np.add.reduceat(vt.mix(cid.view(U64)), cut) + many.astype(U64))).view(np.int64)
+            mixed = np.maximum.reduceat(root, cut) > np.minimum.reduceat(root, cut)
+            keep = np.repeat(mixed, many)
+            yield pa.RecordBatch.from_pydict({"g": np.repeat(g, many)[keep], "cid": cid[keep], "root": root[keep]})
 
-        for b in batches:
-            tok, size, cid = (np.r_[x, b.column(i).to_numpy()] for i, x in enumerate((tok, size, cid)))
-            last = int(np.searchsorted(tok, tok[-1])) if len(tok) else 0
-            if last:
-                yield out(tok[:last], size[:last], cid[:last])
-                tok, size, cid = tok[last:], size[last:], cid[last:]
-        if len(tok):
-            yield out(tok, size, cid)
+    return rows.repartition(n, "token").sortWithinPartitions("token", "n", "cid").mapInArrow(run, "g long, cid long, root long").distinct()
+
+
+class _Union:
+    """Union-find over places; ``labels`` may hold equal labels to begin with."""
+
+    def __init__(self, labels: np.ndarray):
+        _, first, inv = np.unique(labels, return_index=True, return_inverse=True)
+        self.up = first[inv].tolist()
+
+    def find(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
 
-    return rows.repartition(n, "token").sortWithinPartitions("token", "n", "cid").mapInArrow(run, "g long, cid long").distinct()
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.find(i), self.find(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
 
 
 def _compare(percent: int, every: bool):
-    """Links inside a block or between two; without ``every``, none between documents that links found here connect."""
+    """Links inside a block or between two; without ``every``, none between sets of one root or that links found here connect."""
 
     def run(key, rows: pa.Table):
         _, bi, bj = key
-        cid, m = rows["cid"].to_numpy(), rows.num_rows
-        side = rows["side"].to_numpy()
+        cid, side, root = (rows[c].to_numpy() for c in ("cid", "side", "root"))
         sets = [np.frombuffer(x, U64) for x in rows["tokens"].to_pylist()]
-        second = rows["second"].to_pylist()
         size = np.array([len(s) for s in sets])
-        label = np.arange(m)
+        known = _Union(root)
         at = np.r_[0, np.cumsum(size)]
         flat = np.concatenate(sets)
         a, b = [], []
-        for i, c in _partners([np.frombuffer(x, np.uint16) for x in second], size, percent):
+        for i, c in _partners([np.frombuffer(x, np.uint16) for x in rows["second"].to_pylist()], size, percent):
             if bi != bj:
                 c = c[side[c] != side[i]]
             if not every:
-                c = c[label[c] != label[i]]
+                mine = known.find(i)
+                c = c[[known.find(j) != mine for j in c.tolist()]] if len(c) else c
             if not len(c):
                 continue
             where = np.repeat(at[c] - np.r_[0, np.cumsum(size[c])[:-1]], size[c]) + np.arange(size[c].sum())
@@ -224,12 +302,9 @@ def _compare(percent: int, every: bool):
             p = np.minimum(np.searchsorted(sets[i], have), size[i] - 1)
             both = np.add.reduceat((sets[i][p] == have).astype(np.int64), np.r_[0, np.cumsum(size[c])[:-1]])
             for j in c[100 * both >= percent * (size[c] + size[i] - both)].tolist():
-                if not every:
-                    if label[i] == label[j]:
-                        continue
-                    label[label == label[j]] = label[i]
-                a.append(cid[i])
-                b.append(cid[j])
+                if known.join(i, j) or every:
+                    a.append(cid[i])
+                    b.append(cid[j])
         return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -246,17 +321,17 @@ def _spread(rows: DataFrame, weight, carry: list[str], weights: DataFrame | None
     return rows.select("*", F.explode(pairs).alias("pair")).select("g", "pair.bi", "pair.bj", "side", "cid", *carry)
 
 
-def _second_filter(percent: int):
-    """Links candidates: pairs that pass the second order's filter too, only as many as connect what they connect."""
+def _both_orders(percent: int):
+    """Candidates: pairs of different roots that pass the first order's filter too, only as many as connect what they connect."""
 
     def run(key, rows: pa.Table):
-        cid, side = rows["cid"].to_numpy(), rows["side"].to_numpy()
-        label = np.arange(len(cid))
+        cid, side, root = (rows[c].to_numpy() for c in ("cid", "side", "root"))
+        known = _Union(np.arange(len(cid)))
         a, b = [], []
         for i, c in _partners([np.frombuffer(x, np.uint16) for x in rows["second"].to_pylist()], rows["n"].to_numpy(), percent):
+            c = c[root[c] != root[i]]
             for j in (c[side[c] != side[i]] if key[1] != key[2] else c).tolist():
-                if label[i] != label[j]:
-                    label[label == label[j]] = label[i]
+                if known.join(i, j):
                     a.append(cid[i])
                     b.append(cid[j])
         return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -282,50 +357,72 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, count_links: bo
     n_out = partitions(spark)
     classes_of = spark.sparkContext.broadcast(_sketch(plain(docs, "text"), k))
 
-    def both_orders(batches):
+    def first_order(batches):
         seen: set[int] = set()
+        rows = 0
         for b in batches:
-            n, cid, prefix, second = [], [], [], []
-            for _, tokens in _sets(b.column(1), k):
-                n.append(len(tokens))
-                cid.append(_cid(tokens) if len(tokens) else None)
-                if len(tokens) and cid[-1] not in seen:  # the first copy stands for all of its task
+            ids, at, cids, info, extra = b.column(0).to_pylist(), [], [], [], []
+            for r, tokens in _sets(b.column(1), k):
+                n = len(tokens)
+                cid = _cid(tokens) if n else 0
+                rows += 1
+                at.append(vt.mix(np.array([rows ^ cid & (1 << 63) - 1], U64)).view(np.int64))  # anywhere, so copies don't meet
+                cids.append(np.array([cid]))
+                info.append(np.array([n * 64 + (DOC_NULL if ids[r] is None else DOC)]))
+                extra.append(np.array([ids[r] or 0]))
+                if n and cid not in seen:  # the first copy stands for all of its task
                     if len(seen) < COPIES_KNOWN:
-                        seen.add(cid[-1])
-                    prefix.append(_prefix(tokens, classes_of.value, percent, 0).view(np.int64))
-                    second.append(_short(_prefix(tokens, classes_of.value, percent, 1)))
-                else:
-                    prefix.append(None)
-                    second.append(None)
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n": pa.array(n, pa.int64()), "cid": pa.array(cid, pa.int64()), "prefix": pa.array(prefix, pa.list_(pa.int64())), "second": pa.array(second, pa.binary())})
-
-    base = materialize(docs.mapInArrow(both_orders, "doc_id long, n long, cid long, prefix array<long>, second binary"), "sets")
-    classes = base.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"), F.first("n").alias("n"))
-    tokens = base.where("prefix is not null").select(F.explode("prefix").alias("token"), "n", "cid")
-    rows = materialize(_buckets(tokens, n_out, percent), "buckets").join(base.where("second is not null").select("cid", "n", "second"), "cid")
-    rows = by_group(_spread(rows, F.octet_length("second") * 2, ["n", "second"]), ["g", "bi", "bj"], n_out, _distinct(_second_filter(percent)), "a long, b long")
-    # linked sets are candidates of each other, so they are in one component of candidates: each set travels once
-    groups = connected(rows).select(F.col("node").alias("cid"), F.col("root").alias("g"))
-    cand = materialize(groups.join(classes, "cid"), "candidates")
-
-    filter_ = spark.sparkContext.broadcast(_bloom(cand.select("rep")))
-
-    def whole_sets(batches):
-        for b in batches:
-            ids = b.column(0).fill_null(0).to_numpy() if b.column(0).null_count else b.column(0).to_numpy()
-            b = b.take(pa.array(np.flatnonzero(filter_.value[_bloom_bits(ids)])))
-            cid, sets, second = [], [], []
-            for _, tokens in _sets(b.column(1), k):
-                if len(tokens):
-                    cid.append(_cid(tokens))
-                    sets.append(tokens.tobytes())
-                    second.append(_short(_prefix(tokens, classes_of.value, percent, 1)))
-            yield pa.RecordBatch.from_pydict({"cid": pa.array(cid, pa.int64()), "tokens": pa.array(sets, pa.binary()), "second": pa.array(second, pa.binary())})
-
-    sets = docs.mapInArrow(whole_sets, "cid long, tokens binary, second binary").join(cand.select("cid", "g"), "cid")
-    spread = _spread(sets, None, ["tokens", "second"], cand.select("g", F.col("n").alias("weight")))
-    # copies of a set that pass the filter bring it more than once
-    links = materialize(by_group(spread, ["g", "bi", "bj"], n_out, _distinct(_compare(percent, count_links)), "a long, b long"), "links")
+                        seen.add(cid)
+                    t = _first_order(tokens, percent)
+                    kind = classes_of.value[_cells(t)].astype(np.int64)
+                    at.append(np.where(kind > 0, vt.mix(t ^ U64(cid % 2**64)), t).view(np.int64))
+                    cids.append(np.full(len(t), cid))
+                    info.append(n * 64 + kind)
+                    extra.append(np.where(kind > 0, t, U64(0)).view(np.int64))
+            if at:
+                yield pa.RecordBatch.from_pydict({name: np.concatenate(x).astype(np.int64) for name, x in zip(("at", "cid", "info", "extra"), (at, cids, info, extra), strict=True)})
+
+    rows = docs.mapInArrow(first_order, "at long, cid long, info long, extra long").repartition(n_out, "at").sortWithinPartitions("at", "cid")
+    rows = materialize(rows.mapInArrow(_frequencies, "cid long, n long, kind long, value long, place long"), "frequencies")
+    base = rows.where(F.col("kind") >= DOC).select(F.when(F.col("kind") == DOC, F.col("value")).alias("doc_id"), "n", F.when(F.col("n") > 0, F.col("cid")).alias("cid"))
+    left = rows.where(F.col("kind") < DOC).select("cid", "n", "value", "place").repartition(n_out, "cid").sortWithinPartitions("cid", "place", "value")
+    left = materialize(left.mapInArrow(_second_order(percent), "cid long, n long, tokens array<long>, second binary"), "prefixes")
+    classes = materialize(base.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")), "classes")
+
+    def round_(prefixes: DataFrame, every: bool) -> DataFrame:
+        """(cid, n, root, tokens) to links (a, b) of sets of different roots."""
+        found = materialize(_buckets(prefixes.select(F.explode("tokens").alias("token"), "n", "cid", "root"), n_out, percent), "buckets")
+        found = _spread(found.join(left.select("cid", "n", "second"), "cid"), F.octet_length("second") * 2, ["n", "root", "second"])
+        pairs = by_group(found, ["g", "bi", "bj"], n_out, _distinct(_both_orders(percent)), "a long, b long")
+        # linked sets are candidates of each other, so they are in one component of candidates: each set travels once
+        groups = connected(pairs).select(F.col("node").alias("cid"), F.col("root").alias("g"))
+        cand = materialize(groups.join(classes.select("cid", "rep"), "cid").join(prefixes.select("cid", "n", "root"), "cid"), "candidates")
+        wanted = spark.sparkContext.broadcast(_bloom(cand.select("rep")))
+
+        def whole_sets(batches):
+            for b in batches:
+                ids = b.column(0).fill_null(0).to_numpy()
+                b = b.take(pa.array(np.flatnonzero(wanted.value[_bloom_bits(ids)])))
+                cid, sets, second = [], [], []
+                for _, t in _sets(b.column(1), k):
+                    if len(t):
+                        cid.append(_cid(t))
+                        sets.append(t.tobytes())
+                        second.append(_short(_first_order(t, percent)))
+                yield pa.RecordBatch.from_pydict({"cid": pa.array(cid, pa.int64()), "tokens": pa.array(sets, pa.binary()), "second": pa.array(second, pa.binary())})
+
+        sets = docs.mapInArrow(whole_sets, "cid long, tokens binary, second binary").join(cand.select("cid", "g", "root"), "cid")
+        spread = _spread(sets, None, ["root", "tokens", "second"], cand.select("g", F.col("n").alias("weight")))
+        # copies of a set that pass the filter bring it more than once
+        return materialize(by_group(spread, ["g", "bi", "bj"], n_out, _distinct(_compare(percent, every)), "a long, b long"), "links")
+
+    if count_links:
+        links = round_(left.select("cid", "n", F.col("cid").alias("root"), "tokens"), True)
+    else:
+        first = round_(left.select("cid", "n", F.col("cid").alias("root"), F.slice("tokens", 1, FIRST_ROUND).alias("tokens")), False)
+        roots = connected(first)
+        rest = left.join(roots, left["cid"] == roots["node"], "left").select("cid", "n", F.coalesce("root", "cid").alias("root"), "tokens")
+        links = first.union(round_(rest, False))
 
     roots = connected(links)
     named = classes.join(roots, classes["cid"] == roots["node"], "left").select("cid", "rep", "m", F.coalesce("root", "cid").alias("root"))
