@@ -44,12 +44,12 @@ X = [f"x{i}" for i in range(P)]
 V = ["vw", "vc", "vr", "vc", "vw"]
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, a hash of the text and the counts of every row of ``docs`` (see ``quality``)."""
+def statistics(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """row (the columns ``carry``), lang, source, a hash of the text and the counts of every row of ``docs`` (see ``quality``)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), text.alias("text"))
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), text.alias("text"))
     d = d.select(
-        "doc_id",
+        "row",
         "lang",
         "source",
         F.xxhash64("text").alias("text_hash"),
@@ -59,7 +59,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.regexp_count("text", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
     )
     d = d.select(
-        "doc_id", "lang", "source", "text_hash", "n_symbols", "n_upper",
+        "row", "lang", "source", "text_hash", "n_symbols", "n_upper",
         F.size("words").cast("long").alias("n_words"),
         F.size("lines").cast("long").alias("n_lines"),
         F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
@@ -79,7 +79,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         lambda a, i: F.struct((i + 8).alias("end"), (a["n"] + i + 8 - F.greatest(a["end"], i)).cast("long").alias("n")),
         lambda a: a["n"],
     )
-    return d.select("doc_id", "lang", "source", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"), "n_lines", "n_upper", "n_adjacent")
+    return d.select("row", "lang", "source", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"), "n_lines", "n_upper", "n_adjacent")
 
 
 def _vector(d: DataFrame) -> DataFrame:
@@ -95,13 +95,16 @@ def _vector(d: DataFrame) -> DataFrame:
     })
 
 
-def _grouped(d: DataFrame) -> DataFrame:
-    """Adds gid: language and source where they have texts enough, else the pool of the language, else that of all."""
+def _grouped(d: DataFrame, least_rows: int) -> DataFrame:
+    """Adds gid: language and source where they have texts enough, else the pool of the language, else that of all.
+
+    The tables of groups are written first, so their size is known: they are broadcast under Spark's bound, else shuffled.
+    """
     texts = d.where("not base_failed").select("lang", "source", "text_hash").distinct()
     n = texts.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    own = n.where(F.col("n") >= LEAST_ROWS).select(F.col("lang").alias("l"), F.col("source").alias("s"), F.lit(True).alias("own"))
+    own = materialize(n.where(F.col("n") >= least_rows).select(F.col("lang").alias("l"), F.col("source").alias("s"), F.lit(True).alias("own")), "groups")
     rest = texts.join(own, texts["lang"].eqNullSafe(own["l"]) & texts["source"].eqNullSafe(own["s"]), "left_anti").select("lang", "text_hash").distinct()
-    few = rest.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS).select(F.col("lang").alias("l2"), F.lit(True).alias("pool"))
+    few = materialize(rest.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= least_rows).select(F.col("lang").alias("l2"), F.lit(True).alias("pool")), "pools")
     d = d.join(own, d["lang"].eqNullSafe(own["l"]) & d["source"].eqNullSafe(own["s"]), "left").join(few, d["lang"].eqNullSafe(few["l2"]), "left")
     # lengths keep (a, bc) and (ab, c) apart
     lang = F.coalesce(F.concat(F.char_length("lang").cast("string"), F.lit(":"), F.col("lang")), F.lit("-"))
@@ -152,7 +155,8 @@ def _distances(d: DataFrame, est: DataFrame, *more: str) -> DataFrame:
 def _starts(fit: DataFrame) -> DataFrame:
     """Four first estimates a group, named by start; see above."""
     long = fit.select("gid", F.posexplode(F.array(*[F.struct(F.col(x).alias("x"), F.col(v).alias("v")) for x, v in zip(X, V, strict=True)])).alias("dim", "s")).select("gid", "dim", "s.x", "s.v")
-    med = _quantile(long, ["gid", "dim"], "x", 0.5, 0.002).withColumnRenamed("q", "med")
+    # written tables of groups have a known size: each join below broadcasts them, and no group meets in one task
+    med = materialize(_quantile(long, ["gid", "dim"], "x", 0.5, 0.002).withColumnRenamed("q", "med"), "medians")
     low = _quantile(long, ["gid", "dim"], "x", 0.25, 0.002).withColumnRenamed("q", "low")
     off = long.join(med, ["gid", "dim"]).withColumn("off", F.abs(F.col("x") - F.col("med")) * F.col("v"))
     both = med.join(low, ["gid", "dim"]).join(_quantile(off, ["gid", "dim"], "off", 0.5, 0.002), ["gid", "dim"])
@@ -182,6 +186,7 @@ def _step(fit: DataFrame, est: DataFrame) -> DataFrame:
     bins = far.groupBy(*by, "bin").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(run)).withColumn("half", F.floor((F.sum("n").over(Window.partitionBy(*by)) + P + 1) / 2))
     # of the bin at the edge, only as much weight as is missing
     edge = bins.where((F.col("upto") >= F.col("half")) & (F.col("upto") - F.col("n") < F.col("half"))).select(*by, F.col("bin").alias("edge"), ((F.col("half") - F.col("upto") + F.col("n")) / F.col("n")).alias("part"))
+    edge = materialize(edge, "edges")
     near = far.join(edge, by).where("bin <= edge").withColumn("w", F.when(F.col("bin") < F.col("edge"), 1.0).otherwise(F.col("part")))
     return _factored(_estimate(near, CONSISTENT, by, F.max("det").alias("last")), "start", "last")
 
@@ -201,23 +206,37 @@ def _least_determinant(fit: DataFrame) -> DataFrame:
     return materialize(best.select("e.*"), "estimate")
 
 
-def quality(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+def judged(docs: DataFrame, carry: list[str], cutoff: float = CUTOFF, least_rows: int = LEAST_ROWS) -> DataFrame:
+    """row (the columns ``carry`` of ``docs``) with counts and verdict; see ``quality``.
+
+    The rows are written once with their counts and read again beside the estimates, so no text is shuffled or joined.
+    """
+    d = statistics(docs, carry).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
+    d = _grouped(materialize(_vector(d), "counts"), least_rows)
+    fit = materialize(d.where("not base_failed").select("gid", "text_hash", *X, *N0).dropDuplicates(["gid", "text_hash"]).drop("text_hash"), "texts")
+    near = _distances(fit, _least_determinant(fit)).where(F.col("d2") <= WITHIN).withColumn("w", F.lit(1.0))
+    est = materialize(_factored(_estimate(near, REWEIGHTED, ["gid"])), "estimate")
+    out = _distances(d, est)
+    enough = F.coalesce(F.col("fit_rows"), F.lit(0)) >= least_rows // 2
+    out = out.withColumn("distance", F.when(enough & ~F.col("base_failed"), F.col("d2")))
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))
+
+
+def accepted(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """The rows of ``docs``, all their columns, that the rules keep."""
+    return judged(docs, docs.columns, cutoff).where("kept").select("row.*")
+
+
+def quality(docs: DataFrame, cutoff: float = CUTOFF, least_rows: int = LEAST_ROWS) -> DataFrame:
     """Counts and verdict of every row of ``docs``; reads doc_id, text, lang and source, and ignores other columns.
 
     doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance (the squared
-    one, null where the pool is too small for an estimate: such rows are kept unless base_failed), lang, source.
+    one, null where base_failed or where the pool of all small groups has under ``least_rows`` / 2 different texts: of so
+    few, five statistics give no covariance, and they are kept unless base_failed), lang, source.
 
     A null text counts as empty and fails the base rules, as does any with fewer than 20 words. Null languages and
     sources are values of their own. Repeated rows are judged alike and count once in an estimate. Rows that fail
     the base rules take no part in them. An empty table gives an empty result. Texts are never cut.
     """
-    d = statistics(docs).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-    d = materialize(_grouped(materialize(_vector(d), "counts")), "statistics")
-    fit = materialize(d.where("not base_failed").select("gid", "text_hash", *X, *N0).dropDuplicates(["gid", "text_hash"]).drop("text_hash"), "texts")
-    near = _distances(fit, _least_determinant(fit)).where(F.col("d2") <= WITHIN).withColumn("w", F.lit(1.0))
-    est = materialize(_factored(_estimate(near, REWEIGHTED, ["gid"])), "estimate")
-    out = _distances(d, est)
-    enough = F.coalesce(F.col("fit_rows"), F.lit(0)) >= LEAST_ROWS // 2
-    out = out.withColumn("distance", F.when(enough & ~F.col("base_failed"), F.col("d2")))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance", "lang", "source")
+    out = judged(docs, ["doc_id"], cutoff, least_rows)
+    return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance", "lang", "source")
