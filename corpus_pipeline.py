@@ -10,18 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from riskloom.llm import language_id, piece_codec, source_mixing
+from riskloom.llm import language_id, piece_codec, quality_rules, source_mixing
 from riskloom.llm.common import materialize
 from riskloom.llm.ngram_jaccard import jaccard_join
-from riskloom.llm.quality_rules import quality
 from riskloom.llm.queries import tokenizer
 
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go. Rows that repeat a doc_id are judged by their own text."""
-    text = F.xxhash64(F.coalesce("text", F.lit("")))
-    verdict = quality(docs.withColumn("doc_id", F.struct(F.col("doc_id"), text.alias("h"))))
-    gone = verdict.where("not kept").select(F.col("doc_id.doc_id").alias("gone_id"), F.col("doc_id.h").alias("gone_h")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (text == gone["gone_h"]), "left_anti")
+    """Documents that the quality rules reject go; each row is judged by its own text."""
+    return quality_rules.accepted(docs)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
