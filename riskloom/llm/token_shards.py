@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import zlib
 
@@ -35,24 +34,92 @@ BLOCK = 512
 #: tokens after which a task begins another shard
 SHARD_TOKENS = 2_000_000
 MANIFEST = "task int, seq int, path string, docs long, tokens long"
-#: words in each of the two generations of a worker's store, and bytes of text encoded at once
-KEPT, SLICE = 600_000, 4 << 20
-#: parts of words in each of the two generations of their store, and parts in one call of the library
-PARTS_KEPT, PARTS_AT_ONCE = 250_000, 500
-_END = vt.U64(0xD6E8FEB86659FD93)
+#: entries in each of the two generations of a worker's store, and bytes of text encoded at once
+KEPT, SLICE = 500_000, 4 << 20
+#: parts of words in one call of the library
+PARTS_AT_ONCE = 500
+
+# Words of these bytes fall into parts that are encoded apart: a run of letters, a digit, a run of other signs. They are
+# ASCII without apostrophes (contractions) and < (special tokens), and the letters of Latin-1: no combining marks.
+_OTHER, _DIGIT, _LETTER, _HARD = range(4)
+_KIND = np.full(256, _HARD, np.uint8)
+_KIND[0x21:0x7F] = _OTHER
+_KIND[[0x27, 0x3C]] = _HARD
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_KIND[0x20] = _KIND[0x09:0x0E] = _OTHER
+_LEAD, _NO_LETTERS = 0xC3, (0x97, 0xB7)
+
+
+def _kinds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The kind of every byte, and the bytes with capitals made small where they are no hard ones."""
+    kind, text = _KIND[raw], raw.copy()
+    text[(raw >= 0x41) & (raw <= 0x5A)] |= 0x20
+    lead = np.flatnonzero(raw[:-1] == _LEAD)
+    tail = raw[lead + 1]
+    lead = lead[(tail != _NO_LETTERS[0]) & (tail != _NO_LETTERS[1])]
+    kind[lead] = kind[lead + 1] = _LETTER
+    tail = text[lead + 1]
+    text[lead + 1] = np.where((tail >= 0x80) & (tail <= 0x9E), tail + 0x20, tail)
+    return kind, text
+
+
+def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of spans, one after another."""
+    stop = np.cumsum(sizes)
+    return np.repeat(starts - (stop - sizes), sizes) + np.arange(stop[-1] if len(stop) else 0)
+
+
+def _alike(text: np.ndarray, begin: np.ndarray, stop: np.ndarray, other: np.ndarray) -> bool:
+    """Whether each span has the bytes of the span that ``other`` names."""
+    size = stop - begin
+    eight = vt.heads(text)[1]
+    head = eight[begin] & vt.KEEP[np.minimum(size, 8)]
+    if (size != size[other]).any() or (head != head[other]).any():
+        return False
+    far = np.flatnonzero(size > 8)
+    if (eight[stop[far] - 8] != eight[stop[other[far]] - 8]).any():
+        return False
+    far = far[size[far] > 16]
+    return bool((text[_places(begin[far], size[far])] == text[_places(begin[other[far]], size[far])]).all())
+
+
+class _Store:
+    """Ids by the bytes of a part: sorted hashes, and where bytes and ids stand."""
+
+    def __init__(self, dtype):
+        self.keys, self.spans = np.zeros(0, vt.U64), np.zeros((4, 0), np.int64)
+        self.text, self.ids = np.zeros(0, np.uint8), np.zeros(0, dtype)
+
+    def find(self, keys: np.ndarray, text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Entries of sorted keys, -1 where there is none whose bytes are those of the span."""
+        if not len(self.keys) or not len(keys):
+            return np.full(len(keys), -1, np.int64)
+        p = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = np.flatnonzero((self.keys[p] == keys) & (self.spans[1, p] == sizes))
+        same = text[_places(starts[hit], sizes[hit])] == self.text[_places(self.spans[0, p[hit]], sizes[hit])]
+        out = np.full(len(keys), -1, np.int64)
+        if len(hit):
+            hit = hit[np.logical_and.reduceat(same, np.cumsum(sizes[hit]) - sizes[hit])]
+        out[hit] = p[hit]
+        return out
 
-# In these words a run of letters, a digit, and a run of other signs are encoded apart: no combining marks,
-# no contractions (apostrophes), no special tokens.
-_SIMPLE = re.compile(r"[\t-\r !-&(-;=-~À-ÖØ-öø-ÿ]*")
-_PART = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+    def add(self, keys: np.ndarray, text: np.ndarray, sizes: np.ndarray, ids: np.ndarray, many: np.ndarray) -> None:
+        """Entries with their bytes and ids, one after another; keys that are there already stay as they are."""
+        spans = np.stack((len(self.text) + np.cumsum(sizes) - sizes, sizes, len(self.ids) + np.cumsum(many) - many, many))
+        keys, spans = np.concatenate((self.keys, keys)), np.concatenate((self.spans, spans), 1)
+        order = np.argsort(keys, kind="stable")
+        new = np.r_[True, keys[order][1:] != keys[order][:-1]]
+        self.keys, self.spans = keys[order][new], spans[:, order[new]]
+        self.text, self.ids = np.concatenate((self.text, text)), np.concatenate((self.ids, ids))
 
 
 class WordEncoder:
     """The ids of a tokenizers file, without special tokens, for pretokenizers that drop white space.
 
-    White space separates words there, so a text's ids are those of its words one after another. The library encodes
-    each distinct word; a bounded store keeps the result by a 64-bit hash of the word (among the million words that it
-    holds, two that collide are expected once in thirty million stores).
+    White space separates words there, so a text's ids are those of its words one after another, and a word's are those
+    of its parts. The library encodes each part that the store lacks; words that may not be cut are a part of their own.
+    The store compares bytes, so a hash shared by two parts costs a call and no id.
     """
 
     def __init__(self, model: str):
@@ -61,65 +128,70 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.t = Tokenizer.from_str(model)
         self.dtype = np.dtype("<u2") if self.t.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.now: dict[int, bytes] = {}
-        self.old: dict[int, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.old_parts: dict[str, bytes] = {}
+        self.now, self.old = _Store(self.dtype), _Store(self.dtype)
         suffix = json.loads(model)["model"].get("end_of_word_suffix")
         self.is_end = None
         if suffix:  # where every part ends with a marked token, many parts go through the library as one text
             self.is_end = np.zeros(self.t.get_vocab_size(), bool)
             self.is_end[[i for w, i in self.t.get_vocab().items() if w.endswith(suffix)]] = True
-        # cutting is safe only for these: no pretoken may hold white space, and letters don't depend on neighbours
-        self.cut = self.t.encode("a b", add_special_tokens=False).ids == [i for w in "ab" for i in self.t.encode(w, add_special_tokens=False).ids]
-        self.lower = self.t.encode("AÀ", add_special_tokens=False).ids == self.t.encode("aà", add_special_tokens=False).ids
-
-    def _each(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.t.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def _learn_parts(self, parts: list[str]) -> None:
-        new = []
-        for p in parts:
-            if p not in self.parts:
-                if (v := self.old_parts.get(p)) is None:
-                    new.append(p)
-                else:
-                    self.parts[p] = v
-        for i in range(0, len(new), PARTS_AT_ONCE):
-            block = new[i : i + PARTS_AT_ONCE]
-            ids = np.array(self.t.encode(" ".join(block), add_special_tokens=False).ids if self.is_end is not None else [], self.dtype)
+        ids = lambda *texts: [i for x in texts for i in self.t.encode(x, add_special_tokens=False).ids]
+        # cutting is safe only for these: no pretoken holds white space, and parts are what _KIND says
+        self.cut = ids("a b") == ids("a", "b")
+        self.parts = ids("AÀb12.,Ðx;ß 7é") == ids("aàb", "1", "2", ".,", "ðx", ";", "ß", "7", "é")
+
+    def _each(self, chunks: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.t.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _block(self, block: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts, and how many each has."""
+        if self.is_end is not None:
+            ids = np.array(self.t.encode(" ".join(block), add_special_tokens=False).ids, self.dtype)
             ends = np.flatnonzero(self.is_end[ids]) + 1 if len(ids) else ids
             if len(ends) == len(block) and ends[-1] == len(ids):
-                raw, cut = ids.tobytes(), [0, *(ends * self.dtype.itemsize).tolist()]
-                self.parts.update(zip(block, [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)], strict=True))
-            else:
-                self.parts.update(zip(block, self._each(block), strict=True))
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        """The ids of words. Simple ones are cut further, so that the library sees fewer different strings."""
-        cut = [_PART.findall(w.lower()) if self.lower and _SIMPLE.fullmatch(w) else None for w in words]
-        whole = [w for w, c in zip(words, cut, strict=True) if c is None]
-        others = dict(zip(whole, self._each(whole), strict=True)) if whole else {}
-        self._learn_parts(list(dict.fromkeys(p for c in cut if c for p in c)))
-        known = self.parts
-        out = [others[w] if c is None else known[c[0]] if len(c) == 1 else b"".join([known[p] for p in c]) for w, c in zip(words, cut, strict=True)]
-        if len(self.parts) >= PARTS_KEPT:
-            self.parts, self.old_parts = {}, self.parts
-        return out
-
-    def _lookup(self, keys: np.ndarray, word_of) -> list[bytes]:
-        """Ids by word hash; ``word_of`` gives the words of places in ``keys`` that the store lacks."""
-        keys = keys.tolist()
-        found = list(map(self.now.get, keys))
-        if None in found:
-            lack = [i for i, x in enumerate(found) if x is None]
-            new = [i for i in lack if keys[i] not in self.old]
-            fresh = dict(zip(new, self._encode(word_of(new)), strict=True))
-            for i in lack:
-                self.now[keys[i]] = found[i] = fresh[i] if i in fresh else self.old[keys[i]]
-            if len(self.now) >= KEPT:
-                self.now, self.old = {}, self.now
-        return found
+                return ids, np.diff(ends, prepend=0)
+        each = self._each(block)
+        return np.concatenate(each), np.array([len(x) for x in each])
+
+    def _learn(self, text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hard: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of spans, where those of each begin, and how many it has; hard ones go through the library one by one."""
+        where, many, raw = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64), text.tobytes()
+        at, end = starts.tolist(), (starts + sizes).tolist()
+        easy, rest = np.flatnonzero(~hard), np.flatnonzero(hard)
+        parts = [raw[at[x] : end[x]] for x in easy.tolist()]
+        done = [self._block(b" ".join(parts[i : i + PARTS_AT_ONCE]).decode().split(" ")) for i in range(0, len(parts), PARTS_AT_ONCE)]
+        if len(rest):
+            each = self._each([raw[at[x] : end[x]].decode() for x in rest.tolist()])
+            done.append((np.concatenate(each), np.array([len(x) for x in each])))
+        if done:
+            n = np.concatenate([x for _, x in done])
+            for span, own in ((easy, slice(None, len(easy))), (rest, slice(len(easy), None))):
+                where[span], many[span] = (np.cumsum(n) - n)[own], n[own]
+        return np.concatenate([np.zeros(0, self.dtype), *[x for x, _ in done]]), where, many
+
+    def _spans(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        """(text, starts, ends, hard, first part of each word) of the parts of words."""
+        if not self.parts or not len(starts):
+            return raw, starts, ends, np.ones(len(starts), bool), np.arange(len(starts) + 1)
+        kind, text = _kinds(raw)
+        sums = np.zeros(len(raw) + 1, np.int64)
+        np.cumsum(kind == _HARD, out=sums[1:])
+        whole = sums[ends] > sums[starts]  # words with a hard byte
+        first = np.zeros(len(raw) + 1, bool)
+        first[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        edge = np.zeros(len(raw) + 1, np.int64)
+        edge[starts] = 1
+        edge[ends] -= 1
+        inside = np.cumsum(edge)[:-1] > 0
+        keep = np.repeat(whole, ends - starts)
+        flat = np.flatnonzero(inside)
+        first[flat[keep]] = False
+        text[flat[keep]] = raw[flat[keep]]
+        first[starts] = True
+        first[:-1] &= inside
+        begin = np.flatnonzero(first[:-1])
+        word = np.searchsorted(starts, begin, "right") - 1
+        end = np.minimum(np.r_[begin[1:], len(raw)], ends[word])
+        return text, begin, end, whole[word], np.searchsorted(begin, np.r_[starts, len(raw)])
 
     def rows(self, column, end: int):
         """(first row, end row, ids, ids of each row) of slices of a string column; every row ends with ``end``."""
@@ -131,30 +203,36 @@ class WordEncoder:
                 yield i, j, np.concatenate(ids), np.array([len(x) for x in ids])
                 continue
             starts, ends, rows = vt.words(part, at)
-            n = np.diff(rows) + 1
-            key = np.full(int(n.sum()), _END, vt.U64)
-            place = np.full(len(key), -1, np.int64)
-            last = np.zeros(len(key), bool)
+            text, begin, stop, hard, first = self._spans(part, starts, ends)
+            u, one, inv = np.unique(vt.span_hashes(text, begin, stop), return_index=True, return_inverse=True)
+            if not _alike(text, begin, stop, one[inv]):  # two parts share a hash
+                ids = [np.r_[t, np.array([end], self.dtype)] for t in self._each([bytes(part[at[r] : at[r + 1]]).decode() for r in range(j - i)])]
+                yield i, j, np.concatenate(ids), np.array([len(x) for x in ids])
+                continue
+            begin_u, size_u = begin[one], stop[one] - begin[one]
+            now = self.now.find(u, text, begin_u, size_u)
+            lack = np.flatnonzero(now < 0)
+            old = self.old.find(u[lack], text, begin_u[lack], size_u[lack])
+            new = lack[old < 0]
+            fresh, begin_new, many = self._learn(text, begin_u[new], size_u[new], hard[one[new]])
+            # all ids in one array: those of both generations, the new ones, and the end
+            flat = np.concatenate((self.now.ids, self.old.ids, fresh, np.array([end], self.dtype)))
+            where, size = np.zeros(len(u) + 1, np.int64), np.ones(len(u) + 1, np.int64)
+            for to, store, entry, base in ((now >= 0, self.now, now[now >= 0], 0), (lack[old >= 0], self.old, old[old >= 0], len(self.now.ids))):
+                where[:-1][to], size[:-1][to] = store.spans[2, entry] + base, store.spans[3, entry]
+            where[new], size[new] = len(flat) - 1 - len(fresh) + begin_new, many
+            where[-1] = len(flat) - 1
+            n = first[rows[1:]] - first[rows[:-1]] + 1
+            entry = np.full(int(n.sum()), len(u))
+            last = np.zeros(len(entry), bool)
             last[np.cumsum(n) - 1] = True
-            place[~last] = np.arange(len(starts))
-            for a, b in vt.slices(at):
-                w = slice(rows[a], rows[b])
-                own = vt.span_hashes(part[at[a] : at[b]], starts[w] - at[a], ends[w] - at[a], self.lower)
-                key[np.flatnonzero(~last)[w] if b - a < j - i else ~last] = own
-            u, first, inv = np.unique(key, return_index=True, return_inverse=True)
-            self.now[int(_END)] = np.array([end], self.dtype).tobytes()
-
-            def word_of(which):
-                p = place[first[which]] if len(which) else []
-                return [bytes(part[starts[x] : ends[x]]).decode() for x in p]
-
-            found = self._lookup(u, word_of)
-            size = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
-            flat, begin = np.frombuffer(b"".join(found), self.dtype), np.cumsum(size) - size
-            each = size[inv]
-            stop = np.cumsum(each)
-            ids = flat[np.repeat(begin[inv] - (stop - each), each) + np.arange(stop[-1])]
-            yield i, j, ids, np.add.reduceat(each, np.cumsum(n) - n)
+            entry[~last] = inv
+            each = size[entry]
+            ids, per = flat[_places(where[entry], each)], np.add.reduceat(each, np.cumsum(n) - n)
+            yield i, j, ids, per
+            self.now.add(u[lack], text[_places(begin_u[lack], size_u[lack])], size_u[lack], flat[_places(where[lack], size[lack])], size[lack])
+            if len(self.now.keys) >= KEPT:
+                self.now, self.old = _Store(self.dtype), self.now
 
     def __call__(self, text: str | None) -> bytes:
         """The ids of one text as packed unsigned integers."""
