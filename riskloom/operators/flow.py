@@ -235,19 +235,3 @@ def reachable(edges: DataFrame, start: int = 0) -> DataFrame:
         if front.isEmpty():
             return seen
         seen = seen.unionByName(front).transform(_cut)
-
-
-def unreachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return nodes.join(reachable(edges), ["path", "node"], "left_anti")
-
-
-def dominators(nodes: DataFrame, edges: DataFrame, start: int = 0) -> DataFrame:
-    """(path, node, dom): dom is on every way from ``start`` to node. For each candidate, what it cuts off is what it dominates."""
-    n = nodes.select("path", F.col("node").alias("dom"))
-    cut = n.join(edges, "path").where("src <> dom AND dst <> dom").select(F.concat_ws("/", "path", "dom").alias("path"), "src", "dst")
-    keep = n.where(F.col("dom") != start).select(F.concat_ws("/", "path", "dom").alias("path"), F.lit(start).alias("src"), F.lit(start).alias("dst"))
-    left = reachable(cut.union(keep), start)
-    alive = reachable(edges, start)
-    pairs = n.join(alive, "path").withColumn("key", F.concat_ws("/", "path", "dom"))
-    lost = pairs.join(left.select(F.col("path").alias("key"), F.col("node").alias("node")), ["key", "node"], "left_anti")
-    return lost.select("path", "node", "dom").union(alive.select("path", "node", F.lit(start).alias("dom"))).distinct()

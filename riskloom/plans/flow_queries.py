@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom import model, rules
-from riskloom.operators import flow
+from riskloom.operators import flow, graph
 from riskloom.plans.registry import q, query, values
 from riskloom.sources.code import FILES_SQL, LINES_SQL, files, lines
 
@@ -170,22 +170,86 @@ def control_lines(spark, sf_dir):
     return flow.control_lines(_lines(spark, sf_dir))
 
 
-_EDGES = [("a", 0, 1), ("a", 1, 2), ("a", 1, 3), ("a", 2, 4), ("a", 3, 4), ("a", 5, 4), ("a", 4, 1), ("b", 0, 1), ("b", 1, 2), ("b", 3, 3)]
-_GRAPH = f"WITH RECURSIVE {_table('edges', _EDGES, 'path, src, dst')}, nodes AS (SELECT path, src AS node FROM edges UNION SELECT path, dst FROM edges)"
+_KIND = f"CASE WHEN {_case(rules.IFS, lambda r: f'regexp_matches(text, {q(r)})', 'false')} THEN 'if' WHEN {_case(rules.ELSES, lambda r: f'regexp_matches(text, {q(r)})', 'false')} THEN 'else' WHEN {_case(rules.LOOPS, lambda r: f'regexp_matches(text, {q(r)})', 'false')} THEN 'loop' WHEN regexp_matches(text, {q(rules.RETURNS)}) THEN 'return' END"
+_COND = "coalesce(nullif(regexp_extract(text, '(?:if|while|for)\\s*\\(([^)]+)\\)', 1), ''), regexp_extract(text, '(?:if|while|for)\\s+(.+):', 1))"
+_CFG = f"""k1 AS (SELECT path, line_no, text, {_KIND} AS kind, {_COND} AS condition, regexp_matches(text, '\\b(break|return|throw|raise)\\b') AS leaves FROM st),
+    k2 AS (SELECT *, lag(kind) OVER (PARTITION BY path ORDER BY line_no) AS prev, row_number() OVER (PARTITION BY path ORDER BY line_no) AS rn FROM k1),
+    k3 AS (SELECT *, kind IS NULL AND (rn = 1 OR prev IS NOT NULL) OR coalesce(kind IN ('if', 'loop', 'return'), false) AS begins, CASE WHEN kind IN ('if', 'loop', 'return') THEN line_no + 1 WHEN kind = 'else' AND rn > 1 AND prev IS NULL THEN line_no END AS starts FROM k2),
+    k4 AS (SELECT *, coalesce(last_value(starts IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS begin_at,
+        min(CASE WHEN kind IS NOT NULL THEN line_no END) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt,
+        sum(CAST(begins AS INTEGER)) OVER (PARTITION BY path ORDER BY line_no) AS node, max(CASE WHEN kind IN ('if', 'loop') THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line_no) AS opened FROM k3),
+    nl AS (SELECT path, max(line_no) AS n_lines FROM lines GROUP BY path),
+    cn AS (SELECT path, CAST(0 AS INTEGER) AS node, CAST(0 AS INTEGER) AS line_start, CAST(0 AS INTEGER) AS line_end, 'entry' AS kind, CAST(NULL AS VARCHAR) AS condition, false AS leaves, false AS is_exit FROM files
+        UNION ALL SELECT k4.path, CAST(node AS INTEGER), CAST(max(CASE WHEN begins THEN CASE WHEN kind IS NULL THEN begin_at ELSE line_no END END) AS INTEGER), CAST(max(CASE WHEN begins THEN CASE WHEN kind IS NULL THEN coalesce(nxt - 1, n_lines) ELSE line_no END END) AS INTEGER),
+        coalesce(max(CASE kind WHEN 'if' THEN 'branch' WHEN 'loop' THEN 'loop' WHEN 'return' THEN 'exit' END), 'normal'), max(CASE WHEN kind IN ('if', 'loop') THEN condition END), bool_or(leaves), coalesce(bool_or(kind = 'return'), false) OR (count(kind) = 0 AND max(nxt) IS NULL)
+        FROM k4 JOIN nl ON nl.path = k4.path WHERE kind IS NULL OR kind <> 'else' GROUP BY k4.path, node),
+    ce AS (SELECT path, node AS src, dst, CASE WHEN kind IN ('branch', 'loop') THEN 'branch_true' ELSE 'fall_through' END AS edge_type, condition FROM (SELECT *, lead(node) OVER (PARTITION BY path ORDER BY node) AS dst FROM cn) WHERE dst IS NOT NULL AND kind <> 'exit'
+        UNION ALL SELECT path, 0, 1, 'fall_through', NULL FROM cn WHERE node = 1 AND kind = 'normal' AND NOT is_exit
+        UNION ALL SELECT path, CAST(node AS INTEGER), CAST(node + {1 + graph.ELSE_STEP} AS INTEGER), 'fall_through', NULL FROM k4 WHERE kind = 'else' AND opened = 1),
+    ge AS (SELECT ce.path, src, dst FROM ce JOIN cn ON cn.path = ce.path AND cn.node = dst)"""
 
 
-def _graph(spark):
-    e = spark.createDataFrame(_EDGES, "path string, src int, dst int")
-    return e.select("path", F.col("src").alias("node")).union(e.select("path", "dst")).distinct(), e
+def _graphs(spark, sf_dir):
+    f = files(spark, sf_dir)
+    nodes = graph.cfg_nodes(f)
+    return graph.as_rows(nodes, graph.cfg_edges(f, nodes))
 
 
-@query(f"{_GRAPH}, re AS (SELECT DISTINCT path, 0 AS node FROM edges UNION SELECT re.path, dst FROM re JOIN edges ON edges.path = re.path AND src = node) SELECT path, node FROM nodes EXCEPT SELECT path, node FROM re")
+def _joined(name):
+    return F.array_join(F.transform(name, lambda x: x.cast("string")), ",").alias(name)
+
+
+@query(f"{_BASE}, {_CFG} SELECT path, node, line_start, line_end, kind, condition, is_exit FROM cn")
+def cfg_nodes(spark, sf_dir):
+    return graph.cfg_nodes(files(spark, sf_dir)).drop("leaves")
+
+
+@query(f"{_BASE}, {_CFG} SELECT path, src, dst, edge_type, condition FROM ce")
+def cfg_edges(spark, sf_dir):
+    return graph.cfg_edges(files(spark, sf_dir))
+
+
+_REACHED = "re AS (SELECT DISTINCT path, 0 AS node FROM cn UNION SELECT re.path, dst FROM re JOIN ge ON ge.path = re.path AND src = node)"
+
+
+@query(f"{_BASE}, {_CFG}, {_REACHED} SELECT path, node FROM cn EXCEPT SELECT path, node FROM re")
 def unreachable_nodes(spark, sf_dir):
-    return flow.unreachable(*_graph(spark))
+    return graph.unreachable(_graphs(spark, sf_dir))
+
 
+# a node dominates another if the other can't be reached without it
+_DOMS = f"""{_REACHED}, av AS (SELECT path, node AS dom, 0 AS node FROM cn WHERE node <> 0 UNION SELECT av.path, dom, dst FROM av JOIN ge ON ge.path = av.path AND src = av.node WHERE dst <> dom),
+    doms AS (SELECT a.path, a.node, b.node AS dom FROM cn a JOIN cn b ON b.path = a.path LEFT JOIN av ON av.path = a.path AND av.dom = b.node AND av.node = a.node LEFT JOIN re ON re.path = a.path AND re.node = a.node WHERE re.node IS NULL OR b.node = 0 OR av.node IS NULL)"""
 
-@query(f"""{_GRAPH}, re AS (SELECT DISTINCT path, 0 AS node FROM edges UNION SELECT re.path, dst FROM re JOIN edges ON edges.path = re.path AND src = node),
-    av AS (SELECT path, node AS dom, 0 AS node FROM nodes WHERE node <> 0 UNION SELECT av.path, dom, dst FROM av JOIN edges ON edges.path = av.path AND src = av.node WHERE dst <> dom)
-    SELECT path, node, dom FROM (SELECT re.path, re.node, n.node AS dom FROM re JOIN nodes n ON n.path = re.path) WHERE dom = 0 OR (path, dom, node) NOT IN (SELECT (path, dom, node) FROM av)""".replace("(path, dom, node) NOT IN (SELECT (path, dom, node) FROM av)", "NOT EXISTS (SELECT 1 FROM av WHERE av.path = path_ AND av.dom = dom_ AND av.node = node_)").replace("SELECT path, node, dom FROM (SELECT re.path, re.node, n.node AS dom", "SELECT path_ AS path, node_ AS node, dom_ AS dom FROM (SELECT re.path AS path_, re.node AS node_, n.node AS dom_").replace("WHERE dom = 0", "WHERE dom_ = 0"))
+
+@query(f"{_BASE}, {_CFG}, {_DOMS} SELECT path, node, dom FROM doms")
 def dominators(spark, sf_dir):
-    return flow.dominators(*_graph(spark))
+    return graph.dominators(_graphs(spark, sf_dir))
+
+
+@query(f"""{_BASE}, {_CFG}, inner_ AS (SELECT path, node FROM cn WHERE NOT is_exit), rx AS (SELECT path, node FROM cn WHERE is_exit UNION SELECT ge.path, src FROM rx JOIN ge ON ge.path = rx.path AND dst = rx.node JOIN inner_ ON inner_.path = ge.path AND inner_.node = src),
+    ax AS (SELECT a.path, b.node AS pdom, a.node FROM cn a JOIN cn b ON b.path = a.path WHERE a.is_exit AND a.node <> b.node UNION SELECT ax.path, pdom, src FROM ax JOIN ge ON ge.path = ax.path AND dst = ax.node JOIN inner_ ON inner_.path = ge.path AND inner_.node = src WHERE src <> pdom)
+    SELECT a.path, a.node, b.node AS pdom FROM cn a JOIN cn b ON b.path = a.path LEFT JOIN ax ON ax.path = a.path AND ax.pdom = b.node AND ax.node = a.node LEFT JOIN rx ON rx.path = a.path AND rx.node = a.node WHERE rx.node IS NULL OR ax.node IS NULL""")
+def post_dominators(spark, sf_dir):
+    return graph.post_dominators(_graphs(spark, sf_dir))
+
+
+_LIMIT = "coalesce(" + ", ".join(f"nullif(regexp_extract(condition, {q(r)}, 1), '')" for r in rules.BOUNDED) + ")"
+
+
+@query(f"""{_BASE}, {_CFG}, {_DOMS}, le AS (SELECT ge.path, src AS tail, dst AS header FROM ge JOIN doms ON doms.path = ge.path AND doms.node = src AND doms.dom = dst),
+    lb AS (SELECT path, tail, header, tail AS node FROM le UNION SELECT lb.path, tail, header, src FROM lb JOIN ge ON ge.path = lb.path AND dst = lb.node WHERE src <> header), body AS (SELECT path, tail, header, node FROM lb UNION SELECT path, tail, header, header FROM le),
+    lx AS (SELECT DISTINCT body.path, tail, header, src FROM body JOIN ge ON ge.path = body.path AND src = body.node WHERE NOT EXISTS (SELECT 1 FROM body b WHERE b.path = body.path AND b.tail = body.tail AND b.header = body.header AND b.node = ge.dst)),
+    bs AS (SELECT body.path, tail, header, string_agg(CAST(body.node AS VARCHAR), ',' ORDER BY body.node) AS body, bool_or(leaves) AS leaves FROM body JOIN cn ON cn.path = body.path AND cn.node = body.node GROUP BY 1, 2, 3), xs AS (SELECT path, tail, header, string_agg(CAST(src AS VARCHAR), ',' ORDER BY src) AS exits FROM lx GROUP BY 1, 2, 3)
+    SELECT le.path, le.header, le.tail, body, coalesce(exits, '') AS exits, {_LIMIT} AS bound, {_LIMIT} IS NULL AND NOT bs.leaves AND exits IS NULL AS infinite
+    FROM le JOIN bs ON bs.path = le.path AND bs.tail = le.tail AND bs.header = le.header LEFT JOIN xs ON xs.path = le.path AND xs.tail = le.tail AND xs.header = le.header JOIN cn ON cn.path = le.path AND cn.node = le.header""")
+def natural_loops(spark, sf_dir):
+    d = graph.natural_loops(_graphs(spark, sf_dir))
+    return d.select("path", "header", "tail", _joined("body"), _joined("exits"), "bound", "infinite")
+
+
+@query(f"""{_BASE}, {_CFG}, tg AS (SELECT path, max(node) AS target FROM cn GROUP BY path), pw AS (SELECT path, target, 0 AS node, '' AS way, ',0,' AS seen FROM tg
+    UNION ALL SELECT pw.path, target, dst, CASE WHEN way = '' THEN CAST(pw.node AS VARCHAR) ELSE way || ',' || pw.node END, seen || dst || ',' FROM pw JOIN ge ON ge.path = pw.path AND src = pw.node WHERE pw.node <> target AND NOT contains(seen, ',' || dst || ','))
+    SELECT path, target, way FROM pw WHERE node = target""")
+def paths_to_node(spark, sf_dir):
+    return graph.paths_to(_graphs(spark, sf_dir), lambda g: g.ids[-1]).select("path", "target", _joined("way"))

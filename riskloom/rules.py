@@ -271,3 +271,6 @@ PATTERNS = [
     Pattern("Weak Random Number Generator", "CRYPTO_WEAKNESS", (r"(?i)\brandom\s*\(", r"(?i)Math\.random\s*\(", r"(?i)rand\s*\(", r"(?i)java\.util\.Random"), 0.5, 0.6, ("CWE-330", "CWE-338"), ("python", "javascript", "java", "php", "c", "cpp"), requires=("in_security_context",)),
 ]
 CRITICAL_CLASSES = ["CODE_EXECUTION", "INJECTION", "BUFFER_OVERFLOW", "DESERIALIZATION"]
+
+# Conditions that limit a loop, with the variable that they limit.
+BOUNDED = [r"(\w+)\s*<\s*\w+", r"(\w+)\s*<=\s*\w+", r"(\w+)\s*in\s+range", r"(\w+)\s*:=\s*range"]

@@ -118,3 +118,46 @@ def test_each_tree_draws_from_all_rows(spark):
     # half of the rows are one row
     same = d.selectExpr("IF(vec_id < 2000, NULL, vec_id) AS vec_id", "IF(vec_id < 2000, array(0f, 0f), embedding) AS embedding")
     assert all(len(x) == 256 for x in ml._samples(same, 5, 256, 7))
+
+
+def test_control_flow_of_a_file(spark):
+    from riskloom.operators import graph
+    from riskloom.sources.code import corpus
+
+    f = corpus(spark).where("path = 'overflow.c'")
+    nodes = graph.cfg_nodes(f)
+    edges = graph.cfg_edges(f, nodes)
+    assert sorted((r.node, r.line_start, r.line_end, r.kind) for r in nodes.collect()) == [(0, 0, 0, "entry"), (1, 1, 4, "normal"), (2, 5, 5, "branch"), (3, 6, 7, "normal"), (4, 8, 8, "exit"), (5, 9, 9, "normal")]
+    assert sorted((r.src, r.dst, r.edge_type) for r in edges.collect()) == [(0, 1, "fall_through"), (0, 1, "fall_through"), (1, 2, "fall_through"), (2, 3, "branch_true"), (3, 4, "fall_through")]
+    g = graph.as_rows(nodes, edges)
+    dom = {n: {r.dom for r in graph.dominators(g).collect() if r.node == n} for n in (3, 5)}
+    assert dom == {3: {0, 1, 2, 3}, 5: set(range(6))}
+    assert [r.node for r in graph.unreachable(g).collect()] == [5] and graph.natural_loops(g).count() == 0
+
+
+def test_graph_against_its_definitions():
+    import random
+
+    from riskloom.operators.graph import Graph
+
+    rng = random.Random(11)
+    for _ in range(200):
+        n = rng.randint(1, 8)
+        g = Graph([{"node": i, "is_exit": rng.random() < 0.3, "leaves": False, "condition": None} for i in range(n)], [{"src": rng.randrange(n), "dst": rng.randrange(n)} for _ in range(rng.randint(0, 14))])
+
+        def reach(start, out, without, stop=()):
+            seen, todo = {x for x in start if x != without}, [x for x in start if x != without]
+            while todo:
+                for b in out[todo.pop()]:
+                    if b not in seen and b != without and b not in stop:
+                        seen.add(b)
+                        todo.append(b)
+            return seen
+
+        exits = {i for i in g.ids if g.info[i]["is_exit"]}
+        for got, roots, out, stop in ((g.dominators(), {0}, g.out, ()), (g.post_dominators(), exits, g.into, exits)):
+            alive = reach(roots, out, None, stop)
+            for i in g.ids:
+                assert got[i] == ({d for d in g.ids if d == i or i not in reach(roots, out, d, stop)} if i in alive else set(g.ids))
+        ways = sorted(g.paths(n - 1))
+        assert all(w[:1] == [0] and len(set(w)) == len(w) and n - 1 not in w for w in ways if n > 1)
