@@ -55,6 +55,17 @@ def drop_table(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: rows of an Arrow batch: ten thousand whole texts, Spark's default, are too many to hold several times over
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Limit the session's Arrow batches to BATCH_ROWS, unless they are smaller yet."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -113,7 +124,67 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: int, rows: int = 1 << 1
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-def by_group(df: DataFrame, keys: list[str], n: int, fn: Callable, schema: str, order: list | None = None) -> DataFrame:
+def small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if it has at most ``most`` of them."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def by_group(df: DataFrame, keys: list[str], n: int, fn: Callable, schema: str) -> DataFrame:
+    """Shuffle by the integer keys, sort, and give each group as ``fn(key, columns) -> arrays of the schema's columns``.
+
+    Columns are NumPy arrays by name, or lists of bytes. A group is in memory whole.
+    """
+    names = [f.strip().split()[0] for f in schema.split(",")]
+
+    def columns(b: pa.RecordBatch) -> dict:
+        return {k: b.column(i).to_pylist() if pa.types.is_binary(b.schema.field(i).type) else b.column(i).to_numpy() for i, k in enumerate(b.schema.names)}
+
+    def joined(held: list[dict]) -> dict:
+        return held[0] if len(held) == 1 else {k: np.concatenate([h[k] for h in held]) if isinstance(x, np.ndarray) else [y for h in held for y in h[k]] for k, x in held[0].items()}
+
+    def run(batches):
+        held: list[dict] = []
+        made: list[tuple] = []
+
+        def call(cols: dict):
+            made.append(fn(tuple(int(cols[k][0]) for k in keys), cols))
+
+        def out():
+            rows = [np.concatenate([np.asarray(m[i], np.int64) for m in made]) for i in range(len(names))]
+            made.clear()
+            return pa.RecordBatch.from_pydict(dict(zip(names, rows, strict=True)))
+
+        for b in batches:
+            cols = columns(b)
+            if not b.num_rows:
+                continue
+            new = np.zeros(b.num_rows, bool)
+            new[0] = not held or any(held[-1][k][-1] != cols[k][0] for k in keys)
+            for k in keys:
+                new[1:] |= cols[k][1:] != cols[k][:-1]
+            cut = [*np.flatnonzero(new).tolist(), b.num_rows]
+            if cut[0] > 0:
+                held.append({k: x[: cut[0]] for k, x in cols.items()})
+            if held and len(cut) > 1:
+                call(joined(held))
+                held = []
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                part = {k: x[i:j] for k, x in cols.items()}
+                if j == b.num_rows:
+                    held = [part]
+                else:
+                    call(part)
+            if len(made) > 10_000:
+                yield out()
+        if held:
+            call(joined(held))
+        if made:
+            yield out()
+
+    return df.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def table_by_group(df: DataFrame, keys: list[str], n: int, fn: Callable, schema: str, order: list | None = None) -> DataFrame:
     """Shuffle by the keys, sort, and give each group as an Arrow table to ``fn(key, table) -> RecordBatch | None``."""
 
     def run(batches):

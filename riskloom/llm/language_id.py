@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from riskloom.llm.common import materialize
+from riskloom.llm.common import materialize, small_batches
 
 #: bounds of the training sample: texts for each language, and landmarks among them (altogether, or one a language if those are more)
 TRAIN_PER_LANG, LANDMARKS = 400, 400
@@ -218,6 +218,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
     from pyspark.sql.types import StringType, DoubleType, StructField, StructType
 
     keep = keep or ["doc_id"]
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     part = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text"))
     schema = StructType([*part.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())])

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm import vectext as vt
-from riskloom.llm.common import by_group, materialize, partitions, plain, whole_groups
+from riskloom.llm.common import by_group, materialize, partitions, plain, small, small_batches, whole_groups
 from riskloom.llm.components import connected
 
 U64 = np.uint64
@@ -50,6 +50,8 @@ BLOCK_TOKENS = 2_000_000
 BLOOM_BITS, COPIES_KNOWN = 24, 200_000
 #: longest list of one token that is compared with others' lists
 LIST_MOST = 1_000_000
+#: rows of one batch of tokens
+ROWS_AT_ONCE = 50_000
 #: in the info column of token rows, n * 64 + kind: kinds are the sketch's class, or
 DOC, DOC_NULL = 62, 63
 
@@ -280,16 +282,16 @@ class _Union:
 def _compare(percent: int, every: bool):
     """Links inside a block or between two; without ``every``, none between sets of one root or that links found here connect."""
 
-    def run(key, rows: pa.Table):
+    def run(key, rows: dict):
         _, bi, bj = key
-        cid, side, root = (rows[c].to_numpy() for c in ("cid", "side", "root"))
-        sets = [np.frombuffer(x, U64) for x in rows["tokens"].to_pylist()]
+        cid, side, root = rows["cid"], rows["side"], rows["root"]
+        sets = [np.frombuffer(x, U64) for x in rows["tokens"]]
         size = np.array([len(s) for s in sets])
         known = _Union(root)
         at = np.r_[0, np.cumsum(size)]
         flat = np.concatenate(sets)
         a, b = [], []
-        for i, c in _partners([np.frombuffer(x, np.uint16) for x in rows["second"].to_pylist()], size, percent):
+        for i, c in _partners([np.frombuffer(x, np.uint16) for x in rows["second"]], size, percent):
             if bi != bj:
                 c = c[side[c] != side[i]]
             if not every:
@@ -305,18 +307,20 @@ def _compare(percent: int, every: bool):
                 if known.join(i, j) or every:
                     a.append(cid[i])
                     b.append(cid[j])
-        return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return a, b
 
     return run
 
 
-def _spread(rows: DataFrame, weight, carry: list[str], weights: DataFrame | None = None) -> DataFrame:
-    """(g, cid, ...) rows to (g, bi, bj, side, cid, ...): a bucket over BLOCK_TOKENS is cut into blocks, and each row goes
-    to all pairs of its block with others. Only sums by bucket are made of the weights."""
-    weights = rows.select("g", weight.alias("weight")) if weights is None else weights
-    large = weights.groupBy("g").agg(F.sum("weight").alias("w")).where(F.col("w") > BLOCK_TOKENS).select("g", F.ceil(F.col("w") / BLOCK_TOKENS).cast("int").alias("blocks"))
-    rows = rows.join(large, "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    rows = rows.withColumn("side", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
+def _large(weights: DataFrame) -> DataFrame:
+    """(g, weight) rows to (g, blocks) of the groups that weigh over BLOCK_TOKENS; only sums by group are made of the weights."""
+    large = weights.groupBy("g").agg(F.sum("weight").alias("w")).where(F.col("w") > BLOCK_TOKENS)
+    return small(materialize(large.select("g", F.ceil(F.col("w") / BLOCK_TOKENS).cast("int").alias("blocks")), "large"))
+
+
+def _spread(rows: DataFrame, carry: list[str]) -> DataFrame:
+    """(g, blocks, cid, ...) rows to (g, bi, bj, side, cid, ...): each row goes to all pairs of its block with others."""
+    rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("side", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("side")).alias("bi"), F.greatest(x, F.col("side")).alias("bj")))
     return rows.select("*", F.explode(pairs).alias("pair")).select("g", "pair.bi", "pair.bj", "side", "cid", *carry)
 
@@ -324,17 +328,17 @@ def _spread(rows: DataFrame, weight, carry: list[str], weights: DataFrame | None
 def _both_orders(percent: int):
     """Candidates: pairs of different roots that pass the first order's filter too, only as many as connect what they connect."""
 
-    def run(key, rows: pa.Table):
-        cid, side, root = (rows[c].to_numpy() for c in ("cid", "side", "root"))
+    def run(key, rows: dict):
+        cid, side, root = rows["cid"], rows["side"], rows["root"]
         known = _Union(np.arange(len(cid)))
         a, b = [], []
-        for i, c in _partners([np.frombuffer(x, np.uint16) for x in rows["second"].to_pylist()], rows["n"].to_numpy(), percent):
+        for i, c in _partners([np.frombuffer(x, np.uint16) for x in rows["second"]], rows["n"], percent):
             c = c[root[c] != root[i]]
             for j in (c[side[c] != side[i]] if key[1] != key[2] else c).tolist():
                 if known.join(i, j):
                     a.append(cid[i])
                     b.append(cid[j])
-        return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return a, b
 
     return run
 
@@ -354,33 +358,47 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, count_links: bo
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    small_batches(spark)
     n_out = partitions(spark)
     classes_of = spark.sparkContext.broadcast(_sketch(plain(docs, "text"), k))
 
     def first_order(batches):
+        names = ("at", "cid", "info", "extra")
         seen: set[int] = set()
-        rows = 0
+        made, held, rows = [[] for _ in names], 0, 0
+
+        def add(*columns):
+            nonlocal held
+            for to, x in zip(made, columns, strict=True):
+                to.append(x.astype(np.int64))
+            held += len(columns[0])
+
+        def out():
+            nonlocal held
+            b = pa.RecordBatch.from_pydict({n: np.concatenate(x) for n, x in zip(names, made, strict=True)})
+            for x in made:
+                x.clear()
+            held = 0
+            return b
+
         for b in batches:
-            ids, at, cids, info, extra = b.column(0).to_pylist(), [], [], [], []
+            ids = b.column(0).to_pylist()
             for r, tokens in _sets(b.column(1), k):
                 n = len(tokens)
                 cid = _cid(tokens) if n else 0
                 rows += 1
-                at.append(vt.mix(np.array([rows ^ cid & (1 << 63) - 1], U64)).view(np.int64))  # anywhere, so copies don't meet
-                cids.append(np.array([cid]))
-                info.append(np.array([n * 64 + (DOC_NULL if ids[r] is None else DOC)]))
-                extra.append(np.array([ids[r] or 0]))
+                # anywhere, so copies don't meet
+                add(vt.mix(np.array([rows ^ cid & (1 << 63) - 1], U64)).view(np.int64), np.array([cid]), np.array([n * 64 + (DOC_NULL if ids[r] is None else DOC)]), np.array([ids[r] or 0]))
                 if n and cid not in seen:  # the first copy stands for all of its task
                     if len(seen) < COPIES_KNOWN:
                         seen.add(cid)
                     t = _first_order(tokens, percent)
                     kind = classes_of.value[_cells(t)].astype(np.int64)
-                    at.append(np.where(kind > 0, vt.mix(t ^ U64(cid % 2**64)), t).view(np.int64))
-                    cids.append(np.full(len(t), cid))
-                    info.append(n * 64 + kind)
-                    extra.append(np.where(kind > 0, t, U64(0)).view(np.int64))
-            if at:
-                yield pa.RecordBatch.from_pydict({name: np.concatenate(x).astype(np.int64) for name, x in zip(("at", "cid", "info", "extra"), (at, cids, info, extra), strict=True)})
+                    add(np.where(kind > 0, vt.mix(t ^ U64(cid % 2**64)), t).view(np.int64), np.full(len(t), cid), n * 64 + kind, np.where(kind > 0, t, U64(0)).view(np.int64))
+                if held > ROWS_AT_ONCE:
+                    yield out()
+        if held:
+            yield out()
 
     rows = docs.mapInArrow(first_order, "at long, cid long, info long, extra long").repartition(n_out, "at").sortWithinPartitions("at", "cid")
     rows = materialize(rows.mapInArrow(_frequencies, "cid long, n long, kind long, value long, place long"), "frequencies")
@@ -392,11 +410,13 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, count_links: bo
     def round_(prefixes: DataFrame, every: bool) -> DataFrame:
         """(cid, n, root, tokens) to links (a, b) of sets of different roots."""
         found = materialize(_buckets(prefixes.select(F.explode("tokens").alias("token"), "n", "cid", "root"), n_out, percent), "buckets")
-        found = _spread(found.join(left.select("cid", "n", "second"), "cid"), F.octet_length("second") * 2, ["n", "root", "second"])
-        pairs = by_group(found, ["g", "bi", "bj"], n_out, _distinct(_both_orders(percent)), "a long, b long")
+        sized = found.join(left.select("cid", F.octet_length("second").alias("weight")), "cid").select("g", "weight")
+        found = found.join(_large(sized), "g", "left").join(left.select("cid", "n", "second"), "cid")
+        pairs = by_group(_spread(found, ["n", "root", "second"]), ["g", "bi", "bj"], n_out, _distinct(_both_orders(percent)), "a long, b long")
         # linked sets are candidates of each other, so they are in one component of candidates: each set travels once
         groups = connected(pairs).select(F.col("node").alias("cid"), F.col("root").alias("g"))
         cand = materialize(groups.join(classes.select("cid", "rep"), "cid").join(prefixes.select("cid", "n", "root"), "cid"), "candidates")
+        to = materialize(cand.join(_large(cand.select("g", F.col("n").alias("weight"))), "g", "left").select("cid", "g", "root", "blocks"), "groups")
         wanted = spark.sparkContext.broadcast(_bloom(cand.select("rep")))
 
         def whole_sets(batches):
@@ -411,10 +431,9 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, count_links: bo
                         second.append(_short(_first_order(t, percent)))
                 yield pa.RecordBatch.from_pydict({"cid": pa.array(cid, pa.int64()), "tokens": pa.array(sets, pa.binary()), "second": pa.array(second, pa.binary())})
 
-        sets = docs.mapInArrow(whole_sets, "cid long, tokens binary, second binary").join(cand.select("cid", "g", "root"), "cid")
-        spread = _spread(sets, None, ["root", "tokens", "second"], cand.select("g", F.col("n").alias("weight")))
+        sets = docs.mapInArrow(whole_sets, "cid long, tokens binary, second binary").join(small(to), "cid")
         # copies of a set that pass the filter bring it more than once
-        return materialize(by_group(spread, ["g", "bi", "bj"], n_out, _distinct(_compare(percent, every)), "a long, b long"), "links")
+        return materialize(by_group(_spread(sets, ["root", "tokens", "second"]), ["g", "bi", "bj"], n_out, _distinct(_compare(percent, every)), "a long, b long"), "links")
 
     if count_links:
         links = round_(left.select("cid", "n", F.col("cid").alias("root"), "tokens"), True)
@@ -439,7 +458,9 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, count_links: bo
 
 def _distinct(fn):
     def run(key, rows):
-        _, first = np.unique(rows["cid"].to_numpy(), return_index=True)
-        return fn(key, rows.take(pa.array(first)) if len(first) < rows.num_rows else rows)
+        _, first = np.unique(rows["cid"], return_index=True)
+        if len(first) < len(rows["cid"]):
+            rows = {k: x[first] if isinstance(x, np.ndarray) else [x[i] for i in first.tolist()] for k, x in rows.items()}
+        return fn(key, rows) if len(first) > 1 else ((), ())
 
     return run

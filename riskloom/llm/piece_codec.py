@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.common import small_batches
+
 SPACE = "▁"
 #: chunks in each of the two generations of the store; what was used since the last turn survives the next
 KEPT = 500_000
@@ -222,6 +224,7 @@ def codec(model: bytes) -> PieceCodec:
 
 def _model(docs: DataFrame, path: str):
     with open(path, "rb") as f:
+        small_batches(docs.sparkSession)
         return docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file, of fixed size
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from riskloom.llm.common import WORD, by_group, materialize, partitions
+from riskloom.llm.common import WORD, materialize, partitions, table_by_group
 
 #: documents of a leaf, and leaves that meet in a node
 LEAF, FAN = 20_000, 256
@@ -135,7 +135,7 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     first = True
     open_, leaves = d.where("p is not null").drop("leaves"), deep
     while True:
-        out = materialize(by_group(open_, ["sid", "leaf"], n, level(first, leaves == 1), schema, [F.desc("size"), F.asc("doc_id"), F.asc("p")]), "rounded")
+        out = materialize(table_by_group(open_, ["sid", "leaf"], n, level(first, leaves == 1), schema, [F.desc("size"), F.asc("doc_id"), F.asc("p")]), "rounded")
         done = done.union(out.where("p is null").select("sid", "doc_id", "size", "whole"))
         if leaves == 1:
             break
