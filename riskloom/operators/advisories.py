@@ -78,3 +78,29 @@ def impact(findings: DataFrame, cves: DataFrame, k: int = 5) -> DataFrame:
 def new_since(cves: DataFrame, watched: list[str], since: str) -> DataFrame:
     """Advisories of watched CWEs that were published after a time, each once."""
     return cves.where(F.col("cwe_id").isin(watched) & (F.col("published") > F.lit(since).cast("timestamp_ntz"))).dropDuplicates(["cve_id"])
+
+
+def notable(cwe: Column) -> Column:
+    """The notable advisories of a CWE; none for others."""
+    return model.choose(cwe, model.NOTABLE, F.array().cast("array<string>"))
+
+
+def keywords(cls: Column) -> Column:
+    """The words by which advisories name a class; its own name where there are none."""
+    return F.coalesce(model.choose(cls, model.KEYWORDS, None), F.array(cls))
+
+
+def display(cve_id: Column, score: Column, severity: Column) -> Column:
+    mark = model.choose(severity, {"CRITICAL": "🔴", "HIGH": "🟠", "MEDIUM": "🟡"}, "🟢")
+    return F.concat(mark, F.lit(" "), cve_id, F.lit(" (CVSS: "), score.cast("string"), F.lit(")"))
+
+
+def section_rows(cves: DataFrame) -> DataFrame:
+    """Adds row, a line of a Markdown table; descriptions end after 50 characters."""
+    short = F.when(F.char_length("description") > 50, F.concat(F.substring("description", 1, 50), F.lit("..."))).otherwise(F.col("description"))
+    return cves.withColumn("row", F.concat(F.lit("| "), "cve_id", F.lit(" | "), F.col("cvss").cast("string"), F.lit(" | "), "severity", F.lit(" | "), short, F.lit(" |")))
+
+
+def section(rows: list[str]) -> str:
+    """A Markdown section of such rows."""
+    return "\n".join(["| CVE ID | CVSS | Severity | Description |", "|--------|------|----------|-------------|", *rows]) if rows else "No related CVEs found."

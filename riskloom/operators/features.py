@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import model, rules
@@ -22,8 +22,8 @@ def unchecked(content):
     return F.size(F.filter(F.split(content, "\n"), lambda x: x.rlike(rules.LONE_CALL) & ~x.rlike(r"^\s*(//|#)") & ~x.rlike(rules.CHECKED_CALL)))
 
 
-def features(files: DataFrame) -> DataFrame:
-    """path, language and counts; every count is an expression on the row, so the plan is one scan."""
+def features(files: DataFrame, keep: list[Column] = ()) -> DataFrame:
+    """path, language, counts and the columns ``keep``; every count is an expression on the row, so the plan is one scan."""
     c = "content"
     zero = F.lit(0)
     lang = lambda table: T.by_language("language", table, lambda v: T.matches(c, v), zero)
@@ -34,7 +34,7 @@ def features(files: DataFrame) -> DataFrame:
         lang(rules.INPUTS).alias("inputs"), lang(rules.SINKS).alias("sinks"),
         T.matches(c, rules.FAMILIES["crypto"]).alias("crypto"), only_c(T.matches(c, rules.FAMILIES["memory"])).alias("memory"),
         T.matches(c, rules.FAMILIES["file"]).alias("file_ops"), T.matches(c, rules.FAMILIES["network"]).alias("network"),
-        F.size(dangerous(c, "language")).alias("dangerous"), unchecked(c).alias("unchecked"), only_c(T.matches(c, rules.POINTERS)).alias("pointers"),
+        F.size(dangerous(c, "language")).alias("dangerous"), unchecked(c).alias("unchecked"), only_c(T.matches(c, rules.POINTERS)).alias("pointers"), *keep,
     )
     return d.withColumn("taint_flows", F.least(F.col("inputs") * F.col("sinks"), F.lit(100)))
 
@@ -43,22 +43,28 @@ def features(files: DataFrame) -> DataFrame:
 NUMBERED = {1: "complexity", 2: "nesting", 5: "inputs", 6: "sinks", 7: "crypto", 8: "memory", 9: "file_ops", 10: "network", 11: "dangerous", 12: "taint_flows", 13: "unchecked", 14: "pointers"}
 
 
-def predict(feats: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(path, vuln_class, prob) of the classes that the default model gives at least ``threshold``."""
+def scored(threshold: float) -> Column:
+    """Of a row of features: structs of the classes that the default model gives at least ``threshold``."""
     rows = []
     for c in model.CLASSES:
         w, bias = rules.WEIGHTS.get(c[0], rules.WEIGHTS["*"])
         x = sum((F.col(NUMBERED[i]) * F.lit(v) for i, v in w.items()), F.lit(0.0)) + F.lit(bias)
         rows.append(F.struct(F.lit(c[0]).alias("vuln_class"), (F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), x))))).alias("prob")))
-    return feats.select("path", F.explode(F.filter(F.array(*rows), lambda r: r["prob"] >= threshold)).alias("r")).select("path", "r.vuln_class", "r.prob")
+    return F.filter(F.array(*rows), lambda r: r["prob"] >= threshold)
 
 
-def locations(files: DataFrame) -> DataFrame:
-    """(path, vuln_class, line): the first line that speaks for a class; 1 where none does."""
-    ls = F.split("content", "\n", -1)
+def predict(feats: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(path, vuln_class, prob) of the classes that the default model gives at least ``threshold``."""
+    return feats.select("path", F.explode(scored(threshold)).alias("r")).select("path", "r.vuln_class", "r.prob")
+
+
+def first_lines(content) -> Column:
+    """A map from class to the first line that speaks for it; 1 where none does."""
+    ls = F.split(content, "\n", -1)
+    at = lambda regex: F.greatest(F.array_position(F.transform(ls, lambda x: x.rlike(regex)), F.lit(True)), F.lit(1)).cast("int")
+    return F.create_map(*[x for k, r in rules.LOCATIONS.items() for x in (F.lit(k), at(r))])
 
-    def first(regex):
-        return F.greatest(F.array_position(F.transform(ls, lambda x: x.rlike(regex)), F.lit(True)), F.lit(1)).cast("int")
 
-    rows = [F.struct(F.lit(k).alias("vuln_class"), first(r).alias("line")) for k, r in rules.LOCATIONS.items()]
-    return files.select("path", F.explode(F.array(*rows)).alias("r")).select("path", "r.vuln_class", "r.line")
+def locations(files: DataFrame) -> DataFrame:
+    """(path, vuln_class, line): the first line that speaks for a class; 1 where none does."""
+    return files.select("path", F.explode(first_lines("content")).alias("vuln_class", "line"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskloom import model, rules
+from riskloom.functions.lineage import cut
 from riskloom.functions.text import by_language, java, matches
 
 _TRIM = " \t\r\f\x0b"
@@ -136,18 +137,13 @@ def dependencies(lines: DataFrame) -> DataFrame:
     return definitions(lines).select("path", "var", F.explode(F.regexp_extract_all("expr", F.lit(IDENT), F.lit(0))).alias("needs")).distinct()
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a round: in spark.checkpoint.dir, or where unset on the executors."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-
 def closure(deps: DataFrame) -> DataFrame:
     """(path, var, needs) with all that is needed on the way. Each round joins the result with itself, which doubles the reach, until nothing is new."""
-    out = deps.distinct().transform(_cut)
+    out = deps.distinct().transform(cut)
     n = out.count()
     while True:
         step = out.join(out.select("path", F.col("var").alias("needs"), F.col("needs").alias("next")), ["path", "needs"]).select("path", "var", F.col("next").alias("needs"))
-        out = out.union(step).distinct().transform(_cut)
+        out = out.union(step).distinct().transform(cut)
         size = out.count()
         if size == n:
             return out
@@ -161,15 +157,20 @@ def _assigned() -> Column:
     return by_language("language", rules.ASSIGNED, lambda r: F.nullif(F.regexp_extract("text", java(r), 1), F.lit("")), None)
 
 
-def taint_sources(lines: DataFrame) -> DataFrame:
-    """(path, var, source_type, line_no): variables assigned on a line with a source; later lines and types win."""
+def taint_events(lines: DataFrame) -> DataFrame:
+    """(path, var, line_no, rank, source_type): each kind of source on each line that assigns a variable."""
     t = F.col("text")
     kinds = [F.when(by_language("language", rules.USER_INPUT, lambda v: any_of(t, v), None), F.struct(F.lit(0).alias("rank"), F.lit("user_input").alias("source_type")))]
     for i, (k, v) in enumerate(rules.TAINT_SOURCES.items()):
         kinds.append(F.when(any_of(t, v), F.struct(F.lit(i + 1).alias("rank"), F.lit(k).alias("source_type"))))
     d = stripped(lines).where(F.contains("text", F.lit("="))).withColumn("var", _assigned()).where("var is not null")
     d = d.select("path", "line_no", "var", F.explode(F.filter(F.array(*kinds), lambda x: x.isNotNull())).alias("k"))
-    d = d.groupBy("path", "var").agg(F.max(F.struct("line_no", F.col("k.rank").alias("rank"), F.col("k.source_type").alias("source_type"))).alias("s"))
+    return d.select("path", "var", "line_no", "k.rank", "k.source_type")
+
+
+def taint_sources(lines: DataFrame) -> DataFrame:
+    """(path, var, source_type, line_no): variables assigned on a line with a source; later lines and types win."""
+    d = taint_events(lines).groupBy("path", "var").agg(F.max(F.struct("line_no", "rank", "source_type")).alias("s"))
     return d.select("path", "var", "s.source_type", "s.line_no")
 
 
@@ -214,6 +215,91 @@ def exploitable(sinks: DataFrame, tainted: DataFrame) -> DataFrame:
     return d.select("path", "line_no", "var", "sink_type", "regex_no", model.choose(s, model.SINK_CLASS, "INJECTION").alias("vuln_class"), model.choose(s, model.SINK_CWE, "CWE-20").alias("cwe_id"), model.choose(s, model.SINK_ADVICE, "Sanitize user input before use").alias("advice"), "confidence")
 
 
+def coverage(lines: DataFrame) -> DataFrame:
+    """By file: source events, tainted variables, sink events, sinks that are reached, sanitized variables, exploitable sinks.
+
+    Files without a source have no row: nothing is tainted there.
+    """
+    tainted = cut(propagate(lines))
+    by = lambda d, *aggs: d.groupBy("path").agg(*aggs)
+    n = F.count("*")
+    out = by(taint_events(lines), n.alias("sources")).join(by(tainted, n.alias("tracked")), "path")
+    sinks = by(taint_sinks(lines, tainted), n.alias("sinks"), F.count_if(F.col("exploitable")).alias("exploitable"))
+    out = out.join(sinks, "path", "left").join(by(sanitized(lines, tainted), n.alias("sanitized")), "path", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select("path", "sources", "tracked", zero("sinks"), F.coalesce("sinks", F.lit(0)).alias("reached"), zero("sanitized"), zero("exploitable"))
+
+
+def sink_complexity(sinks: DataFrame, tainted: DataFrame) -> DataFrame:
+    """Sinks with the length of the way to them, from the source over each propagation, and how hard it is to exploit."""
+    d = sinks.join(tainted.select("path", "var", "depth"), ["path", "var"]).withColumn("steps", F.col("depth") + 2)
+    level = F.when(F.col("steps") <= 2, "low").when(F.col("steps") <= 5, "medium").otherwise("high")
+    return d.select("path", "line_no", "var", "sink_type", "regex_no", "steps", level.alias("complexity"))
+
+
+def tainted_ranges(lines: DataFrame) -> DataFrame:
+    """(path, var, from_line, to_line): lines at which a tainted definition of a variable holds; the end of the file ends it."""
+    d = definitions(lines).groupBy("path", "var", F.col("line_no").alias("from_line")).agg(F.max("tainted").alias("tainted"))
+    d = d.withColumn("until", F.lead("from_line").over(Window.partitionBy("path", "var").orderBy("from_line")) - 1).where("tainted")
+    last = lines.groupBy("path").agg(F.max("line_no").alias("last"))
+    return d.join(last, "path").select("path", "var", "from_line", F.coalesce("until", "last").alias("to_line"))
+
+
+def is_tainted_at(ranges: DataFrame, var: Column, line: Column) -> DataFrame:
+    return ranges.where((F.col("var") == var) & line.between(F.col("from_line"), F.col("to_line")))
+
+
+def tainted_at(ranges: DataFrame) -> DataFrame:
+    """(path, line_no, vars): all tainted variables of every line that has any."""
+    d = ranges.select("path", "var", F.explode(F.sequence("from_line", "to_line")).alias("line_no"))
+    return d.groupBy("path", "line_no").agg(F.array_sort(F.collect_set("var")).alias("vars"))
+
+
+def line_path(first: Column, last: Column) -> Column:
+    """All lines from one to another; none where the last comes before the first."""
+    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+
+def tainted_symbols(lines: DataFrame) -> DataFrame:
+    """(path, line_no, var, sink_no): lines that name a tainted symbol and match a sink, for each sink."""
+    t = F.col("text")
+    sinks = by_language("language", rules.SINKS, lambda v: F.array(*[F.when(t.rlike(java(r)), i) for i, r in enumerate(v)]), F.array().cast("array<int>"))
+    at = lines.select("path", "line_no", "text", F.explode(F.filter(sinks, lambda x: x.isNotNull())).alias("sink_no"))
+    known = symbols(lines).where("tainted").select("path", F.col("name").alias("var"))
+    return at.join(known, "path").where(F.contains("text", F.col("var"))).select("path", "line_no", "var", "sink_no")
+
+
+def semantic_patterns(files: DataFrame, lines: DataFrame, nulls: DataFrame) -> DataFrame:
+    """(path, kind, line_no, confidence) of all semantic checks; a leak is of the whole file and stands at line 1.
+
+    ``nulls`` are null dereferences (path, line_no).
+    """
+    row = lambda d, kind, line, c: d.select("path", F.lit(kind).alias("kind"), F.col(line).cast("int").alias("line_no") if line else F.lit(1).alias("line_no"), F.lit(c).alias("confidence"))
+    out = row(tainted_symbols(lines), "tainted_flow", "line_no", 0.8).unionAll(row(unsafe_casts(lines), "unsafe_cast", "line_no", 0.5))
+    out = out.unionAll(row(resource_leaks(files), "resource_leak", None, 0.6)).unionAll(row(nulls, "null_deref", "line_no", 0.7))
+    return out.unionAll(row(privilege_lines(lines), "privilege_escalation", "line_no", 0.6))
+
+
+def scopes(files: DataFrame) -> DataFrame:
+    """(path, line_no, scope) of lines that change the scope: a function adds its name, a class sets its own, a lone } leaves.
+
+    Only such lines of a file are folded, on its own row.
+    """
+    d = files.select("path", F.split("content", "\n", -1).alias("ls"))
+    fn, cls = r"(?:def|function|func|fn)\s+(\w+)", r"class\s+(\w+)"
+    e = F.transform("ls", lambda x, i: F.struct((i + 1).alias("line_no"), F.regexp_extract(x, java(fn), 1).alias("fn"), F.regexp_extract(x, java(cls), 1).alias("cls"), x.rlike(r"^\s*\}\s*$").alias("ends")))
+    d = d.select("path", F.filter(e, lambda x: (x["fn"] != "") | (x["cls"] != "") | x["ends"]).alias("es")).where(F.size("es") > 0)
+
+    def step(a, x):
+        now = a["scope"]
+        up = F.when(F.contains(now, F.lit(".")), F.regexp_replace(now, r"\.[^.]*$", "")).otherwise("global")
+        new = F.when(x["fn"] != "", F.concat(now, F.lit("."), x["fn"])).when(x["cls"] != "", x["cls"]).otherwise(F.when(now == "global", now).otherwise(up))
+        return F.struct(new.alias("scope"), F.concat(a["out"], F.array(F.struct(x["line_no"].alias("line_no"), new.alias("scope")))).alias("out"))
+
+    start = F.struct(F.lit("global").alias("scope"), F.array().cast("array<struct<line_no:int,scope:string>>").alias("out"))
+    return d.select("path", F.explode(F.aggregate("es", start, step, lambda a: a["out"])).alias("o")).select("path", "o.line_no", "o.scope")
+
+
 # --- control flow and graphs -----------------------------------------------------------------------------------------
 
 
@@ -231,7 +317,7 @@ def reachable(edges: DataFrame, start: int = 0) -> DataFrame:
     seen = edges.select("path").distinct().withColumn("node", F.lit(start)).persist()
     front = seen
     while True:
-        front = front.withColumnRenamed("node", "src").join(edges, ["path", "src"]).select("path", F.col("dst").alias("node")).distinct().join(seen, ["path", "node"], "left_anti").transform(_cut)
+        front = front.withColumnRenamed("node", "src").join(edges, ["path", "src"]).select("path", F.col("dst").alias("node")).distinct().join(seen, ["path", "node"], "left_anti").transform(cut)
         if front.isEmpty():
             return seen
-        seen = seen.unionByName(front).transform(_cut)
+        seen = seen.unionByName(front).transform(cut)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from riskloom import rules
 from riskloom.functions.text import java
@@ -85,3 +86,15 @@ def incremental(lines: DataFrame, changed: Column, patterns: list[Pattern] = rul
     """Matches on changed lines only, the most confident of each rule and line; false positives stay."""
     m = match(lines.where(changed), patterns)
     return m.groupBy("path", "line_no", "pattern").agg(F.max("confidence").alias("confidence"))
+
+
+def ranked(matches: DataFrame) -> DataFrame:
+    """Matches of each file by falling score: adds place; ties by line, rule, regex and text."""
+    w = Window.partitionBy("path").orderBy(F.desc("score"), "line_no", "pattern", "regex_no", "matched")
+    return matches.withColumn("place", F.row_number().over(w))
+
+
+def applying(files: DataFrame, patterns: list[Pattern] = rules.PATTERNS) -> DataFrame:
+    """(path, pattern): the rules of a file's language."""
+    mine = F.filter(F.array(*[F.when(F.col("language").isin(list(p.languages)), p.name) for p in patterns]), lambda x: x.isNotNull())
+    return files.select("path", F.explode(mine).alias("pattern"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskloom import model, rules
 from riskloom.functions import text as T
-from riskloom.operators import features, matching
+from riskloom.operators import explain, features, matching
 from riskloom.operators.ml import rounded
 from riskloom.plans.registry import q, query, values
 from riskloom.sources.code import CORPUS_SQL, FILES_SQL, LINES_SQL, corpus, files, glob, glob_any, language_of, lines
@@ -123,6 +123,34 @@ def predict_classes(spark, sf_dir):
     return features.predict(features.features(files(spark, sf_dir))).withColumn("prob", rounded(F.col("prob")))
 
 
+_DANGER = f"gn AS (SELECT path, string_agg(name, ', ' ORDER BY name) AS names FROM (SELECT DISTINCT path, name FROM (SELECT path, language, unnest(regexp_extract_all(content, {q(features.CALL)}, 1)) AS name FROM files) JOIN known USING (language) WHERE list_contains(names, name) OR list_contains(names, regexp_extract(name, '([^.:]*)$', 1))) GROUP BY path)"
+_SAID = f"""CASE WHEN inputs > 0 THEN 'Code contains ' || inputs || ' potential input sources (user-controlled data)' END, CASE WHEN sinks > 0 THEN 'Code contains ' || sinks || ' sensitive output sinks' END, 'Uses potentially dangerous functions: ' || gn.names,
+    CASE WHEN taint_flows > 0 THEN 'Detected ' || taint_flows || ' potential taint flow paths' END, CASE WHEN unchecked > 0 THEN unchecked || ' return values may not be checked' END, reason"""
+
+
+@query(f"""{_FEATURES}, {LINES_SQL}, {_DANGER}, c AS (SELECT path, string_split(regexp_replace(content, '[^\\[\\](){{}}]', '', 'g'), '') AS cs FROM files), u AS (SELECT path, unnest(cs) AS ch, unnest(range(1, len(cs) + 1)) AS i FROM c),
+    s AS (SELECT path, i, sum(CASE WHEN ch IN ('(', '[', '{{') THEN 1 WHEN ch IN (')', ']', '}}') THEN -1 ELSE 0 END) OVER (PARTITION BY path ORDER BY i) AS d FROM u),
+    m AS (SELECT path, d - least(0, min(d) OVER (PARTITION BY path ORDER BY i)) AS depth FROM s), {_NEST}, y AS (SELECT feats.*, coalesce(nesting, 0) AS nesting FROM feats LEFT JOIN x USING (path)),
+    p AS ({' UNION ALL '.join(f"SELECT y.*, '{k[0]}' AS vuln_class, 1e0 / (1e0 + exp(-greatest(-500e0, least(500e0, {_logit(k[0])})))) AS prob FROM y" for k in model.CLASSES)}), k(vuln_class, regex) AS ({values(list(rules.LOCATIONS.items()))}), loc AS (SELECT path, vuln_class, min(line_no) AS line FROM lines, k WHERE regexp_matches(text, regex) GROUP BY 1, 2),
+    e(vuln_class, exploitability, impact, reason, remediation, refs) AS ({values([(x[0], x[7], x[8], model.REASONS.get(x[0]), ' | '.join(model.FIXES.get(x[0], model.FIXES['*'])), ' | '.join([*model.BASE_REFERENCES, *[v for k, v in model.REFERENCES.items() if k == x[0]]])) for x in model.CLASSES])})
+    SELECT p.path, p.vuln_class, CAST(coalesce(loc.line, 1) AS INTEGER) AS line_start, floor(prob * 1e6 + 0.5e0) / 1e6 AS overall, exploitability, impact, (0.6e0 * impact + 0.4e0 * exploitability) * 10e0 AS cvss, concat_ws(' | ', {_SAID}) AS reasoning, remediation, refs AS "references"
+    FROM p JOIN e ON e.vuln_class = p.vuln_class LEFT JOIN gn ON gn.path = p.path LEFT JOIN loc ON loc.path = p.path AND loc.vuln_class = p.vuln_class WHERE prob >= 0.5e0""")
+def prediction_results(spark, sf_dir):
+    d = explain.predictions(files(spark, sf_dir))
+    return d.select("path", "vuln_class", "line_start", rounded(F.col("overall")).alias("overall"), "exploitability", "impact", "cvss", *[F.array_join(c, " | ").alias(c) for c in ("reasoning", "remediation", "references")])
+
+
+@query(f"WITH files AS ({FILES_SQL}), k(language, pointers, manual_memory, garbage_collection, type_safety, bounds_checking, null_safety, common) AS ({values([(k, *f, ','.join(v)) for k, (f, v) in model.LANGUAGES.items()])}) SELECT path, pointers, manual_memory, garbage_collection, type_safety, bounds_checking, null_safety, common FROM files LEFT JOIN k USING (language)")
+def language_profiles(spark, sf_dir):
+    d = files(spark, sf_dir).select("path", explain.language_profile(F.col("language")).alias("p")).select("path", "p.*")
+    return d.withColumn("common", F.array_join("common", ","))
+
+
+@query(f"WITH files AS ({FILES_SQL}), k(pattern, languages) AS ({values([(p.name, p.languages) for p in rules.PATTERNS])}) SELECT path, pattern FROM files JOIN k ON list_contains(languages, language)")
+def patterns_of_files(spark, sf_dir):
+    return matching.applying(files(spark, sf_dir))
+
+
 @query(f"{_FILES}, {LINES_SQL}, k(vuln_class, regex) AS ({values(list(rules.LOCATIONS.items()))}), h AS (SELECT path, vuln_class, min(line_no) AS line FROM lines, k WHERE regexp_matches(text, regex) GROUP BY 1, 2) SELECT files.path, k.vuln_class, CAST(coalesce(line, 1) AS INTEGER) AS line FROM files CROSS JOIN k LEFT JOIN h ON h.path = files.path AND h.vuln_class = k.vuln_class")
 def vuln_location(spark, sf_dir):
     return features.locations(files(spark, sf_dir))
@@ -156,3 +184,8 @@ def match_summary(spark, sf_dir):
 @query(f"{_MATCHES} SELECT path, CAST(line_no AS INTEGER) AS line_no, pattern, max(confidence) AS confidence FROM matches WHERE line_no % 2 = 0 GROUP BY 1, 2, 3")
 def incremental_matches(spark, sf_dir):
     return matching.incremental(lines(files(spark, sf_dir)), F.col("line_no") % 2 == 0)
+
+
+@query(f"{_MATCHES} SELECT path, CAST(line_no AS INTEGER) AS line_no, pattern, regex_no, matched, score, CAST(row_number() OVER (PARTITION BY path ORDER BY score DESC, line_no, pattern, regex_no, matched) AS INTEGER) AS place FROM matches")
+def match_ranking(spark, sf_dir):
+    return matching.ranked(matching.match(lines(files(spark, sf_dir)))).select("path", "line_no", "pattern", "regex_no", "matched", "score", "place")

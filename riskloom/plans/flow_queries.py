@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom import model, rules
-from riskloom.operators import flow, graph
+from riskloom.operators import flow, graph, scan
 from riskloom.plans.registry import q, query, values
 from riskloom.sources.code import FILES_SQL, LINES_SQL, files, lines
 
@@ -20,6 +20,10 @@ def _lines(spark, sf_dir):
     return lines(files(spark, sf_dir))
 
 
+def _joined(name):
+    return F.array_join(F.transform(name, lambda x: x.cast("string")), ",").alias(name)
+
+
 def _case(table, one, default):
     return "CASE language " + " ".join(f"WHEN '{k}' THEN {one(v)}" for k, v in table.items() if k != "*") + f" ELSE {one(table['*']) if '*' in table else default} END"
 
@@ -170,6 +174,73 @@ def control_lines(spark, sf_dir):
     return flow.control_lines(_lines(spark, sf_dir))
 
 
+_SYMBOL_FLOWS = f"""{_table('snk2', [(k, i, r) for k, v in rules.SINKS.items() for i, r in enumerate(v)], 'language, sink_no, regex')},
+    tsf AS (SELECT lines.path, line_no, name AS var, sink_no FROM lines JOIN snk2 USING (language) JOIN (SELECT path, name FROM symbols WHERE tainted) s ON s.path = lines.path WHERE regexp_matches(text, regex) AND contains(text, name))"""
+
+
+@query(f"{_BASE}, {_SYMBOLS}, {_SYMBOL_FLOWS} SELECT path, CAST(line_no AS INTEGER) AS line_no, var, sink_no FROM tsf")
+def tainted_symbols(spark, sf_dir):
+    return flow.tainted_symbols(_lines(spark, sf_dir))
+
+
+@query(f"""{_BASE}, {_SYMBOLS}, {_SYMBOL_FLOWS}, {_table('cst', [(k, i, x) for k, v in rules.CASTS.items() for i, x in enumerate(v)], 'language, regex_no, regex')}, lk AS (SELECT path, CAST({_count(rules.OPENS)} AS INTEGER) AS opens, CAST({_count(rules.CLOSES)} AS INTEGER) AS closes FROM files),
+    bf AS (SELECT path, language, line_no, ls[line_no] AS text, array_to_string(ls[greatest(line_no - 3, 1):line_no], chr(10)) AS before FROM l1), nr(language, regex) AS ({values(list(rules.NULLS.items()))}), na AS (SELECT path, line_no AS assign_line, unnest(regexp_extract_all(text, regex, 1)) AS var FROM bf JOIN nr USING (language))
+    SELECT path, 'tainted_flow' AS kind, CAST(line_no AS INTEGER) AS line_no, 0.8e0 AS confidence FROM tsf UNION ALL SELECT path, 'unsafe_cast', CAST(line_no AS INTEGER), 0.5e0 FROM lines JOIN cst USING (language) WHERE regexp_matches(text, regex)
+    UNION ALL SELECT path, 'resource_leak', 1, 0.6e0 FROM lk WHERE opens > closes
+    UNION ALL SELECT bf.path, 'null_deref', CAST(line_no AS INTEGER), 0.7e0 FROM bf JOIN na ON na.path = bf.path AND line_no >= assign_line AND (contains(text, var || '.') OR contains(text, var || '->')) WHERE NOT regexp_matches(before, 'if\\s*\\(?\\s*' || var || '\\s*(?:!=|!==)\\s*(?:NULL|nullptr|null|None)')
+    UNION ALL SELECT path, 'privilege_escalation', CAST(line_no AS INTEGER), 0.6e0 FROM lines WHERE {_any(['(?i)' + r for r in rules.PRIVILEGES])}""")
+def semantic_patterns(spark, sf_dir):
+    f = files(spark, sf_dir)
+    return flow.semantic_patterns(f, lines(f), scan.null_derefs(f))
+
+
+_FN, _CLS = r"(?:def|function|func|fn)\s+(\w+)", r"class\s+(\w+)"
+
+
+@query(f"""{_BASE}, sc0 AS (SELECT path, line_no, regexp_extract(text, {q(_FN)}, 1) AS fn, regexp_extract(text, {q(_CLS)}, 1) AS cls, regexp_matches(text, '^\\s*\\}}\\s*$') AS ends FROM lines),
+    sc1 AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line_no) AS rn FROM sc0 WHERE fn <> '' OR cls <> '' OR ends),
+    sc AS (SELECT path, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS line_no, 'global' AS scope FROM sc1 WHERE rn = 1 UNION ALL SELECT sc.path, sc1.rn, sc1.line_no, CASE WHEN fn <> '' THEN scope || '.' || fn WHEN cls <> '' THEN cls WHEN scope = 'global' THEN scope WHEN contains(scope, '.') THEN regexp_replace(scope, '\\.[^.]*$', '') ELSE 'global' END FROM sc JOIN sc1 ON sc1.path = sc.path AND sc1.rn = sc.rn + 1)
+    SELECT path, CAST(line_no AS INTEGER) AS line_no, scope FROM sc WHERE rn > 0""")
+def scopes(spark, sf_dir):
+    return flow.scopes(files(spark, sf_dir))
+
+
+_RANGES = f"""{_DEFS}, tr0 AS (SELECT path, var, line_no AS from_line, bool_or(tainted) AS tainted FROM d1 GROUP BY 1, 2, 3), tr1 AS (SELECT *, lead(from_line) OVER (PARTITION BY path, var ORDER BY from_line) - 1 AS until FROM tr0),
+    tr AS (SELECT tr1.path, var, from_line, coalesce(until, last_line) AS to_line FROM tr1 JOIN (SELECT path, max(line_no) AS last_line FROM lines GROUP BY path) m ON m.path = tr1.path WHERE tainted)"""
+
+
+@query(f"{_BASE}, {_RANGES} SELECT path, var, from_line, CAST(to_line AS INTEGER) AS to_line FROM tr")
+def tainted_ranges(spark, sf_dir):
+    return flow.tainted_ranges(_lines(spark, sf_dir))
+
+
+@query(f"{_BASE}, {_RANGES} SELECT lines.path, CAST(line_no AS INTEGER) AS line_no, string_agg(DISTINCT var, ',' ORDER BY var) AS vars FROM lines JOIN tr ON tr.path = lines.path AND line_no BETWEEN from_line AND to_line GROUP BY 1, 2")
+def tainted_at_lines(spark, sf_dir):
+    return flow.tainted_at(flow.tainted_ranges(_lines(spark, sf_dir))).select("path", "line_no", F.array_join("vars", ",").alias("vars"))
+
+
+@query(f"""{_BASE}, {_DEFS}, {_USES}, {_table('snk', [(k, i, r) for k, v in rules.SINKS.items() for i, r in enumerate(v)], 'language, sink_no, regex')}, sat AS (SELECT path, line_no, sink_no FROM st JOIN snk USING (language) WHERE regexp_matches(text, regex)),
+    t AS (SELECT DISTINCT path, var, line_no AS def_line FROM d1 WHERE tainted)
+    SELECT t.path, t.var, def_line, sink_no, array_to_string(range(def_line, uses.line_no + 1), ',') AS way FROM t JOIN uses ON uses.path = t.path AND uses.var = t.var JOIN sat ON sat.path = t.path AND sat.line_no = uses.line_no""")
+def tainted_ways(spark, sf_dir):
+    d = flow.tainted_paths(_lines(spark, sf_dir)).withColumn("way", flow.line_path(F.col("def_line"), F.col("use_line")))
+    return d.select("path", "var", "def_line", "sink_no", _joined("way"))
+
+
+@query(f"""{_BASE}, {_SINKS}, {_table('san', [(k, x) for k, v in rules.SANITIZERS.items() for x in v], 'language, word')}, sz AS (SELECT DISTINCT st.path, tainted.var FROM st JOIN san ON san.language = st.language AND contains(text, word) JOIN tainted ON tainted.path = st.path AND contains(text, tainted.var)),
+    c1 AS (SELECT path, count(*) AS sources FROM s0 GROUP BY path), c2 AS (SELECT path, count(*) AS tracked FROM tainted GROUP BY path), c3 AS (SELECT path, count(*) AS sinks, count(*) FILTER (exploitable) AS exploitable FROM sinks GROUP BY path), c4 AS (SELECT path, count(*) AS sanitized FROM sz GROUP BY path)
+    SELECT c1.path, sources, tracked, coalesce(sinks, 0) AS sinks, coalesce(sinks, 0) AS reached, coalesce(sanitized, 0) AS sanitized, coalesce(exploitable, 0) AS exploitable FROM c1 JOIN c2 USING (path) LEFT JOIN c3 USING (path) LEFT JOIN c4 USING (path)""")
+def taint_coverage(spark, sf_dir):
+    return flow.coverage(_lines(spark, sf_dir))
+
+
+@query(f"{_BASE}, {_SINKS} SELECT sinks.path, line_no, sinks.var, sink_type, regex_no, CAST(depth + 2 AS INTEGER) AS steps, CASE WHEN depth + 2 <= 2 THEN 'low' WHEN depth + 2 <= 5 THEN 'medium' ELSE 'high' END AS complexity FROM sinks JOIN tainted ON tainted.path = sinks.path AND tainted.var = sinks.var")
+def sink_complexity(spark, sf_dir):
+    d = _lines(spark, sf_dir)
+    t = flow.propagate(d)
+    return flow.sink_complexity(flow.taint_sinks(d, t), t)
+
+
 _KIND = f"CASE WHEN {_case(rules.IFS, lambda r: f'regexp_matches(text, {q(r)})', 'false')} THEN 'if' WHEN {_case(rules.ELSES, lambda r: f'regexp_matches(text, {q(r)})', 'false')} THEN 'else' WHEN {_case(rules.LOOPS, lambda r: f'regexp_matches(text, {q(r)})', 'false')} THEN 'loop' WHEN regexp_matches(text, {q(rules.RETURNS)}) THEN 'return' END"
 _COND = "coalesce(nullif(regexp_extract(text, '(?:if|while|for)\\s*\\(([^)]+)\\)', 1), ''), regexp_extract(text, '(?:if|while|for)\\s+(.+):', 1))"
 _CFG = f"""k1 AS (SELECT path, line_no, text, {_KIND} AS kind, {_COND} AS condition, regexp_matches(text, '\\b(break|return|throw|raise)\\b') AS leaves FROM st),
@@ -195,10 +266,6 @@ def _graphs(spark, sf_dir):
     return graph.as_rows(nodes, graph.cfg_edges(f, nodes))
 
 
-def _joined(name):
-    return F.array_join(F.transform(name, lambda x: x.cast("string")), ",").alias(name)
-
-
 @query(f"{_BASE}, {_CFG} SELECT path, node, line_start, line_end, kind, condition, is_exit FROM cn")
 def cfg_nodes(spark, sf_dir):
     return graph.cfg_nodes(files(spark, sf_dir)).drop("leaves")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskloom import model
-from riskloom.operators import advisories, ml, report, risk
+from riskloom.operators import advisories, explain, ml, report, risk
 from riskloom.plans.registry import query, values
 from riskloom.sources.views import ADVISORIES_SQL, FINDINGS_SQL, findings
 from riskloom.sources.views import advisories as advisory_view
@@ -19,6 +19,8 @@ _CVSS = """, x AS (SELECT r.*, 8.22e0 * 0.85e0 * (CASE WHEN vuln_class IN ('RACE
         1e0 - (1e0 - c) * (1e0 - i) * (1e0 - a) AS isc, vuln_class IN ('CODE_EXECUTION', 'PRIVILEGE_ESCALATION') AS changed FROM r),
     y AS (SELECT *, CASE WHEN changed THEN 7.52e0 * (isc - 0.029e0) - 3.25e0 * pow(isc - 0.02e0, 15e0) ELSE 6.42e0 * isc END AS impact FROM x),
     z AS (SELECT *, ceil((CASE WHEN impact <= 0 THEN 0e0 ELSE least(CASE WHEN changed THEN 1.08e0 * (impact + exploitability) ELSE impact + exploitability END, 10e0) END) * 10e0) / 10e0 AS cvss FROM y)"""
+#: plain names that events stand for
+_PLAIN = {"error": "sql_injection", "purchase": "XSS", "click": "Crypto", "signup": "authentication", "view": "unknown"}
 _V = f"WITH v AS ({ADVISORIES_SQL})"
 
 
@@ -210,3 +212,22 @@ def isolation_scores(spark, sf_dir):
 @query()
 def forest_predictions(spark, sf_dir):
     return ml.train_forest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query(f"WITH f AS ({FINDINGS_SQL}), k(tag, name) AS ({values(list(_PLAIN.items()))}), n(name, cls) AS ({values(list(model.CLASS_NAMES.items()))}) SELECT id, coalesce(cls, 'INJECTION') AS vuln_class FROM f JOIN k USING (tag) LEFT JOIN n ON n.name = lower(k.name)")
+def class_names(spark, sf_dir):
+    return findings(spark, sf_dir).select("id", explain.class_of_name(model.choose(F.col("tag"), _PLAIN, "")).alias("vuln_class"))
+
+
+@query(f"WITH f AS ({FINDINGS_SQL}), {_CLASSES}, nt(cwe_id, cves) AS ({values([(k, ','.join(v)) for k, v in model.NOTABLE.items()])}), kw(vuln_class, words) AS ({values([(k, ','.join(v)) for k, v in model.KEYWORDS.items()])}) SELECT id, coalesce(cves, '') AS notable, coalesce(words, f.vuln_class) AS keywords FROM f JOIN classes USING (vuln_class) LEFT JOIN nt USING (cwe_id) LEFT JOIN kw USING (vuln_class)")
+def notable_advisories(spark, sf_dir):
+    c = F.col("vuln_class")
+    return findings(spark, sf_dir).select("id", F.array_join(advisories.notable(model.of_class(c, 6, "CWE-20")), ",").alias("notable"), F.array_join(advisories.keywords(c), ",").alias("keywords"))
+
+
+@query(f"""{_V}, d AS (SELECT cve_id, cvss, CASE WHEN cvss >= 9 THEN 'CRITICAL' WHEN cvss >= 7 THEN 'HIGH' WHEN cvss >= 4 THEN 'MEDIUM' ELSE 'LOW' END AS severity, repeat(cwe_id || ' ', 9) AS description FROM v)
+    SELECT cve_id, CASE severity WHEN 'CRITICAL' THEN '🔴' WHEN 'HIGH' THEN '🟠' WHEN 'MEDIUM' THEN '🟡' ELSE '🟢' END || ' ' || cve_id || ' (CVSS: ' || cvss || ')' AS shown, '| ' || cve_id || ' | ' || cvss || ' | ' || severity || ' | ' || CASE WHEN length(description) > 50 THEN substr(description, 1, 50) || '...' ELSE description END || ' |' AS row FROM d""")
+def cve_lines(spark, sf_dir):
+    s = F.when(F.col("cvss") >= 9, "CRITICAL").when(F.col("cvss") >= 7, "HIGH").when(F.col("cvss") >= 4, "MEDIUM").otherwise("LOW")
+    d = advisory_view(spark, sf_dir).select("cve_id", "cvss", s.alias("severity"), F.repeat(F.concat("cwe_id", F.lit(" ")), F.lit(9)).alias("description"))
+    return advisories.section_rows(d).select("cve_id", advisories.display(F.col("cve_id"), F.col("cvss"), F.col("severity")).alias("shown"), "row")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+import os
+from dataclasses import asdict, dataclass, field
 
 # File extension to language.
 EXTENSIONS = {
@@ -274,3 +276,27 @@ CRITICAL_CLASSES = ["CODE_EXECUTION", "INJECTION", "BUFFER_OVERFLOW", "DESERIALI
 
 # Conditions that limit a loop, with the variable that they limit.
 BOUNDED = [r"(\w+)\s*<\s*\w+", r"(\w+)\s*<=\s*\w+", r"(\w+)\s*in\s+range", r"(\w+)\s*:=\s*range"]
+
+
+def patterns_of(vuln_class: str | None = None, language: str | None = None, cwe: str | None = None, patterns: list[Pattern] | None = None) -> list[Pattern]:
+    """The rules of a class, a language, a CWE, or of all that are given."""
+    return [p for p in (PATTERNS if patterns is None else patterns) if vuln_class in (None, p.vuln_class) and (language is None or language in p.languages) and (cwe is None or cwe in p.cwes)]
+
+
+def save_patterns(path: str, patterns: list[Pattern]) -> None:
+    """Write rules as JSON, one for each line."""
+    with open(path, "w", encoding="utf-8") as f:
+        f.writelines(json.dumps(asdict(p), ensure_ascii=False) + "\n" for p in patterns)
+
+
+def load_patterns(path: str | None = None) -> list[Pattern]:
+    """The rules of a file, or the built-in ones where there is none."""
+    if path is None or not os.path.exists(path):
+        return list(PATTERNS)
+    with open(path, encoding="utf-8") as f:
+        return [Pattern(**{k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(x).items()}) for x in f if x.strip()]
+
+
+def update_patterns(known: list[Pattern], new: list[Pattern]) -> list[Pattern]:
+    """The known rules with the new ones; of one name, the new one."""
+    return list(({p.name: p for p in known} | {p.name: p for p in new}).values())

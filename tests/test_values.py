@@ -161,3 +161,32 @@ def test_graph_against_its_definitions():
                 assert got[i] == ({d for d in g.ids if d == i or i not in reach(roots, out, d, stop)} if i in alive else set(g.ids))
         ways = sorted(g.paths(n - 1))
         assert all(w[:1] == [0] and len(set(w)) == len(w) and n - 1 not in w for w in ways if n > 1)
+
+
+def test_taint_coverage_of_a_file(spark):
+    from riskloom.sources.code import corpus, lines
+
+    d = lines(corpus(spark).where("path = 'app.py'"))
+    assert [tuple(r) for r in flow.coverage(d).collect()] == [("app.py", 2, 4, 4, 4, 2, 4)]
+    t = flow.propagate(d)
+    assert {(r.steps, r.complexity) for r in flow.sink_complexity(flow.taint_sinks(d, t), t).collect()} == {(3, "medium")}
+
+
+def test_patterns_are_kept(tmp_path):
+    from riskloom import rules
+
+    own = rules.custom_pattern("Own", r"abc\d", "XSS", cwes=("CWE-79",))
+    path = str(tmp_path / "p.jsonl")
+    rules.save_patterns(path, [*rules.PATTERNS, own])
+    back = rules.load_patterns(path)
+    assert back == [*rules.PATTERNS, own] and rules.load_patterns(str(tmp_path / "none")) == rules.PATTERNS
+    assert [p.name for p in rules.patterns_of("XSS", "python", "CWE-79", [own])] == ["Own"] and not rules.patterns_of(cwe="CWE-0")
+    newer = rules.custom_pattern("Own", "x", "XSS")
+    assert rules.update_patterns(back, [newer])[-1] == newer and len(rules.update_patterns(back, [newer])) == len(back)
+
+
+def test_advisory_section():
+    from riskloom.operators import advisories
+
+    assert advisories.section([]) == "No related CVEs found."
+    assert advisories.section(["| a |"]).count("\n") == 2
