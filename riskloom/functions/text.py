@@ -32,20 +32,11 @@ def complexity(text) -> Column:
 
 
 def entropy(text) -> Column:
-    """Bits of a character's Shannon entropy: equal characters meet by sorting the row's own array."""
-    chars = F.sort_array(F.split(text, ""))
-    n = F.size(chars).cast("double")
-    runs = F.aggregate(
-        chars,
-        F.struct(F.lit("").alias("c"), F.lit(0.0).alias("k"), F.lit(0.0).alias("s")),
-        lambda a, c: F.when(a["c"] == c, F.struct(c.alias("c"), (a["k"] + 1.0).alias("k"), a["s"].alias("s"))).otherwise(F.struct(c.alias("c"), F.lit(1.0).alias("k"), (a["s"] + _klogk(a["k"])).alias("s"))),
-        lambda a: a["s"] + _klogk(a["k"]),
-    )
-    return F.when(F.char_length(text) > 0, F.log2(n) - runs / n).otherwise(0.0)
-
-
-def _klogk(k: Column) -> Column:
-    return F.when(k > 1, k * F.log2(k)).otherwise(0.0)
+    """Bits of a character's Shannon entropy; each different character is counted by what its removal takes off the text."""
+    n = F.char_length(text)
+    parts = F.transform(F.array_distinct(F.split(text, "")), lambda c: n - F.char_length(F.replace(text, c, F.lit(""))))
+    klogk = F.aggregate(parts, F.lit(0.0), lambda s, k: s + F.when(k > 1, k * F.log2(k)).otherwise(0.0))
+    return F.when(n > 0, F.log2(n.cast("double")) - klogk / n).otherwise(0.0)
 
 
 def nesting(text) -> Column:

@@ -2,7 +2,7 @@
 
 
 def _load():
-    from riskloom.plans import code_queries, flow_queries, registry, risk_queries, scan_queries  # noqa: F401
+    from riskloom.plans import code_queries, flow_queries, registry, risk_queries, scan_queries, vector_queries  # noqa: F401
 
     return registry
 

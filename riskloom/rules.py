@@ -274,6 +274,24 @@ PATTERNS = [
 ]
 CRITICAL_CLASSES = ["CODE_EXECUTION", "INJECTION", "BUFFER_OVERFLOW", "DESERIALIZATION"]
 
+# Words and regexes that a code vector counts, in their order.
+VECTOR_WORDS = """
+    if else for while return function def class public private static const var let int string try catch throw new delete import export from
+    true false null none nil void async await eval exec system query execute read write open password secret key token auth user admin root
+    http https url request response socket connect file path directory buffer memory pointer malloc
+""".split()
+VECTOR_REGEXES = [
+    r"(?i)password", r"(?i)secret", r"(?i)key", r"(?i)token", r"(?i)eval", r"(?i)exec", r"(?i)system", r"(?i)query", r"(?i)sql", r"(?i)injection", r"(?i)xss", r"(?i)csrf",
+    r"\$_", r"request\.", r"\.query", r"\.execute", r"strcpy", r"sprintf", r"gets", r"malloc", r"free", r"delete", r"new\s+", r"unsafe",
+    r"admin", r"root", r"sudo", r"chmod", r"http://", r"https://", r"ftp://", r"file://",
+]
+
+# Classes that an unusual feature (numbered from 1) speaks for.
+FEATURE_CLASSES = {
+    5: ["INJECTION", "XSS"], 6: ["INJECTION", "XSS"], 12: ["INJECTION", "XSS"], 8: ["BUFFER_OVERFLOW", "USE_AFTER_FREE"], 14: ["BUFFER_OVERFLOW", "USE_AFTER_FREE"],
+    7: ["CRYPTO_WEAKNESS"], 9: ["PATH_TRAVERSAL"], 10: ["SSRF"], 11: ["CODE_EXECUTION", "DESERIALIZATION"],
+}
+
 # Conditions that limit a loop, with the variable that they limit.
 BOUNDED = [r"(\w+)\s*<\s*\w+", r"(\w+)\s*<=\s*\w+", r"(\w+)\s*in\s+range", r"(\w+)\s*:=\s*range"]
 
@@ -300,3 +318,6 @@ def load_patterns(path: str | None = None) -> list[Pattern]:
 def update_patterns(known: list[Pattern], new: list[Pattern]) -> list[Pattern]:
     """The known rules with the new ones; of one name, the new one."""
     return list(({p.name: p for p in known} | {p.name: p for p in new}).values())
+
+# Words whose places an embedding notes.
+SENSITIVE = {"password", "secret", "key", "token", "auth", "eval", "exec", "system", "query", "sql"}
