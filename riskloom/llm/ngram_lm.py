@@ -31,6 +31,8 @@ U64 = np.uint64
 END = U64(0x5851F42D4C957F2D)
 #: bytes of text in one lookup, and keys that a counting task holds before it sums them
 LOOK_BYTES, HELD_KEYS = 2 << 20, 1_000_000
+#: most frequent words of each range that are asked whether they are histories too frequent for one range
+HEAVY_MOST = 64
 
 
 def _tokens(column):
@@ -64,15 +66,16 @@ def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Sorted keys as differences, byte plane by byte plane, and counts, compressed."""
     d = np.diff(keys, prepend=U64(0)).astype("<u8")
     planes = np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T)
-    return zlib.compress(np.array([len(d)], "<u8").tobytes() + planes.tobytes() + counts.astype("<u4").tobytes(), 1)
+    wide = np.dtype("<u8" if len(counts) and counts.max() >> 32 else "<u4")
+    return zlib.compress(np.array([len(d), wide.itemsize], "<u8").tobytes() + planes.tobytes() + counts.astype(wide).tobytes(), 1)
 
 
 def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = zlib.decompress(raw)
-    n = int(np.frombuffer(raw, "<u8", 1)[0])
-    planes = np.frombuffer(raw, np.uint8, 8 * n, 8).reshape(8, n)
+    n, wide = np.frombuffer(raw, "<u8", 2).tolist()
+    planes = np.frombuffer(raw, np.uint8, 8 * n, 16).reshape(8, n)
     d = np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
-    return np.cumsum(d.astype(U64)), np.frombuffer(raw, "<u4", n, 8 + 8 * n).astype(np.int64)
+    return np.cumsum(d.astype(U64)), np.frombuffer(raw, f"<u{wide}", n, 16 + 8 * n).astype(np.int64)
 
 
 class _Counter:
@@ -131,31 +134,33 @@ def _save(folder: str, kind: str, r: int, arrays: list[np.ndarray]) -> str:
     fs.create_dir(base, recursive=True)
     path = f"{base}/{kind}-{r:05d}-{TaskContext.get().taskAttemptId()}.bin"
     with fs.open_output_stream(path, compression=None) as f:
-        f.write(np.array([len(arrays[0])], "<u8").tobytes())
-        for a in arrays:
+        # counts take four bytes unless one of the file needs eight
+        narrow = [a if a.dtype == U64 or len(a) and a.max() >> 32 else a.astype("<u4") for a in arrays]
+        f.write(np.array([len(arrays[0]), *[a.dtype.itemsize for a in narrow]], "<u8").tobytes())
+        for a in narrow:
             f.write(np.ascontiguousarray(a))
     return path
 
 
-def _map(folder: str, path: str, types: list[str]) -> list[np.ndarray]:
+def _map(folder: str, path: str, columns: int) -> list[np.ndarray]:
     """The arrays of a file, memory-mapped if the folder is a local path."""
     from pyarrow import fs as afs
 
     fs, _ = local_path(folder)
     raw = np.memmap(path, np.uint8, "r") if isinstance(fs, afs.LocalFileSystem) else np.frombuffer(fs.open_input_file(path).read(), np.uint8)
-    n, at, out = int(raw[:8].view("<u8")[0]), 8, []
-    for t in types:
-        size = n * np.dtype(t).itemsize
-        out.append(raw[at : at + size].view(t))
-        at += size
+    n, *wide = raw[: 8 + 8 * columns].view("<u8").tolist()
+    at, out = 8 + 8 * columns, []
+    for w in wide:
+        out.append(raw[at : at + n * w].view(f"<u{w}"))
+        at += n * w
     return out
 
 
 class Table:
     """A sorted table in range files: (path, first position) by range, looked up in sorted batches."""
 
-    def __init__(self, folder: str, edges: np.ndarray, files: dict[int, tuple[str, int]], types: list[str]):
-        self.folder, self.edges, self.files, self.types = folder, edges, files, types
+    def __init__(self, folder: str, edges: np.ndarray, files: dict[int, tuple[str, int]], columns: int):
+        self.folder, self.edges, self.files, self.columns = folder, edges, files, columns
 
     def look(self, keys: np.ndarray, columns: list[int]) -> tuple[np.ndarray, list[np.ndarray]]:
         """Positions (-1 if absent) of sorted keys, and the columns' values (0 if absent)."""
@@ -165,7 +170,9 @@ class Table:
             a, b = int(cut[r]), int(cut[r + 1])
             if a == b:
                 continue
-            cols = _map(self.folder, path, self.types)
+            cols = _map(self.folder, path, self.columns)
+            if not len(cols[0]):
+                continue
             p = np.searchsorted(cols[0], keys[a:b])
             p[p == len(cols[0])] = 0
             ok = cols[0][p] == keys[a:b]
@@ -191,11 +198,14 @@ class Model:
     words: Table
     bigrams: Table
     histories: Table
+    #: (key, count, followers seen once, twice, more often) of histories that several ranges hold
+    heavy: np.ndarray
     tokens: int
     types: int
 
 
-_WORDS, _BIGRAMS, _CONT, _HIST = ["<u8", "<u4"], ["<u8", "<u4"], ["<u8", "<u4"], ["<u8", "<u4", "<u4", "<u4", "<u4"]
+#: arrays of a file: keys, and what belongs to them
+_WORDS, _BIGRAMS, _CONT, _HIST = 2, 2, 2, 5
 
 
 def _keys(pos: np.ndarray, rows: np.ndarray, begin: int) -> np.ndarray:
@@ -231,17 +241,20 @@ def train(docs: DataFrame, folder: str | None = None) -> Model:
 
     def word_files(batches):
         for r, k, c in _merged(batches):
-            path = _save(folder, "words", r, [k.astype("<u8"), c.astype("<u4")])
-            yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "path": [path], "types": pa.array([len(k)], pa.int64()), "tokens": pa.array([int(c.sum())], pa.int64())})
+            path = _save(folder, "words", r, [k, c])
+            top = np.argsort(-c, kind="stable")[:HEAVY_MOST]
+            yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "path": [path], "types": pa.array([len(k)], pa.int64()), "tokens": pa.array([int(c.sum())], pa.int64()), "top": pa.array([top.tolist()], pa.list_(pa.int64())), "times": pa.array([c[top].tolist()], pa.list_(pa.int64())), "ends": pa.array([int(c[k == END].sum())], pa.int64())})
 
-    def by_range(df):
-        return df.repartition(n, "range").sortWithinPartitions("range")
+    def by_range(df, parts=n):
+        return df.repartition(parts, "range").sortWithinPartitions("range")
 
     m = Model()
-    made = by_range(texts.mapInArrow(count_words, _BLOCK)).mapInArrow(word_files, "range int, path string, types long, tokens long")
-    files, first = {}, 0
+    made = by_range(texts.mapInArrow(count_words, _BLOCK)).mapInArrow(word_files, "range int, path string, types long, tokens long, top array<long>, times array<long>, ends long")
+    files, first, often, ends = {}, 0, [], 0
     for r in sorted(made.collect(), key=lambda r: r.range):  # a row for each of the n files
         files[r.range] = (r.path, first)
+        often += [(first + i, c) for i, c in zip(r.top, r.times, strict=True)]
+        ends += r.ends
         first += r.types
         m.tokens = getattr(m, "tokens", 0) + r.tokens
     m.types, m.tokens = first, getattr(m, "tokens", 0)
@@ -250,7 +263,12 @@ def train(docs: DataFrame, folder: str | None = None) -> Model:
     m.words = Table(folder, edges, files, _WORDS)
     # ranges of bigrams by history and of continuations by word, with as many words in each
     steps = np.unique(1 + np.arange(1, n) * (m.types + 2) // n).astype(U64)
-    pair_edges = steps << U64(32)
+    # histories with more than a range's share of all tokens are cut by word too; at most 2 * n + 2 edges more
+    share = max(1.0, m.tokens / n)
+    heavy = {at + 1: c for at, c in [*often, (m.types, ends)] if c > share}
+    cuts = [h << 32 | j * (m.types + 2) // -(-c // int(share)) for h, c in heavy.items() for j in range(-(-c // int(share)))] + [h + 1 << 32 for h in heavy]
+    pair_edges = np.unique(np.r_[steps << U64(32), np.array(cuts, U64)])
+    heavy_keys = np.array(sorted(heavy), U64)
     held = spark.sparkContext.broadcast(m.words)
     begin = m.types
 
@@ -266,26 +284,33 @@ def train(docs: DataFrame, folder: str | None = None) -> Model:
 
     def pair_files(batches):
         for r, k, c in _merged(batches):
-            path = _save(folder, "bigrams", r, [k.astype("<u8"), c.astype("<u4")])
+            path = _save(folder, "bigrams", r, [k, c])
             h = k >> U64(32)
             cut = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             stats = [np.add.reduceat(x.astype(np.int64), cut) for x in (c, c == 1, c == 2, c >= 3)]
-            hist = _save(folder, "histories", r, [h[cut].astype("<u8"), *[x.astype("<u4") for x in stats]])
+            own = ~np.isin(h[cut], heavy_keys)
+            hist = _save(folder, "histories", r, [h[cut][own], *[x[own] for x in stats]])
+            part = np.stack([h[cut].astype(np.int64), *stats], 1)[~own].reshape(-1).tolist()
             w, before = np.unique(k & U64(0xFFFFFFFF), return_counts=True)
-            yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "block": pa.array([None], pa.binary()), "path": [path], "hist": [hist], "counts": pa.array([np.bincount(np.minimum(c, 5), minlength=6)[1:5].tolist()], pa.list_(pa.int64())), "size": pa.array([len(k)], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "block": pa.array([None], pa.binary()), "path": [path], "hist": [hist], "part": pa.array([part], pa.list_(pa.int64())), "counts": pa.array([np.bincount(np.minimum(c, 5), minlength=6)[1:5].tolist()], pa.list_(pa.int64())), "size": pa.array([len(k)], pa.int64())})
             at = np.r_[0, np.searchsorted(w, steps), len(w)]
             for b in np.flatnonzero(np.diff(at)):
-                yield pa.RecordBatch.from_pydict({"range": pa.array([b], pa.int32()), "block": [_pack(w[at[b] : at[b + 1]], before[at[b] : at[b + 1]])], "path": pa.array([None], pa.string()), "hist": pa.array([None], pa.string()), "counts": pa.array([None], pa.list_(pa.int64())), "size": pa.array([None], pa.int64())})
+                yield pa.RecordBatch.from_pydict({"range": pa.array([b], pa.int32()), "block": [_pack(w[at[b] : at[b + 1]], before[at[b] : at[b + 1]])], "path": pa.array([None], pa.string()), "hist": pa.array([None], pa.string()), "part": pa.array([None], pa.list_(pa.int64())), "counts": pa.array([None], pa.list_(pa.int64())), "size": pa.array([None], pa.int64())})
 
     def cont_files(batches):
         for r, w, c in _merged(batches):
-            path = _save(folder, "continuations", r, [w.astype("<u8"), c.astype("<u4")])
+            path = _save(folder, "continuations", r, [w, c])
             yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "path": [path], "counts": pa.array([np.r_[np.bincount(np.minimum(c, 5), minlength=6)[1:5], (c >= 3).sum()].tolist()], pa.list_(pa.int64())), "total": pa.array([int(c.sum())], pa.int64())})
 
-    pairs = materialize(by_range(texts.mapInArrow(count_pairs, _BLOCK)).mapInArrow(pair_files, _BLOCK + ", path string, hist string, counts array<long>, size long"), "pairs")
-    done = pairs.where("path is not null").select("range", "path", "hist", "counts", "size").collect()
+    pairs = materialize(by_range(texts.mapInArrow(count_pairs, _BLOCK), len(pair_edges) + 1).mapInArrow(pair_files, _BLOCK + ", path string, hist string, part array<long>, counts array<long>, size long"), "pairs")
+    done = pairs.where("path is not null").select("range", "path", "hist", "part", "counts").collect()  # a row for each range
     m.bigrams = Table(folder, pair_edges, {r.range: (r.path, 0) for r in done}, _BIGRAMS)
-    m.histories = Table(folder, steps, {r.range: (r.hist, 0) for r in done}, _HIST)
+    m.histories = Table(folder, (pair_edges + U64(0xFFFFFFFF)) >> U64(32), {r.range: (r.hist, 0) for r in done}, _HIST)
+    m.heavy = np.zeros((len(heavy_keys), 5), np.int64)
+    m.heavy[:, 0] = heavy_keys
+    for r in done:
+        for h, *x in np.array(r.part or [], np.int64).reshape(-1, 5).tolist():
+            m.heavy[np.searchsorted(heavy_keys, U64(h)), 1:] += x
     m.d2 = _discounts([sum(r.counts[i] for r in done) for i in range(4)])
     conts = by_range(pairs.where("block is not null").select("range", "block")).mapInArrow(cont_files, "range int, path string, counts array<long>, total long").collect()
     m.cont = Table(folder, steps, {r.range: (r.path, 0) for r in conts}, _CONT)
@@ -307,7 +332,13 @@ def score_text(m: Model, hashes: np.ndarray, rows: np.ndarray):
     k, inv = np.unique(_keys(pos, rows, m.types), return_inverse=True)
     _, (c2,) = m.bigrams.look(k, [1])
     h, back = np.unique(k >> U64(32), return_inverse=True)
-    _, (ch, n1, n2, n3) = m.histories.look(h, [1, 2, 3, 4])
+    _, figures = m.histories.look(h, [1, 2, 3, 4])
+    if len(m.heavy):
+        at = np.minimum(np.searchsorted(m.heavy[:, 0], h.astype(np.int64)), len(m.heavy) - 1)
+        hot = m.heavy[at, 0] == h.astype(np.int64)
+        for i, x in enumerate(figures):
+            x[hot] = m.heavy[at[hot], i + 1]
+    ch, n1, n2, n3 = figures
     w, word = np.unique(k & U64(0xFFFFFFFF), return_inverse=True)
     _, (cont,) = m.cont.look(w, [1])
     low = _cut(cont, m.d1) / m.pairs + m.rest / (m.types + 1)
