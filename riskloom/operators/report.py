@@ -42,3 +42,83 @@ def write_sarif_results(findings: DataFrame, path: str) -> None:
     s = sarif(findings)
     place = F.array(F.struct(F.struct(F.struct(F.col("uri").alias("uri")).alias("artifactLocation"), F.struct(F.col("line_start").alias("startLine")).alias("region")).alias("physicalLocation")))
     s.select(F.col("rule_id").alias("ruleId"), "level", F.struct(F.col("title").alias("text")).alias("message"), place.alias("locations"), F.struct(F.col("line_hash").alias("primaryLocationLineHash")).alias("partialFingerprints")).write.mode("overwrite").json(path)
+
+
+# --- whole reports ---------------------------------------------------------------------------------------------------
+
+MARKS = {"CRITICAL": "🔴", "HIGH": "🟠", "MEDIUM": "🟡", "LOW": "🟢", "INFO": "🔵"}
+FORMATS = ("html", "json", "sarif", "markdown", "md")
+
+
+def described(findings: DataFrame) -> DataFrame:
+    """Adds cwe_id and remediation by class, and percent, the confidence as a whole number."""
+    c = F.col("vuln_class")
+    return findings.withColumns({"cwe_id": model.of_class(c, 6, "CWE-20"), "remediation": F.array_join(model.choose(c, {k: v for k, v in model.REMEDIATION.items() if k != "*"}, model.REMEDIATION["*"]), "; "), "percent": F.round(F.col("confidence") * 100).cast("int").cast("string")})
+
+
+def _quoted(col: Column) -> Column:
+    """A JSON string, without the marks."""
+    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        col = F.replace(col, F.lit(a), F.lit(b))
+    return col
+
+
+def _text(*parts) -> Column:
+    return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+
+
+def rendered(findings: DataFrame) -> DataFrame:
+    """Described findings with json, markdown and html, a finding's part of each report."""
+    c = F.col
+    at = _text(c("file_path"), ":", c("line_start").cast("string"))
+    mark = model.choose(c("severity"), MARKS, "🔵")
+    json_ = _text('{"id":"', c("id").cast("string"), '","vuln_class":"', c("vuln_class"), '","severity":"', c("severity"), '","confidence":', c("confidence").cast("string"), ',"title":"', _quoted(c("title")), '","location":{"file":"', _quoted(c("file_path")), '","line_start":', c("line_start").cast("string"), '},"cwe_id":"', c("cwe_id"), '","remediation":"', _quoted(c("remediation")), '"}')
+    markdown = _text("### ", mark, " ", c("title"), "\n\n**Severity:** ", c("severity"), "  \n**Vulnerability Type:** ", c("vuln_class"), "  \n**Location:** `", at, "`  \n**Confidence:** ", c("percent"), "%  \n**CWE:** ", c("cwe_id"), "\n\n", c("remediation"), "\n")
+    html = _text('<article class="', F.lower("severity"), '"><h3>', escape_html(c("title")), "</h3><p>", c("severity"), " | ", escape_html(at), " | ", c("vuln_class"), " | ", c("cwe_id"), " | ", c("percent"), "%</p><p>", escape_html(c("remediation")), "</p></article>")
+    return findings.withColumns({"json": json_, "markdown": markdown, "html": html})
+
+
+def _ordered(findings: DataFrame) -> DataFrame:
+    """Gravest and surest first."""
+    return findings.withColumn("rank", F.struct((-model.severity_rank(F.col("severity"))).alias("s"), (-F.col("confidence")).alias("c"), F.col("id").alias("i")))
+
+
+def report(findings: DataFrame, format: str, target: str, when: str) -> DataFrame:
+    """(place, rank, value): the lines of a report in order, for ``write_report`` or a reader of one's own.
+
+    Findings have id, severity, vuln_class, confidence, file_path, line_start and title. Only counts by severity and class come to the driver.
+    """
+    if format not in FORMATS:
+        raise ValueError(f"unsupported format: {format}")
+    n = {s[0]: 0 for s in model.SEVERITIES} | {r.severity: r.n for r in findings.groupBy("severity").agg(F.count("*").alias("n")).collect()}
+    files = findings.select(F.count_distinct("file_path").alias("n")).first().n
+    d = _ordered(rendered(described(findings)))
+    first = d.agg(F.min("rank").alias("first"))  # one row
+    d = d.crossJoin(first).withColumn("lead", F.when(F.col("rank") == F.col("first"), "").otherwise(","))
+    total = sum(n.values())
+    if format == "json":
+        counts = ",".join(f'"{k}":{v}' for k, v in n.items())
+        quoted = target.replace("\\", "\\\\").replace('"', '\\"')
+        head, body, tail = f'{{"target":"{quoted}","timestamp":"{when}","statistics":{{"files":{files},"total_findings":{total},"findings_by_severity":{{{counts}}}}},"findings":[', F.concat("lead", "json"), "]}"
+    elif format == "sarif":
+        s = sarif(d)
+        place = F.array(F.struct(F.struct(F.struct(F.col("uri").alias("uri")).alias("artifactLocation"), F.struct(F.col("line_start").alias("startLine")).alias("region")).alias("physicalLocation")))
+        one = F.struct(F.col("rule_id").alias("ruleId"), "level", F.struct(F.col("title").alias("text")).alias("message"), place.alias("locations"), F.struct(F.col("line_hash").alias("primaryLocationLineHash")).alias("partialFingerprints"))
+        d = s
+        named = ",".join(f'{{"id":"{c[0]}"}}' for c in model.CLASSES)
+        head, body, tail = f'{{"version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"riskloom","rules":[{named}]}}}},"results":[', F.concat("lead", F.to_json(one)), "]}]}"
+    elif format == "html":
+        cells = "".join(f"<li>{k}: {v}</li>" for k, v in n.items())
+        safe = target.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+        head, body, tail = f"<!DOCTYPE html><html><head><meta charset=\"utf-8\"><title>Scan of {safe}</title></head><body><h1>Scan of {safe}</h1><p>{when}, {files} files</p><ul>{cells}</ul><h2>Findings ({total})</h2>", F.col("html"), "</body></html>"
+    else:
+        rows = "\n".join(f"| {MARKS[k]} {k} | {v} |" for k, v in n.items())
+        head, body, tail = f"# Scan of `{target}`\n\n{when}, {files} files, {total} findings\n\n| Severity | Count |\n|----------|-------|\n{rows}\n\n## Findings\n", F.col("markdown"), "Findings should be reviewed; some may be false."
+    ends = findings.sparkSession.createDataFrame([(0, head), (2, tail)], "place int, value string")
+    mine = d.select(F.lit(1).alias("place"), "rank", body.alias("value"))
+    return mine.unionByName(ends.withColumn("rank", F.lit(None).cast(mine.schema["rank"].dataType)))
+
+
+def write_report(findings: DataFrame, format: str, target: str, when: str, path: str) -> None:
+    """Write a report as text parts that, in order of their names, are one document; executors write them."""
+    report(findings, format, target, when).orderBy("place", "rank").select("value").write.mode("overwrite").text(path)

@@ -231,3 +231,14 @@ def cve_lines(spark, sf_dir):
     s = F.when(F.col("cvss") >= 9, "CRITICAL").when(F.col("cvss") >= 7, "HIGH").when(F.col("cvss") >= 4, "MEDIUM").otherwise("LOW")
     d = advisory_view(spark, sf_dir).select("cve_id", "cvss", s.alias("severity"), F.repeat(F.concat("cwe_id", F.lit(" ")), F.lit(9)).alias("description"))
     return advisories.section_rows(d).select("cve_id", advisories.display(F.col("cve_id"), F.col("cvss"), F.col("severity")).alias("shown"), "row")
+
+
+_FIX = "CASE vuln_class " + " ".join(f"WHEN '{c}' THEN '" + "; ".join(v).replace("'", "''") + "'" for c, v in model.REMEDIATION.items() if c != "*") + f" ELSE '{model.REMEDIATION['*'][0]}' END"
+
+
+@query(f"""WITH f AS ({FINDINGS_SQL}), {_CLASSES}, d AS (SELECT f.*, cwe_id, {_FIX} AS fix, CAST(round(confidence * 100) AS INTEGER) AS pct, CASE severity {' '.join(f"WHEN '{s}' THEN '{m}'" for s, m in report.MARKS.items())} END AS mark, file_path || ':' || line_start AS spot FROM f JOIN classes USING (vuln_class))
+    SELECT id, '{{"id":"' || id || '","vuln_class":"' || vuln_class || '","severity":"' || severity || '","confidence":' || confidence || ',"title":"' || title || '","location":{{"file":"' || file_path || '","line_start":' || line_start || '}},"cwe_id":"' || cwe_id || '","remediation":"' || fix || '"}}' AS json,
+    '### ' || mark || ' ' || title || chr(10) || chr(10) || '**Severity:** ' || severity || '  ' || chr(10) || '**Vulnerability Type:** ' || vuln_class || '  ' || chr(10) || '**Location:** `' || spot || '`  ' || chr(10) || '**Confidence:** ' || pct || '%  ' || chr(10) || '**CWE:** ' || cwe_id || chr(10) || chr(10) || fix || chr(10) AS markdown,
+    '<article class="' || lower(severity) || '"><h3>' || title || '</h3><p>' || severity || ' | ' || spot || ' | ' || vuln_class || ' | ' || cwe_id || ' | ' || pct || '%</p><p>' || fix || '</p></article>' AS html FROM d""")
+def report_parts(spark, sf_dir):
+    return report.rendered(report.described(findings(spark, sf_dir))).select("id", "json", "markdown", "html")
