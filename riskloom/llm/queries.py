@@ -83,4 +83,24 @@ SQL: dict[str, str] = {
                CASE WHEN page_id IS DISTINCT FROM response THEN response END AS refers_to
         FROM p LEFT JOIN g USING (payload_digest)
     """,
+    "op6_ngram_jaccard": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+        ), i AS (
+            SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM w WHERE len(ws) > 0
+        ), s AS (
+            SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS t FROM i
+        ), n AS (
+            SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), p AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY 1, 2
+        ), l AS (
+            SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)
+        ), r AS (
+            SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b
+        ), c AS (
+            SELECT a, min(b) AS component_id FROM r GROUP BY a
+        )
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = doc_id
+    """,
 }
