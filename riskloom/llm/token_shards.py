@@ -35,7 +35,7 @@ BLOCK = 512
 SHARD_TOKENS = 2_000_000
 MANIFEST = "task int, seq int, path string, docs long, tokens long"
 #: entries in each of the two generations of a worker's store, and bytes of text encoded at once
-KEPT, SLICE = 500_000, 4 << 20
+KEPT, SLICE = 800_000, 4 << 20
 #: parts of words in one call of the library
 PARTS_AT_ONCE = 500
 
@@ -88,7 +88,7 @@ class _Store:
     """Ids by the bytes of a part: sorted hashes, and where bytes and ids stand."""
 
     def __init__(self, dtype):
-        self.keys, self.spans = np.zeros(0, vt.U64), np.zeros((4, 0), np.int64)
+        self.keys, self.spans = np.zeros(0, vt.U64), np.zeros((4, 0), np.int32)
         self.text, self.ids = np.zeros(0, np.uint8), np.zeros(0, dtype)
 
     def find(self, keys: np.ndarray, text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -106,7 +106,7 @@ class _Store:
 
     def add(self, keys: np.ndarray, text: np.ndarray, sizes: np.ndarray, ids: np.ndarray, many: np.ndarray) -> None:
         """Entries with their bytes and ids, one after another; keys that are there already stay as they are."""
-        spans = np.stack((len(self.text) + np.cumsum(sizes) - sizes, sizes, len(self.ids) + np.cumsum(many) - many, many))
+        spans = np.stack((len(self.text) + np.cumsum(sizes) - sizes, sizes, len(self.ids) + np.cumsum(many) - many, many)).astype(np.int32)
         keys, spans = np.concatenate((self.keys, keys)), np.concatenate((self.spans, spans), 1)
         order = np.argsort(keys, kind="stable")
         new = np.r_[True, keys[order][1:] != keys[order][:-1]]
@@ -138,6 +138,12 @@ class WordEncoder:
         # cutting is safe only for these: no pretoken holds white space, and parts are what _KIND says
         self.cut = ids("a b") == ids("a", "b")
         self.parts = ids("AÀb12.,Ðx;ß 7é") == ids("aàb", "1", "2", ".,", "ðx", ";", "ß", "7", "é")
+        # parts are small letters and cut already: the same model without its own rules for that is faster
+        plain = json.loads(model) | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}]}}
+        probe = "the àß 1 ., zzyx ðé --- q"
+        self.of_parts = self.t
+        if self.parts and (lean := Tokenizer.from_str(json.dumps(plain))).encode(probe, add_special_tokens=False).ids == ids(probe):
+            self.of_parts = lean
 
     def _each(self, chunks: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.t.encode_batch_fast(chunks, add_special_tokens=False)]
@@ -145,7 +151,7 @@ class WordEncoder:
     def _block(self, block: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of parts, and how many each has."""
         if self.is_end is not None:
-            ids = np.array(self.t.encode(" ".join(block), add_special_tokens=False).ids, self.dtype)
+            ids = np.array(self.of_parts.encode(" ".join(block), add_special_tokens=False).ids, self.dtype)
             ends = np.flatnonzero(self.is_end[ids]) + 1 if len(ids) else ids
             if len(ends) == len(block) and ends[-1] == len(ids):
                 return ids, np.diff(ends, prepend=0)
@@ -173,21 +179,16 @@ class WordEncoder:
         if not self.parts or not len(starts):
             return raw, starts, ends, np.ones(len(starts), bool), np.arange(len(starts) + 1)
         kind, text = _kinds(raw)
-        sums = np.zeros(len(raw) + 1, np.int64)
+        sums = np.zeros(len(raw) + 1, np.int32)
         np.cumsum(kind == _HARD, out=sums[1:])
         whole = sums[ends] > sums[starts]  # words with a hard byte
         first = np.zeros(len(raw) + 1, bool)
         first[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
-        edge = np.zeros(len(raw) + 1, np.int64)
-        edge[starts] = 1
-        edge[ends] -= 1
-        inside = np.cumsum(edge)[:-1] > 0
-        keep = np.repeat(whole, ends - starts)
-        flat = np.flatnonzero(inside)
-        first[flat[keep]] = False
-        text[flat[keep]] = raw[flat[keep]]
+        first[:-1] &= ~vt.SPACE[raw]
+        at = _places(starts[whole], (ends - starts)[whole])
+        first[at] = False
+        text[at] = raw[at]
         first[starts] = True
-        first[:-1] &= inside
         begin = np.flatnonzero(first[:-1])
         word = np.searchsorted(starts, begin, "right") - 1
         end = np.minimum(np.r_[begin[1:], len(raw)], ends[word])

@@ -19,8 +19,8 @@ _MIX = (U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53))
 SHORT = 64
 #: keeps the low 0 to 8 bytes of eight
 KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: bytes hashed at once; longer batches are cut between rows, a longer row has a slice of its own
@@ -63,7 +63,7 @@ def words(raw: np.ndarray, bounds: np.ndarray, lower: bool = False):
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(bounds), np.int64)
-    text = ~_SPACE[raw]
+    text = ~SPACE[raw]
     first = text.copy()
     first[1:] &= ~text[:-1]
     cut = bounds[1:-1]
