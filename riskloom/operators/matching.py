@@ -82,10 +82,19 @@ def summarize(matches: DataFrame) -> DataFrame:
     return matches.groupBy("pattern", "vuln_class").agg(F.count("*").alias("n"), F.count("fp_reason").alias("false_positives"), F.avg("confidence").alias("avg_confidence"))
 
 
-def incremental(lines: DataFrame, changed: Column, patterns: list[Pattern] = rules.PATTERNS) -> DataFrame:
-    """Matches on changed lines only, the most confident of each rule and line; false positives stay."""
-    m = match(lines.where(changed), patterns)
-    return m.groupBy("path", "line_no", "pattern").agg(F.max("confidence").alias("confidence"))
+def incremental(files: DataFrame, changed: DataFrame, around: int = 5, patterns: list[Pattern] = rules.PATTERNS) -> DataFrame:
+    """(path, line_no, pattern, confidence): matches on changed lines (path, line_no) and ``around`` lines on each side.
+
+    Each changed line's neighbourhood is the context of all in it; of one rule and line, the most confident match
+    stays, false positives too. Files without a changed line leave before their lines are made.
+    """
+    at = changed.groupBy("path").agg(F.array_sort(F.collect_set(F.col("line_no").cast("int"))).alias("at"))
+    d = files.join(at, "path").select("path", "language", F.split("content", "\n", -1).alias("ls"), F.explode("at").alias("mid")).where(F.col("mid").between(1, F.size("ls")))
+    d = d.withColumn("first", F.greatest(F.col("mid") - around, F.lit(1)))
+    d = d.select("path", "language", "first", F.slice("ls", F.col("first"), F.col("mid") + around - F.col("first") + 1).alias("chunk"))
+    d = d.select("path", "language", F.posexplode("chunk").alias("i", "text"), (F.col("first")).alias("first"), F.array_join("chunk", "\n").alias("context"))
+    near = d.select("path", "language", (F.col("first") + F.col("i")).alias("line_no"), "text", "context")
+    return match(near, patterns).groupBy("path", "line_no", "pattern").agg(F.max("confidence").alias("confidence"))
 
 
 def ranked(matches: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from riskloom.functions import text as T
 from riskloom.operators import explain, features, matching
 from riskloom.operators.ml import rounded
 from riskloom.plans.registry import q, query, values
-from riskloom.sources.code import CORPUS_SQL, FILES_SQL, LINES_SQL, corpus, files, glob, glob_any, language_of, lines
+from riskloom.sources.code import FILES_SQL, LINES_SQL, files, glob, glob_any, lines
 
 # In the twins, characters beyond ASCII become a letter, so that RE2's ASCII classes see the words that Unicode classes do.
 _FILES = f"WITH files AS ({FILES_SQL}), plain AS (SELECT path, language, content, regexp_replace(content, '[^\\x00-\\x7F]', 'x', 'g') AS a FROM files)"
@@ -30,7 +30,7 @@ def collect_files_glob(spark, sf_dir):
     return p.where(glob_any(F.col("url"), ["*example*"]) | F.col("url").rlike("(?i)^.*/page/?.*$")).where(~glob(F.col("url"), "*1?")).select("page_id", "url")
 
 
-@query(f"WITH files AS ({CORPUS_SQL}) SELECT path, language, CASE " + " ".join(f"WHEN {' OR '.join(f'regexp_matches(content, {q(r)})' for r in rs)} THEN '{k}'" for k, rs in rules.MARKERS.items()) + " ELSE 'unknown' END AS guessed FROM files")
+@query(f"WITH files AS ({FILES_SQL}) SELECT path, language, CASE " + " ".join(f"WHEN {' OR '.join(f'regexp_matches(content, {q(r)})' for r in rs)} THEN '{k}'" for k, rs in rules.MARKERS.items()) + " ELSE 'unknown' END AS guessed FROM files")
 def language_dispatch(spark, sf_dir):
     out = F.lit("unknown")
     for k, rs in reversed(rules.MARKERS.items()):
@@ -38,7 +38,7 @@ def language_dispatch(spark, sf_dir):
         for r in rs:
             hit = hit | F.col("content").rlike(r)
         out = F.when(hit, k).otherwise(out)
-    return corpus(spark).select("path", language_of(F.col("path")).alias("language"), out.alias("guessed"))
+    return files(spark, sf_dir).select("path", "language", out.alias("guessed"))
 
 
 @query("""WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents), n AS (SELECT doc_id, ch, count(*) AS k FROM c WHERE ch <> '' GROUP BY 1, 2), t AS (SELECT doc_id, CAST(sum(k) AS DOUBLE) AS n FROM n GROUP BY 1),
@@ -181,9 +181,16 @@ def match_summary(spark, sf_dir):
     return matching.summarize(matching.match(lines(files(spark, sf_dir)))).withColumn("avg_confidence", rounded(F.col("avg_confidence")))
 
 
-@query(f"{_MATCHES} SELECT path, CAST(line_no AS INTEGER) AS line_no, pattern, max(confidence) AS confidence FROM matches WHERE line_no % 2 = 0 GROUP BY 1, 2, 3")
+_NEAR = f"""nf AS (SELECT path, language, string_split(content, chr(10)) AS ls FROM files), nm AS (SELECT path, language, ls, unnest(range(greatest(len(ls) - 2, 1), len(ls) + 1)) AS mid FROM nf),
+    nk AS (SELECT path, language, ls, unnest(range(greatest(mid - 5, 1), least(mid + 5, len(ls)) + 1)) AS line_no, array_to_string(ls[greatest(mid - 5, 1):mid + 5], chr(10)) AS context FROM nm), lines AS (SELECT path, language, line_no, ls[line_no] AS text, context FROM nk)"""
+
+
+@query(_MATCHES.replace(LINES_SQL, _NEAR) + " SELECT path, CAST(line_no AS INTEGER) AS line_no, pattern, max(confidence) AS confidence FROM matches GROUP BY 1, 2, 3")
 def incremental_matches(spark, sf_dir):
-    return matching.incremental(lines(files(spark, sf_dir)), F.col("line_no") % 2 == 0)
+    """As if the last three lines of every file had changed."""
+    f = files(spark, sf_dir)
+    n = F.size(F.split("content", "\n", -1))
+    return matching.incremental(f, f.select("path", F.explode(F.sequence(F.greatest(n - 2, F.lit(1)), n)).alias("line_no")))
 
 
 @query(f"{_MATCHES} SELECT path, CAST(line_no AS INTEGER) AS line_no, pattern, regex_no, matched, score, CAST(row_number() OVER (PARTITION BY path ORDER BY score DESC, line_no, pattern, regex_no, matched) AS INTEGER) AS place FROM matches")

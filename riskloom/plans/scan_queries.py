@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom import rules
-from riskloom.operators import features, scan
+from riskloom.operators import features, scan, types
 from riskloom.plans.registry import q, query, values
-from riskloom.sources.code import CORPUS_SQL, FILES_SQL, LINES_SQL, corpus, files
+from riskloom.sources.code import FILES_SQL, LINES_SQL, files
 from riskloom.sources.views import FINDINGS_SQL, findings
 
 _KNOWN = f"known(language, names) AS ({values(list(rules.DANGEROUS.items()))})"
@@ -39,10 +39,10 @@ def finding_ids(spark, sf_dir):
     return findings(spark, sf_dir).select("id", scan.uuid5(F.concat_ws(":", "file_path", F.col("line_start").cast("string"), "vuln_class")).alias("finding_id"))
 
 
-@query(f"""WITH files AS ({CORPUS_SQL}), l AS (SELECT path, string_split(content, chr(10)) AS ls FROM files), i AS (SELECT path, ls, unnest(range(1, least(6, len(ls)) + 1)) AS i FROM l)
+@query(f"""WITH files AS ({FILES_SQL}), l AS (SELECT path, string_split(content, chr(10)) AS ls FROM files), i AS (SELECT path, ls, unnest(range(1, least(6, len(ls)) + 1)) AS i FROM l)
     SELECT path, string_agg(printf('%s%4d │ %s', CASE WHEN i = 3 THEN '→ ' ELSE '  ' END, i, ls[i]), chr(10) ORDER BY i) AS snippet FROM i GROUP BY path""")
 def snippets(spark, sf_dir):
-    return corpus(spark).select("path", scan.snippet(F.col("content"), F.lit(3)).alias("snippet"))
+    return files(spark, sf_dir).select("path", scan.snippet(F.col("content"), F.lit(3)).alias("snippet"))
 
 
 _JSON = '{"vulnerabilities":[{"cve":{"id":"CVE-1","descriptions":[{"lang":"es","value":"no"},{"lang":"en","value":"yes"}],"metrics":{"cvssMetricV30":[{"cvssData":{"baseScore":5.5}}]},"weaknesses":[{"description":[{"value":"CWE-79"},{"value":"other"}]}],"references":[{"url":"u1"},{"url":"u2"}],"published":"2024-01-02T03:04:05.678"}},{"cve":{"id":"CVE-2","descriptions":[],"metrics":{"cvssMetricV31":[{"cvssData":{"baseScore":9.8}}],"cvssMetricV30":[{"cvssData":{"baseScore":1.0}}]},"weaknesses":[],"references":[],"published":"2024-02-02T03:04:05"}}]}'
@@ -51,3 +51,13 @@ _JSON = '{"vulnerabilities":[{"cve":{"id":"CVE-1","descriptions":[{"lang":"es","
 @query("SELECT * FROM (" + values([("CVE-1", "yes", 5.5, "CWE-79", "u1,u2", "2024-01-02T03:04:05"), ("CVE-2", "", 9.8, "", "", "2024-02-02T03:04:05")]) + ") t(cve_id, description, score, cwes, urls, published)")
 def nvd_json_parse(spark, sf_dir):
     return scan.parse_advisories(spark.createDataFrame([(_JSON,)], "j string"), "j")
+
+
+@query(f"WITH files AS ({FILES_SQL}), r(language, regex_no, regex) AS ({values([(k, i, x) for k, v in rules.FUNCTIONS.items() for i, x in enumerate(v)])}) SELECT path, regex_no, unnest(regexp_extract_all(content, regex, 1)) AS name FROM files JOIN r USING (language)")
+def function_names(spark, sf_dir):
+    return types.functions_of(files(spark, sf_dir))
+
+
+@query()
+def type_info(spark, sf_dir):
+    return types.type_info(files(spark, sf_dir))

@@ -321,3 +321,14 @@ def update_patterns(known: list[Pattern], new: list[Pattern]) -> list[Pattern]:
 
 # Words whose places an embedding notes.
 SENSITIVE = {"password", "secret", "key", "token", "auth", "eval", "exec", "system", "query", "sql"}
+
+# Type definitions and their fields, and words of methods that make a type dangerous.
+TYPES = {
+    "python": (r"class\s+(\w+)", r"self\.(\w+)\s*="),
+    "javascript": (r"class\s+(\w+)", r"this\.(\w+)\s*="),
+    "java": (r"class\s+(\w+)", r"(?:private|public|protected)\s+\w+\s+(\w+)\s*[;=]"),
+    "c": (r"struct\s+(\w+)", r"(\w+)\s+\w+\s*;"),
+    "go": (r"type\s+(\w+)\s+struct", r"(\w+)\s+\w+"),
+    "*": (r"class\s+(\w+)", r"(\w+)"),
+}
+DANGEROUS_METHODS = ["exec", "eval", "system", "query", "deserialize", "unserialize", "load", "parse", "execute"]

@@ -190,3 +190,46 @@ def test_advisory_section():
 
     assert advisories.section([]) == "No related CVEs found."
     assert advisories.section(["| a |"]).count("\n") == 2
+
+
+def test_types():
+    from riskloom.operators import types
+
+    go = "type Box struct {\n  name string\n  size int\n}\n"
+    assert "name" in types.types_of(go, "go")["Box"][0]
+    java = "public class Dao {\n  private String id;\n  public String runQuery(String id) {\n    return id;\n  }\n}"
+    fields, methods, dangerous = types.types_of(java, "java")["Dao"]
+    assert fields == ["id"] and "runQuery" in methods and dangerous
+    assert types.types_of("class A(object):\n    self.x = 1", "python") == {"A": ([], [], False)}  # no brace closes it
+
+
+def test_advisory_service_and_store(spark, tmp_path):
+    from riskloom.plans.scan_queries import _JSON
+    from riskloom.sources import advisories
+
+    now, slept, asked = [100.0], [], []
+
+    def sleep(s):
+        slept.append(s)
+        now[0] += s
+
+    def get(url, headers):
+        asked.append((url, headers))
+        if "bad" in url:
+            raise OSError("down")
+        return _JSON
+
+    s = advisories.Service("http://x", "k", per_minute=30, keep=50, get=get, clock=lambda: now[0], sleep=sleep)
+    assert s.search(keyword="a b") == _JSON == s.search(keyword="a b") and len(asked) == 1 and slept == []
+    assert asked[0] == ("http://x?keywordSearch=a+b&resultsPerPage=100&startIndex=0", {"apiKey": "k"})
+    assert s.search(keyword="bad") is None and slept == [2.0]
+    now[0] += 60
+    assert s.search(keyword="a b") == _JSON and len(asked) == 3
+
+    path = str(tmp_path / "store")
+    store = advisories.update(advisories.load(spark, path), s, ["a b", "bad"])
+    advisories.save(store, path)
+    back = advisories.load(spark, path)
+    assert sorted((r.cve_id, r.cvss_v3_score, tuple(r.cwe_ids)) for r in back.collect()) == [("CVE-1", 5.5, ("CWE-79",)), ("CVE-2", 9.8, ())]
+    assert [r.cve_id for r in advisories.search(back, "CWE-79", 5.0).collect()] == ["CVE-1"]
+    assert advisories.update(back, s, ["a b"]).count() == 2 and advisories.update(back, s, ["bad"]).count() == 2
