@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm import vectext as vt
-from riskloom.llm.common import by_group, materialize, partitions, plain, small, small_batches, whole_groups
+from riskloom.llm.common import by_group, drop_table, materialize, partitions, plain, small, small_batches, whole_groups
 from riskloom.llm.components import connected
 
 U64 = np.uint64
@@ -409,9 +409,9 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, count_links: bo
 
     def round_(prefixes: DataFrame, every: bool) -> DataFrame:
         """(cid, n, root, tokens) to links (a, b) of sets of different roots."""
-        found = materialize(_buckets(prefixes.select(F.explode("tokens").alias("token"), "n", "cid", "root"), n_out, percent), "buckets")
-        sized = found.join(left.select("cid", F.octet_length("second").alias("weight")), "cid").select("g", "weight")
-        found = found.join(_large(sized), "g", "left").join(left.select("cid", "n", "second"), "cid")
+        buckets = materialize(_buckets(prefixes.select(F.explode("tokens").alias("token"), "n", "cid", "root"), n_out, percent), "buckets")
+        sized = buckets.join(left.select("cid", F.octet_length("second").alias("weight")), "cid").select("g", "weight")
+        found = buckets.join(_large(sized), "g", "left").join(left.select("cid", "n", "second"), "cid")
         pairs = by_group(_spread(found, ["n", "root", "second"]), ["g", "bi", "bj"], n_out, _distinct(_both_orders(percent)), "a long, b long")
         # linked sets are candidates of each other, so they are in one component of candidates: each set travels once
         groups = connected(pairs).select(F.col("node").alias("cid"), F.col("root").alias("g"))
@@ -433,7 +433,10 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, count_links: bo
 
         sets = docs.mapInArrow(whole_sets, "cid long, tokens binary, second binary").join(small(to), "cid")
         # copies of a set that pass the filter bring it more than once
-        return materialize(by_group(_spread(sets, ["root", "tokens", "second"]), ["g", "bi", "bj"], n_out, _distinct(_compare(percent, every)), "a long, b long"), "links")
+        links = materialize(by_group(_spread(sets, ["root", "tokens", "second"]), ["g", "bi", "bj"], n_out, _distinct(_compare(percent, every)), "a long, b long"), "links")
+        for spent in (buckets, cand, to):
+            drop_table(spent)
+        return links
 
     if count_links:
         links = round_(left.select("cid", "n", F.col("cid").alias("root"), "tokens"), True)

@@ -371,6 +371,10 @@ def score(docs: DataFrame, m: Model, keep: list[str]) -> DataFrame:
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out and scores: learns from rows that are not held out (crc32 of doc_id modulo 10), scores all."""
+    """doc_id, held_out and scores: learns from rows that are not held out (crc32 of doc_id modulo 10), scores all.
+
+    Null and empty texts are an end token. A null doc_id is not held out; repeated rows count as often as they stand.
+    Texts are read whole. An empty table gives an empty result; columns beyond doc_id and text are not read.
+    """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(bucket_of(F.col("doc_id"), 10) == 0, F.lit(False)).alias("held_out"), "text")
     return score(d, train(d.where("not held_out")), ["doc_id", "held_out"])

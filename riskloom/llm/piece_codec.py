@@ -41,6 +41,8 @@ class PieceCodec:
 
         m = pb.ModelProto()
         m.ParseFromString(model)
+        if any(x.type in (pb.ModelProto.SentencePiece.USER_DEFINED, pb.ModelProto.SentencePiece.UNUSED) for x in m.pieces):
+            raise ValueError("user-defined and unused pieces are not supported")
         spec = m.normalizer_spec
         if m.trainer_spec.model_type != 2 or spec.precompiled_charsmap or spec.remove_extra_whitespaces or m.trainer_spec.treat_whitespace_as_suffix or not m.trainer_spec.byte_fallback:
             raise ValueError("only merge-type models with byte fallback and no normalisation are supported")

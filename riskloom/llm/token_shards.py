@@ -436,5 +436,9 @@ def read(manifest: DataFrame) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str, folder: str | None = None) -> DataFrame:
-    """Encode, write and read back ``docs``: doc_id, start, n_tokens, ids_crc32."""
+    """Encode, write and read back ``docs``: doc_id, start, n_tokens, ids_crc32.
+
+    Null and empty texts have the end id only; null doc_ids come first; rows that repeat a doc_id stand side by side by
+    text. Texts are encoded whole. An empty table gives an empty result; other columns are not read.
+    """
     return read(write(docs, path, folder or scratch(docs.sparkSession, "tokens")))

@@ -318,6 +318,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted: learns from the labels that are not held out, scores all rows."""
+    """doc_id, held_out, score, predicted: learns from the labels that are not held out, scores all rows.
+
+    Null and empty texts score as texts without a hit, and repeated rows alike. A null doc_id is not held out and has no
+    label. Labels that are null or neither 0 nor 1, and those of documents that are not there, teach nothing; without a
+    label of each class, all rows score next to 0 (or 1, if all are toxic). Whole texts are read, however long. Empty
+    tables give an empty result; columns beyond doc_id, text and toxic are not read.
+    """
     out = score(docs, fit(docs, labels))
     return out.select("doc_id", F.coalesce(bucket_of(F.col("doc_id"), 4) == HELD, F.lit(False)).alias("held_out"), "score", "predicted")
