@@ -179,15 +179,15 @@ def propagate(lines: DataFrame, rounds: int = 10) -> DataFrame:
 
     Rounds in step: a variable's depth is the least. Only assignment lines of files with sources take part.
     """
-    known = taint_sources(lines).select("path", "var", F.lit(0).alias("depth")).persist()
-    assign = stripped(lines).where(F.contains("text", F.lit("="))).withColumn("to", _assigned()).where("to is not null").select("path", "text", "to").join(known.select("path").distinct(), "path", "left_semi").persist()
+    known = taint_sources(lines).select("path", "var", F.lit(0).alias("depth")).transform(cut)
+    assign = stripped(lines).where(F.contains("text", F.lit("="))).withColumn("to", _assigned()).where("to is not null").select("path", "text", "to").join(known.select("path").distinct(), "path", "left_semi").transform(cut)
     front = known
     for depth in range(1, rounds + 1):
         new = assign.join(front.select("path", "var"), "path").where(F.contains("text", F.col("var"))).select("path", F.col("to").alias("var")).distinct()
-        front = new.join(known, ["path", "var"], "left_anti").withColumn("depth", F.lit(depth)).persist()
+        front = new.join(known, ["path", "var"], "left_anti").withColumn("depth", F.lit(depth)).transform(cut)
         if front.isEmpty():
             break
-        known = known.unionByName(front).persist()
+        known = known.unionByName(front).transform(cut)
     return known.withColumn("confidence", F.lit(0.9) * F.pow(F.lit(0.95), F.col("depth").cast("double")))
 
 
@@ -314,7 +314,7 @@ def control_lines(lines: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, start: int = 0) -> DataFrame:
     """(path, node): what can be reached from each path's node ``start``; breadth first, each node joined once, until nothing is new."""
-    seen = edges.select("path").distinct().withColumn("node", F.lit(start)).persist()
+    seen = edges.select("path").distinct().withColumn("node", F.lit(start)).transform(cut)
     front = seen
     while True:
         front = front.withColumnRenamed("node", "src").join(edges, ["path", "src"]).select("path", F.col("dst").alias("node")).distinct().join(seen, ["path", "node"], "left_anti").transform(cut)
