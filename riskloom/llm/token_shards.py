@@ -250,15 +250,16 @@ def build(ids: np.ndarray, planes: int) -> tuple[list[int], list[bytes]]:
     zeros, parts = [], []
     cur = ids
     for level in range(planes - 1, -1, -1):
-        bit = (cur >> cur.dtype.type(level) & cur.dtype.type(1)).astype(bool)
+        bit = (cur & cur.dtype.type(1 << level)) != 0
         packed = np.packbits(bit, bitorder="little")
         ones = np.zeros(len(bit) // BLOCK + 2, np.uint32)
         per = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), BLOCK // 8), dtype=np.uint32) if len(packed) else np.zeros(0, np.uint32)
         np.cumsum(per, out=ones[1 : len(per) + 1])
         ones[len(per) + 1 :] = ones[len(per)]
-        zeros.append(len(bit) - int(bit.sum()))
+        zero, one = np.flatnonzero(~bit), np.flatnonzero(bit)  # taking by place is faster than by mask
+        zeros.append(len(zero))
         parts += [_pad(packed.tobytes()), _pad(ones.tobytes())]
-        cur = np.concatenate((cur[~bit], cur[bit]))
+        cur = np.concatenate((cur.take(zero), cur.take(one)))
     return zeros, parts
 
 
@@ -357,8 +358,8 @@ class Shard:
         for p in range(self.planes - 1, -1, -1):
             bit = np.unpackbits(self.bits[p], count=self.tokens, bitorder="little").astype(bool)
             before = np.empty_like(cur)
-            before[~bit] = cur[: self.zeros[p]]
-            before[bit] = cur[self.zeros[p] :] | cur.dtype.type(1 << (self.planes - 1 - p))
+            before[np.flatnonzero(~bit)] = cur[: self.zeros[p]]
+            before[np.flatnonzero(bit)] = cur[self.zeros[p] :] | cur.dtype.type(1 << (self.planes - 1 - p))
             cur = before
         return cur
 
