@@ -142,12 +142,22 @@ def _save(folder: str, kind: str, r: int, arrays: list[np.ndarray]) -> str:
     return path
 
 
+#: files that a worker has fetched from a folder that is no local path: the first ones, as far as they fit
+_FETCHED: dict[str, np.ndarray] = {}
+FETCHED_BYTES = 256 << 20
+
+
 def _map(folder: str, path: str, columns: int) -> list[np.ndarray]:
     """The arrays of a file, memory-mapped if the folder is a local path."""
     from pyarrow import fs as afs
 
     fs, _ = local_path(folder)
-    raw = np.memmap(path, np.uint8, "r") if isinstance(fs, afs.LocalFileSystem) else np.frombuffer(fs.open_input_file(path).read(), np.uint8)
+    if isinstance(fs, afs.LocalFileSystem):
+        raw = np.memmap(path, np.uint8, "r")
+    elif (raw := _FETCHED.get(path)) is None:
+        raw = np.frombuffer(fs.open_input_file(path).read(), np.uint8)
+        if sum(map(len, _FETCHED.values())) + len(raw) <= FETCHED_BYTES:
+            _FETCHED[path] = raw
     n, *wide = raw[: 8 + 8 * columns].view("<u8").tolist()
     at, out = 8 + 8 * columns, []
     for w in wide:

@@ -199,3 +199,26 @@ def test_hash_bound_keeps_enough():
     assert common.hash_bound(400, 1000) == 2**63 - 1
     h = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 100_000)
     assert 400 < (h <= common.hash_bound(400, 100_000)).sum() < 3000
+
+
+def test_files_from_elsewhere(tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    path = str(tmp_path / "x.bin")
+    with open(path, "wb") as f:
+        f.write(np.array([3, 8, 4], "<u8").tobytes() + np.arange(3, dtype="<u8").tobytes() + np.arange(3, dtype="<u4").tobytes())
+    read = []
+
+    class Elsewhere:
+        def open_input_file(self, at):
+            read.append(at)
+            return fs.LocalFileSystem().open_input_file(at)
+
+    monkeypatch.setattr(ngram_lm, "_FETCHED", {})
+    monkeypatch.setattr(ngram_lm, "local_path", lambda _: (Elsewhere(), ""))
+    for most, times in ((1 << 20, 1), (0, 3)):
+        monkeypatch.setattr(ngram_lm, "FETCHED_BYTES", most)
+        for _ in range(2):
+            assert [x.tolist() for x in ngram_lm._map("f", path, 2)] == [[0, 1, 2], [0, 1, 2]]
+        assert len(read) == times
+        ngram_lm._FETCHED.clear()
