@@ -1,8 +1,9 @@
 """WARC archives written and read as a chunked record table.
 
-Payloads pass in chunks on both ways: a record is rows of (record id, chunk
-number, data), each with the bytes and the SHA-1 of the payload so far, so no
-record is ever whole in the reader's memory, however large. Archives are gzip
+Read, a record is rows of (record id, chunk number, data), each with the bytes and
+the SHA-1 of the payload so far, so no record is ever whole in the reader's memory,
+however large. Written, payloads are compressed and put out in chunks, but come from
+table rows, so a task holds those of one Arrow batch. Archives are gzip
 files with a member for each record, in any file system Arrow knows.
 """
 
@@ -12,6 +13,7 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +28,8 @@ ARCHIVE_BYTES = 1 << 30
 LEAST_REVISIT = 1000
 #: chunks (of at most CHUNK bytes) in a batch of the chunk table that has data
 BATCH_CHUNKS = 16
+#: signs that stay as they are in a URI, % among them, as what is escaped already stays so
+_URI_SIGNS = "!#$%&'()*+,/:;=?@[]~"
 _DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "path string, records long, payload_bytes long"
 CHUNKS = "path string, record_id string, page_id long, url string, record_type string, refers_to long, chunk_no long, last boolean, data binary, bytes_so_far long, sha1_so_far string"
@@ -56,7 +60,10 @@ def _pieces(page_id, url, payload: memoryview, digest: str, kind: str, refers_to
     body = len(http) + (0 if kind == "revisit" else len(payload))
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{_record_id(page_id, digest)}>", f"WARC-Date: {_DATE}", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{sha1}", f"X-Payload-Bytes: {len(payload)}", f"Content-Length: {body}"]
     if url is not None:
-        head.append("WARC-Target-URI: " + url.encode("unicode_escape").decode("ascii"))
+        uri = quote(url, safe=_URI_SIGNS)
+        head.append("WARC-Target-URI: " + uri)
+        if uri != url:  # for readers of our own: what it was before it became a URI
+            head.append("X-Original-URL: " + url.encode("unicode_escape").decode("ascii"))
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if kind == "revisit":
@@ -158,7 +165,7 @@ def chunks_of(raw) -> Iterator[dict]:
         http = src.line_block()
         left -= len(http) + 4
         sha1 = base64.b32decode(field["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-        row = {"record_id": field["WARC-Record-ID"][1:-1], "page_id": int(field["X-Page-ID"]) if "X-Page-ID" in field else None, "url": field["WARC-Target-URI"].encode("ascii").decode("unicode_escape") if "WARC-Target-URI" in field else None, "record_type": field["WARC-Type"], "refers_to": int(field["X-Refers-To-Page"]) if "X-Refers-To-Page" in field else None}
+        row = {"record_id": field["WARC-Record-ID"][1:-1], "page_id": int(field["X-Page-ID"]) if "X-Page-ID" in field else None, "url": field["X-Original-URL"].encode("ascii").decode("unicode_escape") if "X-Original-URL" in field else field.get("WARC-Target-URI"), "record_type": field["WARC-Type"], "refers_to": int(field["X-Refers-To-Page"]) if "X-Refers-To-Page" in field else None}
         if field["WARC-Type"] == "revisit":
             yield row | {"chunk_no": 0, "last": True, "data": b"", "bytes_so_far": int(field["X-Payload-Bytes"]), "sha1_so_far": sha1}
         else:

@@ -222,3 +222,17 @@ def test_files_from_elsewhere(tmp_path, monkeypatch):
             assert [x.tolist() for x in ngram_lm._map("f", path, 2)] == [[0, 1, 2], [0, 1, 2]]
         assert len(read) == times
         ngram_lm._FETCHED.clear()
+
+
+def test_urls_of_records(spark, tmp_path):
+    import gzip
+    import pathlib
+
+    from riskloom.llm import warc
+
+    urls = ["http://ü/ä b?x=%20&y=[1]#z", "http://plain/a?b=c%41", "\\x41 ", None, ""]
+    pages = spark.createDataFrame([(i, u, "text", "x", 1) for i, u in enumerate(urls)], "page_id long, url string, html string, record_type string, refers_to int")
+    manifest = warc.write(pages, f"file://{tmp_path}/w")
+    assert {r.page_id: r.url for r in warc.read(manifest).collect()} == dict(enumerate(urls))
+    raw = b"".join(gzip.decompress(p.read_bytes()) for p in pathlib.Path(tmp_path / "w").glob("*"))
+    assert b"WARC-Target-URI: http://%C3%BC/%C3%A4%20b?x=%20&y=[1]#z\r\n" in raw and b"WARC-Target-URI: http://plain/a?b=c%41\r\n" in raw
