@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import model, rules
+from riskloom.functions.lineage import cut
 from riskloom.functions.text import by_language, java
 from riskloom.operators import features, flow, matching, risk
 from riskloom.sources import code
@@ -60,8 +61,8 @@ def scan(files: DataFrame, least: float = 0.3, most: int = 50) -> DataFrame:
     Passes in this order: dangerous functions and complexity, semantics, data flow, taint, rules, scoring model. Then at
     least ``least`` confident ones, the ``most`` gravest of a file, and of those the first of each line and class.
     """
-    lines = code.lines(files).persist()
-    feats = features.features(files).persist()
+    lines = code.lines(files)
+    feats = cut(features.features(files))
 
     def rows(d, name, line, cls, severity, confidence):
         lit = lambda x: x if isinstance(x, Column) else F.lit(x)
