@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.llm.common import table
 from riskloom.llm.ngram_jaccard import jaccard_join
-from riskloom.llm import language_id, ngram_lm, phrase_prints, piece_codec, source_mixing, token_shards, toxic_segments, warc
+from riskloom.llm import language_id, ngram_lm, page_text, phrase_prints, piece_codec, source_mixing, token_shards, toxic_segments, warc, whitening
 from riskloom.llm.quality_rules import quality
 
 
@@ -58,6 +58,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).drop("lang", "source")
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.page_texts(table(spark, sf_dir, "pages"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_warc": op2_warc,
@@ -69,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_kneser_ney": op9_kneser_ney,
     "op10_quality": op10_quality,
+    "op11_html_extraction": op11_html_extraction,
+    "op13_whitening": op13_whitening,
 }
 
 SQL: dict[str, str] = {
