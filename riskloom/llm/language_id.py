@@ -27,6 +27,8 @@ from riskloom.llm.common import materialize, small_batches
 
 #: bounds of the training sample: texts for each language, and landmarks among them (altogether, or one a language if those are more)
 TRAIN_PER_LANG, LANDMARKS = 400, 400
+#: languages that are learned, and training texts of all of them
+MAX_LANGS, TRAIN = 1000, 8000
 RIDGE = 1e-2
 #: a size of 64 characters for the table of n-grams: no letter, and the letters that are most common in the sample
 COMMON = 63
@@ -136,19 +138,22 @@ class Model:
 
 
 def _sample(rows: DataFrame) -> DataFrame:
-    """(text, lang, place): at most TRAIN_PER_LANG different texts a language, by a hash of doc_id; ties fall by doc_id, then text.
+    """(text, lang, place): at most TRAIN_PER_LANG different texts a language, by a hash of the text; copies count once.
 
-    Only rows under a bound of the hash that leaves enough of each language are ranked, and repeated rows count once.
+    Of more than MAX_LANGS languages, those with the most different texts are learned (ties by name); many languages share
+    TRAIN places. Only texts under a bound of the hash that leaves enough of each language are ranked.
     """
-    known = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text", F.xxhash64("doc_id", F.lit(1)).alias("h"))
-    many = materialize(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
-    share = F.least(F.lit(1.0), F.lit(2.0 * TRAIN_PER_LANG + 1000) / F.col("n"))
+    known = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text", F.lit(1)).alias("h"))
+    texts = known.select("lang", "h").distinct()
+    many = materialize(texts.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS), "languages")
+    places = min(TRAIN_PER_LANG, TRAIN // max(1, many.count()))
+    share = F.least(F.lit(1.0), F.lit(2.0 * places + 1000) / F.col("n"))
     bound = F.when(share < 1, (share * 2.0**64 - 2.0**63).cast("long")).otherwise(F.lit(2**63 - 1))
-    keys = known.select("doc_id", "lang", "h", F.xxhash64("text").alias("t")).join(many.select("lang", bound.alias("bound")), "lang").where("h <= bound").select("doc_id", "lang", "h", "t").distinct()
-    order = Window.partitionBy("lang").orderBy("h", "doc_id", "t")
-    keys = materialize(keys.withColumn("place", F.row_number().over(order)).where(F.col("place") <= TRAIN_PER_LANG).select(F.col("doc_id").alias("d"), F.col("lang").alias("l"), "t", "place"), "picked")
-    got = known.join(keys, known["doc_id"].eqNullSafe(keys["d"]) & (known["lang"] == keys["l"]) & (F.xxhash64("text") == keys["t"]))
-    return materialize(got.groupBy("lang", "place").agg(F.first("text").alias("text")).select("text", "lang", "place"), "sample")
+    order = Window.partitionBy("lang").orderBy("h")
+    keys = texts.join(F.broadcast(many.select("lang", bound.alias("bound"))), "lang").where("h <= bound").withColumn("place", F.row_number().over(order)).where(F.col("place") <= places)
+    keys = materialize(keys.select("lang", "h", "place"), "picked")
+    got = known.join(F.broadcast(keys), ["lang", "h"])
+    return materialize(got.groupBy("lang", "place").agg(F.min("text").alias("text")).select("text", "lang", "place"), "sample")
 
 
 def fit(rows: DataFrame) -> Model:

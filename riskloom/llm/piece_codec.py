@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import small_batches
 
 SPACE = "▁"
-#: chunks in each of the two generations of the store; what was used since the last turn survives the next
-KEPT = 500_000
+#: bytes, about, of each of the two generations of the store (what was used since the last turn survives the next), and of an entry beside its texts
+KEPT_BYTES, ENTRY = 100 << 20, 200
+#: longer chunks are not kept
+KEPT_CHUNK = 100
 #: rows whose ids are held at once
 ROWS = 256
 
@@ -69,9 +71,11 @@ class PieceCodec:
         apart = not any(a.isalpha() != b.isalpha() and SPACE not in (a, b) for a, b in spans)
         inside = "".join(map(re.escape, sorted(letters)))
         self.chunk = re.compile(f"{SPACE}*[{inside}]+|{SPACE}*[^{inside}{SPACE}]+|{SPACE}+" if cut_spaces and apart else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if cut_spaces else r"(?s:.+)")
+        self.longest = max(map(len, self.automaton.keys()), default=1)
         self.now: dict[str, str] = {}  # chunk: its ids in decimal
         self.old: dict[str, str] = {}
-        self.differs: dict[str, str] = {}  # chunks that don't decode to themselves
+        self.room = KEPT_BYTES
+        self.differs: dict[str, str] = {}  # chunks of the present text that don't decode to themselves; they are not kept
 
     def _merge(self, text: str) -> list[str]:
         """Plain merging, for short texts: best score first, leftmost among equals."""
@@ -94,11 +98,12 @@ class PieceCodec:
         return ok
 
     def _longest(self, text: str, pos: int) -> str:
-        for end, p in self.automaton.iter_long(text, pos):
-            if end - len(p) + 1 == pos:
+        window = text[pos : pos + self.longest]
+        for end, p in self.automaton.iter_long(window):
+            if end + 1 == len(p):
                 return p
             break
-        return text[pos]
+        return window[0]
 
     def cover(self, text: str) -> list[str]:
         """The pieces of a text; a character that no piece has stands alone."""
@@ -106,10 +111,10 @@ class PieceCodec:
         out = [p for _, p in self.automaton.iter_long(text)]
         if sum(map(len, out)) == n and all(map(self._fits, out, out[1:])):
             return out  # longest matches all the way need no second thought
-        failed, out, pos, p = 0, [], 0, self._longest(text, 0)
+        failed, out, pos, p = bytearray(n // 8 + 1), [], 0, self._longest(text, 0)
         while True:
             last = out[-1] if out else None
-            while p and (failed >> (pos + len(p)) & 1 or last is not None and not self._fits(last, p)):
+            while p and (failed[(end := pos + len(p)) >> 3] >> (end & 7) & 1 or last is not None and not self._fits(last, p)):
                 p = self.shorter.get(p)
             if p:
                 out.append(p)
@@ -118,7 +123,7 @@ class PieceCodec:
                     return out
                 p = self._longest(text, pos)
             else:  # nothing fits here: step back and try a shorter piece in the last one's stead
-                failed |= 1 << pos
+                failed[pos >> 3] |= 1 << (pos & 7)
                 p = out.pop()
                 pos -= len(p)
 
@@ -130,14 +135,18 @@ class PieceCodec:
         return ids
 
     def _chunk(self, chunk: str) -> str:
-        if (v := self.now.get(chunk)) is None:
-            if (v := self.old.get(chunk)) is None:
-                ids = self._ids(self.cover(chunk))
-                v = " ".join(map(str, ids))
-                if (text := self._text(ids)) != chunk:
-                    self.differs[chunk] = text
-            if len(self.now) >= KEPT:
-                self.now, self.old = {}, self.now
+        if (v := self.now.get(chunk)) is not None:
+            return v
+        if (v := self.old.get(chunk)) is None:
+            ids = self._ids(self.cover(chunk))
+            v = " ".join(map(str, ids))
+            if (text := self._text(ids)) != chunk:
+                self.differs[chunk] = text
+                return v
+        if len(chunk) <= KEPT_CHUNK:
+            self.room -= len(chunk) + len(v) + ENTRY
+            if self.room < 0:
+                self.now, self.old, self.room = {}, self.now, KEPT_BYTES
             self.now[chunk] = v
         return v
 
@@ -165,6 +174,7 @@ class PieceCodec:
         """The chunks of a text and their ids."""
         if not text:
             return [], []
+        self.differs.clear()
         text = text.replace(" ", SPACE)
         found = self.chunk.findall(SPACE + text if self.dummy else text)
         ids = list(map(self.now.get, found))

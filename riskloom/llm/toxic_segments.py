@@ -184,7 +184,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """
     spark = docs.sparkSession
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.withColumn("fold", bucket_of(F.col("doc_id"), 4).cast("int")).where(F.col("fold") != HELD).withColumn("h", F.xxhash64("doc_id", F.lit(2)))
+    known = known.withColumn("fold", bucket_of(F.col("doc_id"), 4).cast("int")).where(F.col("fold") != HELD)
+    # labels of documents that are not there neither count nor take up places
+    there = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    known = materialize(known.join(there, "doc_id", "left_semi"), "labels").withColumn("h", F.xxhash64("doc_id", F.lit(2)))
     many = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
     total = many.get(1, 0) / max(1, sum(many.values()))
     few = F.lit(False)

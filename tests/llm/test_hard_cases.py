@@ -7,12 +7,15 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from riskloom.llm import common, language_id, ngram_lm, phrase_prints, quality_rules, token_shards, toxic_segments, vectext
+from riskloom.llm import common, language_id, ngram_lm, phrase_prints, piece_codec, quality_rules, token_shards, toxic_segments, vectext
 from riskloom.llm.components import connected
 from riskloom.llm.ngram_jaccard import jaccard_join
 from riskloom.llm.queries import tokenizer
 
+MORE = "/root/testdata/sf0.01"
+
 
 def _thue_morse(n):
     x = [0]
@@ -236,3 +239,53 @@ def test_urls_of_records(spark, tmp_path):
     assert {r.page_id: r.url for r in warc.read(manifest).collect()} == dict(enumerate(urls))
     raw = b"".join(gzip.decompress(p.read_bytes()) for p in pathlib.Path(tmp_path / "w").glob("*"))
     assert b"WARC-Target-URI: http://%C3%BC/%C3%A4%20b?x=%20&y=[1]#z\r\n" in raw and b"WARC-Target-URI: http://plain/a?b=c%41\r\n" in raw
+
+
+def test_labels_of_absent_documents_teach_nothing(spark):
+    docs = spark.read.parquet(f"{MORE}/documents.parquet")
+    labels = spark.read.parquet(f"{MORE}/labels.parquet").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    more = labels.union(spark.range(10**6, 10**6 + 2000).select("id", (F.col("id") % 2).cast("int")))
+    scores = [{r.doc_id: r.score for r in toxic_segments.toxicity(docs, x).collect()} for x in (labels, more)]
+    assert scores[0] == scores[1] and len(set(scores[0].values())) > 3
+
+
+def test_the_sample_holds_different_texts(spark, monkeypatch):
+    copies = spark.range(19_000).select(F.col("id").alias("doc_id"), F.lit("the same text again").alias("text"))
+    rows = copies.union(spark.range(19_000, 20_000).select("id", F.concat(F.lit("text "), F.col("id").cast("string")))).withColumn("lang", F.lit("en"))
+    got = language_id._sample(rows).collect()
+    assert len(got) == len({r.text for r in got}) == language_id.TRAIN_PER_LANG and sorted(r.place for r in got) == list(range(1, 401))
+    monkeypatch.setattr(language_id, "MAX_LANGS", 5)
+    monkeypatch.setattr(language_id, "TRAIN", 20)
+    many = rows.withColumn("lang", F.concat(F.lit("l"), (F.col("doc_id") % 30).cast("string"))).union(copies.limit(1).select("doc_id", "text", F.lit("zz")))
+    got = language_id._sample(many).collect()
+    assert len({r.lang for r in got}) == 5 and len(got) == 20 and "zz" not in {r.lang for r in got}
+
+
+@pytest.mark.parametrize("letters", ["a", "ab", "etaoin shrdlu", "aé漢😀", "▁a "])
+def test_long_words_in_pieces(letters):
+    import hashlib
+    import time
+
+    import sentencepiece
+
+    path = tokenizer("piece_bpe_32k.model")
+    theirs = sentencepiece.SentencePieceProcessor(model_file=path)
+    with open(path, "rb") as f:
+        mine = piece_codec.PieceCodec(f.read())
+    rng = random.Random(5)
+    for n in (1, 3, 100, 101, 40_000):
+        text = "".join(rng.choices(letters, k=n))
+        ids = [*theirs.encode(text), theirs.eos_id()]
+        assert mine.encode(text) == ids and mine.digest(text)[2] == hashlib.sha256(theirs.decode(ids).encode()).hexdigest()
+    began = time.time()
+    mine.digest("".join(rng.choices(letters, k=1_000_000)))
+    assert time.time() - began < 30
+
+
+def test_the_store_of_pieces_is_bounded(monkeypatch):
+    monkeypatch.setattr(piece_codec, "KEPT_BYTES", 30_000)
+    with open(tokenizer("piece_bpe_32k.model"), "rb") as f:
+        codec = piece_codec.PieceCodec(f.read())
+    texts = [f"word{i} " * 3 + "x" * 500 for i in range(2000)]
+    ids = [codec.encode(t) for t in texts]
+    assert len(codec.now) + len(codec.old) < 300 and ids == [codec.encode(t) for t in texts] and max(map(len, codec.now)) <= piece_codec.KEPT_CHUNK

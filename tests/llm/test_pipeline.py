@@ -4,6 +4,8 @@ import collections
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from riskloom.llm.common import materialize
 
 DATA = "/root/testdata/sf0.001"
@@ -49,3 +51,20 @@ def test_unsure_and_unlabelled_languages(spark):
         docs = spark.createDataFrame([(i, t, x if lang else None, "s") for i, t, x in rows], "doc_id long, text string, lang string, source string")
         got = sorted(r.doc_id for r in corpus_pipeline.language_stage(spark, docs, DATA).collect())
         assert got == list(range(62))
+
+
+def test_columns_named_like_ours_come_back(spark):
+    names = ["lang_pred", "score", "_text", "_key", "_row", "copies", "_copy", "row", "key", "place", "copy", "gid", "kept", "words", "start", "leaf", "h"]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    docs = docs.select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = materialize(stage(spark, docs, DATA), "stage")
+        assert docs.columns[-len(names) :] == names, name
+    rows = docs.collect()
+    assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+
+
+def test_empty_tables(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, DATA).count() == 0
