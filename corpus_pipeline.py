@@ -26,13 +26,18 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = language_id.fit(docs.select("doc_id", "text", "lang"))
     if not model.langs:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    known = language_id.predict(docs, model, docs.columns)
-    return known.where(F.col("lang_pred") != language_id.UNDETERMINED).select(docs.columns)
+    known = language_id.predict(docs.select(_row(docs), "text"), model, ["row"])
+    return known.where(F.col("lang_pred") != language_id.UNDETERMINED).select("row.*")
 
 
-def _row_key() -> Column:
-    """A key of a doc_id and a text, as ids may be null or name several texts."""
-    return F.xxhash64(F.col("doc_id"), F.col("text"), F.col("doc_id").isNull(), F.col("text").isNull())
+def _row(docs: DataFrame) -> Column:
+    """The caller's columns as one, so that no name of theirs meets one of ours."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """row, and a key of its doc_id and text, as ids may be null or name several texts."""
+    return docs.select(_row(docs), F.xxhash64("doc_id", "text", F.col("doc_id").isNull(), F.col("text").isNull()).alias("key"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,20 +45,20 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Of rows with one doc_id and text, one stays. Different texts of one doc_id or of none are documents of their own.
     """
-    keyed = docs.withColumn("_key", _row_key())
-    found = jaccard_join(keyed.select(F.col("_key").alias("doc_id"), "text"), k=5, percent=80).select(F.col("doc_id").alias("key"), F.col("component_id").alias("group"))
-    ids = keyed.select(F.col("_key").alias("key"), "doc_id").distinct()
+    keyed = _keyed(docs)
+    found = jaccard_join(keyed.select(F.col("key").alias("doc_id"), "row.text"), k=5, percent=80).select(F.col("doc_id").alias("key"), F.col("component_id").alias("group"))
+    ids = keyed.select("key", "row.doc_id").distinct()
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
-    keep = found.distinct().join(ids, "key").groupBy("group").agg(first.alias("first")).select(F.col("first.key").alias("_key"))
-    again = Window.partitionBy("_key").orderBy(F.xxhash64(*docs.columns))
-    return keyed.join(keep, "_key").withColumn("_row", F.row_number().over(again)).where("_row = 1").select(docs.columns)
+    keep = found.distinct().join(ids, "key").groupBy("group").agg(first.alias("first")).select("first.key")
+    again = Window.partitionBy("key").orderBy(F.xxhash64("row"))
+    return keyed.join(keep, "key").withColumn("place", F.row_number().over(again)).where("place = 1").select("row.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stands as often as the mix takes it, at most three times. The stage before leaves one row of a doc_id and text."""
-    keyed = docs.withColumn("_key", _row_key())
-    mixed = source_mixing.mix(keyed.select(F.col("_key").alias("doc_id"), "text", "source")).where("copies > 0").select(F.col("doc_id").alias("_key"), "copies")
-    return keyed.join(mixed, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    keyed = _keyed(docs)
+    mixed = source_mixing.mix(keyed.select(F.col("key").alias("doc_id"), "row.text", "row.source")).where("copies > 0").select(F.col("doc_id").alias("key"), "copies")
+    return keyed.join(mixed, "key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
