@@ -1,9 +1,7 @@
-"""Similarity, metrics, impurity, normalisation, isolation forest, random forest."""
+"""Similarity, metrics, impurity, normalisation."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,77 +55,3 @@ def minmax(vectors: DataFrame) -> DataFrame:
     s = e.groupBy("dim").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     v = F.when(F.col("hi") > F.col("lo"), rounded((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")))).otherwise(0.0)
     return e.join(s, "dim").select("vec_id", "dim", v.alias("minmax"))
-
-
-def _path_length(n: float) -> float:
-    return 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 1 else 0.0
-
-
-def _tree(x: np.ndarray, rng, depth: int, limit: int):
-    spread = np.flatnonzero(x.max(0) > x.min(0)) if len(x) > 1 else []
-    if depth >= limit or not len(spread):
-        return len(x)
-    f = int(rng.choice(spread))
-    cut = rng.uniform(x[:, f].min(), x[:, f].max())
-    return f, cut, _tree(x[x[:, f] < cut], rng, depth + 1, limit), _tree(x[x[:, f] >= cut], rng, depth + 1, limit)
-
-
-def _samples(vectors: DataFrame, trees: int, sample: int, seed: int) -> list[np.ndarray]:
-    """For each tree the ``sample`` rows of all that have its least hashes (all rows where there are fewer).
-
-    Only rows under a threshold, about half as many again as are needed, come to the driver: some 38,400 for 100
-    trees. Equal rows have equal hashes; they come once, with their number.
-    """
-    n = vectors.count()
-    share, need = 1.5 * sample / max(n, 1), min(sample, n)
-    base = vectors.select("vec_id", "embedding", F.xxhash64("vec_id", F.col("vec_id").isNull(), "embedding").alias("row"))
-    while True:
-        most = F.lit(min(2**63 - 1, int(share * 2**63)))
-        draw = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(F.shiftrightunsigned(F.xxhash64("row", t, F.lit(seed)), 1).alias("hash"), t.alias("tree")))
-        hits = base.select("*", F.filter(draw, lambda x: x["hash"] <= most).alias("draws")).where(F.size("draws") > 0)
-        d = hits.groupBy("vec_id", "row").agg(F.count("*").alias("n"), F.first("embedding").alias("embedding"), F.first("draws").alias("draws")).toPandas()
-        x, drawn = np.array(d["embedding"].tolist(), float), [[] for _ in range(trees)]
-        for i, (row, m, draws) in enumerate(zip(d["row"], d["n"], d["draws"], strict=True)):
-            for h in draws:
-                drawn[h["tree"]].append((h["hash"], row, i, m))
-        if all(sum(r[3] for r in rows) >= need for rows in drawn):
-            return [x[np.repeat([r[2] for r in sorted(rows)], [r[3] for r in sorted(rows)])[:sample]] for rows in drawn] if n else []
-        share *= 2
-
-
-def isolation_forest(vectors: DataFrame, trees: int = 100, sample: int = 256, seed: int = 7) -> DataFrame:
-    """(vec_id, score): each tree grows, on the driver, on a sample of its own from all rows; all are scored in Arrow batches."""
-    grown, rng = _samples(vectors, trees, sample, seed), np.random.default_rng(seed)
-    size = len(grown[0]) if grown else 0
-    limit = int(np.ceil(np.log2(max(size, 2))))
-    forest = [_tree(x, rng, 0, limit) for x in grown]
-    held = vectors.sparkSession.sparkContext.broadcast(forest)
-    norm = _path_length(size) or 1.0
-
-    def depths(t, x, out, rows, d):
-        if isinstance(t, int):
-            out[rows] += d + _path_length(t)
-            return
-        f, cut, lo, hi = t
-        left = x[rows, f] < cut
-        depths(lo, x, out, rows[left], d + 1)
-        depths(hi, x, out, rows[~left], d + 1)
-
-    def score(batches):
-        for b in batches:
-            x, out = np.array(b["embedding"].tolist(), float), np.zeros(len(b))
-            for t in held.value:
-                depths(t, x, out, np.arange(len(b)), 0)
-            yield pd.DataFrame({"vec_id": b["vec_id"], "score": 2 ** (-out / max(len(held.value), 1) / norm)})
-
-    return vectors.select("vec_id", "embedding").mapInPandas(score, "vec_id long, score double")
-
-
-def train_forest(vectors: DataFrame, seed: int = 7) -> DataFrame:
-    """(vec_id, label, prediction) of a random forest of ten trees, five deep."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.functions import array_to_vector
-
-    d = vectors.where("label is not null").select("vec_id", F.col("label").cast("double").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    m = RandomForestClassifier(numTrees=10, maxDepth=5, featureSubsetStrategy="sqrt", impurity="gini", seed=seed).fit(d)
-    return m.transform(d).select("vec_id", "label", "prediction")

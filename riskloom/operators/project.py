@@ -6,33 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom import model, rules
-from riskloom.operators import report, scan
+from riskloom.operators import report, scan, trees
 from riskloom.sources import code
 
 #: folders that hold no code of a project's own
 SKIPPED = [".git", "node_modules", "vendor", "__pycache__"]
 
 
-def scan_folder(spark: SparkSession, folder: str, exclude: list[str] = SKIPPED, anomalies: DataFrame | None = None) -> DataFrame:
+def scan_folder(spark: SparkSession, folder: str, exclude: list[str] = SKIPPED, detector: trees.Forest | None = None) -> DataFrame:
     """Findings of all files of known extensions below a folder, with what a report needs; see ``findings_of``."""
     skipped = [f"*/{x}/*" for x in exclude]
     files = code.read_folder(spark, folder, include=[f"*{e}" for e in rules.EXTENSIONS], exclude=skipped)
-    return findings_of(files, anomalies)
+    return findings_of(files, detector)
 
 
 def scan_code(spark: SparkSession, text: str, language: str, name: str = "code") -> DataFrame:
     return findings_of(spark.createDataFrame([(name, language, text)], "path string, language string, content string"))
 
 
-def findings_of(files: DataFrame, anomalies: DataFrame | None = None) -> DataFrame:
+def findings_of(files: DataFrame, detector: trees.Forest | None = None) -> DataFrame:
     """id, severity, vuln_class, confidence, file_path, line_start, title, pass, cwe_id, code_snippet of a scan.
 
-    ``anomalies`` are scores (path, score) of files at or over a detector's threshold, which make findings of their own.
+    ``detector`` is a trained one of unusual files (``scan.train_detector``, ``trees.load``); without it there is no anomaly pass.
     """
-    found = scan.scan(files)
-    if anomalies is not None:
-        grave = F.when(F.col("score") >= 0.8, "HIGH").otherwise("MEDIUM")
-        found = found.unionByName(anomalies.select(F.col("path").alias("file_path"), F.lit(1).alias("line_start"), F.lit("CODE_EXECUTION").alias("vuln_class"), grave.alias("severity"), F.col("score").alias("confidence"), F.lit("anomaly").alias("pass")))
+    found = scan.scan(files, detector)
     d = found.join(files.select(F.col("path").alias("file_path"), "content"), "file_path")
     title = F.when(F.col("pass") == "anomaly", "Anomalous code pattern detected").otherwise(F.initcap(F.replace(F.col("vuln_class"), F.lit("_"), F.lit(" "))))
     name = F.concat_ws(":", "file_path", F.col("line_start").cast("string"), "vuln_class")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from riskloom import model, rules
 from riskloom.functions.lineage import cut
 from riskloom.functions.text import by_language, java
-from riskloom.operators import features, flow, matching, risk
+from riskloom.operators import features, flow, matching, risk, trees, vectors
+from riskloom.operators.ml import rounded
 from riskloom.sources import code
 
 
@@ -55,18 +56,29 @@ def _severity(score: Column) -> Column:
     return F.when(score >= 0.9, "CRITICAL").when(score >= 0.7, "HIGH").when(score >= 0.5, "MEDIUM").otherwise("LOW")
 
 
-def scan(files: DataFrame, least: float = 0.3, most: int = 50) -> DataFrame:
-    """Findings of all passes: file_path, line_start, vuln_class, severity, confidence, pass.
+def file_vectors(files: DataFrame) -> DataFrame:
+    """(vec_id, embedding): the path and the 160 features of each file, by millionths, as detectors read them."""
+    return vectors.feature_vectors(files).select(F.col("path").alias("vec_id"), F.transform("x", rounded).alias("embedding"))
 
-    Passes in this order: dangerous functions and complexity, semantics, data flow, taint, rules, scoring model. Then at
-    least ``least`` confident ones, the ``most`` gravest of a file, and of those the first of each line and class.
+
+def train_detector(files: DataFrame, contamination: float = 0.1) -> trees.Forest:
+    """A detector of unusual files, learned from files that count as usual but for the share ``contamination``."""
+    return trees.fit_detector(cut(file_vectors(files)), contamination)
+
+
+def scan(files: DataFrame, detector: trees.Forest | None = None, least: float = 0.3, most: int = 50) -> DataFrame:
+    """Findings of all passes: file_path, line_start, vuln_class, severity, confidence (by millionths), pass.
+
+    Passes in this order: dangerous functions and complexity, semantics, data flow, taint, rules, scoring model, and the
+    anomaly pass if there is a trained detector. Then at least ``least`` confident ones, the ``most`` gravest of a file, and
+    of those the first of each line and class.
     """
     lines = code.lines(files)
     feats = cut(features.features(files))
 
     def rows(d, name, line, cls, severity, confidence):
         lit = lambda x: x if isinstance(x, Column) else F.lit(x)
-        return d.select(F.col("path").alias("file_path"), lit(line).cast("int").alias("line_start"), lit(cls).alias("vuln_class"), lit(severity).alias("severity"), lit(confidence).cast("double").alias("confidence"), F.lit(name).alias("pass"))
+        return d.select(F.col("path").alias("file_path"), lit(line).cast("int").alias("line_start"), lit(cls).alias("vuln_class"), lit(severity).alias("severity"), rounded(lit(confidence).cast("double")).alias("confidence"), F.lit(name).alias("pass"))
 
     dangerous = files.select("path", F.explode(features.dangerous("content", "language")).alias("name"))
     out = rows(dangerous, "static", 1, "INJECTION", "HIGH", 0.7)
@@ -84,6 +96,9 @@ def scan(files: DataFrame, least: float = 0.3, most: int = 50) -> DataFrame:
     out = out.union(rows(matching.match(lines).where("fp_reason IS NULL"), "rules", F.col("line_no"), F.col("vuln_class"), _severity(severity), F.col("confidence")))
     scored = features.predict(feats, 0.6)
     out = out.union(rows(scored, "model", 1, F.col("vuln_class"), F.when(F.col("prob") >= 0.9, "CRITICAL").when(F.col("prob") >= 0.8, "HIGH").when(F.col("prob") >= 0.7, "MEDIUM").otherwise("LOW"), F.col("prob")))
+    if detector is not None and detector.dim:
+        odd = trees.detect(file_vectors(files), detector).where("is_anomaly").withColumnRenamed("vec_id", "path")
+        out = out.union(rows(odd, "anomaly", 1, "CODE_EXECUTION", F.when(F.col("score") >= 0.8, "HIGH").otherwise("MEDIUM"), F.col("score")))
     out = out.withColumn("id", F.concat_ws(":", "pass", "vuln_class", F.col("line_start").cast("string")))
     return risk.capped(out, most, least).select("file_path", "line_start", "vuln_class", "severity", "confidence", "pass")
 

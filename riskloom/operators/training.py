@@ -149,16 +149,6 @@ def classify(vectors: DataFrame, m: Logistic) -> DataFrame:
     return vectors.select("vec_id", F.col("label").cast("int").alias("label"), F.col("embedding").cast("array<double>").alias("x")).mapInArrow(run, "vec_id long, label int, prediction int, probabilities array<double>")
 
 
-def forest_shares(vectors: DataFrame, classes: int, seed: int = 7) -> DataFrame:
-    """(vec_id, class, share): the share of a random forest's vote that each class has."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    d = vectors.where("label is not null").select("vec_id", F.col("label").cast("double").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    m = RandomForestClassifier(numTrees=10, maxDepth=5, featureSubsetStrategy="sqrt", impurity="gini", seed=seed).fit(d)
-    return m.transform(d).select("vec_id", F.posexplode(vector_to_array("probability")).alias("class", "share"))
-
-
 # --- autoencoder -----------------------------------------------------------------------------------------------------
 
 

@@ -204,16 +204,6 @@ def minmax_features(spark, sf_dir):
     return ml.minmax(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-@query()
-def isolation_scores(spark, sf_dir):
-    return ml.isolation_forest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
-
-
-@query()
-def forest_predictions(spark, sf_dir):
-    return ml.train_forest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
-
-
 @query(f"WITH f AS ({FINDINGS_SQL}), k(tag, name) AS ({values(list(_PLAIN.items()))}), n(name, cls) AS ({values(list(model.CLASS_NAMES.items()))}) SELECT id, coalesce(cls, 'INJECTION') AS vuln_class FROM f JOIN k USING (tag) LEFT JOIN n ON n.name = lower(k.name)")
 def class_names(spark, sf_dir):
     return findings(spark, sf_dir).select("id", explain.class_of_name(model.choose(F.col("tag"), _PLAIN, "")).alias("vuln_class"))

@@ -13,11 +13,6 @@ from riskloom.sources.views import FINDINGS_SQL, findings
 _KNOWN = f"known(language, names) AS ({values(list(rules.DANGEROUS.items()))})"
 
 
-@query()
-def scan_findings(spark, sf_dir):
-    return scan.scan(files(spark, sf_dir))
-
-
 @query(f"""WITH files AS ({FILES_SQL}), {LINES_SQL}, b AS (SELECT path, language, line_no, ls[line_no] AS text, array_to_string(ls[greatest(line_no - 3, 1):line_no], chr(10)) AS before FROM l1),
     r(language, regex) AS ({values(list(rules.NULLS.items()))}), n AS (SELECT path, line_no AS assign_line, unnest(regexp_extract_all(text, regex, 1)) AS var FROM b JOIN r USING (language))
     SELECT b.path, CAST(assign_line AS INTEGER) AS assign_line, CAST(line_no AS INTEGER) AS line_no, var FROM b JOIN n ON n.path = b.path AND line_no >= assign_line AND (contains(text, var || '.') OR contains(text, var || '->'))

@@ -102,12 +102,6 @@ def logreg_train(spark, sf_dir):
     return training.classify(e, training.train_logistic(e, classes)).select("vec_id", "label", "prediction")
 
 
-@query()
-def classify_proba(spark, sf_dir):
-    e, classes = _labels(spark, sf_dir)
-    return training.forest_shares(e, len(classes))
-
-
 @query()
 def autoencoder_errors(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")

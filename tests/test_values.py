@@ -105,21 +105,6 @@ def test_reachable_chain(spark):
     assert {r.node for r in flow.reachable(edges).collect()} == set(range(13))
 
 
-def test_each_tree_draws_from_all_rows(spark):
-    from riskloom.operators import ml
-
-    d = spark.range(4000).selectExpr("id AS vec_id", "array(CAST(id AS FLOAT), CAST(id % 7 AS FLOAT)) AS embedding")
-    drawn = ml._samples(d, 100, 256, 7)
-    assert len(drawn) == 100 and all(len({r[0] for r in x.tolist()}) == 256 for x in drawn)
-    assert len({r[0] for x in drawn for r in x.tolist()}) > 3950  # of 25,600 draws, a row is in none with probability 0.0014
-    assert len(ml._samples(d.where("vec_id < 100"), 3, 256, 7)[0]) == 100 and ml._samples(d.where("vec_id < 0"), 3, 256, 7) == []
-    assert ml.isolation_forest(d).count() == 4000 and ml.isolation_forest(d.where("vec_id < 0")).count() == 0
-
-    # half of the rows are one row
-    same = d.selectExpr("IF(vec_id < 2000, NULL, vec_id) AS vec_id", "IF(vec_id < 2000, array(0f, 0f), embedding) AS embedding")
-    assert all(len(x) == 256 for x in ml._samples(same, 5, 256, 7))
-
-
 def test_control_flow_of_a_file(spark):
     from riskloom.operators import graph
     from riskloom.sources.code import corpus
