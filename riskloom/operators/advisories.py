@@ -57,12 +57,18 @@ def real_world_risk(confidence: Column, avg_cvss: Column, exploit: Column) -> Co
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), r))
 
 
-def enrich(findings: DataFrame, cves: DataFrame, least: float = 5.0, k: int = 5) -> DataFrame:
-    """Adds the number and mean score of the k gravest advisories of at least ``least``, and the real-world risk."""
-    best = top_of_cwe(cves.where(F.col("cvss") >= least), k).groupBy("cwe_id").agg(F.count("*").alias("n_cves"), F.sum("cvss").alias("s"))
+def enrich(findings: DataFrame, cves: DataFrame, least: float = 5.0, k: int = 5, exploited: DataFrame | None = None) -> DataFrame:
+    """Adds the number and mean score of the k gravest advisories of at least ``least``, whether one of them is exploited, and the real-world risk.
+
+    ``exploited`` has the cve_id of each advisory with a known exploit; without it none has.
+    """
+    best = top_of_cwe(cves.where(F.col("cvss") >= least), k)
+    known = exploited.select("cve_id", F.lit(True).alias("known")).distinct() if exploited is not None else None
+    best = best.join(known, "cve_id", "left") if known is not None else best.withColumn("known", F.lit(False))
+    best = best.groupBy("cwe_id").agg(F.count("*").alias("n_cves"), F.sum("cvss").alias("s"), F.max(F.coalesce("known", F.lit(False))).alias("known"))
     d = findings.withColumn("cwe_id", model.of_class(F.col("vuln_class"), 6, "CWE-20")).join(best, "cwe_id", "left")
-    avg = F.col("s") / F.col("n_cves")
-    return d.select("id", "cwe_id", F.coalesce("n_cves", F.lit(0)).alias("n_cves"), real_world_risk(F.col("confidence"), avg, F.lit(False)).alias("risk"))
+    avg, exploit = F.col("s") / F.col("n_cves"), F.coalesce("known", F.lit(False))
+    return d.select("id", "cwe_id", F.coalesce("n_cves", F.lit(0)).alias("n_cves"), exploit.alias("exploit"), real_world_risk(F.col("confidence"), avg, exploit).alias("risk"))
 
 
 def impact(findings: DataFrame, cves: DataFrame, k: int = 5) -> DataFrame:

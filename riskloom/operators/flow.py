@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -174,21 +176,54 @@ def taint_sources(lines: DataFrame) -> DataFrame:
     return d.select("path", "var", "s.source_type", "s.line_no")
 
 
-def propagate(lines: DataFrame, rounds: int = 10) -> DataFrame:
-    """(path, var, depth, confidence): taint spreads to what a line assigns that names a tainted variable anywhere.
+def provenance(lines: DataFrame, rounds: int | None = 10) -> DataFrame:
+    """(path, var, depth, line_no, parent): taint spreads to what a line assigns that names a tainted variable anywhere.
 
-    Rounds in step: a variable's depth is the least. Only assignment lines of files with sources take part.
+    Rounds in step: a variable's depth is the least, and of the lines that spread taint to it then, the first one counts,
+    with the first (by name) of the variables that it names. A source's line is that of its event, and it has no parent.
+    ``rounds`` is where the reference stops; None goes on until nothing is new, and a search that a bound ends warns. Only
+    assignment lines of files with sources take part.
     """
-    known = taint_sources(lines).select("path", "var", F.lit(0).alias("depth")).transform(cut)
-    assign = stripped(lines).where(F.contains("text", F.lit("="))).withColumn("to", _assigned()).where("to is not null").select("path", "text", "to").join(known.select("path").distinct(), "path", "left_semi").transform(cut)
-    front = known
-    for depth in range(1, rounds + 1):
-        new = assign.join(front.select("path", "var"), "path").where(F.contains("text", F.col("var"))).select("path", F.col("to").alias("var")).distinct()
-        front = new.join(known, ["path", "var"], "left_anti").withColumn("depth", F.lit(depth)).transform(cut)
-        if front.isEmpty():
+    known = taint_sources(lines).select("path", "var", F.lit(0).alias("depth"), "line_no", F.lit(None).cast("string").alias("parent")).transform(cut)
+    assign = stripped(lines).where(F.contains("text", F.lit("="))).withColumn("to", _assigned()).where("to is not null").select("path", "line_no", "text", "to").join(known.select("path").distinct(), "path", "left_semi").transform(cut)
+    front, depth = known, 0
+    while not front.isEmpty():
+        depth += 1
+        new = assign.join(front.select("path", "var"), "path").where(F.contains("text", F.col("var")))
+        new = new.groupBy("path", F.col("to").alias("name")).agg(F.min(F.struct("line_no", "var")).alias("via"))
+        new = new.select("path", F.col("name").alias("var"), F.lit(depth).alias("depth"), "via.line_no", F.col("via.var").alias("parent"))
+        front = new.join(known.select("path", "var"), ["path", "var"], "left_anti").transform(cut)
+        if rounds is not None and depth > rounds:
+            if not front.isEmpty():
+                warnings.warn(f"taint spreads further than {rounds} rounds", stacklevel=2)
             break
         known = known.unionByName(front).transform(cut)
-    return known.withColumn("confidence", F.lit(0.9) * F.pow(F.lit(0.95), F.col("depth").cast("double")))
+    return known
+
+
+def propagate(lines: DataFrame, rounds: int | None = 10) -> DataFrame:
+    """(path, var, depth, confidence) of ``provenance``; each round costs a twentieth of the confidence."""
+    return provenance(lines, rounds).select("path", "var", "depth", (F.lit(0.9) * F.pow(F.lit(0.95), F.col("depth").cast("double"))).alias("confidence"))
+
+
+def chains(links: DataFrame) -> DataFrame:
+    """(path, var, source, steps) of rows of ``provenance``: steps are (line_no, var) from the source to the variable.
+
+    Each round joins what a variable leads to with what that leads to, so chains double.
+    """
+    now = links.select("path", "var", F.col("parent").alias("up"), F.array(F.struct("line_no", "var")).alias("steps")).transform(cut)
+    while not now.where("up is not null").isEmpty():
+        above = now.select("path", F.col("var").alias("up"), F.col("up").alias("next"), F.col("steps").alias("before"), F.lit(True).alias("there"))
+        now = now.join(above, ["path", "up"], "left").select("path", "var", F.when(F.col("there"), F.col("next")).alias("up"), F.when(F.col("there"), F.concat("before", "steps")).otherwise(F.col("steps")).alias("steps")).transform(cut)
+    return now.select("path", "var", F.get("steps", F.lit(0))["var"].alias("source"), "steps")
+
+
+def taint_chains(lines: DataFrame, rounds: int | None = 10) -> DataFrame:
+    """Sinks with where their taint comes from: path, line_no, var, sink_type, regex_no, source, source_line, source_type, steps."""
+    links = cut(provenance(lines, rounds))
+    kinds = taint_sources(lines).select("path", F.col("var").alias("source"), "source_type", F.col("line_no").alias("source_line"))
+    found = taint_sinks(lines, links.select("path", "var")).drop("exploitable").join(chains(links), ["path", "var"]).join(kinds, ["path", "source"])
+    return found.select("path", "line_no", "var", "sink_type", "regex_no", "source", "source_line", "source_type", "steps")
 
 
 def taint_sinks(lines: DataFrame, tainted: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ and numbered. Graph algorithms then see one file's graph as one row, so no two f
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import batched
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,8 @@ from riskloom import rules
 from riskloom.functions.text import by_language
 
 _TRIM = " \t\r\f\x0b"
+#: rows that leave a task at once
+ROWS = 1000
 #: how far an else leads past the block that comes next
 ELSE_STEP = 100
 
@@ -122,17 +125,31 @@ class Graph:
                     todo.append(b)
         return seen
 
+    def dominator_tree(self) -> dict[int, tuple[int | None, int, int]]:
+        """idom, enter, leave of each node that the entry reaches; a dominates b if b's enter lies from a's enter to a's leave."""
+        return _numbered(self._immediate([0], self.out, self.into, ()))
+
+    def post_dominator_tree(self) -> dict[int, tuple[int | None, int, int]]:
+        """The same on ways to an exit, of each node that reaches one. Ways end at their first exit; exits have no idom."""
+        exits = [n for n in self.ids if self.info[n]["is_exit"]]
+        return _numbered(self._immediate(exits, self.into, self.out, exits))
+
     def dominators(self) -> dict[int, set[int]]:
         """On all ways from the entry; what it can't reach is dominated by everything."""
-        return self._tree([0], self.out, self.into, ())
+        return self._sets(self.dominator_tree())
 
     def post_dominators(self) -> dict[int, set[int]]:
-        """On all ways to an exit; what reaches none is so by everything. Ways end at their first exit."""
-        exits = [n for n in self.ids if self.info[n]["is_exit"]]
-        return self._tree(exits, self.into, self.out, exits)
+        """On all ways to an exit; what reaches none is so by everything."""
+        return self._sets(self.post_dominator_tree())
+
+    def _sets(self, tree: dict[int, tuple[int | None, int, int]]) -> dict[int, set[int]]:
+        found: dict[int, set[int]] = {}
+        for n, (up, _, _) in sorted(tree.items(), key=lambda x: x[1][1]):  # a node after those above it
+            found[n] = {n} | (found[up] if up is not None else set())
+        return {n: found.get(n) or set(self.ids) for n in self.ids}
 
-    def _tree(self, roots: list[int], out: dict, into: dict, closed) -> dict[int, set[int]]:
-        """The dominator tree under one node above all roots, by its immediate dominators, and the chains in it."""
+    def _immediate(self, roots: list[int], out: dict, into: dict, closed) -> dict[int, int]:
+        """The node right above each in the dominator tree; -1 stands above all roots."""
         order: list[int] = []  # by depth-first search, a node after all that it leads to
         seen, closed = set(roots), set(closed)
         stack = [(r, iter(out[r])) for r in roots]
@@ -172,17 +189,14 @@ class Graph:
                 if new is not None and up.get(n) != new:
                     up[n] = new
                     changed = True
-        everything = set(self.ids)
-        found: dict[int, set[int]] = {}
-        for n in reversed(order):
-            found[n] = {n} | (found[up[n]] if up[n] != -1 else set())
-        return {n: found.get(n, everything) for n in self.ids}
+        del up[-1]
+        return up
 
     def loops(self) -> Iterator[tuple[int, int, set[int], set[int]]]:
         """(header, tail, body, exits) of each edge to a dominator of its source."""
-        dom = self.dominators()
+        tree = self.dominator_tree()
         for tail, header in self.edges:
-            if header not in dom[tail]:
+            if not dominates(tree, header, tail):
                 continue
             body, todo = {header, tail}, [tail]
             while todo:
@@ -193,39 +207,120 @@ class Graph:
             yield header, tail, body, {a for a, b in self.edges if a in body and b not in body}
 
     def paths(self, target: int) -> Iterator[list[int]]:
-        """All ways from the entry to a node that pass no node twice, without the node itself."""
-        path, rest = [0], [iter(self.out[0])]
+        """All ways from the entry to a node that pass no node twice, without the node itself, one at a time.
+
+        Nodes from which the target can't be reached are not entered.
+        """
         if target == 0:
             yield []
             return
+        useful, todo = {target}, [target]
+        while todo:
+            for p in self.into[todo.pop()]:
+                if p not in useful:
+                    useful.add(p)
+                    todo.append(p)
+        path, on, rest = [0], {0}, [iter(self.out[0])]
         while path:
             for b in rest[-1]:
                 if b == target:
                     yield list(path)
-                elif b not in path:
+                elif b not in on and b in useful:
                     path.append(b)
+                    on.add(b)
                     rest.append(iter(self.out[b]))
                     break
             else:
-                path.pop()
+                on.discard(path.pop())
                 rest.pop()
 
+    def components(self) -> dict[int, int]:
+        """The strongly connected component of each node, by its least node; components come in the order of the condensation."""
+        order: list[int] = []
+        seen: set[int] = set()
+        for root in self.ids:
+            if root in seen:
+                continue
+            seen.add(root)
+            stack = [(root, iter(self.out[root]))]
+            while stack:
+                at, rest = stack[-1]
+                for b in rest:
+                    if b not in seen:
+                        seen.add(b)
+                        stack.append((b, iter(self.out[b])))
+                        break
+                else:
+                    order.append(at)
+                    stack.pop()
+        found: dict[int, int] = {}
+        for root in reversed(order):
+            if root in found:
+                continue
+            mine, todo = {root}, [root]
+            while todo:
+                for b in self.into[todo.pop()]:
+                    if b not in found and b not in mine:
+                        mine.add(b)
+                        todo.append(b)
+            found |= dict.fromkeys(mine, min(mine))
+        return found
+
+    def ways(self) -> dict[int, int]:
+        """How many ways lead from the entry to each node that it reaches: to its component, by the edges between components.
+
+        Without cycles these are the ways that pass no node twice. Counted along the condensation, never listed.
+        """
+        of = self.components()
+        total = dict.fromkeys(dict.fromkeys(of.values()), 0)
+        total[of[0]] = 1
+        between: dict[int, list[int]] = {c: [] for c in total}
+        for a, b in self.edges:
+            if of[a] != of[b]:
+                between[of[a]].append(of[b])
+        for c in total:  # in the order of the condensation
+            for d in between[c]:
+                total[d] += total[c]
+        return {n: total[of[n]] for n in self.ids if total[of[n]]}
+
+
+def _numbered(up: dict[int, int]) -> dict[int, tuple[int | None, int, int]]:
+    """Each node of a tree with the one above, the number at which a walk enters it, and the last number below it."""
+    below: dict[int, list[int]] = {}
+    for n in sorted(up, reverse=True):
+        below.setdefault(up[n], []).append(n)
+    enter, leave, stack = {}, {}, [(n, False) for n in below.get(-1, ())]
+    while stack:
+        n, done = stack.pop()
+        if done:
+            leave[n] = len(enter) - 1
+            continue
+        enter[n] = len(enter)
+        stack.append((n, True))
+        stack += [(c, False) for c in below.get(n, ())]
+    return {n: (u if u != -1 else None, enter[n], leave[n]) for n, u in up.items()}
+
+
+def dominates(tree: dict[int, tuple[int | None, int, int]], a: int, b: int) -> bool:
+    """Whether a is on all ways to b; what no way reaches is dominated by everything."""
+    return b not in tree or a in tree and tree[a][1] <= tree[b][1] <= tree[a][2]
+
 
 def _each(graphs: DataFrame, schema: str, fn: Callable[[Graph], Iterator[tuple]]) -> DataFrame:
-    names = [c.strip().split()[0] for c in schema.split(",")]
+    kinds = _arrow(schema)
 
     def run(batches):
         for b in batches:
             for path, nodes, edges in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                rows = list(fn(Graph(nodes, edges)))
-                if rows:
-                    yield pa.RecordBatch.from_pylist([dict(zip(names, (path, *r), strict=True)) for r in rows], schema=_arrow(schema))
+                for rows in batched(fn(Graph(nodes, edges)), ROWS):
+                    cols = [[path] * len(rows), *map(list, zip(*rows, strict=True))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, kinds, strict=True)], schema=kinds)
 
     return graphs.select("path", "nodes", "edges").mapInArrow(run, schema)
 
 
 def _arrow(schema: str) -> pa.Schema:
-    types = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
+    types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
     return pa.schema([(n, types[t]) for n, t in (c.strip().split() for c in schema.split(","))])
 
 
@@ -237,6 +332,29 @@ def post_dominators(graphs: DataFrame) -> DataFrame:
     return _each(graphs, "path string, node int, pdom int", lambda g: ((n, d) for n, ds in g.post_dominators().items() for d in ds))
 
 
+def dominator_trees(graphs: DataFrame) -> DataFrame:
+    """(path, node, idom, enter, leave): a row for each node; all but path and node are null where the entry doesn't reach it, idom at the entry."""
+    return _each(graphs, "path string, node int, idom int, enter int, leave int", lambda g: _of_tree(g, g.dominator_tree()))
+
+
+def post_dominator_trees(graphs: DataFrame) -> DataFrame:
+    return _each(graphs, "path string, node int, idom int, enter int, leave int", lambda g: _of_tree(g, g.post_dominator_tree()))
+
+
+def _of_tree(g: Graph, tree: dict) -> Iterator[tuple]:
+    return ((n, *tree.get(n, (None, None, None))) for n in g.ids)
+
+
+def is_dominated(above: Column, by: Column) -> Column:
+    """Whether a row of a tree (a struct of it) dominates another one of the same file: a test of two numbers."""
+    return by["enter"].isNull() | F.coalesce(by["enter"].between(above["enter"], above["leave"]), F.lit(False))
+
+
+def ways_to(graphs: DataFrame) -> DataFrame:
+    """(path, node, ways): how many ways lead to each node that the entry reaches (see ``Graph.ways``); null beyond a long."""
+    return _each(graphs, "path string, node int, ways long", lambda g: ((n, w if w < 2**63 else None) for n, w in g.ways().items()))
+
+
 def unreachable(graphs: DataFrame) -> DataFrame:
     return _each(graphs, "path string, node int", lambda g: ((n,) for n in set(g.ids) - g.reached(0)))
 

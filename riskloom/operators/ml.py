@@ -39,7 +39,7 @@ def metrics(df: DataFrame, classes: list) -> DataFrame:
     n = len(classes)
     g = g.withColumn("pr", sum((share(f"tp{i}", f"p{i}") for i in range(n)), F.lit(0.0)) / n).withColumn("re", sum((share(f"tp{i}", f"a{i}") for i in range(n)), F.lit(0.0)) / n)
     f1 = F.lit(2.0) * F.col("pr") * F.col("re") / (F.col("pr") + F.col("re") + F.lit(1e-10))
-    return g.select(rounded(F.col("hit") / F.col("n")).alias("accuracy"), rounded(F.col("pr")).alias("precision"), rounded(F.col("re")).alias("recall"), rounded(f1).alias("f1"))
+    return g.select("n", rounded(F.col("hit") / F.col("n")).alias("accuracy"), rounded(F.col("pr")).alias("precision"), rounded(F.col("re")).alias("recall"), rounded(f1).alias("f1"))
 
 
 def gini(df: DataFrame, group: str, label: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom import model
@@ -20,10 +22,11 @@ def sarif(findings: DataFrame) -> DataFrame:
     return findings.withColumns({"rule_id": F.col("vuln_class"), "level": level, "uri": F.col("file_path"), "line_hash": F.sha2(F.concat("file_path", F.col("line_start").cast("string")), 256)})
 
 
-def rules(spark: SparkSession) -> DataFrame:
-    d = spark.createDataFrame([(c[0], c[6]) for c in model.CLASSES], "vuln_class string, cwe_id string")
-    level = F.when(F.col("vuln_class").isin(model.SARIF_ERROR), "error").when(F.col("vuln_class").isin(model.SARIF_WARNING), "warning").otherwise("note")
-    return d.select("vuln_class", level.alias("level"), "cwe_id")
+def rules(findings: DataFrame) -> DataFrame:
+    """(vuln_class, level, cwe_id): a rule for each class that findings have."""
+    c = F.col("vuln_class")
+    level = F.when(c.isin(model.SARIF_ERROR), "error").when(c.isin(model.SARIF_WARNING), "warning").otherwise("note")
+    return findings.where(c.isNotNull()).select("vuln_class").distinct().select("vuln_class", level.alias("level"), model.of_class(c, 6, "CWE-20").alias("cwe_id"))
 
 
 def markdown_counts(findings: DataFrame) -> DataFrame:
@@ -56,15 +59,14 @@ def described(findings: DataFrame) -> DataFrame:
     return findings.withColumns({"cwe_id": model.of_class(c, 6, "CWE-20"), "remediation": F.array_join(model.choose(c, {k: v for k, v in model.REMEDIATION.items() if k != "*"}, model.REMEDIATION["*"]), "; "), "percent": F.round(F.col("confidence") * 100).cast("int").cast("string")})
 
 
-def _quoted(col: Column) -> Column:
-    """A JSON string, without the marks."""
-    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        col = F.replace(col, F.lit(a), F.lit(b))
-    return col
+def _text(*parts) -> Column:
+    """Parts put together; a null is nothing."""
+    return F.concat(*[F.coalesce(p, F.lit("")) if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
-def _text(*parts) -> Column:
-    return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+def _json(*fields: Column) -> Column:
+    """A JSON object of the fields, nulls as null."""
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
 
 def rendered(findings: DataFrame) -> DataFrame:
@@ -72,7 +74,8 @@ def rendered(findings: DataFrame) -> DataFrame:
     c = F.col
     at = _text(c("file_path"), ":", c("line_start").cast("string"))
     mark = model.choose(c("severity"), MARKS, "🔵")
-    json_ = _text('{"id":"', c("id").cast("string"), '","vuln_class":"', c("vuln_class"), '","severity":"', c("severity"), '","confidence":', c("confidence").cast("string"), ',"title":"', _quoted(c("title")), '","location":{"file":"', _quoted(c("file_path")), '","line_start":', c("line_start").cast("string"), '},"cwe_id":"', c("cwe_id"), '","remediation":"', _quoted(c("remediation")), '"}')
+    place = F.struct(c("file_path").alias("file"), "line_start").alias("location")
+    json_ = _json(c("id").cast("string").alias("id"), c("vuln_class"), c("severity"), c("confidence"), c("title"), place, c("cwe_id"), c("remediation"))
     markdown = _text("### ", mark, " ", c("title"), "\n\n**Severity:** ", c("severity"), "  \n**Vulnerability Type:** ", c("vuln_class"), "  \n**Location:** `", at, "`  \n**Confidence:** ", c("percent"), "%  \n**CWE:** ", c("cwe_id"), "\n\n", c("remediation"), "\n")
     html = _text('<article class="', F.lower("severity"), '"><h3>', escape_html(c("title")), "</h3><p>", c("severity"), " | ", escape_html(at), " | ", c("vuln_class"), " | ", c("cwe_id"), " | ", c("percent"), "%</p><p>", escape_html(c("remediation")), "</p></article>")
     return findings.withColumns({"json": json_, "markdown": markdown, "html": html})
@@ -93,29 +96,33 @@ def report(findings: DataFrame, format: str, target: str, when: str) -> DataFram
     n = {s[0]: 0 for s in model.SEVERITIES} | {r.severity: r.n for r in findings.groupBy("severity").agg(F.count("*").alias("n")).collect()}
     files = findings.select(F.count_distinct("file_path").alias("n")).first().n
     d = _ordered(rendered(described(findings)))
-    first = d.agg(F.min("rank").alias("first"))  # one row
-    d = d.crossJoin(first).withColumn("lead", F.when(F.col("rank") == F.col("first"), "").otherwise(","))
     total = sum(n.values())
+    listed = False
     if format == "json":
-        counts = ",".join(f'"{k}":{v}' for k, v in n.items())
-        quoted = target.replace("\\", "\\\\").replace('"', '\\"')
-        head, body, tail = f'{{"target":"{quoted}","timestamp":"{when}","statistics":{{"files":{files},"total_findings":{total},"findings_by_severity":{{{counts}}}}},"findings":[', F.concat("lead", "json"), "]}"
+        head = json.dumps({"target": target, "timestamp": when, "statistics": {"files": files, "total_findings": total, "findings_by_severity": {str(k): v for k, v in n.items()}}}, ensure_ascii=False)
+        head, body, tail, listed = head[:-1] + ', "findings":[', F.col("json"), "]}", True
     elif format == "sarif":
-        s = sarif(d)
+        d = sarif(d)
         place = F.array(F.struct(F.struct(F.struct(F.col("uri").alias("uri")).alias("artifactLocation"), F.struct(F.col("line_start").alias("startLine")).alias("region")).alias("physicalLocation")))
-        one = F.struct(F.col("rule_id").alias("ruleId"), "level", F.struct(F.col("title").alias("text")).alias("message"), place.alias("locations"), F.struct(F.col("line_hash").alias("primaryLocationLineHash")).alias("partialFingerprints"))
-        d = s
-        named = ",".join(f'{{"id":"{c[0]}"}}' for c in model.CLASSES)
-        head, body, tail = f'{{"version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"riskloom","rules":[{named}]}}}},"results":[', F.concat("lead", F.to_json(one)), "]}]}"
+        body = _json(F.col("rule_id").alias("ruleId"), F.col("level"), F.struct(F.col("title").alias("text")).alias("message"), place.alias("locations"), F.struct(F.col("line_hash").alias("primaryLocationLineHash")).alias("partialFingerprints"))
+        named = [{"id": c[0]} for c in model.CLASSES]
+        head, tail, listed = json.dumps({"version": "2.1.0", "runs": [{"tool": {"driver": {"name": "riskloom", "rules": named}}}]})[:-3] + ', "results":[', "]}]}", True
     elif format == "html":
         cells = "".join(f"<li>{k}: {v}</li>" for k, v in n.items())
         safe = target.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
         head, body, tail = f"<!DOCTYPE html><html><head><meta charset=\"utf-8\"><title>Scan of {safe}</title></head><body><h1>Scan of {safe}</h1><p>{when}, {files} files</p><ul>{cells}</ul><h2>Findings ({total})</h2>", F.col("html"), "</body></html>"
     else:
-        rows = "\n".join(f"| {MARKS[k]} {k} | {v} |" for k, v in n.items())
+        rows = "\n".join(f"| {MARKS.get(k, '')} {k} | {v} |" for k, v in n.items())
         head, body, tail = f"# Scan of `{target}`\n\n{when}, {files} files, {total} findings\n\n| Severity | Count |\n|----------|-------|\n{rows}\n\n## Findings\n", F.col("markdown"), "Findings should be reviewed; some may be false."
-    ends = findings.sparkSession.createDataFrame([(0, head), (2, tail)], "place int, value string")
+    ends = findings.sparkSession.createDataFrame([(0, head), (3, tail)], "place int, value string")
     mine = d.select(F.lit(1).alias("place"), "rank", body.alias("value"))
+    if listed:
+        # equal lines are counted and told apart again, so that exactly one line, the first, has no comma
+        mine = mine.groupBy("place", "rank", "value").agg(F.count("*").alias("n"))
+        first = mine.agg(F.min(F.struct("rank", "value")).alias("first"))  # one row
+        mine = mine.crossJoin(F.broadcast(first)).select("place", "rank", "value", F.struct("rank", "value").eqNullSafe(F.col("first")).alias("leads"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i"))
+        order = F.when(F.col("leads") & (F.col("i") == 1), 0).otherwise(1)
+        mine = mine.select((F.lit(1) + order).alias("place"), "rank", F.concat(F.when(order == 0, "").otherwise(","), "value").alias("value"))
     return mine.unionByName(ends.withColumn("rank", F.lit(None).cast(mine.schema["rank"].dataType)))
 
 

@@ -103,13 +103,19 @@ def scan(files: DataFrame, detector: trees.Forest | None = None, least: float =
     return risk.capped(out, most, least).select("file_path", "line_start", "vuln_class", "severity", "confidence", "pass")
 
 
-ADVISORY_JSON = "struct<vulnerabilities:array<struct<cve:struct<id:string,descriptions:array<struct<lang:string,value:string>>,metrics:struct<cvssMetricV31:array<struct<cvssData:struct<baseScore:double,vectorString:string,baseSeverity:string>>>,cvssMetricV30:array<struct<cvssData:struct<baseScore:double,vectorString:string,baseSeverity:string>>>>,weaknesses:array<struct<description:array<struct<value:string>>>>,references:array<struct<url:string>>,published:string>>>>"
+ADVISORY_JSON = "struct<vulnerabilities:array<struct<cve:struct<id:string,descriptions:array<struct<lang:string,value:string>>,metrics:struct<cvssMetricV31:array<struct<cvssData:struct<baseScore:double,vectorString:string,baseSeverity:string>>>,cvssMetricV30:array<struct<cvssData:struct<baseScore:double,vectorString:string,baseSeverity:string>>>>,weaknesses:array<struct<description:array<struct<value:string>>>>,references:array<struct<url:string>>,configurations:array<struct<nodes:array<struct<cpeMatch:array<struct<criteria:string>>>>>>,published:string,lastModified:string>>>>"
 
 
 def parse_advisories(df: DataFrame, col: str) -> DataFrame:
-    """cve_id, description (the first English one), score (of version 3.1, else 3.0), cwes, urls, published of JSON answers."""
+    """cve_id, description (the first English one), score, vector and severity (of version 3.1, else 3.0), cwes, urls, products, published, modified of JSON answers."""
     d = df.select(F.explode(F.from_json(F.col(col), ADVISORY_JSON)["vulnerabilities"]).alias("v")).select("v.cve.*")
     english = F.get(F.filter("descriptions", lambda x: x["lang"] == "en"), F.lit(0))["value"]
-    score = F.coalesce(F.get(F.col("metrics.cvssMetricV31"), F.lit(0))["cvssData"]["baseScore"], F.get(F.col("metrics.cvssMetricV30"), F.lit(0))["cvssData"]["baseScore"], F.lit(0.0))
+    metric = F.coalesce(F.get(F.col("metrics.cvssMetricV31"), F.lit(0))["cvssData"], F.get(F.col("metrics.cvssMetricV30"), F.lit(0))["cvssData"])
     cwes = F.filter(F.flatten(F.transform("weaknesses", lambda w: F.transform(w["description"], lambda x: x["value"]))), lambda c: F.startswith(c, F.lit("CWE-")))
-    return d.select(F.col("id").alias("cve_id"), F.coalesce(english, F.lit("")).alias("description"), score.alias("score"), F.array_join(cwes, ",").alias("cwes"), F.array_join(F.transform("references", lambda r: r["url"]), ",").alias("urls"), F.substr("published", F.lit(1), F.lit(19)).alias("published"))
+    none = F.array().cast("array<string>")
+    nodes = F.flatten(F.transform("configurations", lambda c: F.coalesce(F.flatten(F.transform(c["nodes"], lambda n: F.transform(n["cpeMatch"], lambda m: m["criteria"]))), none)))
+    second = lambda c: F.substr(c, F.lit(1), F.lit(19))
+    return d.select(
+        F.col("id").alias("cve_id"), F.coalesce(english, F.lit("")).alias("description"), F.coalesce(metric["baseScore"], F.lit(0.0)).alias("score"), metric["vectorString"].alias("vector"), metric["baseSeverity"].alias("severity"),
+        F.array_join(cwes, ",").alias("cwes"), F.array_join(F.transform("references", lambda r: r["url"]), ",").alias("urls"), F.coalesce(nodes, none).alias("products"), second("published").alias("published"), second("lastModified").alias("modified"),
+    )

@@ -2,7 +2,7 @@
 
 
 def _load():
-    from riskloom.plans import code_queries, flow_queries, registry, risk_queries, scan_queries, tree_queries, vector_queries, whole_queries  # noqa: F401
+    from riskloom.plans import code_queries, flow_queries, learned_queries, registry, risk_queries, scan_queries, tree_queries, vector_queries, whole_queries  # noqa: F401
 
     return registry
 

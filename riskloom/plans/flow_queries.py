@@ -155,6 +155,14 @@ def taint_sanitized(spark, sf_dir):
     return flow.sanitized(d, flow.propagate(d))
 
 
+@query(f"""{_BASE}, {_SINKS}, via AS (SELECT t.path, t.var, min((asl.line_no, p.var)) AS v FROM tainted t JOIN asl ON asl.path = t.path AND asl.var = t.var JOIN tainted p ON p.path = t.path AND p.depth = t.depth - 1 AND contains(asl.text, p.var) WHERE t.depth > 0 GROUP BY 1, 2),
+    ch AS (SELECT path, var, var AS source, line_no || ':' || var AS steps FROM sources UNION ALL SELECT ch.path, via.var, source, steps || ',' || v[1] || ':' || via.var FROM ch JOIN via ON via.path = ch.path AND v[2] = ch.var)
+    SELECT sinks.path, sinks.line_no, sinks.var, sink_type, regex_no, source, s.line_no AS source_line, s.source_type, steps FROM sinks JOIN ch ON ch.path = sinks.path AND ch.var = sinks.var JOIN sources s ON s.path = ch.path AND s.var = ch.source""")
+def taint_chains(spark, sf_dir):
+    d = flow.taint_chains(_lines(spark, sf_dir))
+    return d.withColumn("steps", F.array_join(F.transform("steps", lambda x: F.concat_ws(":", x["line_no"].cast("string"), x["var"])), ","))
+
+
 def _pick(table, default):
     return "CASE sink_type " + " ".join(f"WHEN '{k}' THEN {q(v)}" for k, v in table.items()) + f" ELSE {q(default)} END"
 
@@ -294,13 +302,42 @@ def dominators(spark, sf_dir):
     return graph.dominators(_graphs(spark, sf_dir))
 
 
-@query(f"""{_BASE}, {_CFG}, inner_ AS (SELECT path, node FROM cn WHERE NOT is_exit), rx AS (SELECT path, node FROM cn WHERE is_exit UNION SELECT ge.path, src FROM rx JOIN ge ON ge.path = rx.path AND dst = rx.node JOIN inner_ ON inner_.path = ge.path AND inner_.node = src),
-    ax AS (SELECT a.path, b.node AS pdom, a.node FROM cn a JOIN cn b ON b.path = a.path WHERE a.is_exit AND a.node <> b.node UNION SELECT ax.path, pdom, src FROM ax JOIN ge ON ge.path = ax.path AND dst = ax.node JOIN inner_ ON inner_.path = ge.path AND inner_.node = src WHERE src <> pdom)
-    SELECT a.path, a.node, b.node AS pdom FROM cn a JOIN cn b ON b.path = a.path LEFT JOIN ax ON ax.path = a.path AND ax.pdom = b.node AND ax.node = a.node LEFT JOIN rx ON rx.path = a.path AND rx.node = a.node WHERE rx.node IS NULL OR ax.node IS NULL""")
+_POST = """inner_ AS (SELECT path, node FROM cn WHERE NOT is_exit), rx AS (SELECT path, node FROM cn WHERE is_exit UNION SELECT ge.path, src FROM rx JOIN ge ON ge.path = rx.path AND dst = rx.node JOIN inner_ ON inner_.path = ge.path AND inner_.node = src),
+    ax AS (SELECT a.path, b.node AS pdom, a.node FROM cn a JOIN cn b ON b.path = a.path WHERE a.is_exit AND a.node <> b.node UNION SELECT ax.path, pdom, src FROM ax JOIN ge ON ge.path = ax.path AND dst = ax.node JOIN inner_ ON inner_.path = ge.path AND inner_.node = src WHERE src <> pdom),
+    pdoms AS (SELECT a.path, a.node, b.node AS pdom FROM cn a JOIN cn b ON b.path = a.path LEFT JOIN ax ON ax.path = a.path AND ax.pdom = b.node AND ax.node = a.node LEFT JOIN rx ON rx.path = a.path AND rx.node = a.node WHERE rx.node IS NULL OR ax.node IS NULL)"""
+
+
+@query(f"{_BASE}, {_CFG}, {_POST} SELECT path, node, pdom FROM pdoms")
 def post_dominators(spark, sf_dir):
     return graph.post_dominators(_graphs(spark, sf_dir))
 
 
+# a node is numbered by the order of the chains of what dominates it
+_TREE = """chn AS (SELECT path, node, list(dom ORDER BY d) AS chain FROM (SELECT doms.*, c.d FROM doms JOIN (SELECT path, node, count(*) AS d FROM doms GROUP BY 1, 2) c ON c.path = doms.path AND c.node = dom) GROUP BY 1, 2),
+    num AS (SELECT path, node, chain[len(chain) - 1] AS idom, CAST(row_number() OVER (PARTITION BY path ORDER BY chain) - 1 AS INTEGER) AS enter FROM chn),
+    und AS (SELECT path, dom AS node, count(*) AS n FROM doms GROUP BY 1, 2)
+    SELECT cn.path, cn.node, CASE WHEN len(chain) > 1 THEN idom END AS idom, enter, CAST(enter + n - 1 AS INTEGER) AS leave FROM cn LEFT JOIN num ON num.path = cn.path AND num.node = cn.node LEFT JOIN chn ON chn.path = cn.path AND chn.node = cn.node LEFT JOIN und ON und.path = cn.path AND und.node = cn.node AND enter IS NOT NULL"""
+
+
+@query(f"{_BASE}, {_CFG}, {_DOMS.replace('doms AS (', 'dall AS (')}, doms AS (SELECT dall.* FROM dall JOIN re ON re.path = dall.path AND re.node = dall.node), {_TREE}")
+def dominator_tree(spark, sf_dir):
+    return graph.dominator_trees(_graphs(spark, sf_dir))
+
+
+@query(f"""{_BASE}, {_CFG}, {_POST}, doms AS (SELECT pdoms.path, pdoms.node, pdom AS dom FROM pdoms JOIN rx ON rx.path = pdoms.path AND rx.node = pdoms.node), {_TREE}""")
+def post_dominator_tree(spark, sf_dir):
+    return graph.post_dominator_trees(_graphs(spark, sf_dir))
+
+
+@query(f"""{_BASE}, {_CFG}, far AS (SELECT path, src AS a, dst AS b FROM ge UNION SELECT far.path, a, dst FROM far JOIN ge ON ge.path = far.path AND src = b),
+    co AS (SELECT cn.path, cn.node, least(cn.node, coalesce(min(f.b), cn.node)) AS comp FROM cn LEFT JOIN (SELECT x.* FROM far x JOIN far y ON y.path = x.path AND y.a = x.b AND y.b = x.a) f ON f.path = cn.path AND f.a = cn.node GROUP BY 1, 2),
+    be AS (SELECT ge.path, s.comp AS a, d.comp AS b, count(*) AS k FROM ge JOIN co s ON s.path = ge.path AND s.node = src JOIN co d ON d.path = ge.path AND d.node = dst WHERE s.comp <> d.comp GROUP BY 1, 2, 3),
+    wy AS (SELECT path, comp, CAST(1 AS BIGINT) AS w FROM co WHERE node = 0 UNION ALL SELECT wy.path, be.b, CAST(w * k AS BIGINT) FROM wy JOIN be ON be.path = wy.path AND be.a = wy.comp)
+    SELECT co.path, co.node, CAST(sum(w) AS BIGINT) AS ways FROM co JOIN wy ON wy.path = co.path AND wy.comp = co.comp GROUP BY 1, 2""")
+def ways_to_nodes(spark, sf_dir):
+    return graph.ways_to(_graphs(spark, sf_dir))
+
+
 _LIMIT = "coalesce(" + ", ".join(f"nullif(regexp_extract(condition, {q(r)}, 1), '')" for r in rules.BOUNDED) + ")"
 
 

@@ -36,7 +36,7 @@ def values(rows) -> str:
         if isinstance(x, bool):
             return str(x).lower()
         if isinstance(x, float):
-            return f"{x!r}e0"
+            return f"{x!r}" if "e" in repr(x) else f"{x!r}e0"
         if isinstance(x, str):
             return q(x)
         if isinstance(x, (list, tuple)):

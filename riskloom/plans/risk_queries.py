@@ -114,9 +114,9 @@ def sarif_rows(spark, sf_dir):
     return report.sarif(f).withColumn("html", html).select("id", "rule_id", "level", "uri", "line_start", "line_hash", "html")
 
 
-@query(f"SELECT vuln_class, CASE WHEN vuln_class IN ({', '.join(map(repr, model.SARIF_ERROR))}) THEN 'error' WHEN vuln_class IN ({', '.join(map(repr, model.SARIF_WARNING))}) THEN 'warning' ELSE 'note' END AS level, cwe_id FROM ({values(model.CLASSES)}) t(vuln_class, ordinal, w, c, i, a, cwe_id, exploit, impact_est)")
+@query(f"SELECT vuln_class, CASE WHEN vuln_class IN ({', '.join(map(repr, model.SARIF_ERROR))}) THEN 'error' WHEN vuln_class IN ({', '.join(map(repr, model.SARIF_WARNING))}) THEN 'warning' ELSE 'note' END AS level, cwe_id FROM (SELECT DISTINCT vuln_class FROM ({FINDINGS_SQL})) JOIN ({values(model.CLASSES)}) t(vuln_class, ordinal, w, c, i, a, cwe_id, exploit, impact_est) USING (vuln_class)")
 def sarif_rules(spark, sf_dir):
-    return report.rules(spark)
+    return report.rules(findings(spark, sf_dir))
 
 
 @query(f"{_BASE} SELECT severity, vuln_class, count(*) AS n, '| ' || severity || ' | ' || vuln_class || ' | ' || count(*) || ' |' AS row FROM r GROUP BY severity, vuln_class")
@@ -152,10 +152,24 @@ def cve_correlate_top5(spark, sf_dir):
     SELECT id, cwe_id, coalesce(n_cves, 0) AS n_cves, floor(greatest(0e0, least(1e0, CASE WHEN s IS NOT NULL THEN 0.5e0 * confidence + 0.5e0 * (s / n_cves) / 10e0 ELSE confidence END)) * 1e6 + 0.5e0) / 1e6 AS risk
     FROM r LEFT JOIN b USING (cwe_id)""")
 def cve_enrich(spark, sf_dir):
-    d = advisories.enrich(findings(spark, sf_dir), advisory_view(spark, sf_dir))
+    d = advisories.enrich(findings(spark, sf_dir), advisory_view(spark, sf_dir)).drop("exploit")
     return d.withColumn("risk", F.floor(F.col("risk") * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6))
 
 
+@query(f"""{_BASE}, v AS (SELECT * FROM ({ADVISORIES_SQL}) WHERE cvss >= 5), {_TOP}, o AS (SELECT DISTINCT cve_id FROM ({ADVISORIES_SQL}) JOIN orders ON o_orderkey = CAST(split_part(cve_id, '-', 3) AS BIGINT) WHERE o_orderstatus = 'O'),
+    b AS (SELECT cwe_id, count(*) AS n_cves, sum(cvss) AS s, bool_or(o.cve_id IS NOT NULL) AS exploit FROM t LEFT JOIN o ON o.cve_id = t.cve_id WHERE place <= 5 GROUP BY cwe_id),
+    k AS (SELECT id, cwe_id, coalesce(n_cves, 0) AS n_cves, coalesce(exploit, false) AS exploit, CASE WHEN s IS NOT NULL THEN 0.5e0 * confidence + 0.5e0 * (s / n_cves) / 10e0 ELSE confidence END AS x FROM r LEFT JOIN b USING (cwe_id))
+    SELECT id, cwe_id, n_cves, exploit, floor(greatest(0e0, least(1e0, CASE WHEN exploit THEN least(x * 1.3e0, 1e0) ELSE x END)) * 1e6 + 0.5e0) / 1e6 AS risk FROM k""")
+def cve_exploited(spark, sf_dir):
+    """Enrichment where the orders of one status stand for advisories with a known exploit."""
+    known = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus = 'O'").select(F.lpad(F.col("o_orderkey").cast("string"), 7, "0").alias("number"))
+    view = advisory_view(spark, sf_dir)
+    known = view.join(known, F.substring_index("cve_id", "-", -1) == F.col("number")).select("cve_id")
+    d = advisories.enrich(findings(spark, sf_dir), view, exploited=known)
+    return d.withColumn("risk", F.floor(F.col("risk") * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6))
+
+
+
 @query(f"""{_BASE}, v AS ({ADVISORIES_SQL}), {_TOP}, u AS (SELECT DISTINCT cwe_id FROM r), c AS (SELECT count(DISTINCT cve_id) AS n_cves, max(cvss) AS max_cvss, floor(avg(cvss) * 1e6 + 0.5e0) / 1e6 AS avg_cvss FROM t JOIN u USING (cwe_id) WHERE place <= 5)
     SELECT (SELECT count(*) FROM r) AS n_findings, n_cves, max_cvss, avg_cvss, CASE WHEN max_cvss >= 9 THEN 'CRITICAL' WHEN max_cvss >= 7 THEN 'HIGH' WHEN max_cvss >= 4 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM c""")
 def cve_impact(spark, sf_dir):
@@ -188,7 +202,7 @@ def similar_topk(spark, sf_dir):
     m AS (SELECT avg(CASE WHEN tp + fpos > 0 THEN tp / (tp + fpos) ELSE 0e0 END) AS p, avg(CASE WHEN tp + fneg > 0 THEN tp / (tp + fneg) ELSE 0e0 END) AS r FROM s)
     SELECT floor(hit / total * 1e6 + 0.5e0) / 1e6 AS accuracy, floor(p * 1e6 + 0.5e0) / 1e6 AS "precision", floor(r * 1e6 + 0.5e0) / 1e6 AS recall, floor(2 * p * r / (p + r + 1e-10) * 1e6 + 0.5e0) / 1e6 AS f1 FROM t, m""")
 def classifier_metrics(spark, sf_dir):
-    return ml.metrics(spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("quality").alias("actual"), F.col("toxic").alias("predicted")), [0, 1])
+    return ml.metrics(spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("quality").alias("actual"), F.col("toxic").alias("predicted")), [0, 1]).drop("n")
 
 
 @query("""WITH g AS (SELECT source, quality, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2), t AS (SELECT source, sum(n) AS total FROM g GROUP BY 1)

@@ -8,7 +8,7 @@ from riskloom import rules
 from riskloom.operators import features, scan, types
 from riskloom.plans.registry import q, query, values
 from riskloom.sources.code import FILES_SQL, LINES_SQL, files
-from riskloom.sources.views import FINDINGS_SQL, findings
+from riskloom.sources.views import ADVISORIES_SQL, FINDINGS_SQL, advisories, findings
 
 _KNOWN = f"known(language, names) AS ({values(list(rules.DANGEROUS.items()))})"
 
@@ -40,12 +40,22 @@ def snippets(spark, sf_dir):
     return files(spark, sf_dir).select("path", scan.snippet(F.col("content"), F.lit(3)).alias("snippet"))
 
 
-_JSON = '{"vulnerabilities":[{"cve":{"id":"CVE-1","descriptions":[{"lang":"es","value":"no"},{"lang":"en","value":"yes"}],"metrics":{"cvssMetricV30":[{"cvssData":{"baseScore":5.5}}]},"weaknesses":[{"description":[{"value":"CWE-79"},{"value":"other"}]}],"references":[{"url":"u1"},{"url":"u2"}],"published":"2024-01-02T03:04:05.678"}},{"cve":{"id":"CVE-2","descriptions":[],"metrics":{"cvssMetricV31":[{"cvssData":{"baseScore":9.8}}],"cvssMetricV30":[{"cvssData":{"baseScore":1.0}}]},"weaknesses":[],"references":[],"published":"2024-02-02T03:04:05"}}]}'
-
-
-@query("SELECT * FROM (" + values([("CVE-1", "yes", 5.5, "CWE-79", "u1,u2", "2024-01-02T03:04:05"), ("CVE-2", "", 9.8, "", "", "2024-02-02T03:04:05")]) + ") t(cve_id, description, score, cwes, urls, published)")
+@query(f"""WITH a AS ({ADVISORIES_SQL}) SELECT cve_id, 'about ' || cwe_id AS description, cvss AS score, 'CVSS:3.1/' || cwe_id AS vector, cwe_id AS cwes, 'https://a/' || cve_id || ',https://b' AS urls, 'cpe:' || cwe_id || ',cpe:' || cve_id AS products, strftime(published, '%Y-%m-%d') || 'T00:00:00' AS published FROM a""")
 def nvd_json_parse(spark, sf_dir):
-    return scan.parse_advisories(spark.createDataFrame([(_JSON,)], "j string"), "j")
+    """The advisories of the orders view as answers of a service, read again."""
+    text = lambda *parts: F.concat(*[F.lit(p) if i % 2 == 0 else F.col(p) for i, p in enumerate(parts)])
+    one = F.struct(
+        F.col("cve_id").alias("id"),
+        F.array(F.struct(F.lit("es").alias("lang"), F.lit("no").alias("value")), F.struct(F.lit("en").alias("lang"), text("about ", "cwe_id").alias("value"))).alias("descriptions"),
+        F.struct(F.array(F.struct(F.struct(F.col("cvss").alias("baseScore"), text("CVSS:3.1/", "cwe_id").alias("vectorString")).alias("cvssData"))).alias("cvssMetricV31")).alias("metrics"),
+        F.array(F.struct(F.array(F.struct(F.col("cwe_id").alias("value")), F.struct(F.lit("other").alias("value"))).alias("description"))).alias("weaknesses"),
+        F.array(F.struct(text("https://a/", "cve_id").alias("url")), F.struct(F.lit("https://b").alias("url"))).alias("references"),
+        F.array(*[F.struct(F.array(F.struct(F.array(F.struct(text("cpe:", c).alias("criteria"))).alias("cpeMatch"))).alias("nodes")) for c in ("cwe_id", "cve_id")]).alias("configurations"),
+        F.concat(F.date_format("published", "yyyy-MM-dd"), F.lit("T00:00:00.000")).alias("published"),
+    )
+    answers = advisories(spark, sf_dir).select(F.to_json(F.struct(F.array(F.struct(one.alias("cve"))).alias("vulnerabilities"))).alias("j"))
+    d = scan.parse_advisories(answers, "j")
+    return d.select("cve_id", "description", "score", "vector", "cwes", "urls", F.array_join("products", ",").alias("products"), "published")
 
 
 @query(f"WITH files AS ({FILES_SQL}), r(language, regex_no, regex) AS ({values([(k, i, x) for k, v in rules.FUNCTIONS.items() for i, x in enumerate(v)])}) SELECT path, regex_no, unnest(regexp_extract_all(content, regex, 1)) AS name FROM files JOIN r USING (language)")

@@ -94,15 +94,3 @@ def feature_classes(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     n = F.col("l_linenumber") + F.rint("l_quantity").cast("int") % 11
     return d.select("l_orderkey", "l_linenumber", F.array_join(training.classes_of_feature(n), ",").alias("classes"))
-
-
-@query()
-def logreg_train(spark, sf_dir):
-    e, classes = _labels(spark, sf_dir)
-    return training.classify(e, training.train_logistic(e, classes)).select("vec_id", "label", "prediction")
-
-
-@query()
-def autoencoder_errors(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return training.autoencoder_errors(e, training.train_autoencoder(e))

@@ -35,9 +35,9 @@ class Service:
             self.sleep(left)
         self.last = self.clock()
 
-    def search(self, keyword: str | None = None, product: str | None = None, cve_id: str | None = None, cwe_id: str | None = None, start: int = 0, size: int = 100) -> str | None:
+    def search(self, keyword: str | None = None, product: str | None = None, cve_id: str | None = None, cwe_id: str | None = None, start: int = 0, size: int = 100, since: str | None = None) -> str | None:
         """The answer to a question, or None where the request fails."""
-        asked = {"keywordSearch": keyword, "cpeName": product, "cveId": cve_id, "cweId": cwe_id, "startIndex": start, "resultsPerPage": size}
+        asked = {"keywordSearch": keyword, "cpeName": product, "cveId": cve_id, "cweId": cwe_id, "startIndex": start, "resultsPerPage": size, "lastModStartDate": since}
         query = urllib.parse.urlencode(sorted((k, v) for k, v in asked.items() if v is not None))
         if query in self.answers and self.clock() - self.answers[query][0] < self.keep:
             return self.answers[query][1]
@@ -79,12 +79,11 @@ def update(store: DataFrame, service: Service, keywords: list[str]) -> DataFrame
     if not texts:
         return store
     d = parse_advisories(spark.createDataFrame([(t,) for t in texts], "j string"), "j")
-    s = F.col("score")
-    severity = F.when(s >= 9, "CRITICAL").when(s >= 7, "HIGH").when(s >= 4, "MEDIUM").otherwise("LOW")
-    when = F.to_timestamp("published")
     listed = lambda c: F.filter(F.split(c, ","), lambda x: x != "")
-    none = F.array().cast("array<string>")
-    new = d.select("cve_id", "description", s.alias("cvss_v3_score"), F.lit(None).cast("string").alias("cvss_v3_vector"), severity.alias("severity"), listed("cwes").alias("cwe_ids"), none.alias("affected_products"), listed("urls").alias("references"), when.alias("published_date"), when.alias("last_modified"))
+    s = F.col("score")
+    severity = F.coalesce("severity", F.when(s >= 9, "CRITICAL").when(s >= 7, "HIGH").when(s >= 4, "MEDIUM").otherwise("LOW"))
+    published = F.to_timestamp("published")
+    new = d.select("cve_id", "description", s.alias("cvss_v3_score"), F.col("vector").alias("cvss_v3_vector"), severity.alias("severity"), listed("cwes").alias("cwe_ids"), F.col("products").alias("affected_products"), listed("urls").alias("references"), published.alias("published_date"), F.coalesce(F.to_timestamp("modified"), published).alias("last_modified"))
     return merge(store, new)
 
 

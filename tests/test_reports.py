@@ -4,7 +4,8 @@ import json
 
 import pytest
 
-from riskloom.operators import project, report
+from riskloom.operators import project, report, scan
+from riskloom.sources import code
 from riskloom.sources.code import CORPUS
 
 
@@ -20,8 +21,8 @@ def folder(tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def found(spark, folder):
-    odd = spark.createDataFrame([(f"file:{folder}/flow.py", 0.9)], "path string, score double")
-    return project.scan_folder(spark, f"file://{folder}", anomalies=odd).persist()
+    files = code.read_folder(spark, f"file://{folder}", include=["*.py", "*.c"])
+    return project.scan_folder(spark, f"file://{folder}", detector=scan.train_detector(files)).persist()
 
 
 def _read(path):
@@ -32,7 +33,8 @@ def test_folder(found):
     rows = found.collect()
     names = {r.file_path.rsplit("/", 1)[1] for r in rows}
     assert {"app.py", "overflow.c", "Dao.java"} <= names and "x.py" not in names
-    assert [r.severity for r in rows if r["pass"] == "anomaly"] == ["HIGH"]
+    odd = [r for r in rows if r["pass"] == "anomaly"]
+    assert odd and {(r.vuln_class, r.line_start) for r in odd} == {("CODE_EXECUTION", 1)} and {r.severity for r in odd} <= {"HIGH", "MEDIUM"}
     assert all(len(r.id) == 36 and "→" in r.code_snippet for r in rows)
 
 
@@ -58,3 +60,19 @@ def test_reports(spark, found, tmp_path):
 
 def test_code(spark):
     assert project.scan_code(spark, "import os\nos.system(input())\n", "python").count() > 0
+
+
+@pytest.mark.parametrize("same", [1, 3, 500])
+def test_equal_findings_nulls_and_control_characters(spark, tmp_path, same):
+    kinds = "id string, severity string, vuln_class string, confidence double, file_path string, line_start int, title string"
+    rows = [("a", "HIGH", "XSS", 0.9, "f\\g\"", 1, "tab\tand\x01\x1f \u2028 \"quoted\"")] * same
+    rows += [("b", "HIGH", "XSS", 0.9, "f", 2, None), ("c", None, None, None, None, None, "t"), (None, "LOW", "XSS", 0.1, "f", 1, "t"), ("a", "HIGH", "XSS", 0.9, "other", 1, "same rank")]
+    found = spark.createDataFrame(rows, kinds).repartition(4)
+    for f in ("json", "sarif", "html", "md"):
+        report.write_report(found, f, "t\n\x02", "w", str(tmp_path / f))
+    d = json.loads(_read(tmp_path / "json"))
+    assert len(d["findings"]) == len(rows) and d["target"] == "t\n\x02" and [x["title"] for x in d["findings"]].count(rows[0][-1]) == same
+    assert {x["id"] for x in d["findings"]} == {"a", "b", "c", None} and d["findings"][0]["id"] == "a"
+    s = json.loads(_read(tmp_path / "sarif"))
+    assert len(s["runs"][0]["results"]) == len(rows) and len(s["runs"][0]["tool"]["driver"]["rules"]) > 10
+    assert _read(tmp_path / "html").count("<article") == len(rows) == _read(tmp_path / "md").count("### ")
