@@ -133,11 +133,17 @@ def _factored(s: DataFrame, *more: Column | str) -> DataFrame:
     return s.select("gid", "fit_rows", *more, det.alias("det"), *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i, j in PAIRS])
 
 
-def _estimate(d: DataFrame, factor: float, by: list[str], *more: Column) -> DataFrame:
-    """Mean and covariance of the rows of each group, which weigh w; sums only, so partial ones go through the shuffle."""
+def _moments(d: DataFrame, by: list[str], *more: Column) -> DataFrame:
+    """Sums of the rows of each group (and of whatever else is in ``by``), from which means and covariances follow; partial ones go through the shuffle."""
     v, u = [F.col(c) for c in V], [F.col(c) * F.col(x) for c, x in zip(V, X, strict=True)]
     sums = {f"uu{i}{j}": u[i] * u[j] for i, j in PAIRS} | {f"vv{i}{j}": v[i] * v[j] for i, j in PAIRS} | {f"vu{i}{j}": v[i] * u[j] for i in range(P) for j in range(P)}
-    s = d.groupBy(*by).agg(F.sum("w").alias("fit_rows"), *[(F.sum(c * F.col("w")) / F.sum("w")).alias(k) for k, c in sums.items()], *more)
+    return d.groupBy(*by).agg(F.count("*").alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()], *more)
+
+
+def _estimate(moments: DataFrame, factor: float, by: list[str], w: Column, *more: Column) -> DataFrame:
+    """Mean and covariance of each group's moments, which weigh w."""
+    sums = [c for c in moments.columns if c[:2] in ("uu", "vv", "vu")]
+    s = moments.groupBy(*by).agg(F.sum(w * F.col("n")).alias("fit_rows"), *[(F.sum(w * F.col(k)) / F.sum(w * F.col("n"))).alias(k) for k in sums], *more)
     s = s.withColumns({f"m{i}": F.col(f"vu{i}{i}") / F.col(f"vv{i}{i}") for i in range(P)})
     m = [F.col(f"m{i}") for i in range(P)]
     # the mean of (u_i - m_i v_i) (u_j - m_j v_j)
@@ -179,16 +185,18 @@ def _starts(fit: DataFrame) -> DataFrame:
 
 
 def _step(fit: DataFrame, est: DataFrame) -> DataFrame:
-    """A concentration step of each start; last is the log of the determinant before."""
+    """A concentration step of each start in one pass; last is the log of the determinant before.
+
+    Moments are summed by bins of distance, so the nearest half is a sum of bins.
+    """
     far = _distances(fit, est, "start", "det").where("start is not null").withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) / 0.01))
     by = ["gid", "start"]
+    bins = _moments(far, [*by, "bin"], F.max("det").alias("last"))
     run = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    bins = far.groupBy(*by, "bin").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(run)).withColumn("half", F.floor((F.sum("n").over(Window.partitionBy(*by)) + P + 1) / 2))
+    bins = bins.withColumn("before", F.sum("n").over(run) - F.col("n")).withColumn("half", F.floor((F.sum("n").over(Window.partitionBy(*by)) + P + 1) / 2))
     # of the bin at the edge, only as much weight as is missing
-    edge = bins.where((F.col("upto") >= F.col("half")) & (F.col("upto") - F.col("n") < F.col("half"))).select(*by, F.col("bin").alias("edge"), ((F.col("half") - F.col("upto") + F.col("n")) / F.col("n")).alias("part"))
-    edge = materialize(edge, "edges")
-    near = far.join(edge, by).where("bin <= edge").withColumn("w", F.when(F.col("bin") < F.col("edge"), 1.0).otherwise(F.col("part")))
-    return _factored(_estimate(near, CONSISTENT, by, F.max("det").alias("last")), "start", "last")
+    w = F.least(F.lit(1.0), (F.col("half") - F.col("before")) / F.col("n"))
+    return _factored(_estimate(bins.where("before < half"), CONSISTENT, by, w, F.max("last").alias("last")), "start", "last")
 
 
 def _least_determinant(fit: DataFrame) -> DataFrame:
@@ -214,8 +222,8 @@ def judged(docs: DataFrame, carry: list[str], cutoff: float = CUTOFF, least_rows
     d = statistics(docs, carry).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     d = _grouped(materialize(_vector(d), "counts"), least_rows)
     fit = materialize(d.where("not base_failed").select("gid", "text_hash", *X, *N0).dropDuplicates(["gid", "text_hash"]).drop("text_hash"), "texts")
-    near = _distances(fit, _least_determinant(fit)).where(F.col("d2") <= WITHIN).withColumn("w", F.lit(1.0))
-    est = materialize(_factored(_estimate(near, REWEIGHTED, ["gid"])), "estimate")
+    near = _distances(fit, _least_determinant(fit)).where(F.col("d2") <= WITHIN)
+    est = materialize(_factored(_estimate(_moments(near, ["gid"]), REWEIGHTED, ["gid"], F.lit(1.0))), "estimate")
     out = _distances(d, est)
     enough = F.coalesce(F.col("fit_rows"), F.lit(0)) >= least_rows // 2
     out = out.withColumn("distance", F.when(enough & ~F.col("base_failed"), F.col("d2")))
