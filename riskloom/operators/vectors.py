@@ -1,12 +1,9 @@
-"""Vectors of files: 128 numbers of code, 160 features, scaling; learned token embeddings."""
+"""Vectors of files: 128 numbers of code, 160 features, scaling."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,83 +80,3 @@ def zscore(vectors: DataFrame) -> DataFrame:
     s = e.groupBy("dim").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("dev"))
     dev = F.when(F.col("dev") > 0, F.col("dev")).otherwise(1.0)
     return e.join(F.broadcast(s), "dim").select("vec_id", "dim", ((F.col("x") - F.col("mean")) / dev).alias("z"))  # a row for each dimension
-
-
-# --- learned embeddings of tokens ------------------------------------------------------------------------------------
-
-_PIECES = re.compile(r"([a-zA-Z_][a-zA-Z0-9_]*)|(0[xX][0-9a-fA-F]+)|(\d+\.?\d*)|(\"[^\"]*\")|('[^']*')|([+\-*/%=<>!&|^~]+)|([\[\]{}();,.:]+)")
-
-
-def code_tokens(text: str, most: int = 1000) -> list[str]:
-    """Lower-cased tokens of at most 20 characters between <BOS> and <EOS>; ``most`` of them, the first marker counted."""
-    out = ["<BOS>"]
-    for m in _PIECES.finditer(text):
-        if len(out) >= most:
-            break
-        out.append(m.group().lower()[:20])
-    return [*out, "<EOS>"]
-
-
-class Embedder:
-    """Vectors of tokens; a text's is the mean of its tokens' with the places of sensitive words mixed in."""
-
-    def __init__(self, vocab: list[str], dim: int = 128, length: int = 512, seed: int = 7):
-        self.index = {w: i for i, w in enumerate(["<PAD>", "<UNK>", *vocab])}
-        self.dim, self.length = dim, length
-        self.table = np.random.default_rng(seed).normal(0, 0.1, (len(self.index), dim))
-
-    def indices(self, tokens: list[str]) -> list[int]:
-        """Numbers of the first tokens, filled up with <PAD>."""
-        got = [self.index.get(t, 1) for t in tokens[: self.length]]
-        return got + [0] * (self.length - len(got))
-
-    def places(self, tokens: list[str], dim: int) -> np.ndarray:
-        """How many sensitive words stand in each part of the text, over the most."""
-        out = np.zeros(dim)
-        for i, t in enumerate(tokens, 1):
-            if t in rules.SENSITIVE:
-                out[min(dim, -(-i * dim // len(tokens))) - 1] += 1
-        return out / out.max() if out.any() else out
-
-    def embed(self, text: str) -> np.ndarray:
-        tokens = code_tokens(text)
-        x = np.concatenate((self.table[self.indices(tokens)].mean(0), self.places(tokens, self.dim // 4)))
-        n = np.sqrt((x**2).sum())
-        return (x / n if n else x)[: self.dim]
-
-    def train(self, alike: list[tuple[str, str]], unlike: list[tuple[str, str]], rate: float = 0.05, rounds: int = 10, margin: float = 0.3) -> list[float]:
-        """Pull the common tokens of alike pairs together, push what only one of an unlike pair has apart; the losses of the rounds."""
-        losses = []
-        for _ in range(rounds):
-            loss = 0.0
-            for pairs, near in ((alike, True), (unlike, False)):
-                for a, b in pairs:
-                    u, v = self.embed(a), self.embed(b)
-                    n = np.linalg.norm(u) * np.linalg.norm(v)
-                    sim = float(u @ v / n) if n else 0.0
-                    miss = max(0.0, 1 - sim if near else sim - margin)
-                    loss += miss
-                    if not miss:
-                        continue
-                    s, t = ({self.index[x] for x in code_tokens(y) if x in self.index} for y in (a, b))
-                    if near:
-                        both = sorted(s & t)
-                        self.table[both] += rate * (self.table[both].mean(0) - self.table[both]) if both else 0
-                    else:
-                        for mine, other in ((sorted(s - t), sorted(t - s)), (sorted(t - s), sorted(s - t))):
-                            if mine and other:
-                                way = self.table[mine].mean(0) - self.table[other].mean(0)
-                                self.table[mine] += rate * way
-            losses.append(loss)
-        return losses
-
-
-def embed_files(files: DataFrame, embedder: Embedder) -> DataFrame:
-    """(path, embedding) by a trained embedder, which goes to the workers whole."""
-    held = files.sparkSession.sparkContext.broadcast(embedder)  # a vocabulary of a fixed size
-
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([held.value.embed(t or "").tolist() for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], names=["path", "embedding"])
-
-    return files.select("path", "content").mapInArrow(run, "path string, embedding array<double>")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.operators import training
+from riskloom import rules
+from riskloom.operators import token_vectors, training
 from riskloom.operators.ml import rounded
-from riskloom.plans.registry import query, values
+from riskloom.plans.registry import q, query, values
 
 _EPOCHS, _RATE, _HIDDEN = 20, 1.0, (16, 8)
 _ROUND = "floor({} * 1e6 + 0.5e0) / 1e6"
@@ -75,3 +76,39 @@ def _autoencoder() -> str:
 def autoencoder_errors(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return training.autoencoder_errors(e, training.train_autoencoder(e, _HIDDEN)).withColumn("error", rounded(F.col("error")))
+
+
+_DIM, _STEPS, _PULL, _MARGIN = 16, 2, 0.3, 0.3
+
+
+def _embeddings() -> str:
+    """The steps of the token table in SQL; e<n> has the documents' embeddings by the table of step n."""
+    pieces = "|".join(rules.TOKEN_PIECES)
+    out = [f"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS content FROM documents), ts AS MATERIALIZED (SELECT doc_id, lang, list_concat(['<BOS>'], list_append(list_transform(regexp_extract_all(content, {q(pieces)}), lambda x: left(lower(x), 20)), '<EOS>')) AS ts FROM d),
+    tk AS MATERIALIZED (SELECT doc_id, unnest(ts) AS token, unnest(range(1, len(ts) + 1)) AS i, len(ts) AS n FROM ts), own AS MATERIALIZED (SELECT DISTINCT doc_id, token FROM tk),
+    dv(token) AS ({values([(w,) for w in dict.fromkeys([token_vectors.PAD, token_vectors.UNKNOWN, *rules.DEFAULT_VOCAB])])}), voc AS MATERIALIZED (SELECT token FROM own WHERE token NOT IN ('<BOS>', '<EOS>') GROUP BY token HAVING count(*) >= 5 UNION SELECT token FROM dv),
+    q0 AS MATERIALIZED (SELECT token, dim, (CAST('0x' || left(md5(token || ':' || dim), 8) AS BIGINT) / 4294967296e0 - 0.5e0) * 0.34e0 AS v FROM voc, (SELECT unnest(range(1, {_DIM + 1})) AS dim)),
+    ct AS MATERIALIZED (SELECT doc_id, coalesce(voc.token, '<UNK>') AS token, count(*) AS k FROM tk LEFT JOIN voc ON voc.token = tk.token GROUP BY 1, 2), nn AS (SELECT doc_id, sum(k) AS n FROM ct GROUP BY 1),
+    pc AS (SELECT doc_id, least({_DIM // 4}, ceil(i * {_DIM // 4} / n)) AS part, count(*) AS c FROM tk WHERE token IN ({', '.join(q(w) for w in sorted(rules.SENSITIVE))}) GROUP BY 1, 2), pl AS (SELECT doc_id, sum(c * c) / max(c) / max(c) AS square FROM pc GROUP BY 1),
+    pr AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, a.lang IS NOT DISTINCT FROM b.lang AS alike FROM d a JOIN d b ON a.doc_id % 2 = 0 AND b.doc_id = a.doc_id + 1),
+    ro AS MATERIALIZED (SELECT a, alike, token, sum(side) AS role FROM (SELECT a, alike, token, 1 AS side FROM pr JOIN own ON doc_id = a UNION ALL SELECT a, alike, token, 2 FROM pr JOIN own ON doc_id = b) SEMI JOIN voc USING (token) GROUP BY 1, 2, 3 HAVING alike = (sum(side) = 3))"""]
+    for i in range(_STEPS + 1):
+        out.append(f"m{i} AS MATERIALIZED (SELECT doc_id, dim, sum(k * v) / max(n) AS x FROM ct JOIN q{i} USING (token) JOIN nn USING (doc_id) GROUP BY 1, 2), e{i} AS MATERIALIZED (SELECT doc_id, dim, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id) + coalesce(square, 0)) AS x FROM m{i} LEFT JOIN pl USING (doc_id))")
+        if i < _STEPS:
+            out.append(f"""s{i} AS (SELECT a, alike, sum(u.x * w.x) / (sqrt(sum(u.x * u.x)) * sqrt(sum(w.x * w.x))) AS sim FROM pr JOIN e{i} u ON u.doc_id = a JOIN e{i} w ON w.doc_id = b AND w.dim = u.dim GROUP BY 1, 2),
+            t{i} AS MATERIALIZED (SELECT ro.a, role, token, dim, v FROM ro JOIN s{i} s ON s.a = ro.a AND CASE WHEN s.alike THEN 1 - sim ELSE sim - {_MARGIN} END > 0 JOIN q{i} USING (token)), n{i} AS MATERIALIZED (SELECT a, role, dim, avg(v) AS x FROM t{i} GROUP BY 1, 2, 3),
+            g{i} AS (SELECT token, t.dim, avg(CASE WHEN t.role = 3 THEN n.x - v ELSE n.x - o.x END) AS x FROM t{i} t JOIN n{i} n ON n.a = t.a AND n.role = t.role AND n.dim = t.dim LEFT JOIN n{i} o ON o.a = t.a AND o.role = 3 - t.role AND o.dim = t.dim GROUP BY 1, 2),
+            q{i + 1} AS MATERIALIZED (SELECT p.token, p.dim, p.v + {_PULL} * coalesce(x, 0) AS v FROM q{i} p LEFT JOIN g{i} g ON g.token = p.token AND g.dim = p.dim)""")
+    return ",\n".join(out)
+
+
+@query(f"{_embeddings()} SELECT doc_id, CAST(dim AS INTEGER) AS dim, {_ROUND.format('x')} AS value FROM e{_STEPS}")
+def learned_embeddings(spark, sf_dir):
+    """Neighbours by doc_id are a pair, alike where they have one language; all documents are embedded, whole."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "lang")
+    mine, other = d.where("id % 2 = 0").select("id", F.col("lang").alias("la")), d.select((F.col("id") - 1).alias("id"), F.col("lang").alias("lb"))
+    pairs = mine.join(other, "id").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.col("la").eqNullSafe(F.col("lb")).alias("alike"))
+    params = token_vectors.first_vectors(token_vectors.vocabulary(d.select("id", F.coalesce("content", F.lit("")).alias("content"))), _DIM)
+    table, _ = token_vectors.train(d, pairs, params, _DIM, _STEPS, _PULL, _MARGIN, None, None)
+    out = token_vectors.embed(d, table, _DIM, None, None).select(F.col("id").alias("doc_id"), F.posexplode("v").alias("at", "x"))
+    return out.select("doc_id", (F.col("at") + 1).alias("dim"), rounded(F.col("x")).alias("value"))

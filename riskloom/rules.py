@@ -332,3 +332,29 @@ TYPES = {
     "*": (r"class\s+(\w+)", r"(\w+)"),
 }
 DANGEROUS_METHODS = ["exec", "eval", "system", "query", "deserialize", "unserialize", "load", "parse", "execute"]
+
+# The kinds of tokens that are embedded, tried in this order.
+TOKEN_PIECES = [
+    r"[a-zA-Z_][a-zA-Z0-9_]*",
+    r"0[xX][0-9a-fA-F]+",
+    r"\d+\.?\d*",
+    r"\"[^\"]*\"",
+    r"'[^']*'",
+    r"[+\-*/%=<>!&|^~]+",
+    r"[\[\]{}();,.:]+",
+]
+
+# Tokens of the default vocabulary: special ones, keywords, security words, operators and delimiters.
+DEFAULT_VOCAB = """
+    <PAD> <UNK> <BOS> <EOS>
+    if else elif for while do switch case return break continue try catch throw finally
+    function def fn func class struct interface public private protected static const var let
+    import export from require include using new delete this self super null nil None
+    true false True False void int string bool async await yield lambda with as in is
+    password secret key token auth login session user admin root sudo credential certificate
+    encrypt decrypt hash sign verify salt iv sql query execute prepare cursor database
+    eval exec system shell command process input output read write open close file
+    request response http https url socket connect buffer memory malloc free pointer array
+    sanitize escape encode decode validate filter injection xss csrf ssrf overflow traversal
+    + - * / % = == != < > <= >= && || ! & | ^ ~ << >> += -= *= /= ++ -- . , ; : ( ) [ ] { } -> => :: ...
+""".split()
