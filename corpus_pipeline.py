@@ -75,7 +75,7 @@ STAGES = [
     ("sentencepiece", sentencepiece_stage),
 ]
 
-#: robust estimates, kernels, tokens and coins are beyond SQL; tests compare with brute force
+#: the pipeline's contract asks for this name; robust estimates, kernels, tokens and coins are beyond SQL
 ORACLE_SQL = None
 
 

@@ -38,15 +38,9 @@ def references(cls: Column) -> Column:
 
 def reasons(cls: Column) -> Column:
     """Of a row of features with the names of its dangerous functions: sentences that speak for the class."""
-    n = lambda c: F.col(c).cast("string")
-    said = [
-        F.when(F.col("inputs") > 0, F.concat(F.lit("Code contains "), n("inputs"), F.lit(" potential input sources (user-controlled data)"))),
-        F.when(F.col("sinks") > 0, F.concat(F.lit("Code contains "), n("sinks"), F.lit(" sensitive output sinks"))),
-        F.when(F.size("names") > 0, F.concat(F.lit("Uses potentially dangerous functions: "), F.array_join("names", ", "))),
-        F.when(F.col("taint_flows") > 0, F.concat(F.lit("Detected "), n("taint_flows"), F.lit(" potential taint flow paths"))),
-        F.when(F.col("unchecked") > 0, F.concat(n("unchecked"), F.lit(" return values may not be checked"))),
-        model.choose(cls, model.REASONS, None),
-    ]
+    told = {"names": (F.size("names") > 0, F.array_join("names", ", "))}
+    said = [F.when(there, F.replace(F.lit(sentence), F.lit("{}"), text)) for c, sentence in model.SAID for there, text in [told.get(c, (F.col(c) > 0, F.col(c).cast("string")))]]
+    said.append(model.choose(cls, model.REASONS, None))
     return F.filter(F.array(*said), lambda x: x.isNotNull())
 
 

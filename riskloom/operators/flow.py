@@ -117,10 +117,15 @@ def live(lines: DataFrame) -> DataFrame:
 
 
 def def_use(lines: DataFrame) -> DataFrame:
-    """(path, var, def_line, use_line): uses with the definitions that reach them, on the own line too."""
-    r = reaching(lines)
-    u = uses(lines).withColumnRenamed("line_no", "use_line")
-    return u.join(r, ["path", "var"]).where("use_line >= def_line AND (until IS NULL OR use_line <= until)").select("path", "var", "def_line", "use_line")
+    """(path, var, def_line, use_line): uses with the definitions that reach them, on the own line too.
+
+    The definition that reaches a use is the last one up to its line, so one window over both finds it, without a join.
+    """
+    d = definitions(lines).select("path", "var", "line_no", F.col("line_no").alias("def_line")).distinct()
+    both = d.withColumn("use", F.lit(False)).unionByName(uses(lines).select("path", "var", "line_no", F.lit(None).cast("int").alias("def_line"), F.lit(True).alias("use")))
+    w = Window.partitionBy("path", "var").orderBy("line_no", "use").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("def_line", F.last("def_line", ignorenulls=True).over(w)).where("use AND def_line IS NOT NULL")
+    return out.select("path", "var", "def_line", F.col("line_no").alias("use_line"))
 
 
 def tainted_paths(lines: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom import model, rules
+from riskloom.functions.files import exists
 from riskloom.operators import report, scan, trees
 from riskloom.sources import code
 
@@ -20,6 +22,22 @@ def scan_folder(spark: SparkSession, folder: str, exclude: list[str] = SKIPPED,
     return findings_of(files, detector)
 
 
+def analyze(spark: SparkSession, source: str, language: str | None = None, detector: trees.Forest | None = None) -> DataFrame:
+    """Findings of a folder, a file, or, where nothing is at such a path, of a piece of code, whose language is guessed if it isn't named."""
+    if source.strip() and "\n" not in source and _is_path(spark, source):
+        return scan_folder(spark, source, detector=detector)
+    d = spark.createDataFrame([("code", source)], "path string, content string")
+    named = F.lit(language) if language else code.guessed_language(F.col("content"))
+    return findings_of(d.select("path", named.alias("language"), "content"), detector)
+
+
+def _is_path(spark: SparkSession, source: str) -> bool:
+    try:
+        return exists(source, spark)
+    except Py4JJavaError:  # no path at all
+        return False
+
+
 def scan_code(spark: SparkSession, text: str, language: str, name: str = "code") -> DataFrame:
     return findings_of(spark.createDataFrame([(name, language, text)], "path string, language string, content string"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskloom import model, rules
+from riskloom.functions.files import read_lines, write_lines
 from riskloom.functions.lineage import cut
 from riskloom.operators.ml import metrics, rounded
 
@@ -232,10 +233,24 @@ def train_autoencoder(vectors: DataFrame, hidden: tuple[int, ...] = (16, 8), epo
         w, b = ae.decoder[-1]
         ae.decoder[-1] = (w - rate * g[1 : 1 + w.size].reshape(w.shape) / g[0] / dim, b - rate * g[1 + w.size :] / g[0] / dim)
         held.unpersist()
-    ae.threshold = autoencoder_errors(vectors, ae).agg(F.percentile("error", share).alias("q")).first().q
+    ae.threshold = quantile(autoencoder_errors(vectors, ae), "error", share)
     return ae
 
 
+def quantile(df: DataFrame, column: str, share: float) -> float:
+    """The exact quantile of a column, between its neighbours in proportion; places come from ``running``, so no task sees all rows."""
+    values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("x")).agg(F.count("*").alias("n")).withColumn("one", F.lit(1))
+    placed = cut(running(values, ["one"], "x", ["n"]))
+    all_ = placed.agg(F.sum("n")).first()[0] or 0
+    if not all_:
+        return 0.0
+    at = share * (all_ - 1)
+    low, high = int(np.floor(at)), int(np.ceil(at))
+    holds = lambda i: (F.col("before_n") <= i) & (F.col("before_n") + F.col("n") > i)
+    a, b = placed.agg(F.max(F.when(holds(low), F.col("x"))), F.max(F.when(holds(high), F.col("x")))).first()
+    return a + (b - a) * (at - low)
+
+
 def autoencoder_errors(vectors: DataFrame, ae: Autoencoder) -> DataFrame:
     """(vec_id, error, is_anomaly): mean squared errors of reconstruction, and whether they pass the threshold."""
     held = vectors.sparkSession.sparkContext.broadcast(ae)
@@ -286,8 +301,8 @@ def classes_of_feature(number: Column) -> Column:
 # --- saving ----------------------------------------------------------------------------------------------------------
 
 
-def save_model(m, path: str) -> None:
-    """Write the numbers of a model (its attributes, nested) as JSON."""
+def save_model(m, path: str, spark=None) -> None:
+    """Write the numbers of a model (its attributes, nested) as JSON; with a session, to any file system that Spark knows."""
 
     def plain(x):
         if isinstance(x, np.ndarray):
@@ -298,11 +313,10 @@ def save_model(m, path: str) -> None:
             return {"keys": list(x), "items": [plain(y) for y in x.values()]}
         return x.item() if isinstance(x, np.generic) else x
 
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump({"kind": type(m).__name__, "of": {k: plain(v) for k, v in vars(m).items()}}, f)
+    write_lines([json.dumps({"kind": type(m).__name__, "of": {k: plain(v) for k, v in vars(m).items()}})], path, spark)
 
 
-def load_model(path: str, *kinds: type):
+def load_model(path: str, *kinds: type, spark=None):
     """A model of one of the given kinds from a file that ``save_model`` wrote."""
 
     def back(x):
@@ -312,8 +326,10 @@ def load_model(path: str, *kinds: type):
             return dict(zip(x["keys"], map(back, x["items"]), strict=True))
         return [back(y) for y in x] if isinstance(x, list) else x
 
-    with open(path, encoding="utf-8") as f:
-        d = json.load(f)
+    found = read_lines(path, spark)
+    if found is None:
+        raise FileNotFoundError(path)
+    d = json.loads(found[0])
     kind = {k.__name__: k for k in kinds}[d["kind"]]
     m = kind.__new__(kind)
     vars(m).update({k: back(v) for k, v in d["of"].items()})

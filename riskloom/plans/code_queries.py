@@ -9,7 +9,7 @@ from riskloom.functions import text as T
 from riskloom.operators import explain, features, matching
 from riskloom.operators.ml import rounded
 from riskloom.plans.registry import q, query, values
-from riskloom.sources.code import FILES_SQL, LINES_SQL, files, glob, glob_any, lines
+from riskloom.sources.code import FILES_SQL, LINES_SQL, files, glob, glob_any, guessed_language, lines
 
 # In the twins, characters beyond ASCII become a letter, so that RE2's ASCII classes see the words that Unicode classes do.
 _FILES = f"WITH files AS ({FILES_SQL}), plain AS (SELECT path, language, content, regexp_replace(content, '[^\\x00-\\x7F]', 'x', 'g') AS a FROM files)"
@@ -32,13 +32,7 @@ def collect_files_glob(spark, sf_dir):
 
 @query(f"WITH files AS ({FILES_SQL}) SELECT path, language, CASE " + " ".join(f"WHEN {' OR '.join(f'regexp_matches(content, {q(r)})' for r in rs)} THEN '{k}'" for k, rs in rules.MARKERS.items()) + " ELSE 'unknown' END AS guessed FROM files")
 def language_dispatch(spark, sf_dir):
-    out = F.lit("unknown")
-    for k, rs in reversed(rules.MARKERS.items()):
-        hit = F.lit(False)
-        for r in rs:
-            hit = hit | F.col("content").rlike(r)
-        out = F.when(hit, k).otherwise(out)
-    return files(spark, sf_dir).select("path", "language", out.alias("guessed"))
+    return files(spark, sf_dir).select("path", "language", guessed_language(F.col("content")).alias("guessed"))
 
 
 @query("""WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents), n AS (SELECT doc_id, ch, count(*) AS k FROM c WHERE ch <> '' GROUP BY 1, 2), t AS (SELECT doc_id, CAST(sum(k) AS DOUBLE) AS n FROM n GROUP BY 1),
@@ -124,8 +118,7 @@ def predict_classes(spark, sf_dir):
 
 
 _DANGER = f"gn AS (SELECT path, string_agg(name, ', ' ORDER BY name) AS names FROM (SELECT DISTINCT path, name FROM (SELECT path, language, unnest(regexp_extract_all(content, {q(features.CALL)}, 1)) AS name FROM files) JOIN known USING (language) WHERE list_contains(names, name) OR list_contains(names, regexp_extract(name, '([^.:]*)$', 1))) GROUP BY path)"
-_SAID = f"""CASE WHEN inputs > 0 THEN 'Code contains ' || inputs || ' potential input sources (user-controlled data)' END, CASE WHEN sinks > 0 THEN 'Code contains ' || sinks || ' sensitive output sinks' END, 'Uses potentially dangerous functions: ' || gn.names,
-    CASE WHEN taint_flows > 0 THEN 'Detected ' || taint_flows || ' potential taint flow paths' END, CASE WHEN unchecked > 0 THEN unchecked || ' return values may not be checked' END, reason"""
+_SAID = ", ".join([f"replace({q(t)}, '{{}}', gn.names)" if c == "names" else f"CASE WHEN {c} > 0 THEN replace({q(t)}, '{{}}', CAST({c} AS VARCHAR)) END" for c, t in model.SAID]) + ", reason"
 
 
 @query(f"""{_FEATURES}, {LINES_SQL}, {_DANGER}, c AS (SELECT path, string_split(regexp_replace(content, '[^\\[\\](){{}}]', '', 'g'), '') AS cs FROM files), u AS (SELECT path, unnest(cs) AS ch, unnest(range(1, len(cs) + 1)) AS i FROM c),

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
-import os
 from dataclasses import asdict, dataclass, field
 
+from riskloom.functions.files import read_lines, write_lines
+
 # File extension to language.
 EXTENSIONS = {
     ".c": "c", ".h": "c", ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".hpp": "cpp", ".hxx": "cpp",
@@ -219,7 +220,9 @@ EXCLUSIONS = {
     "is_config_file": (r"(?i)(example|sample|template|default|placeholder)", "Appears to be example/template"),
     "is_checksum": (r"(?i)(checksum|hash.*file|integrity|etag)", "Used for checksum/integrity, not security"),
 }
+# Words of tests and examples, and marks of comments.
 TEST_WORDS, COMMENT_MARKS = r"(?i)(test|example|demo|sample|mock|fake|dummy)", r"(//|#|/\*|\"\"\"|'')"
+# Words that speak of cleaning, of prepared statements, of bounds checks and of security.
 CLEANERS = r"(?i)(escape|sanitize|encode|clean|filter|validate)"
 PREPARED = r"(?i)(prepare|parameterized|\?|:\w+|\$\d+)"
 BOUNDS_CHECK = r"(?i)(if|assert|check|validate|verify).*\b(len|length|size|bound)"
@@ -272,6 +275,7 @@ PATTERNS = [
     Pattern("Weak Cryptographic Algorithm - SHA1", "CRYPTO_WEAKNESS", (r"(?i)\bsha1\s*\(", r"(?i)hashlib\.sha1", r"(?i)MessageDigest\.getInstance\s*\(\s*['\"]SHA-?1", r"(?i)crypto\.createHash\s*\(\s*['\"]sha1"), 0.6, 0.7, ("CWE-327", "CWE-328"), _WEB, excludes=("is_checksum",)),
     Pattern("Weak Random Number Generator", "CRYPTO_WEAKNESS", (r"(?i)\brandom\s*\(", r"(?i)Math\.random\s*\(", r"(?i)rand\s*\(", r"(?i)java\.util\.Random"), 0.5, 0.6, ("CWE-330", "CWE-338"), ("python", "javascript", "java", "php", "c", "cpp"), requires=("in_security_context",)),
 ]
+# Classes that are critical.
 CRITICAL_CLASSES = ["CODE_EXECUTION", "INJECTION", "BUFFER_OVERFLOW", "DESERIALIZATION"]
 
 # Words and regexes that a code vector counts, in their order.
@@ -301,18 +305,17 @@ def patterns_of(vuln_class: str | None = None, language: str | None = None, cwe:
     return [p for p in (PATTERNS if patterns is None else patterns) if vuln_class in (None, p.vuln_class) and (language is None or language in p.languages) and (cwe is None or cwe in p.cwes)]
 
 
-def save_patterns(path: str, patterns: list[Pattern]) -> None:
-    """Write rules as JSON, one for each line."""
-    with open(path, "w", encoding="utf-8") as f:
-        f.writelines(json.dumps(asdict(p), ensure_ascii=False) + "\n" for p in patterns)
+def save_patterns(path: str, patterns: list[Pattern], spark=None) -> None:
+    """Write rules as JSON, one for each line; with a session, as a text table in any file system that Spark knows."""
+    write_lines([json.dumps(asdict(p), ensure_ascii=False) for p in patterns], path, spark)
 
 
-def load_patterns(path: str | None = None) -> list[Pattern]:
-    """The rules of a file, or the built-in ones where there is none."""
-    if path is None or not os.path.exists(path):
+def load_patterns(path: str | None = None, spark=None) -> list[Pattern]:
+    """The rules that ``save_patterns`` wrote, or the built-in ones where there is no path or nothing at it."""
+    found = read_lines(path, spark) if path is not None else None
+    if found is None:
         return list(PATTERNS)
-    with open(path, encoding="utf-8") as f:
-        return [Pattern(**{k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(x).items()}) for x in f if x.strip()]
+    return [Pattern(**{k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(x).items()}) for x in found if x.strip()]
 
 
 def update_patterns(known: list[Pattern], new: list[Pattern]) -> list[Pattern]:

@@ -26,6 +26,17 @@ def language_of(path: Column) -> Column:
     return choose(F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1)), rules.EXTENSIONS, "unknown")
 
 
+def guessed_language(content: Column) -> Column:
+    """By marks in the text; ``unknown`` without any."""
+    out = F.lit("unknown")
+    for language, regexes in reversed(rules.MARKERS.items()):
+        hit = F.lit(False)
+        for r in regexes:
+            hit = hit | content.rlike(r)
+        out = F.when(hit, language).otherwise(out)
+    return out
+
+
 def corpus(spark: SparkSession) -> DataFrame:
     d = spark.createDataFrame(CORPUS, "path string, content string")
     return d.select("path", language_of(F.col("path")).alias("language"), "content")

@@ -48,6 +48,16 @@ def test_autoencoder(data, tmp_path):
     path = str(tmp_path / "m.json")
     training.save_model(ae, path)
     assert np.allclose(training.load_model(path, training.Autoencoder, training.Logistic).errors(x), e)
+    training.save_model(ae, f"file://{tmp_path}/shared", d.sparkSession)
+    assert np.allclose(training.load_model(f"file://{tmp_path}/shared", training.Autoencoder, spark=d.sparkSession).errors(x), e)
+
+
+def test_quantiles(spark):
+    v = [3.0, 1.0, 1.0, 7.5, 2.0, 2.0, 2.0, None]
+    d = spark.createDataFrame([(x,) for x in v], "v double").repartition(3)
+    for share in (0.0, 0.2, 0.5, 0.77, 0.95, 1.0):
+        assert np.isclose(training.quantile(d, "v", share), np.quantile([x for x in v if x is not None], share))
+    assert training.quantile(d.limit(0), "v", 0.5) == 0.0
 
 
 def test_best_splits(data):

@@ -58,6 +58,15 @@ def test_reports(spark, found, tmp_path):
         report.report(found, "pdf", "t", "w")
 
 
+def test_a_source_is_a_folder_a_file_or_code(spark, folder):
+    names = lambda d: {r.file_path.rsplit("/", 1)[-1] for r in d.collect()}
+    assert {"app.py", "overflow.c"} <= names(project.analyze(spark, f"file://{folder}"))
+    assert names(project.analyze(spark, f"file://{folder}/app.py")) == {"app.py"}
+    text = "import os\nos.system(input())\n"
+    assert names(project.analyze(spark, text)) == {"code"} == names(project.analyze(spark, "os.system(input())", "python"))
+    assert project.analyze(spark, "").count() == 0
+
+
 def test_code(spark):
     assert project.scan_code(spark, "import os\nos.system(input())\n", "python").count() > 0
 

@@ -157,13 +157,15 @@ def test_taint_coverage_of_a_file(spark):
     assert {(r.steps, r.complexity) for r in flow.sink_complexity(flow.taint_sinks(d, t), t).collect()} == {(3, "medium")}
 
 
-def test_patterns_are_kept(tmp_path):
+def test_patterns_are_kept(spark, tmp_path):
     from riskloom import rules
 
     own = rules.custom_pattern("Own", r"abc\d", "XSS", cwes=("CWE-79",))
     path = str(tmp_path / "p.jsonl")
     rules.save_patterns(path, [*rules.PATTERNS, own])
     back = rules.load_patterns(path)
+    rules.save_patterns(f"file://{tmp_path}/shared", [*rules.PATTERNS, own], spark)
+    assert rules.load_patterns(f"file://{tmp_path}/shared", spark) == back and rules.load_patterns(f"file://{tmp_path}/none", spark) == rules.PATTERNS
     assert back == [*rules.PATTERNS, own] and rules.load_patterns(str(tmp_path / "none")) == rules.PATTERNS
     assert [p.name for p in rules.patterns_of("XSS", "python", "CWE-79", [own])] == ["Own"] and not rules.patterns_of(cwe="CWE-0")
     newer = rules.custom_pattern("Own", "x", "XSS")
