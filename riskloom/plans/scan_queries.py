@@ -63,6 +63,19 @@ def function_names(spark, sf_dir):
     return types.functions_of(files(spark, sf_dir))
 
 
-@query()
+_TYPES = {k: rules.TYPES.get(k, rules.TYPES["*"]) for k in sorted({*rules.TYPES, *rules.FUNCTIONS, *rules.EXTENSIONS.values(), "unknown"} - {"*"})}
+
+
+# where a type begins follows from the lengths of what stands between the matches; its block ends where { and : are closed
+@query(f"""WITH files AS ({FILES_SQL}), ty(language, tr, fr) AS ({values([(k, *v) for k, v in _TYPES.items()])}), fn(language, regex) AS ({values([(k, x) for k, v in rules.FUNCTIONS.items() for x in v])}),
+    m AS (SELECT path, language, content, fr, regexp_extract_all(content, tr) AS ms, regexp_extract_all(content, tr, 1) AS ns, regexp_split_to_array(content, tr) AS ps FROM files JOIN ty USING (language) WHERE regexp_matches(content, tr)),
+    k AS (SELECT *, unnest(range(1, len(ms) + 1)) AS k FROM m), b AS (SELECT path, language, fr, ns[k] AS name, k, substr(content, CAST(list_sum(list_transform(ps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: length(x))), 0) + 1 AS BIGINT)) AS rest FROM k),
+    c AS (SELECT path, k, unnest(string_split(rest, '')) AS ch, unnest(range(1, length(rest) + 1)) AS i FROM b), d AS (SELECT path, k, ch, i, sum(CASE WHEN ch IN ('{{', ':') THEN 1 WHEN ch = '}}' THEN -1 ELSE 0 END) OVER (PARTITION BY path, k ORDER BY i) AS depth FROM c),
+    e AS (SELECT path, k, min(i) AS last FROM d WHERE ch = '}}' AND depth <= 0 GROUP BY 1, 2), o AS (SELECT b.path, language, fr, name, b.k, left(rest, coalesce(last, 1)) AS body FROM b LEFT JOIN e ON e.path = b.path AND e.k = b.k),
+    g AS (SELECT o.path, o.k, flatten(list(regexp_extract_all(body, regex, 1))) AS names FROM o JOIN fn USING (language) GROUP BY 1, 2),
+    l AS (SELECT *, row_number() OVER (PARTITION BY path, name ORDER BY k DESC) AS r FROM o)
+    SELECT l.path, name, array_to_string(list_sort(list_distinct(regexp_extract_all(body, fr, 1))), ',') AS fields, coalesce(array_to_string(list_sort(list_distinct(names)), ','), '') AS methods,
+    len(list_filter(coalesce(names, []), lambda x: {' OR '.join(f"contains(lower(x), {q(w)})" for w in rules.DANGEROUS_METHODS)})) > 0 AS dangerous FROM l LEFT JOIN g ON g.path = l.path AND g.k = l.k WHERE r = 1""")
 def type_info(spark, sf_dir):
-    return types.type_info(files(spark, sf_dir))
+    d = types.type_info(files(spark, sf_dir))
+    return d.select("path", "name", *[F.array_join(F.array_sort(c), ",").alias(c) for c in ("fields", "methods")], "dangerous")

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom import rules
-from riskloom.model import choose
 
 #: a small corpus that all analyses have something to find in
 CORPUS = [
@@ -22,8 +21,9 @@ CORPUS = [
 
 
 def language_of(path: Column) -> Column:
-    """By the extension in lower case; ``unknown`` without a known one."""
-    return choose(F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1)), rules.EXTENSIONS, "unknown")
+    """By the extension in lower case; ``unknown`` without a known one. A constant map, as the column stands in many conditions."""
+    names = F.create_map(*[F.lit(x) for pair in rules.EXTENSIONS.items() for x in pair])
+    return F.coalesce(F.try_element_at(names, F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))), F.lit("unknown"))
 
 
 def guessed_language(content: Column) -> Column:
@@ -38,8 +38,8 @@ def guessed_language(content: Column) -> Column:
 
 
 def corpus(spark: SparkSession) -> DataFrame:
-    d = spark.createDataFrame(CORPUS, "path string, content string")
-    return d.select("path", language_of(F.col("path")).alias("language"), "content")
+    rows = [(path, rules.EXTENSIONS.get(path[path.rfind(".") :], "unknown"), content) for path, content in CORPUS]
+    return spark.createDataFrame(rows, "path string, language string, content string")
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
