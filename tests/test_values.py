@@ -222,3 +222,14 @@ def test_advisory_service_and_store(spark, tmp_path):
     assert sorted((r.cve_id, r.cvss_v3_score, tuple(r.cwe_ids)) for r in back.collect()) == [("CVE-1", 5.5, ("CWE-79",)), ("CVE-2", 9.8, ())]
     assert [r.cve_id for r in advisories.search(back, "CWE-79", 5.0).collect()] == ["CVE-1"]
     assert advisories.update(back, s, ["a b"]).count() == 2 and advisories.update(back, s, ["bad"]).count() == 2
+
+
+def test_features_come_back_from_a_vector(spark):
+    from riskloom.operators import vectors
+    from riskloom.sources.code import corpus
+
+    d = vectors.feature_vectors(corpus(spark)).select("path", vectors.of_vector(F.col("x")).alias("f")).select("path", "f.*")
+    got = {r.path: r for r in d.collect()}
+    for r in features.features(corpus(spark)).collect():
+        assert all(got[r.path][c] == r[c] for c in ("complexity", "nesting", "inputs", "sinks", "dangerous", "taint_flows", "unchecked", "pointers"))
+        assert 0 < got[r.path].entropy <= 8 and 0 < got[r.path].diversity <= 1
