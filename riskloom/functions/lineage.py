@@ -3,16 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that spark.checkpoint.dir names; where it is unset, a local master gets a folder of its own."""
-    spark = df.sparkSession
+def _folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where it is unset, a local master gets one of its own."""
     if not spark.sparkContext.getCheckpointDir():
         where = spark.conf.get("spark.checkpoint.dir", None)
         if not where and not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="riskloom-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder."""
+    _folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """A Parquet table in the shared folder: for large tables, as it is encoded and compressed, which a checkpoint is not."""
+    path = f"{_folder(df.sparkSession)}/riskloom-table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
