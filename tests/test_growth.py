@@ -1,6 +1,11 @@
 """Plans and rows of steps that must not grow faster than their input."""
 
+import time
+
+import numpy as np
+
 from riskloom.functions.lineage import cut
+from riskloom.operators import ml
 from riskloom.operators import token_vectors as tv
 
 
@@ -19,3 +24,29 @@ def test_vectors_of_tokens_are_not_shuffled(spark, monkeypatch):
     assert plan(parts).count("BroadcastExchange") > 3
     got = {r.id: r.v for r in parts.collect()}
     assert set(got) == set(want) and all(abs(x - y) < 1e-12 for i in want for x, y in zip(got[i], want[i], strict=True))
+
+
+def test_topk_meets_blocks_and_equals_a_loop(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(ml, "BLOCK_ROWS", 64)
+    rng = np.random.default_rng(3)
+    x = rng.integers(-2, 3, (700, 4)).astype(np.float32)  # many equal ones, so many ties, and some zeros
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    got = [tuple(r) for r in ml.similar_topk(d, 5).orderBy("query_id", "place").collect()]
+
+    def sim(a, b):
+        dot = lambda p, q: sum(float(s) * float(t) for s, t in zip(p, q, strict=True))
+        n = dot(a, a) ** 0.5 * dot(b, b) ** 0.5
+        return np.floor((dot(a, b) / n if n else 0.0) * 1e6 + 0.5)
+
+    want = []
+    for q in range(0, 700, 100):
+        first = sorted((-sim(x[q], x[i]), i) for i in range(700))[:5]
+        want += [(q, i, place, -s / 1e6) for place, (s, i) in enumerate(first, 1)]
+    assert got == want
+    wide = spark.range(30000).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.rand(5).cast("float")).alias("embedding"))
+    began = time.time()
+    assert ml.similar_topk(wide, 5).count() == 1500
+    assert "zip_with" not in plan(ml.similar_topk(d, 5)), "pairs meet as matrices"
+    assert time.time() - began < 60
