@@ -23,20 +23,18 @@ def let(x: Column, fn: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(x), fn), 1)
 
 
-def _vector(t: Column) -> Column:
-    """128 numbers: counts of words and of regexes, and the structure; of a row that ``_counted`` made, and its tokens."""
-    words = rules.VECTOR_WORDS
-    known = F.filter(F.transform(t, F.lower), lambda x: x.isin(words))
-    by_word = let(known, lambda k: F.array(*[F.size(F.filter(k, lambda x: x == w)).cast("double") for w in words]))  # noqa: B023
+def _vector() -> Column:
+    """128 numbers: counts of words and of regexes, and the structure; of a row that ``_counted`` made."""
+    words = F.transform("tokens.words", lambda x: x.cast("double"))
     lines = (F.char_length("content") - F.char_length(F.replace(F.col("content"), F.lit("\n"), F.lit("")))).cast("double")
-    shape = [F.size(t).cast("double") / 1000, F.col("complexity") / F.lit(50.0), F.col("nesting") / F.lit(10.0), lines / 500, F.col("entropy") / 8, _diversity(t)]
-    hits = [F.regexp_count("content", F.lit(r)).cast("double") / 10 for r in rules.VECTOR_REGEXES]
+    shape = [F.col("tokens.n").cast("double") / 1000, F.col("complexity") / F.lit(50.0), F.col("nesting") / F.lit(10.0), lines / 500, F.col("entropy") / 8, _diversity()]
+    hits = F.transform("hits", lambda x: x.cast("double") / 10)
     none = lambda n: F.array(*[F.lit(0.0)] * n)
-    return F.concat(by_word, none(64 - len(words)), F.array(*shape), none(96 - 64 - len(shape)), F.array(*hits))
+    return F.concat(words, none(64 - len(rules.VECTOR_WORDS)), F.array(*shape), none(96 - 64 - len(shape)), hits)
 
 
-def _diversity(t: Column) -> Column:
-    return F.when(F.size(t) > 0, F.size(F.array_distinct(t)) / F.size(t)).otherwise(0.0)
+def _diversity() -> Column:
+    return F.when(F.col("tokens.n") > 0, F.col("tokens.distinct") / F.col("tokens.n")).otherwise(0.0)
 
 
 def _unit(x: Column) -> Column:
@@ -46,13 +44,13 @@ def _unit(x: Column) -> Column:
 
 
 def _counted(files: DataFrame) -> DataFrame:
-    """Features of each file beside its tokens, lines and entropy."""
-    return feats.features(files, keep=["content", T.tokens("content").alias("tokens"), T.comment_lines("content", "language").alias("marks"), T.entropy("content").alias("entropy")])
+    """Features of each file beside the counts of its tokens and of regexes, lines and entropy."""
+    return feats.features(files, keep=["content", T.token_counts("content", rules.VECTOR_WORDS).alias("tokens"), T.counts("content", rules.VECTOR_REGEXES).alias("hits"), T.comment_lines("content", "language").alias("marks"), T.entropy("content").alias("entropy")])
 
 
 def code_embeddings(files: DataFrame) -> DataFrame:
     """(path, embedding) of 128 numbers of length one, all 0 for a text with nothing to count; one scan, no shuffle."""
-    return _counted(files).select("path", let(F.col("tokens"), lambda t: _unit(_vector(t))).alias("embedding"))
+    return _counted(files).select("path", _unit(_vector()).alias("embedding"))
 
 
 def feature_vectors(files: DataFrame) -> DataFrame:
@@ -60,12 +58,9 @@ def feature_vectors(files: DataFrame) -> DataFrame:
     d = _counted(files)
     ratio = F.when(F.col("marks.all") > 0, F.col("marks.comment") / F.col("marks.all")).otherwise(0.0)
 
-    def row(t):
-        own = {"loc": F.col("marks.all"), "diversity": _diversity(t), "comment_ratio": ratio}
-        numbered = F.array(*[own.get(c, F.col(c)).cast("double") for c in FEATURES])
-        return F.concat(numbered, F.slice(_unit(_vector(t)), 1, LAST - len(FEATURES)), F.array_repeat(F.lit(0.0), LENGTH - LAST))
-
-    return d.select("path", let(F.col("tokens"), row).alias("x"))
+    own = {"loc": F.col("marks.all"), "diversity": _diversity(), "comment_ratio": ratio}
+    numbered = F.array(*[own.get(c, F.col(c)).cast("double") for c in FEATURES])
+    return d.select("path", F.concat(numbered, F.slice(_unit(_vector()), 1, LAST - len(FEATURES)), F.array_repeat(F.lit(0.0), LENGTH - LAST)).alias("x"))
 
 
 def of_vector(x: Column) -> Column:

@@ -4,6 +4,8 @@ import time
 
 import numpy as np
 
+from riskloom import rules
+from riskloom.functions import text as T
 from riskloom.functions.lineage import cut
 from riskloom.operators import ml
 from riskloom.operators import token_vectors as tv
@@ -50,3 +52,17 @@ def test_topk_meets_blocks_and_equals_a_loop(spark, monkeypatch):
     assert ml.similar_topk(wide, 5).count() == 1500
     assert "zip_with" not in plan(ml.similar_topk(d, 5)), "pairs meet as matrices"
     assert time.time() - began < 60
+
+
+def test_linear_counts_equal_javas(spark):
+    from pyspark.sql import functions as F
+
+    odd = ["", None, "if(x) ELSE\x0bif y else if z —if éif ifé Key ſecret PASSword http://x ../..\\ new\x85 new\x0b", "for and or\nwhile? a : b && || case", "a‿if 中if if中 x́if", "sha1SHA256 aesdes HTTPS connect\x1crecv"]
+    d = spark.createDataFrame([(t,) for t in odd], "t string").repartition(2)
+    regexes = [*rules.VECTOR_REGEXES, *(r for k in ("crypto", "file", "network") for r in rules.FAMILIES[k])]
+    got = d.select(T.counts("t", regexes), F.array(*[F.regexp_count("t", F.lit(r)) for r in regexes]), T.complexity("t"), T.matches("t", rules.DECISIONS) + 1).collect()
+    for mine, java, decisions, plain in got:
+        assert (mine == java or mine is None and set(java) == {None}) and decisions == plain
+    assert [r[0] for r in d.select(T.first_line_of("t", ["(?i)WHILE", "x"])).collect() if r[0]].count([2, 1]) == 1
+    e = d.select(T.complexity("t"), T.entropy("t"), T.fast_matches("t", regexes))
+    assert "regexp_replace" not in plan(e) and "ArrowEvalPython" in plan(e)
