@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskloom import rules
-from riskloom.functions.text import java
+from riskloom.functions.text import found, java, possible
 from riskloom.rules import Pattern
 
 
 def pattern_ids(files: DataFrame, patterns: list[Pattern] = rules.PATTERNS) -> DataFrame:
     """(path, pattern): rules of the file's language of which any regex is found in the whole text; the first hit ends the search."""
-    hits = []
+    hits, files = [], files.where(possible("content", [r for p in patterns for r in p.regexes]))
     for p in patterns:
-        found = F.col("language").isin(list(p.languages))
+        mine = F.col("language").isin(list(p.languages))
         any_ = F.lit(False)
         for r in p.regexes:
-            any_ = any_ | F.col("content").rlike(java(r))
-        hits.append(F.when(found & any_, F.lit(p.name)))
+            any_ = any_ | found("content", r)
+        hits.append(F.when(mine & any_, F.lit(p.name)))
     return files.select("path", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("pattern"))
 
 
@@ -66,10 +66,13 @@ def match(lines: DataFrame, patterns: list[Pattern] = rules.PATTERNS) -> DataFra
     for p in patterns:
         mine = F.col("language").isin(list(p.languages))
         for i, r in enumerate(p.regexes):
-            hits.append(F.when(mine & F.col("text").rlike(java(r)), F.transform(F.regexp_extract_all("text", F.lit(java(r)), F.lit(0)), hit(p, i))))
+            hits.append(F.when(mine & found("text", r), F.transform(F.regexp_extract_all("text", F.lit(java(r)), F.lit(0)), hit(p, i))))
         for w in p.semantic:
             hits.append(F.when(mine & F.contains("text", F.lit(w)), F.transform(F.array(F.lit(w)), hit(p, -1))))
-    d = lines.select("path", "language", "line_no", "text", "context", F.explode(F.flatten(F.filter(F.array(*hits), lambda x: x.isNotNull()))).alias("h"))
+    any_ = possible("text", [r for p in patterns for r in p.regexes])
+    for w in {w for p in patterns for w in p.semantic}:
+        any_ = any_ | F.contains("text", F.lit(w))
+    d = lines.where(any_).select("path", "language", "line_no", "text", "context", F.explode(F.flatten(F.filter(F.array(*hits), lambda x: x.isNotNull()))).alias("h"))
     d = d.select("path", "line_no", "text", "context", "h.*")
     d = d.withColumn("confidence", confidence(patterns)).withColumn("fp_reason", reason(patterns))
     score = _attribute(patterns, lambda p: p.severity) * F.lit(100.0) * F.col("confidence")
