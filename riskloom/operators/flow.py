@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import warnings
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskloom import model, rules
 from riskloom.functions.lineage import cut
-from riskloom.functions.text import by_language, java, matches
+from riskloom.functions.text import by_language, extracted, found, java, matches, possible
 
 _TRIM = " \t\r\f\x0b"
 IDENT = r"[a-zA-Z_][a-zA-Z0-9_]*"
@@ -25,7 +28,7 @@ def stripped(lines: DataFrame) -> DataFrame:
 def any_of(text: Column, regexes: list[str]) -> Column:
     out = F.lit(False)
     for r in regexes:
-        out = out | text.rlike(java(r))
+        out = out | found(text, r)
     return out
 
 
@@ -36,7 +39,7 @@ def unsafe_casts(lines: DataFrame) -> DataFrame:
     """(path, line_no, regex_no): each cast regex that a line matches."""
     t = F.col("text")
     none = F.array().cast("array<int>")
-    hits = by_language("language", rules.CASTS, lambda v: F.array(*[F.when(t.rlike(java(r)), i) for i, r in enumerate(v)]), none)
+    hits = by_language("language", rules.CASTS, lambda v: F.array(*[F.when(found(t, r), i) for i, r in enumerate(v)]), none)
     return lines.select("path", "line_no", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("regex_no"))
 
 
@@ -54,9 +57,9 @@ def symbols(lines: DataFrame) -> DataFrame:
     """(path, name, kind, line_no, tainted): the last declaration of each name in a file."""
     t = F.col("text")
     none = F.array().cast("array<struct<kind:string,names:array<string>>>")
-    found = by_language("language", rules.DECLARATIONS, lambda v: F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract_all(t, F.lit(java(r)), F.lit(1)).alias("names")) for k, r in v]), none)
+    declared = by_language("language", rules.DECLARATIONS, lambda v: F.array(*[F.struct(F.lit(k).alias("kind"), extracted(t, r, 1).alias("names")) for k, r in v]), none)
     tainted = by_language("language", rules.INPUTS, lambda v: any_of(t, v), F.lit(False))
-    d = stripped(lines).select("path", "line_no", tainted.alias("tainted"), F.posexplode(found).alias("rank", "f")).select("path", "line_no", "tainted", "rank", "f.kind", F.explode("f.names").alias("name"))
+    d = stripped(lines).select("path", "line_no", tainted.alias("tainted"), F.posexplode(declared).alias("rank", "f")).select("path", "line_no", "tainted", "rank", "f.kind", F.explode("f.names").alias("name"))
     d = d.groupBy("path", "name").agg(F.max(F.struct("line_no", "rank", "kind", "tainted")).alias("s"))
     return d.select("path", "name", "s.kind", "s.line_no", "s.tainted")
 
@@ -69,7 +72,7 @@ def calls(lines: DataFrame) -> DataFrame:
     keywords = by_language("language", rules.KEYWORDS, lambda v: F.array(*map(F.lit, v)), F.array().cast("array<string>"))
     names = F.array_except(F.regexp_extract_all(t, F.lit(r"([a-zA-Z_][a-zA-Z0-9_]*(?:\.[a-zA-Z_][a-zA-Z0-9_]*)*)\s*\("), F.lit(1)), keywords)
     # a call counts if it is on or after the function's line: its last line decides
-    last = d.select("path", "line_no", F.explode(names).alias("callee")).groupBy("path", "callee").agg(F.max("line_no").alias("last"))
+    last = d.where(F.contains("text", F.lit("("))).select("path", "line_no", F.explode(names).alias("callee")).groupBy("path", "callee").agg(F.max("line_no").alias("last"))
     return fns.join(last, "path").where("last >= `from`").select("path", "caller", "callee")
 
 
@@ -80,7 +83,7 @@ def definitions(lines: DataFrame) -> DataFrame:
     """(path, language, line_no, var, expr, tainted): every match of every assignment regex on stripped lines."""
     t = F.col("text")
 
-    def found(regexes):
+    def assigned(regexes):
         parts = []
         for r in regexes:
             var = F.regexp_extract_all(t, F.lit(java(r)), F.lit(1))
@@ -88,7 +91,7 @@ def definitions(lines: DataFrame) -> DataFrame:
             parts.append(F.arrays_zip(var.alias("var"), expr.alias("expr")))
         return F.flatten(F.array(*parts))
 
-    pairs = by_language("language", {**rules.ASSIGNMENTS, "*": [r"([a-zA-Z_]\w*)\s*=\s*(.+)"]}, found, None)
+    pairs = by_language("language", {**rules.ASSIGNMENTS, "*": [r"([a-zA-Z_]\w*)\s*=\s*(.+)"]}, assigned, None)
     tainted = by_language("language", rules.INPUTS, lambda v: any_of(t, v), F.lit(False))
     d = stripped(lines).where(F.contains("text", F.lit("=")))  # all assignments have one: cheap, and keeps regexes off other lines
     return d.select("path", "language", "line_no", tainted.alias("tainted"), F.explode(pairs).alias("p")).select("path", "language", "line_no", "p.var", "p.expr", "tainted")
@@ -116,6 +119,31 @@ def live(lines: DataFrame) -> DataFrame:
     return uses(lines).groupBy("path", "var").agg(F.max("line_no").alias("live_until"))
 
 
+def live_of(files: DataFrame) -> DataFrame:
+    """``live`` of whole files: a file is one row until the end, so that rows for each line and word are not shuffled."""
+    known = {k: frozenset(v) | frozenset(rules.BUILTINS[k]) for k, v in rules.KEYWORDS.items()}
+    ident = re.compile(IDENT)
+
+    def last_uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, at = [], []
+            for language, content in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                last = {w: i for i, x in enumerate((content or "").split("\n"), 1) for w in ident.findall(x)}
+                mine = [w for w in last if w not in known.get(language, ())]
+                names.append(mine)
+                at.append([last[w] for w in mine])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.list_(pa.string())), pa.array(at, pa.list_(pa.int32()))], names=["path", "vars", "at"])
+
+    d = files.select("path", "language", "content").mapInArrow(last_uses, "path string, vars array<string>, at array<int>")
+    # rows of one path are one file
+    d = d.groupBy("path").agg(F.collect_list(F.arrays_zip("vars", "at")).alias("rs"))
+    all_ = F.flatten("rs")
+    most = lambda v: F.array_max(F.transform(F.filter(all_, lambda u: u["vars"] == v), lambda u: u["at"]))
+    merged = F.transform(F.array_distinct(F.transform(all_, lambda u: u["vars"])), lambda v: F.struct(v.alias("vars"), most(v).alias("at")))
+    uses_ = F.when(F.size("rs") == 1, F.get("rs", F.lit(0))).otherwise(merged)
+    return d.select("path", F.explode(uses_).alias("u")).select("path", F.col("u.vars").alias("var"), F.col("u.at").alias("live_until"))
+
+
 def def_use(lines: DataFrame) -> DataFrame:
     """(path, var, def_line, use_line): uses with the definitions that reach them, on the own line too.
 
@@ -133,7 +161,7 @@ def tainted_paths(lines: DataFrame) -> DataFrame:
     d = definitions(lines).where("tainted").select("path", "var", F.col("line_no").alias("def_line")).distinct()
     t = F.col("text")
     none = F.array().cast("array<int>")
-    sinks = by_language("language", rules.SINKS, lambda v: F.array(*[F.when(t.rlike(java(r)), i) for i, r in enumerate(v)]), none)
+    sinks = by_language("language", rules.SINKS, lambda v: F.array(*[F.when(found(t, r), i) for i, r in enumerate(v)]), none)
     at = stripped(lines).select("path", "line_no", F.explode(F.filter(sinks, lambda x: x.isNotNull())).alias("sink_no"))
     u = uses(lines).join(d, ["path", "var"]).join(at, ["path", "line_no"])
     return u.select("path", "var", "def_line", F.col("line_no").alias("use_line"), "sink_no")
@@ -227,15 +255,16 @@ def taint_chains(lines: DataFrame, rounds: int | None = 10) -> DataFrame:
     """Sinks with where their taint comes from: path, line_no, var, sink_type, regex_no, source, source_line, source_type, steps."""
     links = cut(provenance(lines, rounds))
     kinds = taint_sources(lines).select("path", F.col("var").alias("source"), "source_type", F.col("line_no").alias("source_line"))
-    found = taint_sinks(lines, links.select("path", "var")).drop("exploitable").join(chains(links), ["path", "var"]).join(kinds, ["path", "source"])
-    return found.select("path", "line_no", "var", "sink_type", "regex_no", "source", "source_line", "source_type", "steps")
+    hit = taint_sinks(lines, links.select("path", "var")).drop("exploitable").join(chains(links), ["path", "var"]).join(kinds, ["path", "source"])
+    return hit.select("path", "line_no", "var", "sink_type", "regex_no", "source", "source_line", "source_type", "steps")
 
 
 def taint_sinks(lines: DataFrame, tainted: DataFrame) -> DataFrame:
     """(path, line_no, var, sink_type, regex_no, exploitable): tainted variables named on lines with a sink."""
     t = F.col("text")
-    hits = [F.when(t.rlike(java(r)), F.struct(F.lit(k).alias("sink_type"), F.lit(i).alias("regex_no"))) for k, v in rules.TAINT_SINKS.items() for i, r in enumerate(v)]
-    d = stripped(lines).select("path", "line_no", "text", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("s"))
+    hits = [F.when(found(t, r), F.struct(F.lit(k).alias("sink_type"), F.lit(i).alias("regex_no"))) for k, v in rules.TAINT_SINKS.items() for i, r in enumerate(v)]
+    any_ = possible("text", [r for v in rules.TAINT_SINKS.values() for r in v])
+    d = stripped(lines).where(any_).select("path", "line_no", "text", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("s"))
     d = d.join(tainted.select("path", "var"), "path").where(F.contains("text", F.col("var")))
     return d.select("path", "line_no", "var", "s.sink_type", "s.regex_no", (~t.rlike(rules.PROTECTIONS)).alias("exploitable"))
 
@@ -303,7 +332,7 @@ def line_path(first: Column, last: Column) -> Column:
 def tainted_symbols(lines: DataFrame) -> DataFrame:
     """(path, line_no, var, sink_no): lines that name a tainted symbol and match a sink, for each sink."""
     t = F.col("text")
-    sinks = by_language("language", rules.SINKS, lambda v: F.array(*[F.when(t.rlike(java(r)), i) for i, r in enumerate(v)]), F.array().cast("array<int>"))
+    sinks = by_language("language", rules.SINKS, lambda v: F.array(*[F.when(found(t, r), i) for i, r in enumerate(v)]), F.array().cast("array<int>"))
     at = lines.select("path", "line_no", "text", F.explode(F.filter(sinks, lambda x: x.isNotNull())).alias("sink_no"))
     known = symbols(lines).where("tainted").select("path", F.col("name").alias("var"))
     return at.join(known, "path").where(F.contains("text", F.col("var"))).select("path", "line_no", "var", "sink_no")

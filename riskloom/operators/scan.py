@@ -73,7 +73,7 @@ def scan(files: DataFrame, detector: trees.Forest | None = None, least: float =
     anomaly pass if there is a trained detector. Then at least ``least`` confident ones, the ``most`` gravest of a file, and
     of those the first of each line and class.
     """
-    lines = code.lines(files)
+    lines = code.texts(files)
     feats = cut(features.features(files))
 
     def rows(d, name, line, cls, severity, confidence):
@@ -93,7 +93,7 @@ def scan(files: DataFrame, detector: trees.Forest | None = None, least: float =
     grave = F.when(F.col("confidence") >= 0.8, "CRITICAL").when(F.col("confidence") >= 0.6, "HIGH").when(F.col("confidence") >= 0.4, "MEDIUM").otherwise("LOW")
     out = out.union(rows(paths, "taint", F.col("line_no"), F.col("vuln_class"), grave, F.col("confidence")))
     severity = model.choose(F.col("pattern"), {p.name: p.severity for p in rules.PATTERNS}, 0.5)
-    out = out.union(rows(matching.match(lines).where("fp_reason IS NULL"), "rules", F.col("line_no"), F.col("vuln_class"), _severity(severity), F.col("confidence")))
+    out = out.union(rows(matching.match(code.lines(files)).where("fp_reason IS NULL"), "rules", F.col("line_no"), F.col("vuln_class"), _severity(severity), F.col("confidence")))
     scored = features.predict(feats, 0.6)
     out = out.union(rows(scored, "model", 1, F.col("vuln_class"), F.when(F.col("prob") >= 0.9, "CRITICAL").when(F.col("prob") >= 0.8, "HIGH").when(F.col("prob") >= 0.7, "MEDIUM").otherwise("LOW"), F.col("prob")))
     if detector is not None and detector.dim:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from riskloom import model, rules
 from riskloom.operators import flow, graph, scan
 from riskloom.plans.registry import q, query, values
-from riskloom.sources.code import FILES_SQL, LINES_SQL, files, lines
+from riskloom.sources.code import FILES_SQL, LINES_SQL, files, texts
 
 _BASE = f"WITH RECURSIVE files AS ({FILES_SQL}), {LINES_SQL}, st AS (SELECT * FROM (SELECT path, language, CAST(line_no AS INTEGER) AS line_no, trim(text, ' ' || chr(9) || chr(13) || chr(12) || chr(11)) AS text FROM lines) WHERE text <> '')"
 
@@ -17,7 +17,7 @@ def _table(name, rows, cols):
 
 
 def _lines(spark, sf_dir):
-    return lines(files(spark, sf_dir))
+    return texts(files(spark, sf_dir))
 
 
 def _joined(name):
@@ -91,7 +91,7 @@ def reaching_defs(spark, sf_dir):
 
 @query(f"{_BASE}, {_USES} SELECT path, var, max(line_no) AS live_until FROM uses GROUP BY 1, 2")
 def live_vars(spark, sf_dir):
-    return flow.live(_lines(spark, sf_dir))
+    return flow.live_of(files(spark, sf_dir))
 
 
 @query(f"{_BASE}, {_DEFS}, {_REACH}, {_USES} SELECT uses.path, uses.var, def_line, line_no AS use_line FROM uses JOIN reaching ON uses.path = reaching.path AND uses.var = reaching.var AND line_no >= def_line AND (until IS NULL OR line_no <= until)")
@@ -199,7 +199,7 @@ def tainted_symbols(spark, sf_dir):
     UNION ALL SELECT path, 'privilege_escalation', CAST(line_no AS INTEGER), 0.6e0 FROM lines WHERE {_any(['(?i)' + r for r in rules.PRIVILEGES])}""")
 def semantic_patterns(spark, sf_dir):
     f = files(spark, sf_dir)
-    return flow.semantic_patterns(f, lines(f), scan.null_derefs(f))
+    return flow.semantic_patterns(f, texts(f), scan.null_derefs(f))
 
 
 _FN, _CLS = r"(?:def|function|func|fn)\s+(\w+)", r"class\s+(\w+)"

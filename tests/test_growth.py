@@ -1,5 +1,6 @@
 """Plans and rows of steps that must not grow faster than their input."""
 
+import re
 import time
 
 import numpy as np
@@ -66,3 +67,29 @@ def test_linear_counts_equal_javas(spark):
     assert [r[0] for r in d.select(T.first_line_of("t", ["(?i)WHILE", "x"])).collect() if r[0]].count([2, 1]) == 1
     e = d.select(T.complexity("t"), T.entropy("t"), T.fast_matches("t", regexes))
     assert "regexp_replace" not in plan(e) and "ArrowEvalPython" in plan(e)
+
+
+def test_signs_tell_texts_without_a_match(spark):
+    from pyspark.sql import functions as F
+
+    from riskloom.sources.code import CORPUS
+
+    sets = [*(p.regexes for p in rules.PATTERNS), *rules.TAINT_SINKS.values(), *rules.TAINT_SOURCES.values(), *rules.SINKS.values(), *rules.CASTS.values(), *rules.USER_INPUT.values()]
+    regexes = sorted({r for v in sets for r in v})
+    assert T.needed(r"(?i)a\s*\([^)]*\+") == "+" and T.needed(r"a\(|b") is None and T.needed(r"x\+?=") == "=" and T.needed("[(]a(=)b") is None and T.needed(r"a\+*b") is None
+    lines = sorted({x for _, t in CORPUS for x in t.split("\n")} | {"a = b +c", "`x$", "echo x", "(int) y", "%s SELECT"})
+    d = spark.createDataFrame([(x,) for x in lines], "text string")
+    got = d.select(*[F.count_if(T.found("text", r) != F.col("text").rlike(T.java(r))).alias(str(i)) for i, r in enumerate(regexes)]).first()
+    assert set(got) == {0}
+
+
+def test_live_variables_shuffle_files(spark):
+    from riskloom.operators import flow
+    from riskloom.sources import code
+
+    rows = [("a", "python", "x = y\n\nx.z(é)\nif y"), ("a", "python", "w\nx\ny"), ("b", "odd", "if x"), ("c", "c", None)]
+    d = spark.createDataFrame(rows, "path string, language string, content string").repartition(3)
+    got = flow.live_of(d)
+    assert sorted(got.collect()) == sorted(flow.live(code.lines(d)).collect()) and len(got.collect()) == 6
+    keys = re.findall(r"hashpartitioning\(([^)]*)\)", plan(got))
+    assert keys and not any("var" in k for k in keys)
