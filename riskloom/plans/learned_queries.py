@@ -109,6 +109,6 @@ def learned_embeddings(spark, sf_dir):
     mine, other = d.where("id % 2 = 0").select("id", F.col("lang").alias("la")), d.select((F.col("id") - 1).alias("id"), F.col("lang").alias("lb"))
     pairs = mine.join(other, "id").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.col("la").eqNullSafe(F.col("lb")).alias("alike"))
     params = token_vectors.first_vectors(token_vectors.vocabulary(d.select("id", F.coalesce("content", F.lit("")).alias("content"))), _DIM)
-    table, _ = token_vectors.train(d, pairs, params, _DIM, _STEPS, _PULL, _MARGIN, None, None)
-    out = token_vectors.embed(d, table, _DIM, None, None).select(F.col("id").alias("doc_id"), F.posexplode("v").alias("at", "x"))
+    _, _, vectors = token_vectors.fit(d, pairs, params, _DIM, _STEPS, _PULL, _MARGIN, None, None)
+    out = vectors.select(F.col("id").alias("doc_id"), F.posexplode("v").alias("at", "x"))
     return out.select("doc_id", (F.col("at") + 1).alias("dim"), rounded(F.col("x")).alias("value"))

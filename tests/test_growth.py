@@ -29,6 +29,41 @@ def test_vectors_of_tokens_are_not_shuffled(spark, monkeypatch):
     assert set(got) == set(want) and all(abs(x - y) < 1e-12 for i in want for x, y in zip(got[i], want[i], strict=True))
 
 
+def test_tokens_cut_as_bytes_equal_the_regexes(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    signs = list("ab_Z09xF..,;:(\"'\"' \n+=<é中İΣ#@0x1\\")
+    odd = ["", "x" * 50 + "=" * 30, "'İΣ' \"ΑΣ\" don't 0x1Fg 12.5.6 1..2 a1.5 'Ⅷ' K", "it's \"a 'b\" c'd", "0x 0X1f 1.", "\"open", ""]
+    texts = [*odd, *("".join(rng.choice(signs, rng.integers(0, 40))) for _ in range(400))]
+    want = [r[0][1:-1] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1).orderBy("i").select(tv.tokens(F.col("t"), None)).collect()]
+    for low, high in ((0, len(texts)), (3, 4), (0, 1), (5, 90)):
+        sizes, at, words = tv._cut(pa.array(texts).slice(low, high - low))
+        words, ends = words.to_pylist(), np.concatenate([[0], np.cumsum(sizes)])
+        assert [[words[k] for k in at[i:j]] for i, j in zip(ends, ends[1:], strict=False)] == want[low:high]
+
+
+def test_training_cuts_texts_twice_and_pairs_meet_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    words = [*"alpha beta gamma delta eval password query zeta".split(), *(f"w{i}" for i in range(90)), "12.5", "();"]
+    texts = spark.createDataFrame([(i, " ".join(rng.choice(words, rng.integers(0, 40))) or None) for i in range(120)], "id long, content string").repartition(4)
+    pairs = spark.createDataFrame([(i, (7 * i + 1) % 130, bool(i % 3)) for i in range(120)], "a long, b long, alike boolean")
+    params = cut(tv.first_vectors(tv.vocabulary(texts, 3), 8))
+    runs = []
+    for matrix in (tv.MATRIX, 60 * 8):
+        monkeypatch.setattr(tv, "MATRIX", matrix)
+        for ends in ((10, 20), (None, None)):
+            table, losses, e = tv.fit(texts, pairs, params, 8, 2, 0.3, 0.3, *ends)
+            assert "regexp_extract_all" not in plan(e) and plan(e).count("MapInArrow") == (1 if matrix > 480 else 6)
+            want = {r.id: r.v for r in tv.embed(texts, table, 8, *ends).collect()}
+            got = {r.id: r.v for r in e.collect()}
+            assert set(got) == set(want) and all(np.allclose(got[i], want[i], atol=1e-12) for i in want)
+            runs.append((losses, {r.token: r.v for r in table.collect()}))
+    for (a, x), (b, y) in zip(runs[:2], runs[2:], strict=True):
+        assert np.allclose(a, b) and set(x) == set(y) and all(np.allclose(x[t], y[t], atol=1e-12) for t in x)
+
+
 def test_topk_meets_blocks_and_equals_a_loop(spark, monkeypatch):
     from pyspark.sql import functions as F
 
